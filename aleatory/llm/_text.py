@@ -101,7 +101,7 @@ class Words:
         after[-1], after[:-1] = True, ~keep
         self.end = np.flatnonzero(keep & (after[1:] | edge[1:])) + 1
         p, q = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
+        self.total = total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_byte_codes(fold)[data] * p[:-1], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * q[self.start])
         self.first = np.searchsorted(self.start, bounds)
