@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, topk
 from .langid import identify
 from .neardup import near_duplicates
 from .quality import score_quality
@@ -16,6 +17,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -33,8 +43,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op7_toxicity, op8_language, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_mixing, op5_top_k, op4_quality, op7_toxicity, op8_language, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_mixing": mixing.SQL.format(documents="documents") + "select doc_id, size, source_size, target, (copies * size)::bigint as taken from mix",
+        "op5_top_k": topk.SQL,
+    }
