@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, topk, urls
+from . import decontam, mixing, pii, repeats, topk, urls
 from .langid import identify
 from .neardup import near_duplicates
 from .quality import score_quality
@@ -26,6 +26,14 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_personal_data, op5_top_k, op6_urls, op4_quality, op7_toxicity, op8_language, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op9_repeated_passages, op3_personal_data, op5_top_k, op6_urls, op4_quality, op7_toxicity, op8_language, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
