@@ -1,8 +1,8 @@
 """Exact top-k inner-product search over an impact-ordered index.
 
 Rows are cut into blocks. A block's index holds, per dimension, its rows
-ordered by their impact (an integer component) in segments of equal impact. A
-query adds up segments score-at-a-time, by descending contribution, and stops
+ordered by their impact (an integer component) in segments of equal quantised
+impact. A query adds up segments' greatest contributions in descending order, and stops
 when the bounds prove that no other row can enter its best k; the rows that
 still may are scored exactly.
 """
@@ -19,69 +19,65 @@ from pyspark.sql import functions as F
 from ._spark import cut
 
 BLOCK = 4096
-QUERIES = 256
+QUERIES = 1024
+#: Impacts are quantised to this width.
+WIDTH = 4
 ROUNDS = 12
 
 
 class ImpactIndex:
-    """Posting segments (dimension, impact) of one block of integer vectors."""
+    """Posting segments (dimension, impact // WIDTH) of one block of integer vectors, with their least and greatest impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.exact = ids, vectors, vectors.astype(np.float64)  # sums stay far below 2**53
         n, dims = vectors.shape
         order = np.argsort(vectors, axis=0, kind="stable")
-        impact = np.take_along_axis(vectors, order, 0)
-        new = np.ones((n, dims), bool)
-        new[1:] = impact[1:] != impact[:-1]
-        flat_new = new.T.ravel()
+        impact = np.take_along_axis(vectors, order, 0).T
+        new = np.ones((dims, n), bool)
+        new[:, 1:] = impact[:, 1:] // WIDTH != impact[:, :-1] // WIDTH
         self.postings = order.T.ravel()
-        self.start = np.flatnonzero(flat_new)
+        self.start = np.flatnonzero(new)
         self.end = np.append(self.start[1:], n * dims)
-        self.impact = impact.T.ravel()[self.start].astype(np.float64)
+        flat = impact.ravel()
+        self.low, self.high = flat[self.start].astype(np.float64), flat[self.end - 1].astype(np.float64)
         self.dim = self.start // n
-        self.low, self.high = vectors.min(0).astype(np.float64), vectors.max(0).astype(np.float64)
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but ``own``, ties to the smaller id.
+
+        A row's score is at most what it has gained plus, for each dimension yet
+        to come, the contribution of the next segment. The exact scores of the k
+        rows ahead are a bar that the k-th best reaches; rows that can't reach it
+        are out. Once few are left, they are scored exactly.
+        """
         n, dims = self.vectors.shape
-        gain = query[self.dim] * self.impact
-        least = np.minimum(query * self.low, query * self.high)
+        gain = np.maximum(query[self.dim] * self.low, query[self.dim] * self.high)
         by = np.argsort(-gain, kind="stable")
-        sizes = (self.end - self.start)[by]
-        lower, pending = np.full(n, least.sum()), np.full(n, dims)
-        done = np.zeros(n)  # contributions added so far
-        mine = self.ids == own
-        steps = np.searchsorted(np.cumsum(sizes), np.linspace(0, n * dims, ROUNDS + 1)[1:], "left") + 1
+        start, size, gain = self.start[by], (self.end - self.start)[by], gain[by]
+        through = np.cumsum(size)
+        done, pending = np.zeros(n), np.full(n, dims)
+        left = np.flatnonzero(self.ids != own)
         at = 0
-        candidates = np.flatnonzero(~mine)
-        for step in steps:
-            if step <= at:
-                continue
-            seg = by[at:step]
-            count = sizes[at:step]
-            flat = np.repeat(self.start[seg] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+        for target in np.linspace(0, n * dims, ROUNDS + 1)[1:]:
+            if len(left) <= max(k, n // 8) or at == len(by):
+                break
+            to = min(int(np.searchsorted(through, target)) + 1, len(by))
+            count = size[at:to]
+            flat = np.repeat(start[at:to] - (through[at:to] - count - (through[at] - size[at])), count) + np.arange(count.sum())
             rows = self.postings[flat]
-            add = np.repeat(gain[seg], count)
-            done += np.bincount(rows, add, n)
-            lower += np.bincount(rows, add - np.repeat(least[self.dim[seg]], count), n)
+            done += np.bincount(rows, np.repeat(gain[at:to], count), n)
             pending -= np.bincount(rows, minlength=n)
-            at = step
-            if len(candidates) <= k:
-                break
-            bar = np.partition(lower[candidates], len(candidates) - k)[len(candidates) - k]
-            ceiling = gain[by[at]] if at < len(by) else 0.0
-            left = candidates[done[candidates] + pending[candidates] * ceiling >= bar]
-            if len(left) <= 4 * k or at >= len(by):  # proof: all others are below the k-th
-                candidates = left
-                break
-            if len(left) < n // 64:
-                candidates = left
-                break
-        exact = self.vectors[candidates] @ query.astype(np.int64)
-        best = np.lexsort((self.ids[candidates], -exact))[:k]
-        return self.ids[candidates[best]], exact[best]
+            at = to
+            ahead = left[np.argpartition(done[left], len(left) - k)[len(left) - k :]]
+            bar = (self.exact[ahead] @ query).min()
+            ceiling = gain[at] if at < len(by) else 0.0
+            left = left[done[left] + pending[left] * ceiling >= bar]
+        score = self.exact[left] @ query
+        best = np.lexsort((self.ids[left], -score))[:k]
+        return self.ids[left[best]], score[best].astype(np.int64)
 
 
-def _stack(values: list[list[int]]) -> np.ndarray:
+def _stack(values: list[np.ndarray]) -> np.ndarray:
     dims = max(map(len, values), default=0)
     out = np.zeros((len(values), max(dims, 1)), np.int64)
     for row, v in zip(out, values, strict=True):
@@ -93,7 +89,9 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     """Rows sorted by (block, queries, role): a block's vectors, then the queries that search it."""
     group, ids, vecs, index = None, [], [], None
     for batch in batches:
-        block, part, role, vid, v = (batch.column(c).to_pylist() for c in ("block", "part", "role", "vec_id", "v"))
+        block, part, role, vid = (batch.column(c).to_pylist() for c in ("block", "part", "role", "vec_id"))
+        off, flat = batch.column("v").offsets.to_numpy(), batch.column("v").values.to_numpy(zero_copy_only=False)
+        v = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         out: tuple[list, list, list] = ([], [], [])
         for r in range(len(block)):
             if (g := (block[r], part[r])) != group:
@@ -106,7 +104,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 continue
             index = index or ImpactIndex(np.array(ids, np.int64), _stack(vecs))
             dims = index.vectors.shape[1]
-            q = _stack([v[r][:dims] + [0] * (dims - len(v[r]))])[0].astype(np.float64)
+            q = np.zeros(dims)
+            q[: len(v[r])] = v[r][:dims]
             who, score = index.search(q, vid[r], k)
             out[0].extend([vid[r]] * len(who))
             out[1].extend(who.tolist())
