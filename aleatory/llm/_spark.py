@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,12 @@ def hash_unit(*cols, seed: str = "") -> "F.Column":
 def fold(col: str, parts: int):
     """crc32 of the id as text, modulo ``parts``."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write Parquet to a new folder beside the checkpoints and read it back."""
+    spark = df.sparkSession
+    ready(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -42,27 +42,33 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return ranked.withColumn("target", F.least(F.col("_cap"), F.greatest(level, F.lit(0.0)) * F.col("_w"))).select("source", "source_size", "target")
 
 
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: str) -> DataFrame:
+    """The documents and __size, __source_size, __target, __copies."""
+    base = docs.withColumn("__size", words())
+    sizes = base.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    plan = small(cut(source_targets(sizes, weights, share, most)).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
+    rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    out = base.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    return out.withColumn("__copies", (F.floor(rate) + (hash_unit("doc_id", seed=seed) < rate - F.floor(rate)).cast("int")).cast("int"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """All columns of the documents, then ``size, source_size, target, copies, taken`` (taken = copies * size); needs ``doc_id, text, source``.
 
     A null text has size 0; null is a source of its own. A source of size 0 has
     target 0 and its documents 0 copies. Repeated rows of one doc_id get the same
-    number of copies; rows with a null doc_id share one draw. Clashing columns of
-    the input (size, target, ...) are replaced. An empty table gives no rows.
+    number of copies; rows with a null doc_id share one draw. Columns of the
+    input that are named like these are replaced. An empty table gives no rows.
     """
-    base = docs.withColumn("size", words())
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = small(cut(source_targets(sizes, weights, share, most)).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")))
-    rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    out = base.drop("source_size", "target", "copies", "taken").join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
-    out = out.withColumn("source_size", F.col("_source_size")).withColumn("target", F.col("_target"))
-    out = out.withColumn("copies", (F.floor(rate) + (hash_unit("doc_id", seed=seed) < rate - F.floor(rate)).cast("int")).cast("int"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_source_size", "_target")
-
-
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per copy: the given columns and ``copy`` (from 1)."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    out = _mixed(docs, weights, share, most, seed).drop("size", "source_size", "target", "copies", "taken")
+    out = out.withColumnsRenamed({f"__{c}": c for c in ("size", "source_size", "target", "copies")})
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
+    """One row per copy: the documents' columns (but ``copy``) and ``copy``, from 1. Cases as for ``mix_sources``; texts of size 0 are not emitted from sources of size 0."""
+    out = _mixed(docs, weights, share, most, seed).where("__copies > 0")
+    return out.select(*[c for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
 
 
 #: DuckDB's equivalent of ``mix_sources`` for the query, to be given the source of documents.

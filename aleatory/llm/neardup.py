@@ -233,14 +233,14 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     stay unless a document with an id says the same.
     """
     found = cut(near_duplicates(docs, **settings))
-    gone = cut(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    out = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    gone = cut(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
+    out = docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
     if again.isEmpty():
         return out
     w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    many = out.join(small(again), F.col("doc_id") == F.col("_again"), "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return out.join(small(again), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(many)
+    many = out.join(small(again), F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return out.join(small(again), F.col("doc_id") == F.col("__again"), "left_anti").unionByName(many)
 
 
 __all__ = ["keep_one", "minima", "near_duplicates"]
