@@ -230,7 +230,7 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The documents less all but one of each near-duplicate component; columns stay as they are.
 
     Repeated rows of one doc_id count as copies too; rows with a null doc_id
-    stay unless a document with an id says the same.
+    all stay.
     """
     found = cut(near_duplicates(docs, **settings))
     gone = cut(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
