@@ -10,6 +10,7 @@ out windows that provably can't be within the allowed distance.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -51,6 +52,7 @@ def _walk(h: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
     return out
 
 
+@functools.cache
 def _places(length: int) -> np.ndarray:
     """The steps that each repetition samples for windows of so many words: ``[place, repetition]``."""
     steps = _STEPS * length
@@ -157,7 +159,15 @@ class BenchmarkIndex:
             length = len(self.words[item])
             k = allowed(length, self.edits)
             best = (k + 1, 0, 0)
-            for s, e in _regions(sorted(where), length, k, lo, hi):
+            where.sort()
+            same = next((s for s in where if np.array_equal(h[s : min(s + length, hi)], self.words[item])), None)
+            if same is not None:
+                out.append((row, item, same - lo, same + length - lo, 0))
+                continue
+            own = grams(self.words[item], _Q)
+            for s, e in _regions(where, length, k, lo, hi):
+                if np.isin(g[s : max(e - _Q + 1, s)], own).sum() < need[length]:
+                    continue  # too few 3-grams of this very item, by the same bound as above
                 d, a, b = best_match(self.words[item], h[s:e])
                 best = min(best, (d, s + a - lo, s + b - lo))
             if best[0] <= k:
