@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 P_FLOOR = 1e-300
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
@@ -49,7 +50,7 @@ def gamma_q_np(a: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = b + an / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-            if (np.abs(d * c - 1) < 1e-16).all():
+            if (np.abs(d * c - 1) < 4e-16).all():
                 break
         out[high] = np.exp(s * np.log(y) - y - _lgamma(s)) * h
     return out
@@ -82,37 +83,37 @@ def chi2_ppf_np(p: np.ndarray, k: np.ndarray) -> np.ndarray:
     return np.where(p == 0, 0.0, np.where(p == 1, np.inf, (lo + hi) / 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ln_gamma(x: pd.Series) -> pd.Series:
     return pd.Series(_lgamma(x.to_numpy(float))) if len(x) else pd.Series([], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gamma_q(a: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series(gamma_q_np(a.to_numpy(float), x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return pd.Series(_erfc(x.to_numpy(float))) if len(x) else pd.Series([], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_sf(z: pd.Series) -> pd.Series:
     return pd.Series(norm_sf_np(z.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     return pd.Series(norm_ppf_np(p.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series(gamma_q_np(k.to_numpy(float) / 2, x.to_numpy(float) / 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_ppf(p: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series(chi2_ppf_np(p.to_numpy(float), k.to_numpy(float)))
 

@@ -1 +1,6 @@
-"""Plans."""
+"""Registered queries and their DuckDB equivalents."""
+
+from . import trial_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "trial_queries"]
