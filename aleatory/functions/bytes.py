@@ -31,7 +31,7 @@ def hex_popcount(h: Column) -> Column:
 
 def to_bits(b: Column) -> Column:
     """A byte's bits, most significant first."""
-    return F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda i: F.shiftright(b, i).bitwiseAND(F.lit(1)))
+    return F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftright", b, i).bitwiseAND(F.lit(1)))
 
 
 def explode_bytes(df: DataFrame, h: Column, keep: list[str]) -> DataFrame:
