@@ -55,12 +55,17 @@ def compact(flat: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> tuple[np.
 
 
 def distinct_ids(row: np.ndarray, ids: np.ndarray, rows: int, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, id) pairs, sorted, without those of id -1."""
-    seen = np.zeros(rows * features, bool)
+    """Distinct (row, id) pairs, sorted, without those of id -1: by a bitmap, or by sorting where that would be large."""
     ok = ids >= 0
-    seen[row[ok] * features + ids[ok]] = True
-    hit = np.flatnonzero(seen)
-    return hit // features, hit % features
+    row, ids = row[ok], ids[ok]
+    some = max(1, (1 << 24) // max(features, 1))
+    if rows <= some:
+        seen = np.zeros(rows * features, bool)
+        seen[row * features + ids] = True
+        hit = np.flatnonzero(seen)
+        return hit // features, hit % features
+    key = np.unique(row.astype(np.int64) * features + ids)
+    return key // features, key % features
 
 
 def logistic_fit(margin: np.ndarray, y: np.ndarray, balance: bool = False) -> tuple[float, float]:
