@@ -38,8 +38,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     ranked = ranked.withColumn("_w", turn).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
     fill = Window.orderBy(F.col("_cap") / F.col("_w"), "_i")
     before, everything = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The level if a source were the first that isn't full; it is, if its own level stays under it. Then this level is everyone's.
     level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    return ranked.withColumn("target", F.least(F.col("_cap"), F.greatest(level, F.lit(0.0)) * F.col("_w"))).select("source", "source_size", "target")
+    ranked = ranked.withColumn("_k", F.row_number().over(fill)).withColumn("_level", level)
+    first = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct("_k", "_level"))).over(Window.partitionBy())
+    wanted = F.coalesce(first["_level"], F.lit(float("inf"))) * F.col("_w")
+    return ranked.withColumn("target", F.least(F.col("_cap"), wanted)).select("source", "source_size", "target")
 
 
 def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: str) -> DataFrame:
@@ -82,7 +86,8 @@ ranked as (
 filled as (
   select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over before, 0)) / (sum(w) over () - coalesce(sum(w) over before, 0)) as level
   from ranked window before as (order by cap / w, i rows between unbounded preceding and 1 preceding)),
-plan as (select source, source_size, least(cap, greatest(level, 0) * w) as target from filled),
+plan as (
+  select source, source_size, least(cap, coalesce((select arg_min(level, (cap / w, i)) from filled where level * w <= cap), 'inf'::double) * w) as target from filled),
 mixed as (
   select b.*, p.source_size, p.target, case when p.source_size > 0 then least(p.target / p.source_size, 2.0) else 0 end as rate
   from base b join plan p on b.source is not distinct from p.source),

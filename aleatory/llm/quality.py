@@ -22,7 +22,9 @@ from ._text import Words, grams, mix, within
 BITS = 20
 #: Labelled documents to learn from, about.
 SAMPLE = 6000
+#: Features of fewer documents than this many, or than this share of the sample, are left out.
 MIN_DOCS = 5
+MIN_SHARE = 0.005
 THRESHOLD = 0.3
 
 
@@ -104,7 +106,7 @@ def _descend(ids: np.ndarray, val: np.ndarray, ptr: np.ndarray, y: np.ndarray, s
 def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, cost: float = 0.5, passes: int = 12) -> QualityModel:
     df = np.bincount(flat, minlength=1 << BITS)
     table = np.full(1 << BITS, -1, np.int32)
-    kept = np.flatnonzero(df >= MIN_DOCS)
+    kept = np.flatnonzero(df >= max(MIN_DOCS, MIN_SHARE * len(y)))
     table[kept] = np.arange(len(kept))
     ids, ptr = compact(flat, table, sizes)
     if len(set(y.tolist())) < 2 or not len(kept):  # nothing to tell apart: the share of label 1
