@@ -29,6 +29,11 @@ def hex_popcount(h: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda acc, w: acc + F.bit_count(F.conv(w, 16, 10).cast("bigint")))
 
 
+def bit_string(h: Column, digits: int) -> Column:
+    """The bits of a hex string of so many digits, as a string of 0 and 1."""
+    return F.concat(*[F.lpad(F.conv(F.substring(h, i + 1, min(8, digits - i)), 16, 2), 4 * min(8, digits - i), "0") for i in range(0, digits, 8)])
+
+
 def to_bits(b: Column) -> Column:
     """A byte's bits, most significant first."""
     return F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftright", b, i).bitwiseAND(F.lit(1)))

@@ -22,3 +22,14 @@ def positions(df: DataFrame, group: list[str], order: str, out: str = "t", bucke
     offsets = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     numbered = cut.withColumn("__r", F.row_number().over(inside) - 1)
     return numbered.join(offsets, [*group, "__b"]).withColumn(out, (F.col("__r") + F.col("__o")).cast("bigint")).drop("__b", "__r", "__o")
+
+
+def offsets(df: DataFrame, group: list[str], order: str, count: str, out: str, bucket: int = BUCKET) -> DataFrame:
+    """Add ``out`` = the sum of ``count`` over the rows before, within each group by ``order``; dealt as in ``positions``."""
+    cut = df.withColumn("__b", F.floor(F.col(order) / bucket))
+    inside = Window.partitionBy(*group, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*group, "__b").agg(F.sum(count).alias("__n"))
+    starts = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    summed = cut.withColumn("__r", F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    return summed.join(starts, [*group, "__b"]).withColumn(out, (F.col("__r") + F.col("__o")).cast("bigint")).drop("__b", "__r", "__o")

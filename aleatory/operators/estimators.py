@@ -30,25 +30,29 @@ def byte_counts(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COUNTS.names, dtype=np.int64)
 
 
+def total(hist: Column) -> Column:
+    return F.aggregate(hist, F.lit(0).cast("bigint"), lambda a, c: a + c)
+
+
 def histogram_entropy(hist: Column) -> Column:
-    """Shannon entropy in bits of an array of counts."""
-    n = F.aggregate(hist, F.lit(0).cast("bigint"), lambda a, c: a + c)
-    term = lambda a, c: a - F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0)
-    return F.when(n > 0, F.aggregate(hist, F.lit(0.0), term)).otherwise(0.0)
+    """Shannon entropy in bits of an array of counts: log2(n) - sum of c * log2(c) / n."""
+    n = total(hist)
+    logs = F.aggregate(hist, F.lit(0.0), lambda a, c: a + F.when(c > 0, c * F.log2(c)).otherwise(0.0))
+    return F.when(n > 0, F.log2(n) - logs / n).otherwise(0.0)
 
 
 def most_common_min_entropy(hist: Column) -> Column:
     """-log2 of the upper bound of the most common value's share."""
-    n = F.aggregate(hist, F.lit(0).cast("bigint"), lambda a, c: a + c)
+    n = total(hist)
     p = F.array_max(hist) / n
     return -F.log2(F.least(F.lit(1.0), p + 2.576 * F.sqrt(p * (1 - p) / (n - 1))))
 
 
 def chi_square(hist: Column) -> Column:
-    """Chi-square against uniform over all bins, zero bins too."""
-    n = F.aggregate(hist, F.lit(0).cast("bigint"), lambda a, c: a + c)
-    e = n / F.size(hist)
-    return F.aggregate(hist, F.lit(0.0), lambda a, c: a + (c - e) * (c - e) / e)
+    """Chi-square against uniform over all bins, zero bins too: bins / n * sum of c**2 - n."""
+    n = total(hist)
+    squares = F.aggregate(hist, F.lit(0.0), lambda a, c: a + c.cast("double") * c)
+    return squares * F.size(hist) / n - n
 
 
 def serial_correlation(c: Column) -> Column:

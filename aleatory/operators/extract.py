@@ -5,20 +5,26 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.positions import positions
+from ..functions.positions import offsets
 
 #: Share of an output's bits that a vetted conditioner may claim.
 VETTED = 0.999
 
 
-def von_neumann(bits: DataFrame) -> DataFrame:
-    """``(source, pos, bit)`` to ``(source, i, bit)``: pairs 01 give 0, 10 give 1, others nothing."""
-    pair = bits.groupBy("source", F.floor(F.col("pos") / 2).alias("p")).agg(F.max_by("bit", -F.col("pos")).alias("a"), F.min_by("bit", -F.col("pos")).alias("b"), F.count("*").alias("n"))
-    return positions(pair.where("n = 2 and a <> b"), ["source"], "p", "i").select("source", "i", F.col("a").alias("bit"))
+def von_neumann(data: DataFrame) -> DataFrame:
+    """Bytes ``(source, pos, b)`` to ``(source, i, bit)``: pairs of bits 01 give 0, 10 give 1, others nothing.
+
+    A byte holds four whole pairs, so each byte gives its own bits, and sums of
+    their numbers give their places.
+    """
+    pairs = F.array(*[F.call_function("shiftright", "b", F.lit(k)).bitwiseAND(F.lit(3)) for k in (6, 4, 2, 0)])
+    bits = F.transform(F.filter(pairs, lambda p: (p == 1) | (p == 2)), lambda p: p - 1)
+    each = data.select("source", "pos", bits.alias("bits")).withColumn("n", F.size("bits"))
+    return offsets(each, ["source"], "pos", "n", "o").select("source", "o", F.posexplode("bits").alias("j", "bit")).select("source", (F.col("o") + F.col("j")).alias("i"), "bit")
 
 
 def _peres(bits: list[int], depth: int) -> list[int]:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.bytes import bit_string
 from ..operators import draws as dr
 from ..operators import letters as le
 from ..operators import rates as ra
@@ -21,7 +22,7 @@ _BITSTR = "array_to_string(list_transform(regexp_extract_all(h, '.'), lambda x:
 
 
 def _bits():
-    return F.array_join(F.transform(F.regexp_extract_all("h", F.lit("."), F.lit(0)), lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
+    return bit_string(F.col("h"), 64)
 
 
 @query("uniform_int", f"with {BYTES}, f as (select source, pos, b, row_number() over (partition by source order by pos) - 1 as i from byt where b < 240) select source, i, b % 24 as v from f")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numerics as nu
-from ..functions.bytes import explode_bits, hmac_sha256
+from ..functions.bytes import bit_string, hmac_sha256
 from ..operators import extract as ex
 from ..operators import health
 from ..operators import network as net
@@ -42,13 +42,12 @@ def _(spark, d):
 
 @query("von_neumann", f"with {BYTES}, bits as (select source, pos * 8 + i as p, (b >> (7 - i)::int) & 1 as bit from byt, range(0, 8) r(i)), pr as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from bits group by all) select source, row_number() over (partition by source order by p) - 1 as i, a as bit from pr where a <> b")
 def _(spark, d):
-    return ex.von_neumann(explode_bits(byte_stream(spark, d), ["source"]))
+    return ex.von_neumann(byte_stream(spark, d))
 
 
 @query("peres")
 def _(spark, d):
-    bits = F.array_join(F.transform(F.regexp_extract_all("h", F.lit("."), F.lit(0)), lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
-    return digest(spark, d).select("source", "t", ex.peres(bits).alias("bits"))
+    return digest(spark, d).select("source", "t", ex.peres(bit_string(F.col("h"), 64)).alias("bits"))
 
 
 @query("condition_blocks", f"with {BYTES} select source, pos // 48 as block, sha256(unhex(string_agg(printf('%02X', b), '' order by pos))) as digest from byt group by all having count(*) = 48")
