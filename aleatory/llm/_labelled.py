@@ -37,10 +37,10 @@ def gather(batches: Iterator[pa.RecordBatch], extract: Extract) -> tuple[np.ndar
         for a, b, data, bounds in text_slices(batch.column("text")):
             row, bucket = extract(data, bounds)
             key = np.unique((row.astype(np.int64) << 32) | bucket)
-            flat.append((key & 0xFFFFFFFF).astype(np.int64))
+            flat.append((key & 0xFFFFFFFF).astype(np.int32))
             sizes.append(np.bincount(key >> 32, minlength=b - a))
     if not ys:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
     y, u, f, ptr = np.concatenate(ys), np.concatenate(us), np.concatenate(flat), np.append(0, np.cumsum(np.concatenate(sizes)))
     order = np.argsort(u, kind="stable")
     parts = [f[ptr[i] : ptr[i + 1]] for i in order]
@@ -85,6 +85,14 @@ def logistic_fit(margin: np.ndarray, y: np.ndarray, balance: bool = False) -> tu
     return float(w[0]), float(w[1])
 
 
+def gap_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Balanced Platt a, b; where all but a few margins of the classes lie apart, a half is put in the middle of the gap."""
+    a, b = logistic_fit(margin, y, balance=True)
+    a = max(a, 1e-3)
+    low, high = np.quantile(margin[y != 1], 0.999), np.quantile(margin[y == 1], 0.005)
+    return (a, -a * (low + high) / 2) if high > low else (a, b)
+
+
 def score_texts(docs: DataFrame, model, score: Callable[[object, np.ndarray, np.ndarray], np.ndarray], threshold: float) -> DataFrame:
     """All columns but ``text``, then ``score`` and ``predicted`` (score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

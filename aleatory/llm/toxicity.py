@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._labelled import compact, distinct_ids, gather, labelled_sample, logistic_fit, score_texts
+from ._labelled import compact, distinct_ids, gap_fit, gather, labelled_sample, score_texts
 from ._spark import fold
 from ._text import Words, mix, powers
 
 BITS = 21
 #: Labelled documents to learn from, about.
-SAMPLE = 12000
+SAMPLE = 24000
 #: Terms kept, by their chi-square with the label, among those in MIN_DOCS documents or more.
 TERMS = 4096
 MIN_DOCS = 3
@@ -58,7 +58,7 @@ class FactorModel:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(rows, r, i) + self.b, -30, 30)))
 
 
-def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, passes: int = 8, batch: int = 64, rate: float = 0.1, decay: float = 1e-4) -> FactorModel:
+def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, passes: int = 16, batch: int = 64, rate: float = 0.1, decay: float = 3e-4) -> FactorModel:
     table = np.full(1 << BITS, -1, np.int32)
     if len(set(y.tolist())) < 2:  # nothing to tell apart: the share of label 1
         b = float(np.log((1 + (y == 1).sum()) / (1 + (y != 1).sum()))) if len(y) else 0.0
@@ -102,8 +102,7 @@ def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, passes: int = 8, b
     row = np.repeat(np.arange(n), np.diff(ptr))
     margin = model.margins(n, row, ids)
     rest = slice(cut, None) if len(set(y[cut:].tolist())) == 2 else slice(None)
-    a, b = logistic_fit(margin[rest], y[rest], balance=True)  # else a rare class needs more than even evidence
-    model.a, model.b = max(a, 1e-3), b
+    model.a, model.b = gap_fit(margin[rest], y[rest])
     return model
 
 
