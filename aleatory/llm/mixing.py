@@ -2,7 +2,9 @@
 
 Tokens (words) are added up per source; a source's repetition rate is its
 target over its size; each document is emitted floor(rate) times plus one more
-time with probability equal to the fraction, decided by a hash of its id.
+time with probability equal to the fraction, decided by a hash of its id. The
+hash can be turned by sixteenths; a source uses the turn whose taken words come
+nearest to its target.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
+TURNS = 16
 
 
 def words(text: str = "text") -> Column:
@@ -52,8 +55,19 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: floa
     sizes = base.groupBy("source").agg(F.sum("__size").alias("source_size"))
     plan = small(cut(source_targets(sizes, weights, share, most)).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
     rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    out = base.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    return out.withColumn("__copies", (F.floor(rate) + (hash_unit("doc_id", seed=seed) < rate - F.floor(rate)).cast("int")).cast("int"))
+    more = rate - F.floor(rate)
+
+    def extra(u: Column, turn: Column) -> Column:
+        turned = u + turn / TURNS
+        return turned - F.floor(turned) < more
+
+    joined = base.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__u", hash_unit("doc_id", seed=seed))
+    sums = [F.sum(F.when(extra(F.col("__u"), F.lit(i)), F.col("__size")).otherwise(0)).alias(f"s{i}") for i in range(TURNS)]
+    by = joined.select("__source", "__source_size", "__target", "__size", "__u").groupBy("__source", "__source_size", "__target").agg(*sums)
+    off = F.array(*[F.struct(F.abs(F.floor(rate) * F.col("__source_size") + F.col(f"s{i}") - F.col("__target")).alias("off"), F.lit(i).alias("turn")) for i in range(TURNS)])
+    turns = small(cut(by.select(F.col("__source").alias("__of"), F.array_min(off)["turn"].alias("__turn"))))
+    out = joined.join(turns, F.col("source").eqNullSafe(F.col("__of")), "left")
+    return out.withColumn("__copies", (F.floor(rate) + extra(F.col("__u"), F.col("__turn")).cast("int")).cast("int")).drop("__source", "__of", "__turn", "__u")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
@@ -91,6 +105,13 @@ plan as (
 mixed as (
   select b.*, p.source_size, p.target, case when p.source_size > 0 then least(p.target / p.source_size, 2.0) else 0 end as rate
   from base b join plan p on b.source is not distinct from p.source),
+drawn as (
+  select *, ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double as u from mixed),
+sums as (
+  select source, turn, abs(floor(any_value(rate)) * any_value(source_size) + sum(case when u + turn / 16.0::double - floor(u + turn / 16.0::double) < rate - floor(rate) then size else 0 end) - any_value(target)) as off
+  from drawn, range(0, 16) r(turn) group by source, turn),
+turns as (select source, arg_min(turn, (off, turn)) as turn from sums group by source),
 mix as (
-  select *, (floor(rate) + (('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double < rate - floor(rate))::int)::int as copies from mixed)
+  select d.*, (floor(rate) + (u + turn / 16.0::double - floor(u + turn / 16.0::double) < rate - floor(rate))::int)::int as copies
+  from drawn d join turns t on d.source is not distinct from t.source)
 """
