@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from aleatory.llm import _text
+from aleatory.llm import _text, neardup
 from aleatory.llm.components import components
 from aleatory.llm.neardup import keep_one, near_duplicates
 
@@ -72,6 +72,12 @@ def test_large_group_needs_pivots_and_blocks(spark):
     check(spark, texts)
 
 
+def test_small_blocks_and_parts_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(6)
+    check(spark, copies(rng, prose(rng, 100), 150, 14) + copies(rng, prose(rng, 60), 40, 6))
+
+
 def test_chain_of_links_is_one_component(spark):
     w = prose(random.Random(3), 120).split()
     texts = []
