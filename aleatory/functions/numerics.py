@@ -12,11 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 P_FLOOR = 1e-300
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 _inv = NormalDist().inv_cdf
 
 
+def _each(f, x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([f(v) for v in x.ravel()], float).reshape(x.shape)
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return _each(math.erfc, x)
+
+
 def gamma_q_np(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised upper incomplete gamma: series of P below a + 1, continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
@@ -57,7 +68,7 @@ def gamma_q_np(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def norm_sf_np(z: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2)) if np.size(z) else np.zeros(0)
+    return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2))
 
 
 def norm_ppf_np(p: np.ndarray) -> np.ndarray:
@@ -85,7 +96,7 @@ def chi2_ppf_np(p: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def ln_gamma(x: pd.Series) -> pd.Series:
-    return pd.Series(_lgamma(x.to_numpy(float))) if len(x) else pd.Series([], dtype=float)
+    return pd.Series(_lgamma(x.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
@@ -95,7 +106,7 @@ def gamma_q(a: pd.Series, x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
-    return pd.Series(_erfc(x.to_numpy(float))) if len(x) else pd.Series([], dtype=float)
+    return pd.Series(_erfc(x.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
