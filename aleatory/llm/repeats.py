@@ -26,7 +26,7 @@ W = 25
 #: Passages over so many words count.
 OVER = 50
 _SIDE = W
-#: Records of one key up to which they are compared as a whole, in one task; larger groups are dealt by what follows.
+#: Records of one key up to which they are compared as a whole, in one task; windows of larger groups are counted by Spark.
 GROUP = 20_000
 
 
@@ -108,6 +108,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _RECORD = "key bigint, rh bigint, lh bigint, h1 bigint, h2 bigint, place int, left binary, right binary"
+_SPAN = "h1 bigint, h2 bigint, start int, end int"
 _SORT = ("key", "rh", "lh", "h1", "h2", "place")
 
 
@@ -117,13 +118,8 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), x.shape[1])
 
 
-def _windows(key: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of OVER + 1 words around a key that another text at hand has too: (record, start, end) of joined ones, relative to the key's place.
-
-    A record's nearest neighbours need not be those it shares most with on both
-    sides together; windows of each split of the words before and after settle
-    that among the records at hand.
-    """
+def _splits(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each split of the OVER + 1 - K words beside a key, a of them before it: (a, records whose text reaches so far, hashes of their windows)."""
     n, more = len(key), OVER + 1 - K
     c = np.uint64(0x9FB21C651E98DF25)
 
@@ -134,7 +130,6 @@ def _windows(key: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndar
         return out
 
     before, behind = prefixes(left), prefixes(right)
-    shared = np.zeros((n, more + 3), bool)  # one column of no window at either end
     for a in range(more + 1):
         ok = np.ones(n, bool)
         if a:
@@ -142,9 +137,19 @@ def _windows(key: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndar
         if a < more:
             ok &= right[:, more - a - 1] != 0
         idx = np.flatnonzero(ok)
-        if not len(idx):
-            continue
-        h = mix(key[idx].view(np.uint64) + mix(before[a, idx] * c + behind[more - a, idx]))
+        if len(idx):
+            yield a, idx, mix(key[idx].view(np.uint64) + mix(before[a, idx] * c + behind[more - a, idx]))
+
+
+def _windows(key: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of OVER + 1 words around a key that another text at hand has too: (record, start, end) of joined ones, relative to the key's place.
+
+    A record's nearest neighbours need not be those it shares most with on both
+    sides together; windows of each split of the words before and after settle
+    that among the records at hand.
+    """
+    shared = np.zeros((len(key), OVER + 1 - K + 3), bool)  # one column of no window at either end
+    for a, idx, h in _splits(key, left, right):
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
         t = text[idx][order]
@@ -156,69 +161,64 @@ def _windows(key: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndar
     return row, -(most - 1), OVER + 1 - least
 
 
+def _sides(table: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32).reshape(table.num_rows, _SIDE) for c in ("left", "right")}
+
+
+def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record's windows of OVER + 1 words, one row a split: (window's hash, text, start)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = {c: batch.column(c).to_numpy() for c in ("key", "h1", "h2", "place")}
+        for a, idx, h in _splits(col["key"], **_sides(batch)):
+            start = (col["place"][idx] - a).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(col["h1"][idx]), pa.array(col["h2"][idx]), pa.array(start)], names=["window", "h1", "h2", "start"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted records: matches with the nearest records of another text on either side, and the partition's first and last runs as edges."""
+    """Sorted records, whole groups of a key in one partition: matches with the nearest records of another text on either side, and shared windows."""
     held: pa.Table | None = None
-    begun = False
 
-    def step(table: pa.Table, skip: int, last: bool) -> tuple[list[pa.RecordBatch], pa.Table | None, int]:
-        nonlocal begun
-        n = table.num_rows
+    def step(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
         col = {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "h1", "h2", "place")}
-        side = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32).reshape(n, _SIDE) for c in ("left", "right")}
-
-        def runs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """First place and end of the run of records of one key and text, for each place of an order."""
-            k, a, b = (col[c][order] for c in ("key", "h1", "h2"))
-            new = np.ones(len(order), bool)
-            new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            ends = np.append(np.flatnonzero(new)[1:], len(order))
-            return np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)), ends[np.cumsum(new) - 1]
-
-        everything = np.arange(n)
-        first, after = runs(everything)
-        group = int(np.searchsorted(col["key"], col["key"][-1]))
-        stop = n if last else group if n - group < GROUP else int(first[-1])  # whole groups, unless one is very large
+        stop = table.num_rows if last else int(np.searchsorted(col["key"], col["key"][-1]))  # the last group may go on
+        table, rest = table.slice(0, stop), table.slice(stop)
+        col = {c: v[:stop] for c, v in col.items()}
+        side = _sides(table)
+        # Of each record: the first place and the end of the run of records of its key and text.
+        everything = np.arange(stop)
+        new = np.ones(stop, bool)
+        new[1:] = np.logical_or.reduce([col[c][1:] != col[c][:-1] for c in ("key", "h1", "h2")])
+        first = np.maximum.accumulate(np.where(new, everything, 0))
+        after = np.append(np.flatnonzero(new)[1:], stop)[np.cumsum(new) - 1]
         out = []
         for other in (first - 1, after):
-            ok = (everything >= skip) & (everything < stop) & (other >= 0) & (other < n)
-            x, y = everything[ok], other[ok]
+            x = np.flatnonzero((other >= 0) & (other < stop))
+            y = other[x]
             same = col["key"][x] == col["key"][y]
             x, y = x[same], y[same]
             l, r = _common(side["left"][x], side["left"][y]), _common(side["right"][x], side["right"][y])
             keep = l + K + r > OVER
             x, l, r = x[keep], l[keep], r[keep]
             out.append([col["h1"][x], col["h2"][x], (col["place"][x] - l).astype(np.int32), (col["place"][x] + K + r).astype(np.int32)])
-        x, start, end = _windows(col["key"], col["h1"], side["left"], side["right"])
-        mine = (x >= skip) & (x < stop)
-        x = x[mine]
-        out.append([col["h1"][x], col["h2"][x], (col["place"][x] + start[mine]).astype(np.int32), (col["place"][x] + end[mine]).astype(np.int32)])
+        x, start, end = _windows(col["key"], col["h1"], **side)
+        out.append([col["h1"][x], col["h2"][x], (col["place"][x] + start).astype(np.int32), (col["place"][x] + end).astype(np.int32)])
         m = [np.concatenate(p) for p in zip(*out, strict=True)]
-        blank = [pa.nulls(len(m[0]), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())]
-        names = ["kind", "h1", "h2", "start", "end", "key", "rh", "lh", "place", "left", "right"]
-        res = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(m[0]), np.int32)), *map(pa.array, m), *blank], names=names)]
-        edges = set()
-        if not begun and n:
-            edges |= set(range(skip, min(int(after[0]), stop)))
-            begun = bool(stop)
-        if last and n:
-            edges |= set(range(max(int(first[-1]), skip), n))
-        if edges:
-            e = table.take(pa.array(sorted(edges))).combine_chunks().to_batches()[0]
-            z = pa.nulls(e.num_rows, pa.int32())
-            res.append(pa.RecordBatch.from_arrays([pa.array(np.ones(e.num_rows, np.int32)), e.column("h1"), e.column("h2"), z, z, *[e.column(c) for c in names[5:]]], names=names))
-        return res, None if last else table.slice(max(0, stop - 1)), stop
-
-    skip = 0
+        return pa.RecordBatch.from_arrays([*map(pa.array, m)], names=["h1", "h2", "start", "end"]), rest
+
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        res, held, done = step(table.combine_chunks(), skip, False)
-        skip = int(done > 0)  # the last row that is done stays as a neighbour of the open run
-        yield from res
+        keys = table.column("key")
+        if keys[0].as_py() == keys[-1].as_py():  # one group that may go on
+            held = table
+            continue
+        res, held = step(table.combine_chunks(), False)
+        yield res
     if held is not None:
-        yield from step(held.combine_chunks(), skip, True)[0]
+        yield step(held.combine_chunks(), True)[0]
 
 
 def _merge(spans):
@@ -234,6 +234,13 @@ def _merge(spans):
     )
 
 
+def _of_large(records: DataFrame) -> DataFrame:
+    """Spans of keys with very many records: any passage is covered by windows, and texts of a window are counted before the shuffle, so that no group is one task's."""
+    windows = records.mapInArrow(_all_windows, "window bigint, h1 bigint, h2 bigint, start int")
+    shared = cut(windows.groupBy("window").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("window"))
+    return windows.join(small(shared), "window", "left_semi").select("h1", "h2", "start", (F.col("start") + OVER + 1).cast("int").alias("end"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, start_word, end_word, n_words)``: runs of over 50 words of a document that another document holds too (end exclusive).
 
@@ -251,18 +258,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     records = texts.mapInArrow(_contexts, _RECORD)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     records = cut(records)
-    large = cut(records.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.lit(True).alias("large")))
-    if large.isEmpty():
-        dealt = records.repartitionByRange(parts, "key")
-    else:
-        marked = records.join(small(large), "key", "left")
-        dealt = marked.repartitionByRange(parts, "key", *[F.when(F.col("large"), F.col(c)).otherwise(F.lit(0)) for c in ("rh", "lh", "h1")]).drop("large")
-    ordered = dealt.sortWithinPartitions(*_SORT)
-    schema = "kind int, h1 bigint, h2 bigint, start int, end int, key bigint, rh bigint, lh bigint, place int, left binary, right binary"
-    found = cut(ordered.mapInArrow(_compare, schema))
-    edges = found.where("kind = 1").select(*[c.split()[0] for c in _RECORD.split(", ")])
-    across = edges.repartition(1).sortWithinPartitions(*_SORT).mapInArrow(_compare, schema)  # a run or two of each partition
-    spans = found.unionByName(across).where("kind = 0").groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    large = cut(records.groupBy("key").count().where(F.col("count") > GROUP).select("key"))
+    usual = records if large.isEmpty() else records.join(small(large), "key", "left_anti")
+    found = usual.repartitionByRange(parts, "key").sortWithinPartitions(*_SORT).mapInArrow(_compare, _SPAN)
+    if not large.isEmpty():
+        found = found.unionByName(_of_large(records.join(small(large), "key", "left_semi")))
+    spans = found.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     rows = base.select("doc_id", "h1", "h2", words().cast("int").alias("n"))
     copies = rows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.first("n").alias("n")).where((F.col("c") > 1) & (F.col("n") > OVER))
     whole = copies.select("h1", "h2", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).alias("whole"))

@@ -121,6 +121,21 @@ def test_a_very_common_passage_is_dealt_to_many_tasks(spark, monkeypatch):
     assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == [(i, min(want[i]), max(want[i]) + 1) for i in range(400)]
 
 
+def test_pairs_of_a_very_common_passage_that_share_one_side_only(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 50)
+    rng = random.Random(6)
+    p = prose(rng, 40, 10**6)
+    rows = []
+    for i in range(0, 1200, 2):  # two texts share the passage, and 14 words before it or 3 after it and 11 before
+        left, right = prose(rng, 14, 10**6), prose(rng, 3, 10**6)
+        for k in (i, i + 1):
+            rows.append((k, f"{prose(rng, 5, 10**6)} {left} {p} {prose(rng, 25, 10**6)}" if i % 4 else f"{prose(rng, 9, 10**6)} {left[left.index(' ', 20) + 1:]} {p} {right} {prose(rng, 25, 10**6)}"))
+    got = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute_repeats(rows)
+    assert len(want) >= 600
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == [(i, min(want[i]), max(want[i]) + 1) for i in sorted(want)]
+
+
 def test_every_fifty_words_hold_a_minimiser():
     h = np.random.default_rng(1).integers(0, 1 << 60, 2000, dtype=np.uint64)
     at = repeats.minimisers(h)
