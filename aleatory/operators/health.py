@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,21 +56,60 @@ def apt_windows(data: DataFrame, window: int, cutoff: int) -> DataFrame:
     return out.select("source", "w", "first", "count", (F.col("count") >= cutoff).alias("alarm"))
 
 
+def _apt_steps(b: np.ndarray, window: int, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a window that starts at each place: whether it alarms, and where the next one starts."""
+    n = len(b)
+    here, order = np.arange(n), np.argsort(b, kind="stable")
+    last = np.full(n, n + window)  # place of the cutoff-th value like this one
+    x, y = order[: max(n - cutoff + 1, 0)], order[cutoff - 1 :]
+    same = b[x] == b[y]
+    last[x[same]] = y[same]
+    alarm = last - here < window
+    return alarm, np.where(alarm, last + 1, here + window)
+
+
 def apt_alarms(data: DataFrame, window: int, cutoff: int, segment: int = 1 << 20) -> DataFrame:
-    """``(source, pos)`` of each alarm, windows starting anew after one; sequential, so each segment of a source is tested on its own."""
+    """``(source, pos)`` of each alarm of the sequential test, windows starting anew after one; ``pos`` is dense.
+
+    A segment is walked from each of the ``window`` places at which its first
+    window may start, and says where the next segment's first one then starts.
+    These are chained by one row per segment; then each segment is walked once
+    more from the place that really occurs. A segment also reads the
+    window - 1 values after it.
+    """
+    segment = max(segment, window)
+    own = F.floor(F.col("pos") / segment)
+    tail = (own > 0) & (F.col("pos") % segment < window - 1)
+    dealt = data.select("source", F.col("pos").cast("bigint").alias("pos"), "b", F.explode(F.when(tail, F.array(own, own - 1)).otherwise(F.array(own))).alias("__s"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def read(s: int, pdf: pd.DataFrame) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
         pdf = pdf.sort_values("pos")
-        pos, b = pdf["pos"].to_numpy(), pdf["b"].to_numpy()
-        out, i = [], 0
-        while i < len(b):
-            hits = (b[i : i + window] == b[i]).cumsum()
-            at = int(hits.searchsorted(cutoff))
-            if at < len(hits):
-                out.append((key[0], pos[i + at]))
-                i += at + 1
-            else:
-                i += window
+        pos = pdf["pos"].to_numpy()
+        return pos, int(np.searchsorted(pos, (s + 1) * segment)), *_apt_steps(pdf["b"].to_numpy(), window, cutoff)
+
+    def leave(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, n, _, after = read(key[1], pdf)
+        at = np.arange(window)
+        while (inside := at < n).any():
+            at[inside] = after[at[inside]]
+        return pd.DataFrame({"source": [key[0]], "__s": [key[1]], "leave": [(at - n).tolist()]})
+
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, at, starts = pdf.sort_values("__s"), 0, []
+        for to in pdf["leave"]:
+            starts.append(at)
+            at = to[at]
+        return pd.DataFrame({"source": pdf["source"], "__s": pdf["__s"], "start": starts})
+
+    def run(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        pos, n, alarm, after = read(key[1], pdf)
+        out, at = [], int(start["start"].iloc[0]) if len(start) else n
+        while at < n:
+            if alarm[at]:
+                out.append((key[0], pos[after[at] - 1]))
+            at = int(after[at])
         return pd.DataFrame(out, columns=["source", "pos"])
 
-    return data.withColumn("__s", F.floor(F.col("pos") / segment)).groupBy("source", "__s").applyInPandas(run, "source string, pos bigint")
+    leaves = dealt.groupBy("source", "__s").applyInPandas(leave, "source string, __s bigint, leave array<int>")
+    starts = leaves.groupBy("source").applyInPandas(chain, "source string, __s bigint, start int")
+    return dealt.groupBy("source", "__s").cogroup(starts.groupBy("source", "__s")).applyInPandas(run, "source string, pos bigint")

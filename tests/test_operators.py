@@ -60,6 +60,24 @@ def test_rct_alarms_follow_the_counter(spark):
     assert sorted((r.source, r.pos) for r in got.collect()) == sorted(want)
 
 
+def test_apt_alarms_follow_the_sequential_test_across_segments(spark):
+    rng = random.Random(4)
+    data = [(s, i, int(rng.random() < p)) for s, p, n in (("x", 0.5, 1000), ("y", 0.7, 1037), ("z", 1.0, 333), ("w", 0.5, 7)) for i in range(n)]
+    want = []
+    for s in "xyzw":
+        b, i = [r[2] for r in data if r[0] == s], 0
+        while i < len(b):
+            hits = [j for j in range(i, min(i + 16, len(b))) if b[j] == b[i]]
+            if len(hits) >= 11:
+                want.append((s, hits[10]))
+                i = hits[10] + 1
+            else:
+                i += 16
+    for segment in (50, 16, 1 << 20):
+        got = health.apt_alarms(frame(spark, data, "source string, pos bigint, b int"), 16, 11, segment=segment)
+        assert sorted((r.source, r.pos) for r in got.collect()) == sorted(want)
+
+
 def test_cutoffs():
     assert [health.rct_cutoff(h) for h in (0.5, 1, 8)] == [41, 21, 4]
     assert health.apt_cutoff(0.5, 512) == 410 and health.apt_cutoff(0.3, 512) == 456
