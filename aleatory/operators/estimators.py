@@ -190,22 +190,81 @@ def _approximate_entropy(x: np.ndarray, m: int = 2) -> float:
     return phi(m) - phi(m + 1)
 
 
-def series_estimates(series: DataFrame, least: int = 8, most: int = 1 << 16) -> DataFrame:
-    """``(series, n, spectral_entropy, spectral_d, spectral_p, sample_entropy, approximate_entropy)``.
+def _whole_template_counts(series: DataFrame, sizes: DataFrame, block: int = 256) -> DataFrame:
+    """``(series, t, c2, c3)``: of each template of length 2, and of length 3, how many are within r = sd / 5 (itself too).
 
-    These need a whole series in order (FFT, all template pairs); longer series
-    than ``most`` are estimated per segment of that length, ``segment`` numbering
-    them, so that no task gets an unbounded group.
+    Templates are bucketed by r in their first two values, so that only
+    neighbouring buckets can match; these meet in blocks, dealt by the join.
+    ``sizes`` is (series, n, mean, sd).
     """
+    x = series.select("series", "t", "x")
+    t = x.join(x.select("series", (F.col("t") - 1).alias("t"), F.col("x").alias("y")), ["series", "t"])
+    t = t.join(x.select("series", (F.col("t") - 2).alias("t"), F.col("x").alias("z")), ["series", "t"], "left").join(sizes, "series")
+    bucket = lambda c: F.floor((F.col(c) - F.col("mean")) / (0.2 * F.col("sd") * (1 + 1e-9)))  # noqa: E731  (a little wider than r, against rounding)
+    t = t.select("series", "t", "x", "y", F.coalesce("z", F.lit(float("nan"))).alias("z"), (0.2 * F.col("sd")).alias("r"), bucket("x").alias("gx"), bucket("y").alias("gy"))
+    key = ["series", "gx", "gy"]
+    count = t.groupBy(key).agg(F.ceil(F.count("*") / block).alias("k"))
+    cells = t.join(count, key).groupBy(*key, F.pmod(F.xxhash64("t"), F.col("k")).alias("part"), "r").agg(F.collect_list(F.struct("t", "x", "y", "z")).alias("a"))
+    side = lambda to: [F.col(f"a.{c}").alias(f"{to}{c}") for c in ("t", "x", "y", "z")]
+    near = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    ours = cells.withColumn("dx", near).withColumn("dy", near).select("series", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), "r", *side("a"))
+    pairs = ours.join(cells.select(*key, *side("b")), key).select("series", "r", "at", "ax", "ay", "az", "bx", "by", "bz")
+
+    def compare(frames):
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                near = lambda a, b: np.abs(np.asarray(a)[:, None] - np.asarray(b)) <= row.r  # noqa: E731, B023
+                two = near(row.ax, row.bx) & near(row.ay, row.by)
+                out.append(pd.DataFrame({"series": row.series, "t": row.at, "c2": two.sum(1), "c3": (two & near(row.az, row.bz)).sum(1)}))
+            if out:
+                yield pd.concat(out)
+
+    kind = dict(series.dtypes)["series"]
+    found = pairs.mapInPandas(compare, f"series {kind}, t bigint, c2 bigint, c3 bigint")
+    return found.groupBy("series", "t").agg(F.sum("c2").alias("c2"), F.sum("c3").alias("c3"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["x"].to_numpy(float)
-        if len(x) < least or x.std() == 0:
-            return pd.DataFrame([], columns=names)
-        d, p = _spectral_test(x)
-        return pd.DataFrame([(key[0], key[1], len(x), _spectral_entropy(x), d, p, _sample_entropy(x), _approximate_entropy(x))], columns=names)
 
+def _whole_entropies(series: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(series, sample_entropy, approximate_entropy)`` of whole series, with templates of length 2 and 3."""
+    c = _whole_template_counts(series, sizes).join(sizes.select("series", "n"), "series")
+    c = c.groupBy("series").agg(
+        F.sum(F.col("c2") - 1).alias("b"),
+        F.sum(F.when(F.col("c3") > 0, F.col("c3") - 1)).alias("a"),
+        F.avg(F.log(F.col("c2") / (F.col("n") - 1))).alias("two"),
+        F.avg(F.when(F.col("c3") > 0, F.log(F.col("c3") / (F.col("n") - 2)))).alias("three"),
+    )
+    return c.select("series", F.when(F.col("a") == 0, float("inf")).otherwise(-F.log(F.col("a") / F.col("b"))).alias("sample_entropy"), (F.col("two") - F.col("three")).alias("approximate_entropy"))
+
+
+def series_estimates(series: DataFrame, least: int = 8, most: int = 1 << 16) -> DataFrame:
+    """``(series, segment, n, spectral_entropy, spectral_d, spectral_p, sample_entropy, approximate_entropy)`` of whole series; ``segment`` is 0, ``t`` is dense.
+
+    Template pairs of series longer than ``most``, whose number grows with the
+    square of the length, are counted by many tasks. The FFT of a series is one
+    task's, which holds its values.
+    """
     names = ["series", "segment", "n", "spectral_entropy", "spectral_d", "spectral_p", "sample_entropy", "approximate_entropy"]
+
+    def estimate(templates: bool):
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            x = pdf.sort_values("t")["x"].to_numpy(float)
+            if len(x) < least or x.std() == 0:
+                return pd.DataFrame([], columns=names[: 8 if templates else 6])
+            rest = (_sample_entropy(x), _approximate_entropy(x)) if templates else ()
+            d, p = _spectral_test(x)
+            return pd.DataFrame([(key[0], 0, len(x), _spectral_entropy(x), d, p, *rest)], columns=names[: 6 + len(rest)])
+
+        return run
+
     kind = dict(series.dtypes)["series"]
-    schema = f"series {kind}, segment bigint, n bigint, " + ", ".join(f"{c} double" for c in names[3:])
-    return series.withColumn("segment", F.floor(F.col("t") / most)).groupBy("series", "segment").applyInPandas(run, schema)
+    schema = [f"series {kind}", "segment bigint", "n bigint", *[f"{c} double" for c in names[3:]]]
+    series = series.select("series", "t", "x")
+    sizes = series.groupBy("series").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    long = sizes.where(F.col("n") > most)
+    if long.isEmpty():
+        return series.groupBy("series").applyInPandas(estimate(True), ", ".join(schema))
+    short = series.join(long, "series", "left_anti").groupBy("series").applyInPandas(estimate(True), ", ".join(schema))
+    large = series.join(long, "series", "left_semi")
+    spectra = large.groupBy("series").applyInPandas(estimate(False), ", ".join(schema[:6]))
+    return short.unionByName(spectra.join(_whole_entropies(large, long.where("sd > 0")), "series"))

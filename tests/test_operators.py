@@ -264,3 +264,14 @@ def test_sample_entropy_of_a_restated_loop():
     r, m = 0.2 * x.std(), 2
     count = lambda k, n: sum(max(abs(x[i + q] - x[j + q]) for q in range(k)) <= r for i in range(n) for j in range(i + 1, n))
     assert estimators._sample_entropy(x) == pytest.approx(-math.log(count(m + 1, 78) / count(m, 79)))
+
+
+def test_estimates_of_long_series_are_of_the_whole_series(spark):
+    rng = random.Random(8)
+    data = [(s, t, f(t)) for s, n, f in (("noise", 601, lambda t: rng.gauss(5, 2)), ("ties", 350, lambda t: float(rng.randrange(4))), ("wave", 303, lambda t: math.sin(t / 9)), ("flat", 300, lambda t: 1.0), ("short", 40, lambda t: rng.random())) for t in range(n)]
+    series = frame(spark, data, "series string, t bigint, x double")
+    got = estimators.series_estimates(series, most=100).toPandas().sort_values("series").reset_index(drop=True)
+    want = estimators.series_estimates(series).toPandas().sort_values("series").reset_index(drop=True)
+    assert got.series.tolist() == want.series.tolist() == ["noise", "short", "ties", "wave"] and got.n.tolist() == [601, 40, 350, 303]
+    for c in want.columns[1:]:
+        assert got[c].tolist() == pytest.approx(want[c].tolist(), rel=1e-9, abs=1e-12)
