@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only where it is unset, in tests on one machine, a folder of this machine."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def ready(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests) a folder of this machine."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,9 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the frame (already cut) has at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """A broadcast hint where the frame (already cut) has at most ``rows`` rows; else as it is, for a shuffled join. Elements of the array column ``items`` count as rows."""
+    if items is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(F.size(items) + 1)).first()[0] or 0) <= rows else df
 
 
 def hash_unit(*cols, seed: str = "") -> "F.Column":
@@ -46,6 +57,6 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write Parquet to a new folder beside the checkpoints and read it back."""
     spark = df.sparkSession
     ready(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
