@@ -4,8 +4,9 @@ Texts are sequences of words. The CGK walk turns edit distance into Hamming
 distance: it copies the word under a pointer and moves the pointer on or not,
 as a random bit of (step, word) says. A repetition samples a few places of the
 walk as a key; windows that share a key with an item are candidates, whose
-edit distance is then computed exactly. A count of shared 3-grams first leaves
-out windows that provably can't be within the allowed distance.
+edit distance is then computed exactly. A count of shared n-grams first leaves
+out windows that provably can't be within the allowed distance. Items of so few
+words that no edit is allowed are found by this count and an exact comparison.
 """
 
 from __future__ import annotations
@@ -23,20 +24,38 @@ from ._text import Words, grams, mix, text_slices, within
 
 #: Edits allowed, as a share of an item's words.
 EDITS = 0.2
-#: Items under so many words identify nothing and are left out.
-MIN_WORDS = 5
+#: Items of fewer words are not looked for (a parameter, ``least``); 1: every item that has a word.
+LEAST = 1
 #: Repetitions and sampled places: at the allowed distance they find over 99 % of substitutions and over 95 % of mixed edits (tests measure it).
 REPEATS = 24
 PLACES = 2
 #: Items the driver holds at a time; a larger benchmark is searched in several passes.
 ITEMS = 20_000
 _STEPS = 2
-_Q = 3
+#: n-grams that are counted, the longest first.
+_GRAMS = (3, 2, 1)
+#: Longer items are looked for by pieces of at most so many words.
+_PIECE = 128
 
 
 def allowed(length: int, edits: float = EDITS) -> int:
-    """Edits allowed for an item of so many words; never so many that no 3-gram need survive."""
-    return max(0, min(int(edits * length), (length - _Q) // _Q))
+    """Edits allowed for an item of so many words: ``edits`` times the words, rounded down, and always fewer than the words."""
+    return max(0, min(int(edits * length), length - 1))
+
+
+def surviving(length: int, k: int) -> tuple[int, int]:
+    """(n, least): the longest n-grams of which some must survive k edits in a window of an item's length, and how many. An edit destroys at most n."""
+    for n in _GRAMS:
+        if (least := length - n + 1 - n * k) > 0:
+            return n, least
+    raise ValueError("as many edits as words")
+
+
+def pieces(length: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of an item: itself, or parts of at most _PIECE words. Of the parts of an item within its share of edits, one at least is within the same share of its own words."""
+    n = -(-length // _PIECE)
+    cuts = [length * i // n for i in range(n + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def _walk(h: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
@@ -94,80 +113,110 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(back.argmin()), end
 
 
+class _Grams:
+    """The distinct n-grams of some items, behind a bitmap of their first bits."""
+
+    def __init__(self, n: int, items: list[np.ndarray]) -> None:
+        self.n, self.hashes = n, np.unique(np.concatenate([grams(x, n) for x in items]))
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.hashes >> np.uint64(42)] = True
+
+    def running(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How many of the n-grams that start before each word are an item's; n-grams stay in their row."""
+        g = grams(h, self.n)
+        hit = self.seen[g >> np.uint64(42)] & within(row, self.n)
+        at = np.flatnonzero(hit)
+        hit[at] = self.hashes[np.minimum(np.searchsorted(self.hashes, g[at]), len(self.hashes) - 1)] == g[at]
+        total = np.zeros(len(h) + 1, np.int64)
+        np.cumsum(hit, out=total[1 : len(hit) + 1])
+        total[len(hit) + 1 :] = total[len(hit)]
+        return total
+
+
 class BenchmarkIndex:
-    """Items of a benchmark by length, their 3-grams and their CGK keys."""
+    """Items of a benchmark by length, their n-grams and their CGK keys."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS) -> None:
+    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, least: int = LEAST) -> None:
         self.edits, self.ids, self.words = edits, [], []
         texts = [t for _, t in items]
         for a, _, data, bounds in text_slices(pa.array(texts, pa.string())):
             w = Words(data, bounds, "word")
             for r in range(len(bounds) - 1):
-                if w.first[r + 1] - w.first[r] >= MIN_WORDS:
+                if w.first[r + 1] - w.first[r] >= max(least, 1):
                     self.ids.append(items[a + r][0])
                     self.words.append(w.hash[w.first[r] : w.first[r + 1]])
-        self.grams = np.unique(np.concatenate([grams(x, _Q) for x in self.words])) if self.words else np.zeros(0, np.uint64)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.grams >> np.uint64(42)] = True
-        by_length = defaultdict(list)
+        self.parts, words = [], []  # (item, its word that the part starts with)
         for i, x in enumerate(self.words):
+            for start, end in pieces(len(x)):
+                self.parts.append((i, start))
+                words.append(x[start:end])
+        by_length = defaultdict(list)
+        for i, x in enumerate(words):
             by_length[len(x)].append(i)
+        self.need = {length: surviving(length, allowed(length, edits)) for length in by_length}
+        self.grams = {n: _Grams(n, [x for x in words if self.need[len(x)][0] == n]) for n in {n for n, _ in self.need.values()}}
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length, members in by_length.items():
-            keys = np.concatenate([cgk_keys(self.words[i], np.zeros(1, np.int64), np.array([length]), length)[0] for i in members])
+            keys = np.concatenate([cgk_keys(words[i], np.zeros(1, np.int64), np.array([length]), length)[0] for i in members])
             order = np.argsort(keys, kind="stable")
             self.keys[length] = keys[order], np.repeat(members, REPEATS)[order]
 
-    def search(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, start word, end word, distance): the best match of each row and item within the allowed distance."""
-        w = Words(data, bounds, "word")
-        if len(w) < _Q or not self.words:
-            return []
-        h = w.hash
-        g = grams(h, _Q)
-        hit = self.seen[g >> np.uint64(42)] & within(w.row, _Q)
-        at = np.flatnonzero(hit)
-        hit[at] = self.grams[np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)] == g[at]
-        total = np.concatenate([[0], np.cumsum(hit), np.full(_Q - 1, hit.sum())])
-        stop = w.first[w.row + 1]
-        starts = np.arange(len(h))
-        count = lambda s, e: total[np.maximum(e - _Q + 1, s)] - total[s]
-        need = {length: length - _Q + 1 - _Q * allowed(length, self.edits) for length in self.keys}
-        longest = max(self.keys)
-        starts = starts[count(starts, np.minimum(starts + longest, stop)) >= min(need.values())]
-        found: dict[tuple[int, int], list[int]] = defaultdict(list)
+    def _candidates(self, h: np.ndarray, row: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, part) of windows that share a key with a part of an item."""
+        total = {n: g.running(h, row) for n, g in self.grams.items()}
+        longest, every = max(self.keys), np.arange(len(h))
+
+        def count(n: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+            return total[n][np.maximum(e - n + 1, s)] - total[n][s]
+
+        kept = np.zeros(len(h), bool)
+        for n in self.grams:
+            kept |= count(n, every, np.minimum(every + longest, stop)) >= min(least for m, least in self.need.values() if m == n)
+        starts = every[kept]
         for i in range(0, len(starts), 1024):
             s = starts[i : i + 1024]
             walk = None
-            for length, (keys, items) in self.keys.items():
+            for length, (keys, parts) in self.keys.items():
+                n, least = self.need[length]
                 ends = np.minimum(s + length, stop[s])
-                ok = np.flatnonzero(count(s, ends) >= need[length])
+                ok = np.flatnonzero(count(n, s, ends) >= least)
                 if not len(ok):
                     continue
                 walk = _walk(h, s, _STEPS * longest) if walk is None else walk
                 own = _keys(h, walk, ok, ends[ok], length)
                 low = np.searchsorted(keys, own)
                 for r, c in zip(*np.nonzero(keys[np.minimum(low, len(keys) - 1)] == own), strict=True):
-                    start = int(s[ok[r]])
-                    for item in items[low[r, c] : np.searchsorted(keys, own[r, c], "right")].tolist():
-                        where = found[int(w.row[start]), item]
-                        if not where or where[-1] != start:
-                            where.append(start)
+                    for part in parts[low[r, c] : np.searchsorted(keys, own[r, c], "right")].tolist():
+                        yield int(s[ok[r]]), part
+
+    def search(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, start word, end word, distance): the best match of each row and item within the allowed distance."""
+        w = Words(data, bounds, "word")
+        if not len(w) or not self.words:
+            return []
+        h = w.hash
+        found: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for start, part in self._candidates(h, w.row, w.first[w.row + 1]):
+            item, offset = self.parts[part]
+            row = int(w.row[start])
+            found[row, item].add(max(start - offset, int(w.first[row])))
         out = []
-        for (row, item), where in sorted(found.items()):
+        for (row, item), starts in sorted(found.items()):
             lo, hi = int(w.first[row]), int(w.first[row + 1])
             length = len(self.words[item])
             k = allowed(length, self.edits)
             best = (k + 1, 0, 0)
-            where.sort()
+            where = sorted(starts)
             same = next((s for s in where if np.array_equal(h[s : min(s + length, hi)], self.words[item])), None)
             if same is not None:
                 out.append((row, item, same - lo, same + length - lo, 0))
                 continue
-            own = grams(self.words[item], _Q)
-            for s, e in _regions(where, length, k, lo, hi):
-                if np.isin(g[s : max(e - _Q + 1, s)], own).sum() < need[length]:
-                    continue  # too few 3-grams of this very item, by the same bound as above
+            n, least = surviving(length, k)
+            own = grams(self.words[item], n)
+            shift = k if length > _PIECE else 0  # edits before a part move it
+            for s, e in _regions(where, length, k, shift, lo, hi):
+                if np.isin(grams(h[s:e], n), own).sum() < least:
+                    continue  # too few n-grams of this very item, by the same bound as above
                 d, a, b = best_match(self.words[item], h[s:e])
                 best = min(best, (d, s + a - lo, s + b - lo))
             if best[0] <= k:
@@ -175,37 +224,42 @@ class BenchmarkIndex:
         return out
 
 
-def _regions(starts: list[int], length: int, k: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+def _regions(starts: list[int], length: int, k: int, shift: int, low: int, high: int) -> Iterator[tuple[int, int]]:
     """Join windows that overlap within the allowed shift; each region is searched once."""
     first = last = starts[0]
     for s in [*starts[1:], None]:
-        if s is None or s > last + length + k:
-            yield max(low, first - k), min(high, last + length + k)
+        if s is None or s > last + length + k + shift:
+            yield max(low, first - k), min(high, last + length + k + shift)
             first = s
         last = s
 
 
-def _passes(benchmark: DataFrame, edits: float) -> Iterator[BenchmarkIndex]:
+def _passes(benchmark: DataFrame, edits: float, least: int) -> Iterator[BenchmarkIndex]:
     items = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text"))
     passes = max(1, -(-items.count() // ITEMS))
     for i in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        yield BenchmarkIndex([tuple(r) for r in part.orderBy("item_id", "text").collect()], edits)
+        yield BenchmarkIndex([tuple(r) for r in part.orderBy("item_id", "text").collect()], edits, least)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least: int = LEAST) -> DataFrame:
     """``(doc_id, item_id, start_word, end_word, edits)``: benchmark items found in documents, the best match of each row and item.
 
     Words are runs of letters, digits and bytes over 127, A-Z folded. An item is
-    found where some run of a document's words is within ``edits`` * its words.
-    Null and empty texts hold nothing, null items and those under ``MIN_WORDS``
-    words are not looked for. Repeated rows give repeated results, a null doc_id
-    is passed on; other columns are not read; empty tables give no rows.
+    found where some run of a document's words is within ``edits`` * its words
+    (rounded down) by edit distance: items of up to four words only where they
+    stand verbatim, a five-word one with one word changed. Raise ``least`` where
+    a benchmark has items that are everyday words. Null and empty texts hold
+    nothing; null items and those of fewer words than ``least`` are not looked
+    for; texts and items of any length are searched whole. Repeated rows give
+    repeated results, a null doc_id is passed on; other columns are not read;
+    empty tables give no rows. Every ``ITEMS`` items cost one pass over the
+    documents, whose index is broadcast.
     """
     out = None
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    for index in _passes(benchmark, edits):
+    for index in _passes(benchmark, edits, least):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -221,10 +275,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """The documents without any benchmark item, columns as they are."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least: int = LEAST) -> DataFrame:
+    """The documents without any benchmark item, columns as they are.
+
+    Cases as for ``contamination``: null and empty texts stay, repeated rows
+    stay or go alike, empty tables change nothing.
+    """
     names = docs.columns
-    for index in _passes(benchmark, edits):
+    for index in _passes(benchmark, edits, least):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
