@@ -2,9 +2,11 @@
 
 Tokens (words) are added up per source; a source's repetition rate is its
 target over its size; each document is emitted floor(rate) times plus one more
-time with probability equal to the fraction, decided by a hash of its id. The
-hash can be turned by sixteenths; a source uses the turn whose taken words come
-nearest to its target.
+time with probability equal to the fraction, decided by a hash of its id.
+``turns`` = 1 is this plain draw: what a document gets then hangs on nothing
+but its id and its source's rate. With more turns, a source of few documents
+comes nearer to its target: its hashes are turned by the fraction of a circle
+that serves best, still each with the same probability.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
+#: Turns of the hash that a source chooses from; 1: the plain Bernoulli draw.
 TURNS = 16
 
 
@@ -25,6 +28,18 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Each row's place by ``order`` (``i``, from 0) and the sums of columns over the rows before it, sorted and added up by many tasks; one row per partition is added up by one."""
+    dealt = cut(df.orderBy(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()))
+    inside = Window.partitionBy("p").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    every = {"i": F.lit(1), **{name: F.col(c) for name, c in sums.items()}}
+    parts = dealt.groupBy("p").agg(*[F.sum(c).alias(f"all_{name}") for name, c in every.items()])
+    parts = parts.select("p", *[F.coalesce(F.sum(f"all_{name}").over(before), F.lit(0)).alias(f"to_{name}") for name in every])
+    out = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"in_{name}") for name, c in every.items()]).join(F.broadcast(parts), "p")  # a row per partition
+    return out.select(*df.columns, *[(F.col(f"in_{name}") + F.col(f"to_{name}")).alias(name) for name in every])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``(source, source_size)`` to ``(source, source_size, target)``, one row per source.
 
@@ -33,63 +48,78 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     source's size, the excess goes to the others by weight until none does. That
     is one water level: ordered by (most * size / weight), the sources up to
     some place are full and the rest get level * weight; prefix sums find it.
-    The windows run over one row per source, not over documents.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.withColumn("_i", F.row_number().over(order) - 1)
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("_w", turn).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
-    fill = Window.orderBy(F.col("_cap") / F.col("_w"), "_i")
-    before, everything = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    ranked = _running(sizes, [F.col("source").isNull(), F.col("source")], {})
+    ranked = ranked.select("source", "source_size", F.col("i").alias("place"), turn.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    filled = cut(_running(ranked, [F.col("cap") / F.col("w"), F.col("place")], {"caps": "cap", "ws": "w"}))
+    total = filled.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
     # The level if a source were the first that isn't full; it is, if its own level stays under it. Then this level is everyone's.
-    level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("_k", F.row_number().over(fill)).withColumn("_level", level)
-    first = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct("_k", "_level"))).over(Window.partitionBy())
-    wanted = F.coalesce(first["_level"], F.lit(float("inf"))) * F.col("_w")
-    return ranked.withColumn("target", F.least(F.col("_cap"), wanted)).select("source", "source_size", "target")
+    level = (F.col("all_size") * F.lit(float(share)) - F.col("caps")) / (F.col("all_w") - F.col("ws"))
+    levels = filled.crossJoin(F.broadcast(total)).withColumn("level", level)  # one row
+    first = levels.where("level * w <= cap").agg(F.min(F.struct("i", "level"))["level"].alias("level"))
+    out = filled.crossJoin(F.broadcast(first))  # one row
+    return out.select("source", "source_size", F.least(F.col("cap"), F.coalesce("level", F.lit(float("inf"))) * F.col("w")).alias("target"))
+
 
+def _extra(u: Column, turn: Column, turns: int, rate: Column) -> Column:
+    """Whether the draw, turned, gives one more copy."""
+    turned = u + turn / turns
+    return turned - F.floor(turned) < rate - F.floor(rate)
 
-def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: str) -> DataFrame:
-    """The documents and __size, __source_size, __target, __copies."""
-    base = docs.withColumn("__size", words())
-    sizes = base.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    plan = small(cut(source_targets(sizes, weights, share, most)).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
-    rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    more = rate - F.floor(rate)
 
-    def extra(u: Column, turn: Column) -> Column:
-        turned = u + turn / TURNS
-        return turned - F.floor(turned) < more
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float, turns: int) -> DataFrame:
+    """``(of, source_size, target, rate, turn)``, one row per source, from rows of (source, size, u)."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    plan = source_targets(sizes, weights, share, most).select(F.col("source").alias("of"), "source_size", "target", rate.alias("rate"))
+    if turns == 1:
+        return small(cut(plan.withColumn("turn", F.lit(0))))
+    plan = cut(plan)
+    drawn = sized.join(small(plan), F.col("source").eqNullSafe(F.col("of")))
+    sums = [F.sum(F.when(_extra(F.col("u"), F.lit(i), turns, F.col("rate")), F.col("size")).otherwise(0)).alias(f"s{i}") for i in range(turns)]
+    by = drawn.groupBy("of", "source_size", "target", "rate").agg(*sums)
+    off = F.array(*[F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{i}") - F.col("target")).alias("off"), F.lit(i).alias("turn")) for i in range(turns)])
+    return small(cut(by.select("of", "source_size", "target", "rate", F.array_min(off)["turn"].alias("turn"))))
 
-    joined = base.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__u", hash_unit("doc_id", seed=seed))
-    sums = [F.sum(F.when(extra(F.col("__u"), F.lit(i)), F.col("__size")).otherwise(0)).alias(f"s{i}") for i in range(TURNS)]
-    by = joined.select("__source", "__source_size", "__target", "__size", "__u").groupBy("__source", "__source_size", "__target").agg(*sums)
-    off = F.array(*[F.struct(F.abs(F.floor(rate) * F.col("__source_size") + F.col(f"s{i}") - F.col("__target")).alias("off"), F.lit(i).alias("turn")) for i in range(TURNS)])
-    turns = small(cut(by.select(F.col("__source").alias("__of"), F.array_min(off)["turn"].alias("__turn"))))
-    out = joined.join(turns, F.col("source").eqNullSafe(F.col("__of")), "left")
-    return out.withColumn("__copies", (F.floor(rate) + extra(F.col("__u"), F.col("__turn")).cast("int")).cast("int")).drop("__source", "__of", "__turn", "__u")
 
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    """``(doc_id, source, size, u)``: the one pass over the texts."""
+    return cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"), hash_unit("doc_id", seed=seed).alias("u")))
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """All columns of the documents, then ``size, source_size, target, copies, taken`` (taken = copies * size); needs ``doc_id, text, source``.
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix", turns: int = TURNS) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, taken)``, one row per document (taken = copies * size); needs ``doc_id, text, source``.
 
     A null text has size 0; null is a source of its own. A source of size 0 has
     target 0 and its documents 0 copies. Repeated rows of one doc_id get the same
-    number of copies; rows with a null doc_id share one draw. Columns of the
-    input that are named like these are replaced. An empty table gives no rows.
+    number of copies; rows with a null doc_id share one draw. Other columns are
+    not read. An empty table gives no rows. Texts are read once.
     """
-    out = _mixed(docs, weights, share, most, seed).drop("size", "source_size", "target", "copies", "taken")
-    out = out.withColumnsRenamed({f"__{c}": c for c in ("size", "source_size", "target", "copies")})
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    sized = _sized(docs, seed)
+    joined = sized.join(_plan(sized, weights, share, most, turns), F.col("source").eqNullSafe(F.col("of")))
+    copies = (F.floor("rate") + _extra(F.col("u"), F.col("turn"), turns, F.col("rate")).cast("int")).cast("int")
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
 
+def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix", turns: int = TURNS) -> DataFrame:
+    """One row per copy: the documents' columns as they are, and ``copy``, from 1 (an input's ``copy`` is replaced).
 
-def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """One row per copy: the documents' columns (but ``copy``) and ``copy``, from 1. Cases as for ``mix_sources``; texts of size 0 are not emitted from sources of size 0."""
-    out = _mixed(docs, weights, share, most, seed).where("__copies > 0")
-    return out.select(*[c for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    Cases as for ``mix_sources``; texts of size 0 are not emitted from sources
+    of size 0. Columns may have any names. The last pass counts no words: a
+    document's copies hang on its id and source alone.
+    """
+    names = [c for c in docs.columns if c != "copy"]
+    plan = _plan(_sized(docs, seed), weights, share, most, turns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").cast("string").alias("source"), hash_unit("doc_id", seed=seed).alias("u"))
+    joined = whole.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    copies = (F.floor("rate") + _extra(F.col("u"), F.col("turn"), turns, F.col("rate")).cast("int")).cast("int")
+    out = joined.select("row", copies.alias("copies")).where("copies > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select(*[F.col("row")[c].alias(c) for c in names], "copy")
 
 
-#: DuckDB's equivalent of ``mix_sources`` for the query, to be given the source of documents.
+#: DuckDB's equivalent of ``mix_sources``, to be given the source of documents.
 SQL = r"""
 with base as (
   select *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from {documents}),
