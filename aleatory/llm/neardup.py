@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut, small
@@ -26,7 +26,10 @@ from .components import components
 SMALL = 32
 #: Classes in one side of a block, and partners of a pivot in one group.
 BLOCK = 512
-_NULL_ID = -(1 << 63)
+
+
+#: A row of the input: its id and two hashes of its text.
+_KEY = ("did", "h1", "h2")
 
 
 def minima(hashes: np.ndarray, offsets: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -65,8 +68,8 @@ def _features(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int,
             where[1:] = np.cumsum(size > 0) * bands
             lists = pa.ListArray.from_arrays(pa.array(where), flat if len(some) else pa.array([], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("did").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists],
-                names=["did", "th", "n", "f1", "f2", "bands"],
+                [*[batch.column(c).slice(a, b - a) for c in _KEY], pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists],
+                names=[*_KEY, "n", "f1", "f2", "bands"],
             )
 
 
@@ -147,29 +150,20 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 26, rows: int = 5, seed: int = 7) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per input row; needs ``doc_id`` and ``text``.
+def _key(docs: DataFrame) -> list[Column]:
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").cast("long").alias("did"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("again")).alias("h2")]
 
-    A-Z is lower-cased; words are runs of anything but space and \\t..\\r; a
-    document's set holds its distinct ``shingle``-word shingles (its whole word
-    sequence, if that is shorter). Documents with a Jaccard similarity of at
-    least ``percent`` / 100 are linked; ``component_id`` is the smallest doc_id
-    reachable, ``kept`` says that it is the row's own. With 26 bands of 5
-    minima a pair at 0.8 is missed with probability 3e-5, at 0.85 with 2e-7.
 
-    Null or blank texts have an empty set and link with nothing. A null doc_id
-    never names a component that has another id. Rows with equal doc_id are
-    separate documents (each kept, if its component has that id). Other
-    columns are not read. An empty table gives an empty result.
-    """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    feats = cut(base.mapInArrow(lambda it: _features(it, shingle, bands, rows, seed), "did long, th long, n long, f1 long, f2 long, bands array<long>"))
-    real = F.when(F.col("did") != _NULL_ID, F.col("did"))
+def _classes(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """``(did, h1, h2, n, component, component_id)``, one row per input row; without shingles ``component`` is null."""
+    base = docs.select(*_key(docs), F.col("text").cast("string").alias("text"))
+    feats = cut(base.mapInArrow(lambda it: _features(it, shingle, bands, rows, seed), "did long, h1 long, h2 long, n long, f1 long, f2 long, bands array<long>"))
     reps = cut(
         feats.where("n > 0")
         .groupBy("f1", "f2", "n")
-        .agg(F.min(F.struct("did", "th")).alias("at"), F.min(real).alias("id"), F.first("bands").alias("bands"))
-        .select("f1", "f2", "n", "at.did", "at.th", "id", "bands", F.monotonically_increasing_id().alias("rid"))
+        .agg(F.min(F.struct("h1", "h2")).alias("at"), F.min("did").alias("id"), F.first("bands").alias("bands"))
+        .select("f1", "f2", "n", "at.h1", "at.h2", "id", "bands", F.monotonically_increasing_id().alias("rid"))
     )
     each = reps.select("rid", F.explode("bands").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -185,9 +179,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     pairs = cut(pairs.unionByName(ordered).distinct())
 
     def texts(wanted: DataFrame) -> DataFrame:
-        """The text of each class asked for (rid and columns of its own)."""
-        asked = wanted.join(reps.select("rid", "did", "th"), "rid")
-        return asked.join(base.dropDuplicates(["did", "th"]), ["did", "th"])
+        """The text of each class asked for (rid and columns of its own); texts that nobody asks for aren't shuffled where the list of those asked for is small."""
+        asked = cut(wanted.join(reps.select("rid", "h1", "h2"), "rid"))
+        held = base.select("h1", "h2", "text").join(small(asked.select("h1", "h2")), ["h1", "h2"], "left_semi")
+        return asked.join(held.dropDuplicates(["h1", "h2"]), ["h1", "h2"])  # copies are met before the shuffle
 
     # Each pair's second class travels to its first; a pivot's many partners are parted.
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -220,27 +215,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     label = reps.select("f1", "f2", "n", "rid", "id").join(found.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     lowest = label.groupBy("component").agg(F.min("id").alias("component_id"))
-    label = cut(label.join(lowest, "component").select("f1", "f2", "n", "component_id"))
-    out = feats.select(F.col("did"), real.alias("doc_id"), "n", "f1", "f2").join(small(label), ["f1", "f2", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    label = cut(label.join(lowest, "component").select("f1", "f2", "n", "component", "component_id"))
+    return feats.select(*_KEY, "n", "f1", "f2").join(small(label), ["f1", "f2", "n"], "left").select(*_KEY, "n", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 26, rows: int = 5, seed: int = 7) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row per input row; needs ``doc_id`` and ``text``.
+
+    A-Z is lower-cased; words are runs of anything but space and \\t..\\r; a
+    document's set holds its distinct ``shingle``-word shingles (its whole word
+    sequence, if that is shorter). Documents with a Jaccard similarity of at
+    least ``percent`` / 100 are linked; ``component_id`` is the smallest doc_id
+    reachable, ``kept`` says that it is the row's own. With 26 bands of 5
+    minima a pair at 0.8 is missed with probability 3e-5, at 0.85 with 2e-7.
+
+    Null or blank texts have an empty set and link with nothing. A null doc_id
+    never names a component that has another id. Rows with equal doc_id are
+    separate documents (each kept, if its component has that id). Other
+    columns are not read. An empty table gives an empty result. Components
+    that don't settle within ``components``' rounds are an error, not a loss.
+    """
+    out = _classes(docs, shingle, percent, bands, rows, seed)
+    component = F.when(F.col("n") == 0, F.col("did")).otherwise(F.col("component_id"))
+    return out.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("did").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The documents less all but one of each near-duplicate component; columns stay as they are.
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 26, rows: int = 5, seed: int = 7) -> DataFrame:
+    """The documents less all rows but one of each near-duplicate component; columns stay as they are and may have any names.
 
-    Repeated rows of one doc_id count as copies too; rows with a null doc_id
-    all stay.
+    The row of a component's smallest doc_id stays (null ids last; of equal ids
+    the one of the smaller text hash; of equal rows any). It is rows that go, not ids: of
+    two different texts under one id only the copy goes. Rows of null id are
+    documents like others. Rows without words (null or blank texts) all stay.
+    An empty table gives an empty one.
     """
-    found = cut(near_duplicates(docs, **settings))
-    gone = cut(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
-    out = docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
+    found = cut(_classes(docs, shingle, percent, bands, rows, seed))
+    member = found.where("n > 0").groupBy("component", *_KEY).agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("did").isNull().alias("none"), *_KEY)
+    best = member.groupBy("component").agg(F.min(order).alias("best"))
+    judged = cut(member.join(best, "component").select(*_KEY, "rows", (order == F.col("best")).alias("kept")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs))
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        keys = small(keys.select(*[F.col(c).alias(f"k_{c}") for c in _KEY]))
+        return whole.join(keys, (F.col("h1") == F.col("k_h1")) & (F.col("h2") == F.col("k_h2")) & F.col("did").eqNullSafe(F.col("k_did")), how)
+
+    again = judged.where("kept and rows > 1")
     if again.isEmpty():
-        return out
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    many = out.join(small(again), F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return out.join(small(again), F.col("doc_id") == F.col("__again"), "left_anti").unionByName(many)
+        out = among(judged.where("not kept"), "left_anti")
+    else:
+        w = Window.partitionBy(*_KEY).orderBy(F.xxhash64("row"))
+        one = among(again, "left_semi").withColumn("r", F.row_number().over(w)).where("r = 1")  # the first of each is found before the shuffle too
+        out = among(judged.where("not kept or rows > 1"), "left_anti").unionByName(one.drop("r"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 __all__ = ["keep_one", "minima", "near_duplicates"]
