@@ -5,6 +5,14 @@ of 26-word hashes in windows of 25, so that any 50 words contain one, the same
 one wherever these words stand. Suffixes whose 26 words occur in another text
 too are sorted by what follows and what precedes them; neighbours are compared
 and their match is extended word by word to both sides.
+
+Nothing is lost where a key has many records: each window of 51 words of a
+passage holds a key, at the same place in every text that has the window. So
+two texts share a window if and only if their records of that key agree on some
+split of the 25 words beside it, and all splits of all records of a key are
+compared: inside a task up to GROUP records, by a Spark aggregate beyond. GROUP
+decides only where the same comparison runs (tests compare both with brute
+force).
 """
 
 from __future__ import annotations
@@ -13,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut, small
 from ._text import Words, mix, powers, text_slices
-from .mixing import words
 
 #: Words of a suffix's key, and keys of which the least is taken; K + W - 1 = 50.
 K = 26
@@ -59,12 +66,16 @@ def minimisers(h: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key and place of each minimiser; a row of null key says how many words a text of over OVER words has."""
     for batch in batches:
         h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
         for a, b, data, bounds in text_slices(batch.column("text")):
             w = Words(data, bounds)
+            count = np.diff(w.first)
+            long = np.flatnonzero(count > OVER)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(long), pa.int64()), pa.array(h1[a + long]), pa.array(h2[a + long]), pa.array(count[long].astype(np.int32))], names=["key", "h1", "h2", "place"])
             rows, places, keys = [], [], []
-            for r in range(b - a):
+            for r in long.tolist():
                 h = w.hash[w.first[r] : w.first[r + 1]]
                 at = minimisers(h)
                 if len(at):
@@ -221,17 +232,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield step(held.combine_chunks(), True)[0]
 
 
-def _merge(spans):
-    """Join overlapping (start, end) structs of a sorted array."""
-    first = F.slice(spans, 1, 1)
-    return F.aggregate(
-        F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0))),
-        first,
-        lambda acc, s: F.when(
-            s["start"] <= F.element_at(acc, -1)["end"],
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
+def _merge(spans: DataFrame) -> DataFrame:
+    """Join the overlapping (start, end) of each text, by a running maximum; one row per joined span."""
+    by = Window.partitionBy("h1", "h2").orderBy("start", "end")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    island = new.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("h1", "h2", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def _of_large(records: DataFrame) -> DataFrame:
@@ -252,22 +259,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("again")).alias("h2")).where("text is not null")
     suffixes = cut(base.select("h1", "h2", "text").mapInArrow(_suffixes, "key bigint, h1 bigint, h2 bigint, place int"))
-    shared = cut(suffixes.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))  # cut, so that the join's large partitions can be split
-    places = suffixes.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set("place").alias("places"))
-    texts = places.join(base.select("h1", "h2", "text").dropDuplicates(["h1", "h2"]), ["h1", "h2"])  # copies are met before the shuffle
-    records = texts.mapInArrow(_contexts, _RECORD)
+    keyed = suffixes.where("key is not null")
+    shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))  # cut, so that the join's large partitions can be split
+    places = cut(keyed.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set("place").alias("places")))
+    held = base.select("h1", "h2", "text").join(small(places.select("h1", "h2")), ["h1", "h2"], "left_semi")  # texts without a shared key stay where they are
+    texts = places.join(held.dropDuplicates(["h1", "h2"]), ["h1", "h2"])  # copies are met before the shuffle
+    records = cut(texts.mapInArrow(_contexts, _RECORD))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    records = cut(records)
     large = cut(records.groupBy("key").count().where(F.col("count") > GROUP).select("key"))
     usual = records if large.isEmpty() else records.join(small(large), "key", "left_anti")
     found = usual.repartitionByRange(parts, "key").sortWithinPartitions(*_SORT).mapInArrow(_compare, _SPAN)
     if not large.isEmpty():
         found = found.unionByName(_of_large(records.join(small(large), "key", "left_semi")))
-    spans = found.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    rows = base.select("doc_id", "h1", "h2", words().cast("int").alias("n"))
-    copies = rows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.first("n").alias("n")).where((F.col("c") > 1) & (F.col("n") > OVER))
-    whole = copies.select("h1", "h2", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).alias("whole"))
-    by_text = spans.withColumn("spans", _merge(F.col("spans"))).join(whole, ["h1", "h2"], "full")
-    by_text = cut(by_text.select("h1", "h2", F.coalesce("whole", "spans").alias("spans")))
-    out = rows.select("doc_id", "h1", "h2").join(small(by_text), ["h1", "h2"]).select("doc_id", F.explode("spans").alias("s"))
-    return out.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), (F.col("s.end") - F.col("s.start")).alias("n_words"))
+    copies = suffixes.where("key is null").groupBy("h1", "h2").agg(F.count("*").alias("c"), F.first("place").alias("end")).where("c > 1")
+    found = found.unionByName(copies.select("h1", "h2", F.lit(0).alias("start"), "end"))
+    spans = cut(_merge(found.distinct()))
+    out = base.select("doc_id", "h1", "h2").join(small(spans), ["h1", "h2"])
+    return out.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
