@@ -5,6 +5,10 @@ texts. They seed a graph of lexical patterns (the words around) and instances
 (identifier-like strings): patterns are scored by the share of their instances
 that is known to be of a kind, instances by their best patterns, in turns;
 patterns of high confidence then mark identifiers that the base doesn't see.
+
+An instance is a string of 4 to 128 characters: a base span, an address that is
+spelled out (joe [at] host [dot] org), a row of digit groups, or a word with a
+digit or @. Words beside it are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -33,6 +37,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
+_AT = re.compile(r" ?[\[({] ?[aA][tT] ?[\])}] ?")
+_DOT = re.compile(r"(?: ?[\[({] ?[dD][oO][tT] ?[\])}] ?|\.)(?=[A-Za-z0-9])")
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_GROUPS = re.compile(r"(?<![0-9])[0-9]+(?:[ .()-]{1,3}[0-9]+)+")
+LEAST, MOST = 4, 128
 _EDGE = ".,;:!?()[]{}<>\"'|"
 
 
@@ -71,10 +80,23 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _candidates(t: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like strings (words with a digit or @, without edge punctuation; the value after a last = or :) outside the base spans."""
-    spans = sorted((s, e) for _, s, e in taken)
-    i, done = 0, 0
+def _spelled(t: str) -> Iterator[tuple[int, int]]:
+    """Addresses with at and dot in brackets."""
+    for m in _AT.finditer(t):
+        start, at = m.start(), m.end()
+        while start > 0 and m.start() - start < MOST and t[start - 1] in _LOCAL:
+            start -= 1
+        if start == m.start() or not (label := _LABEL.match(t, at)):
+            continue
+        end = label.end()
+        while (dot := _DOT.match(t, end)) and (label := _LABEL.match(t, dot.end())):
+            end = label.end()
+        yield start, end
+
+
+def _marked(t: str) -> Iterator[tuple[int, int]]:
+    """Words with a digit or @, without edge punctuation; the value after a last = or :."""
+    done = 0
     for m in _MARK.finditer(t):
         if m.start() < done:
             continue
@@ -86,24 +108,45 @@ def _candidates(t: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int
         done = end
         while end > start and t[end - 1] in _EDGE:
             end -= 1
-        cut_at = max(t.rfind("=", start, end), t.rfind(":", start, end)) + 1
-        start = max(start, cut_at)
+        start = max(start, t.rfind("=", start, end) + 1, t.rfind(":", start, end) + 1)
         while start < end and t[start] in _EDGE:
             start += 1
-        while i < len(spans) and spans[i][1] <= start:
-            i += 1
-        if 4 <= end - start <= 128 and not any(s < end and start < e for s, e in spans[i : i + 8]):
-            yield start, end
+        yield start, end
+
+
+def _candidates(t: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Identifier-like strings outside the base spans, by place; of overlapping ones the spelled address, then the digit groups."""
+    spans = sorted((s, e) for _, s, e in taken)
+    for found in (_spelled(t), (m.span() for m in _GROUPS.finditer(t)), _marked(t)):
+        new, i = [], 0
+        for start, end in found:
+            while i < len(spans) and spans[i][1] <= start:
+                i += 1
+            if LEAST <= end - start <= MOST and not any(s < end and start < e for s, e in spans[i : i + 8]):
+                new.append((start, end))
+        yield from new
+        spans = sorted(spans + new)
 
 
 def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _beside(t: str, at: int, n: int, step: int) -> list[str]:
+    """The n whole words before (step -1) or after (step 1) a place, as many as there are; digits alike, lower-case."""
+    size = 64
+    while True:
+        low, high = (max(0, at - size), at) if step < 0 else (at, min(len(t), at + size))
+        got = t[low:high].split()
+        if len(got) > n or (low == 0 if step < 0 else high == len(t)):
+            got = got[-n:] if step < 0 else got[:n]
+            return [_DIGIT.sub("0", w.lower()) for w in got]
+        size *= 4
+
+
 def _contexts(t: str, start: int, end: int) -> list[int]:
-    """Patterns: the word before, the two words before, the words on either side (digits alike)."""
-    left = _DIGIT.sub("0", t[max(0, start - 64) : start].lower()).split()[-2:]
-    right = _DIGIT.sub("0", t[end : end + 64].lower()).split()[:1]
+    """Patterns: the word before, the two words before, the words on either side."""
+    left, right = _beside(t, start, 2, -1), _beside(t, end, 1, 1)
     out = []
     if left:
         out.append(_hash("l", left[-1]))
@@ -178,18 +221,22 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUP
     found = _discover(scanned, rounds, support, confidence)
     count = lambda k: F.size(F.filter("mentions", lambda m: m["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     base = F.transform(F.filter("mentions", lambda m: m["kind"] < len(KINDS)), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    rows = scanned.select("doc_id", "h1", "h2", *[count(k) for k in range(len(KINDS))], "base_sha256", base.alias("base")).join(small(found), ["h1", "h2"], "left")
+    rows = scanned.select("doc_id", "h1", "h2", *[count(k) for k in range(len(KINDS))], "base_sha256", base.alias("base")).join(small(found, items="found"), ["h1", "h2"], "left")
     more = F.coalesce("found", F.array().cast(f"array<{_SPAN}>"))
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", _text_of(F.concat("base", more)).alias("spans"), F.size(more).cast("long").alias("n_found"))
 
 
 def mask_personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """The documents with each span (overlapping ones joined) replaced by its kind in angle brackets; other columns stay, n_chars follows the text."""
+    """The documents with each span (overlapping ones joined) replaced by its kind in angle brackets; other columns stay, n_chars follows the text.
+
+    All rows stay, repeated ones too; a null text stays null, an empty one empty;
+    columns may have any names; an empty table stays empty.
+    """
     scanned = cut(_keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_scan, f"doc_id {dict(docs.dtypes)['doc_id']}, h1 bigint, h2 bigint, base_sha256 string, mentions array<{_MENTION}>"))
-    found = small(_discover(scanned, rounds, support, confidence).toDF("__h1", "__h2", "__found"))
-    names = docs.columns
-    text = F.col("text").cast("string")
-    joined = docs.join(found, (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(text, F.lit("again")) == F.col("__h2")), "left").select(*names, "__found")
+    found = small(_discover(scanned, rounds, support, confidence), items="found")
+    names, schema = docs.columns, docs.schema
+    whole = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")).drop("text")  # so that columns may have any names
+    joined = whole.join(found, ["h1", "h2"], "left").select(*[F.col("row")[c].alias(c) for c in names], F.col("found").alias("found" + "".join(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,4 +259,4 @@ def mask_personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUP
                 cols[i] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, schema)
