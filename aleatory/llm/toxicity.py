@@ -16,7 +16,8 @@ from ._text import Words, mix, powers
 BITS = 21
 #: Labelled documents to learn from, about.
 SAMPLE = 24000
-#: Terms kept, by their chi-square with the label, among those in MIN_DOCS documents or more.
+#: Terms kept: at most so many, by their chi-square with the label, of those in MIN_DOCS documents or more (parameters ``most`` and ``least``).
+#: A term's chi-square must pass twice the logarithm of the number of terms tried, which a term without meaning hardly does: else small samples learn noise.
 TERMS = 4096
 MIN_DOCS = 3
 FACTORS = 8
@@ -58,7 +59,7 @@ class FactorModel:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(rows, r, i) + self.b, -30, 30)))
 
 
-def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, passes: int = 16, batch: int = 64, rate: float = 0.1, decay: float = 3e-4) -> FactorModel:
+def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, most: int = TERMS, least: int = MIN_DOCS, passes: int = 16, batch: int = 64, rate: float = 0.1, decay: float = 3e-4) -> FactorModel:
     table = np.full(1 << BITS, -1, np.int32)
     if len(set(y.tolist())) < 2:  # nothing to tell apart: the share of label 1
         b = float(np.log((1 + (y == 1).sum()) / (1 + (y != 1).sum()))) if len(y) else 0.0
@@ -67,9 +68,9 @@ def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, passes: int = 16,
     hit = np.bincount(flat[np.repeat(y == 1, np.diff(sizes))], minlength=1 << BITS)
     share, n = (y == 1).mean(), len(y)
     spread = np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9)
-    chi = np.where((df >= MIN_DOCS) & (df < n), (hit - df * share) ** 2 / spread, 0)
-    kept = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    kept = kept[chi[kept] > 0]
+    chi = np.where((df >= least) & (df < n), (hit - df * share) ** 2 / spread, 0)
+    kept = np.sort(np.argsort(-chi, kind="stable")[:most])
+    kept = kept[chi[kept] > 2 * np.log(max((chi > 0).sum(), 2))]
     table[kept] = np.arange(len(kept))
     ids, ptr = compact(flat, table, sizes)
     size = max(len(kept), 1)
@@ -106,11 +107,11 @@ def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, passes: int = 16,
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS, least: int = MIN_DOCS) -> FactorModel:
     """Learn ``labels.toxic`` from at most about ``sample`` labelled documents, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = train(*gather(batches, terms))
+        m = train(*gather(batches, terms), most, least)
         kept = np.flatnonzero(m.table >= 0)
         parts = [kept.astype(np.int64), m.linear, m.factors, np.array([m.bias, m.a, m.b])]
         yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()]) for p in parts], names=list("kwvc"))
@@ -126,14 +127,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorModel
     return FactorModel(table, bias, linear, np.frombuffer(got["v"], np.float32).reshape(len(linear), FACTORS), a, b)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, most: int = TERMS, least: int = MIN_DOCS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row; needs ``doc_id``, ``text`` and labels ``(doc_id, toxic)``.
 
     Scores read the text alone. Null and empty texts have no terms and get the
     bias's score. Without labels of both classes every row gets the share of
     label 1 (a half without any). Repeated rows score alike; other columns are
-    not read; an empty table gives no rows.
+    not read; an empty table gives no rows. Texts are scored whole; ``sample``
+    (labelled documents), ``most`` and ``least`` (terms) bound the model.
     """
-    model = fit(docs, labels, sample)
+    model = fit(docs, labels, sample, most, least)
     base = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return score_texts(base, model, FactorModel.scores, threshold)
