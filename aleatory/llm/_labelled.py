@@ -16,12 +16,15 @@ from ._text import text_slices
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: str) -> DataFrame:
     """``(y, text)`` of about ``bound`` hash-chosen labelled documents outside the held-out fold (crc32 of the id divisible by 5).
 
-    Repeated labels of one document count once, the smaller one; null labels and ids teach nothing.
+    Repeated labels of one document count once, the smaller one; so does a document of several rows, by the
+    row of the least text hash; null labels and ids teach nothing.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     share = bound / max(known.count(), 1)
     chosen = known.where(hash_unit("doc_id", seed=seed) < share)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text", hash_unit("doc_id", seed=seed + "order").alias("u"))
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # about ``bound`` rows
+    one = known.groupBy("doc_id").agg(F.min_by(F.struct("y", "text"), F.xxhash64("text")).alias("row"))
+    return one.select("row.*", hash_unit("doc_id", seed=seed + "order").alias("u"))
 
 
 #: Gets a slice, returns (row, bucket) of its features; pairs may repeat.

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from ._labelled import compact, distinct_ids, gather, labelled_sample, logistic_fit, score_texts
 from ._spark import fold
-from ._text import Words, grams, mix, within
+from ._text import Words, grams, mix, text_slices, within
 
 BITS = 20
 #: Labelled documents to learn from, about.
 SAMPLE = 4000
-#: Features of fewer documents than this many, or than this share of the sample, are left out.
+#: Features of fewer documents than this many, or than this share of the sample, are left out (parameters ``least`` and ``share``).
 MIN_DOCS = 5
 MIN_SHARE = 0.005
 THRESHOLD = 0.3
@@ -103,10 +103,10 @@ def _descend(ids: np.ndarray, val: np.ndarray, ptr: np.ndarray, y: np.ndarray, s
     return w, bias
 
 
-def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, cost: float = 0.5, passes: int = 12) -> QualityModel:
+def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, least: int = MIN_DOCS, share: float = MIN_SHARE, cost: float = 0.5, passes: int = 12) -> QualityModel:
     df = np.bincount(flat, minlength=1 << BITS)
     table = np.full(1 << BITS, -1, np.int32)
-    kept = np.flatnonzero(df >= max(MIN_DOCS, MIN_SHARE * len(y)))
+    kept = np.flatnonzero(df >= max(least, share * len(y)))
     table[kept] = np.arange(len(kept))
     ids, ptr = compact(flat, table, sizes)
     if len(set(y.tolist())) < 2 or not len(kept):  # nothing to tell apart: the share of label 1
@@ -124,11 +124,11 @@ def train(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, cost: float = 0.5,
     return QualityModel(table, ratio, w, bias, max(a, 1e-3), b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = MIN_DOCS, share: float = MIN_SHARE) -> QualityModel:
     """Learn ``labels.quality`` from at most about ``sample`` labelled documents, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = train(*gather(batches, features))
+        m = train(*gather(batches, features), least, share)
         kept = np.flatnonzero(m.table >= 0)
         parts = [kept.astype(np.int64), m.table[kept].astype(np.int64), m.ratio, m.weight, np.array([m.bias, m.a, m.b])]
         yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()]) for p in parts], names=list("ktrwc"))
@@ -142,24 +142,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     return QualityModel(table, np.frombuffer(got["r"], np.float32), np.frombuffer(got["w"], np.float32), bias, a, b)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, least: int = MIN_DOCS, share: float = MIN_SHARE) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row; needs ``doc_id``, ``text`` and labels ``(doc_id, quality)``.
 
     Scores read the text alone. Null and empty texts have no features and get
     the bias's score. Without labels of both classes every row gets the share of
     label 1 (a half without any). Repeated rows score alike; other columns are
-    not read; an empty table gives no rows.
+    not read; an empty table gives no rows. Texts are scored whole; ``sample``
+    (labelled documents), ``least`` and ``share`` (features) bound the model.
     """
-    model = fit(docs, labels, sample)
+    model = fit(docs, labels, sample, least, share)
     base = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return score_texts(base, model, QualityModel.scores, threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents predicted 1, with their columns as they are."""
+    """The documents predicted 1, with their columns as they are and of any names; a threshold of 0 keeps all.
+
+    Null and empty texts get the bias's score; repeated rows stay or go alike;
+    without labels of both classes all or none stay, as the share of label 1
+    says; an empty table stays empty.
+    """
     model = fit(docs, labels, sample)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    from ._text import text_slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
