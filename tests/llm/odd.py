@@ -33,7 +33,7 @@ def odd_docs(spark, extra=True):
 
     df = spark.createDataFrame(odd_rows(), SCHEMA)
     if extra:
-        for c in ("n", "rid", "did", "th", "h1", "h2", "size", "target", "copies", "copy", "score", "predicted", "kept", "component_id", "found", "key", "b", "y", "u", "y0", "spans", "rank"):
+        for c in ("n", "rid", "did", "th", "h1", "h2", "size", "target", "copies", "copy", "score", "predicted", "kept", "component_id", "found", "key", "b", "y", "u", "y0", "spans", "rank", "row", "r", "rows", "k_h1", "source_size", "rate", "turn", "of", "p", "m", "copies", "__u", "__turn", "__n", "__size", "__source", "mentions", "text_", "component"):
             df = df.withColumn(c, F.lit(f"own {c}"))
     return df
 

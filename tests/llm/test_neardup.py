@@ -105,12 +105,26 @@ def test_keep_one_keeps_columns_and_one_of_each(spark):
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
     assert ids == [1, 3, 4, 5, 6, 7, 8, 9, 10, 11]
-    assert kept.where("doc_id is null").count() == 2
+    assert [r.text for r in kept.where("doc_id is null").collect()] == [None]  # the row of null id that copies document 1 goes
     twice = spark.createDataFrame([(1, "a b c d e f", None, None, 1)] * 3, SCHEMA)
     assert keep_one(twice).count() == 1
     assert keep_one(empty_docs(spark)).count() == 0
 
 
+def test_keep_one_drops_rows_and_not_ids(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(5, a, None, None, 1), (5, b, None, None, 2), (3, b + " w1", None, None, 3), (None, a, None, None, 4), (None, prose(rng, 30), None, None, 5), (9, "", None, None, 6), (9, "", None, None, 6)]
+    kept = keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.n_chars for r in kept) == [1, 3, 5, 6, 6]
+
+
+def test_the_smallest_id_of_all(spark):
+    low = -(1 << 63)
+    got = near_duplicates(spark.createDataFrame([(low, "a b c"), (7, "a b c"), (None, "a b c")], "doc_id bigint, text string"), 3, 85).collect()
+    assert [r.component_id for r in got] == [low] * 3 and sorted(r.kept for r in got) == [False, False, True]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1, 1), (None, 3), (5, None)] + [(1000 + i, 1001 + i) for i in range(40)]

@@ -10,7 +10,7 @@ from aleatory.llm import repeats
 from aleatory.llm._text import text_slices
 from aleatory.llm.decontam import BenchmarkIndex, allowed, best_match, contamination, drop_contaminated
 from aleatory.llm.topk import ImpactIndex, top_k
-from aleatory.llm.urls import judge_urls, personalised_pagerank
+from aleatory.llm.urls import THRESHOLD, host_of, judge_urls, matching_rule, path_of, personalised_pagerank, with_rule
 
 from .odd import empty_docs, odd_docs, prose, words
 
@@ -61,10 +61,36 @@ def test_planted_items_are_found_at_the_allowed_distance():
     assert not [x for _, _, data, bounds in text_slices(pa.array(clean)) for x in index.search(data, bounds)]
 
 
+def test_short_items_are_found_verbatim_and_five_words_with_one_edit():
+    rng = random.Random(12)
+    items = [(i, prose(rng, i % 11 + 1, 10**6)) for i in range(110)]
+    index = BenchmarkIndex(items)
+    assert [allowed(n) for n in (1, 4, 5, 9, 10)] == [0, 0, 1, 1, 2] and allowed(9, 0.6) == 5
+    for kind in ("sub", "ins", "del"):
+        texts = [" ".join([*prose(rng, 9, 10**6).split(), *edited(rng, t.split(), allowed(len(t.split())), kind), *prose(rng, 9, 10**6).split()]) for _, t in items]
+        hits = {(a + r, index.ids[i]) for a, _, data, bounds in text_slices(pa.array(texts)) for r, i, *_ in index.search(data, bounds)}
+        assert hits == {(i, i) for i in range(110)}, kind
+    assert not BenchmarkIndex(items, least=12).words and BenchmarkIndex(items, least=11).ids == [i for i in range(110) if i % 11 == 10]
+    one = BenchmarkIndex([(1, "lone")])
+    assert [x for _, _, data, bounds in text_slices(pa.array(["a Lone wolf", "alone", "", None, "lone"])) for x in one.search(data, bounds)] == [(0, 0, 1, 2, 0), (4, 0, 0, 1, 0)]
+
+
+def test_a_very_long_item_is_found_by_pieces():
+    rng = random.Random(13)
+    item = prose(rng, 3000)
+    index = BenchmarkIndex([(1, item), (2, prose(rng, 300))])
+    for kind in ("sub", "mixed"):
+        w = edited(rng, item.split(), 500, kind)
+        text = " ".join([*prose(rng, 50).split(), *w, *prose(rng, 50).split()])
+        for _, _, data, bounds in text_slices(pa.array([text, " ".join(w[:1500])])):
+            (hit,) = index.search(data, bounds)
+            assert hit[:2] == (0, 0) and 400 < hit[4] <= 500 and abs(hit[2] - 50) < 5
+
+
 def test_contamination_of_odd_documents(spark):
     docs = odd_docs(spark)
     t = docs.where("doc_id = 8").first().text.split()
-    items = [(1, " ".join(t[59_000:59_030])), (2, None), (3, ""), (4, "one two"), (5, " ".join(t[10:40]).upper() + "!")]
+    items = [(1, " ".join(t[59_000:59_030])), (2, None), (3, ""), (4, "two one"), (5, " ".join(t[10:40]).upper() + "!")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     assert sorted((r.doc_id, r.item_id, r.start_word, r.end_word, r.edits) for r in contamination(docs, bench).collect()) == [(8, 1, 59_000, 59_030, 0), (8, 5, 10, 40, 0)]
     clean = drop_contaminated(docs, bench)
@@ -205,5 +231,82 @@ def test_pagerank_against_a_loop(spark):
         for a, b, w in edges:
             new[b] += 0.85 * rank[a] * w
         rank = new
-    got = personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("h0", 1.0), ("h1", 1.0)], "host string, mass double"))
+    got = personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("h0", 1.0), ("h1", 1.0)], "host string, mass double"), 20, settled=0.0)
     assert all(abs(r["rank"] - rank[r.host]) < 1e-12 for r in got.collect())
+
+
+def test_hosts_of_linked_pages_against_a_loop(spark):
+    """Trust and distrust of hosts without rules come over links alone."""
+    rng = random.Random(8)
+    hosts = [f"{'good' if i < 4 else 'bad' if i < 8 else 'plain'}{i}.{'com' if i < 4 else 'org'}" for i in range(20)]
+    rules = [("allow", "com", "/")] + [("block", h, "/x/") for h in hosts[4:8]]
+    rows, links = [], defaultdict(lambda: defaultdict(int))
+    for k in range(200):
+        h = rng.choice(hosts)
+        out = [rng.choice(hosts[:8] if h.startswith("good") else hosts[4:8] if h in hosts[14:] else hosts) for i in range(rng.randrange(4))]
+        for o in out:
+            if o != h:
+                links[h][o] += 1
+        rows.append((k, f"https://{h}/{'x' if k % 2 else 'y'}/{k}", "".join(f'<a href="https://{o}/p">' for o in out)))
+    share = {h: {o: n / sum(to.values()) for o, n in to.items()} for h, to in links.items()}
+    pages = defaultdict(list)
+    for _, u, _ in rows:
+        h, _, p = u[8:].partition("/")
+        pages[h].append("allow" if h.endswith("com") else "block" if h.startswith("bad") and p.startswith("x/") else "")
+
+    def rank(edges, seeds):
+        r = dict(seeds)
+        for _ in range(200):
+            new = defaultdict(float, {h: 0.15 * m for h, m in seeds.items()})
+            for a, to in edges.items():
+                for b, w in to.items():
+                    new[b] += 0.85 * r.get(a, 0.0) * w
+            r = new
+        return r
+
+    back = defaultdict(dict)
+    for a, to in share.items():
+        for b, w in to.items():
+            back[b][a] = w
+    back = {b: {a: w / sum(of.values()) for a, w in of.items()} for b, of in back.items()}
+    mean = lambda v: {h: sum(x == v for x in got) / len(got) for h, got in pages.items() if v in got}
+    trust, distrust = rank(share, mean("allow")), rank(back, mean("block"))
+    got = judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string"), rules).collect()
+    assert len(got) == 200
+    for r in got:
+        assert abs(r.trust - trust.get(r.host, 0)) < 1e-3 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-3
+        if r.rule is None and abs(r.distrust - r.trust - THRESHOLD) > 1e-3:
+            assert r.verdict == ("block" if distrust.get(r.host, 0) - trust.get(r.host, 0) > THRESHOLD else "allow")
+    plain = {r.verdict for r in got if r.host.startswith("plain")}
+    assert plain == {"allow", "block"}  # propagation alone decides, both ways
+
+
+def test_many_rules_are_joined_with_the_same_result(spark):
+    rng = random.Random(9)
+    label = lambda: rng.choice("abcd")
+    rules = [(rng.choice(["allow", "block"]), ".".join(label() for _ in range(rng.randrange(1, 4))), "/" + "".join(label() for _ in range(rng.randrange(3)))) for _ in range(300)]
+    rows = [(k, f"http://{'.'.join(label() for _ in range(rng.randrange(1, 5)))}/{''.join(label() for _ in range(4))}", None) for k in range(400)] + [(400, None, None), (401, "http://a", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    base = pages.select("page_id", host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
+    inline = base.withColumn("judged", matching_rule(base["host"], base["path"], rules))
+    key = lambda df: sorted((r.page_id, r.judged and tuple(r.judged)) for r in df.collect())
+    assert key(with_rule(base, rules)) == key(inline) and sum(j is not None for _, j in key(inline)) > 200
+
+
+def test_urls_of_odd_pages(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "http://h.com/" + "x" * 200_000, "<a href='http://b.org'>" * 20_000), (None, "http://b.org/", None), (1, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for c in ("host", "path", "judged", "rule", "verdict", "rank", "src", "dst"):
+        pages = pages.withColumn(c, F.lit("own"))
+    assert sorted((r.host, len(r.path), r.verdict) for r in judge_urls(pages).collect()) == [("", 0, "allow"), ("b.org", 1, "allow"), ("h.com", 200_001, "allow")]
+
+
+def test_top_k_of_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (3, [1.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, []), (None, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
+    for c in ("block", "part", "role", "v", "rank", "score", "query_id"):
+        vectors = vectors.withColumn(c, F.lit("own"))
+    assert [tuple(r) for r in top_k(vectors).orderBy("query_id", "rank").collect()] == [(0, 1, 3, 65536), (0, 2, 50, 32768), (0, 3, 7, 0), (50, 1, 0, 32768), (50, 2, 3, 32768), (50, 3, 7, 0)]

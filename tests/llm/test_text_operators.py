@@ -13,14 +13,15 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from aleatory.llm import mixing, pii
+from aleatory.llm import langid, mixing, pii, quality, toxicity
+from aleatory.llm._labelled import labelled_sample
 from aleatory.llm._text import text_slices
 from aleatory.llm.langid import identify
 from aleatory.llm.pii import base_spans, find_personal_data, mask_personal_data
 from aleatory.llm.quality import keep_good, score_quality
 from aleatory.llm.toxicity import score_toxicity, terms
 
-from .odd import empty_docs, odd_docs, odd_rows
+from .odd import empty_docs, odd_docs, odd_rows, prose
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -67,6 +68,62 @@ def test_patterns_find_identifiers_that_the_base_misses(spark):
     assert masked[100] == "please write mailbox: <email> today" and masked[101] == rows[61][1]
 
 
+def plain_discovery(texts):
+    """The pattern-instance graph scored by loops."""
+    mentions = []
+    for d, t in texts.items():
+        base = base_spans(t)
+        mentions += [(d, k, s, e, t[s:e].lower(), pii._contexts(t, s, e)) for k, s, e in base + [(4, s, e) for s, e in pii._candidates(t, base)]]
+    kinds, instances, open_ = {}, {}, set()
+    for _, k, _, _, name, contexts in mentions:
+        for p in contexts:
+            kinds[p, name] = min(k, kinds.get((p, name), 4))
+    for p, name in kinds:
+        instances.setdefault(p, set()).add(name)
+    known = {(name, k): 1.0 for (_, name), k in kinds.items() if k < 4}
+    seeds, taken = dict(known), {name for name, _ in known}
+    open_ = {(p, name) for p, name in kinds if name not in taken}
+    for _ in range(pii.ROUNDS):
+        patterns = {}
+        for p, names in instances.items():
+            for k in range(4):
+                backers = [known[name, k] for name in names if (name, k) in known]
+                if len(backers) >= pii.SUPPORT and sum(backers) / (len(names) + 1) >= pii.CONFIDENCE:
+                    patterns[p, k] = sum(backers) / (len(names) + 1)
+        known = dict(seeds)
+        for p, name in open_:
+            for k in range(4):
+                if (p, k) in patterns:
+                    known[name, k] = max(known.get((name, k), 0), patterns[p, k])
+    out = {}
+    for d, kind, s, e, _, contexts in mentions:
+        best = [(patterns[p, k], -k) for p in contexts for k in range(4) if (p, k) in patterns]
+        if kind == 4 and best:
+            out.setdefault(d, set()).add((-max(best)[1], s, e))
+    return out
+
+
+def test_discovery_against_loops(spark):
+    rng = random.Random(5)
+    texts = {}
+    for i in range(160):
+        who = rng.choice([f"u{i}@host{i % 7}.org", f"u{i} [at] host{i % 7} [dot] org", f"u{i}(at)host.org", "joe [at] home [dot] org"] if i % 3 == 0 else [f"u{i}@host{i % 7}.org"])
+        call = rng.choice(["555 123 4567", "(555) 123-9999", f"0{i}-55-{i}"] if i % 5 == 0 else [f"+1 555 {1000000 + i}"])
+        texts[i] = f"{prose(rng, 3)} {rng.choice(['mail', 'write mailbox:', 'contact'])} {who} and {rng.choice(['phone', 'phone number', 'order'])} {call} {rng.choice(['today', 'soon'])} token{rng.randrange(9)} = {rng.random():.5f}"
+    got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    want = plain_discovery(texts)
+    assert sum(map(len, want.values())) > 20
+    for d, t in texts.items():
+        both = sorted(set(base_spans(t)) | want.get(d, set()))
+        assert got[d].spans == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in both) and got[d].n_found == len(want.get(d, ()))
+
+
+def test_forms_of_candidates():
+    t = "x joe [at] host [dot] org y a.b(at)c.de, 555 123 4567; key=ab12cd34. " + "q" * 5000 + "1 " + "7 " * 300 + "me@ok.org"
+    assert [t[s:e] for s, e in pii._candidates(t, base_spans(t))] == ["joe [at] host [dot] org", "a.b(at)c.de", "555 123 4567", "ab12cd34"]
+    assert pii._beside("a " + "Long9" * 100 + " b", 503, 2, -1) == ["a", "long0" * 100]
+
+
 def test_personal_data_of_odd_documents(spark):
     docs = odd_docs(spark)
     got = find_personal_data(docs).collect()
@@ -104,6 +161,8 @@ def test_mixing_of_odd_documents(spark):
     docs = odd_docs(spark)
     mixed = mixing.mix_sources(docs)
     assert mixed.count() == docs.count() and mixed.schema["size"].dataType.typeName() == "long"
+    plain = mixing.mix_sources(docs, turns=1).collect()
+    assert {(r.doc_id, r.copies) for r in plain if r.source == "b"} == {(r.doc_id, r.copies) for r in mixing.mix_sources(docs.where("source = 'b' or source <> 'b'"), turns=1).collect() if r.source == "b"}
     out = mixing.emit_mix(docs)
     assert out.columns == [c for c in docs.columns if c != "copy"] + ["copy"]
     assert out.where("size <> 'own size'").count() == 0  # a column of the input by that name is its own
@@ -164,6 +223,88 @@ def test_classifiers_of_odd_documents(spark):
     assert score_quality(odd, one).where("predicted = 0").count() == 0
 
 
+def test_quality_model_against_loops():
+    """Log-count ratios, margins and the sigmoid, one document and feature at a time."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["good", "fine", "BAD!!", "x", "y"]) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    y = np.array([int("BAD!!" not in t) for t in texts])
+    seen = [set() for _ in texts]
+    ((_, _, data, bounds),) = text_slices(pa.array(texts))
+    for r, b in zip(*quality.features(data, bounds), strict=True):
+        seen[r].add(int(b))
+    flat = np.array([b for s in seen for b in sorted(s)], np.int32)
+    model = quality.train(flat, np.append(0, np.cumsum([len(s) for s in seen])), y)
+    cut = len(y) * 4 // 5
+    for b in sorted({b for s in seen for b in s}):
+        if sum(b in s for s in seen) < quality.MIN_DOCS:
+            assert model.table[b] == -1
+            continue
+        p, q = (1 + sum(b in s for s, c in zip(seen[:cut], y[:cut], strict=True) if c == k) for k in (1, 0))
+        want = np.log(p / (1 + (y[:cut] == 1).sum())) - np.log(q / (1 + (y[:cut] == 0).sum()))
+        assert abs(model.ratio[model.table[b]] - want) < 1e-5
+    for s, score in zip(seen, model.scores(data, bounds), strict=True):
+        at = [model.table[b] for b in s if model.table[b] >= 0]
+        ratio = model.ratio[at].astype(float)
+        margin = (ratio * model.weight[at]).sum() / np.sqrt((ratio**2).sum()) + model.bias
+        assert abs(score - 1 / (1 + np.exp(-(model.a * margin + model.b)))) < 1e-5
+
+
+def test_factor_model_against_all_pairs():
+    rng = np.random.default_rng(7)
+    table = np.full(1 << toxicity.BITS, -1, np.int32)
+    texts = ["alpha beta gamma delta", "alpha alpha", "", "beta zeta"]
+    ((_, _, data, bounds),) = text_slices(pa.array(texts))
+    rows, buckets = terms(data, bounds)
+    kept = np.unique(buckets)[:6]
+    table[kept] = np.arange(6)
+    model = toxicity.FactorModel(table, 0.3, rng.normal(size=6), rng.normal(size=(6, 8)), 0.7, -0.2)
+    for r, score in enumerate(model.scores(data, bounds)):
+        at = sorted({int(table[b]) for x, b in zip(rows, buckets, strict=True) if x == r and table[b] >= 0})
+        margin = 0.3 + sum(model.linear[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for i in at for j in at if i < j)
+        assert abs(score - 1 / (1 + np.exp(-(0.7 * margin - 0.2)))) < 1e-5
+
+
+def test_language_scores_against_loops():
+    texts = ["Abé 漢", "", "zz", "né Abé"]
+    ((_, _, data, bounds),) = text_slices(pa.array(texts))
+    codes, at = langid.characters(data, bounds)
+    assert np.diff(at).tolist() == [len(t) for t in texts]
+    assert codes[at[0] : at[0] + 3].tolist() == codes[at[3] + 3 : at[3] + 6].tolist()
+    counts = np.random.default_rng(1).integers(0, 50, (3, 1 << langid.BITS)).astype(float)
+    model = langid.LanguageModel(["a", "b", "c"], counts)
+    got = model.scores(data, bounds)
+    for r in range(len(texts)):
+        own = codes[at[r] : at[r + 1]]
+        want = np.zeros(3)
+        for n in langid.ORDERS:
+            for i in range(len(own) - n + 1):
+                b = langid.ngram_buckets(own[i : i + n], np.array([0, n]), n)[0]
+                want += np.log((counts[:, b] + 0.5) / (counts + 0.5).sum(1))
+        assert np.allclose(got[r], want, atol=1e-3)
+
+
+def test_toxicity_learns_no_noise_from_a_small_sample(spark):
+    """Few labels, many words that mean nothing: the held-out fold has to come out clean."""
+    rng = random.Random(9)
+    rows, truth = [], {}
+    for i in range(400):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 400))]
+        truth[i] = int(rng.random() < 0.13)
+        if truth[i]:
+            w[rng.randrange(len(w))] = rng.choice(["vile", "scum", "trash"])
+        rows.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(d, 1, y) for d, y in truth.items()], LABELS)
+    held = [(r.predicted, truth[r.doc_id]) for r in score_toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect() if r.held_out]
+    found = sum(p and y for p, y in held)
+    assert found >= 0.8 * sum(y for _, y in held) and sum(p for p, _ in held) - found <= 1
+
+
+def test_one_id_of_many_rows_is_one_labelled_document(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(50)] + [(2, "u"), (3, "v"), (4, "w")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 8)], LABELS)
+    assert labelled_sample(docs, labels, "quality", 100, "s").count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 5))
+
+
 def test_many_short_texts_in_a_slice():
     data = pa.array([f"w{i}" for i in range(50_000)])
     rows = [a + r for a, _, d, bounds in text_slices(data) for r in np.unique(terms(d, bounds)[0])]
