@@ -2,29 +2,70 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .draws import KING_WEN, TRIGRAMS
 
-# Fixed values.
-FIGURES = """1111 Via The Way
-1110 Cauda Draconis Tail of the Dragon
-1101 Puer The Boy
-1100 Fortuna Minor Lesser Fortune
-1011 Puella The Girl
-1010 Amissio Loss
-1001 Carcer The Prison
-1000 Laetitia Joy
-0111 Caput Draconis Head of the Dragon
-0110 Conjunctio Conjunction
-0101 Acquisitio Gain
-0100 Rubeus Red
-0011 Fortuna Major Greater Fortune
-0010 Albus White
-0001 Tristitia Sorrow
-0000 Populus The People"""
-RUNES = "Fehu Uruz Thurisaz Ansuz Raidho Kenaz Gebo Wunjo Hagalaz Nauthiz Isa Jera Eihwaz Perthro Algiz Sowilo Tiwaz Berkano Ehwaz Mannaz Laguz Ingwaz Dagaz Othala"
-ALIKE_TURNED = "Gebo Hagalaz Nauthiz Isa Jera Eihwaz Sowilo Ingwaz Dagaz"
+
+class Figure(NamedTuple):
+    rows: str
+    name: str
+    meaning: str
+
+
+class Rune(NamedTuple):
+    name: str
+    invertible: bool
+
+
+# Rows of the figures, top first (1 is one point, 0 two), with their names and what these mean.
+FIGURES = (
+    Figure("1111", "Via", "The Way"),
+    Figure("1110", "Cauda Draconis", "Tail of the Dragon"),
+    Figure("1101", "Puer", "The Boy"),
+    Figure("1100", "Fortuna Minor", "Lesser Fortune"),
+    Figure("1011", "Puella", "The Girl"),
+    Figure("1010", "Amissio", "Loss"),
+    Figure("1001", "Carcer", "The Prison"),
+    Figure("1000", "Laetitia", "Joy"),
+    Figure("0111", "Caput Draconis", "Head of the Dragon"),
+    Figure("0110", "Conjunctio", "Conjunction"),
+    Figure("0101", "Acquisitio", "Gain"),
+    Figure("0100", "Rubeus", "Red"),
+    Figure("0011", "Fortuna Major", "Greater Fortune"),
+    Figure("0010", "Albus", "White"),
+    Figure("0001", "Tristitia", "Sorrow"),
+    Figure("0000", "Populus", "The People"),
+)
+# The elder runes in their order; those alike when turned can't be inverted.
+RUNES = (
+    Rune("Fehu", True),
+    Rune("Uruz", True),
+    Rune("Thurisaz", True),
+    Rune("Ansuz", True),
+    Rune("Raidho", True),
+    Rune("Kenaz", True),
+    Rune("Gebo", False),
+    Rune("Wunjo", True),
+    Rune("Hagalaz", False),
+    Rune("Nauthiz", False),
+    Rune("Isa", False),
+    Rune("Jera", False),
+    Rune("Eihwaz", False),
+    Rune("Perthro", True),
+    Rune("Algiz", True),
+    Rune("Sowilo", False),
+    Rune("Tiwaz", True),
+    Rune("Berkano", True),
+    Rune("Ehwaz", True),
+    Rune("Mannaz", True),
+    Rune("Laguz", True),
+    Rune("Ingwaz", False),
+    Rune("Dagaz", False),
+    Rune("Othala", True),
+)
 AETTIR = ("Freyr", "Heimdall", "Tyr")
 TRIGRAM_NAMES = {"111": "Heaven", "110": "Lake", "101": "Fire", "100": "Thunder", "011": "Wind", "010": "Water", "001": "Mountain", "000": "Earth"}
 SUITS = ("Wands", "Cups", "Swords", "Pentacles")
@@ -42,14 +83,14 @@ PROVIDERS = {
 
 
 def figures(spark: SparkSession) -> DataFrame:
-    """``(binary, value, points, name)``; a row of 1 is one point, of 0 two."""
-    rows = [(x[:4], int(x[:4], 2), 8 - x[:4].count("1"), x[5:]) for x in FIGURES.split("\n")]
-    return spark.createDataFrame(rows, "binary string, value int, points int, name string")
+    """``(binary, value, points, name, meaning)``; a row of 1 is one point, of 0 two."""
+    rows = [(f.rows, int(f.rows, 2), 8 - f.rows.count("1"), f.name, f.meaning) for f in FIGURES]
+    return spark.createDataFrame(rows, "binary string, value int, points int, name string, meaning string")
 
 
 def runes(spark: SparkSession) -> DataFrame:
-    """``(index, name, aett, invertible)``; runes alike when turned have no reversed reading."""
-    return spark.createDataFrame([(i, r, AETTIR[i // 8], r not in ALIKE_TURNED.split()) for i, r in enumerate(RUNES.split())], "index int, name string, aett string, invertible boolean")
+    """``(index, name, aett, invertible)``, eight runes to an aett."""
+    return spark.createDataFrame([(i, r.name, AETTIR[i // 8], r.invertible) for i, r in enumerate(RUNES)], "index int, name string, aett string, invertible boolean")
 
 
 def cards(spark: SparkSession) -> DataFrame:

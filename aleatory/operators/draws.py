@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.bytes import fnv1a
-from ..functions.positions import positions
+from ..functions.chunks import each, lists, rechunk
+from ..functions.positions import offsets
 from .protocols import log_bayes_factor
 
 # Fixed values. King Wen numbers by lower (row) and upper (column) trigram, both in the order of TRIGRAMS.
@@ -35,13 +38,25 @@ def width(n: int) -> int:
     return math.ceil((n - 1).bit_length() / 8)
 
 
-def uniform_ints(data: DataFrame, n: int) -> DataFrame:
-    """``(source, pos, b)`` to ``(source, i, v)``: draws below n from consecutive big-endian values, those at or over the last full multiple of n refused."""
-    k = width(n)
-    place = F.element_at(F.array(*[F.lit(256 ** (k - 1 - i)) for i in range(k)]), (F.col("pos") % k + 1).cast("int"))
-    v = data.groupBy("source", F.floor(F.col("pos") / k).alias("p")).agg(F.sum(F.col("b") * place).alias("v"), F.count("*").alias("c"))
-    fine = v.where((F.col("c") == k) & (F.col("v") < 256**k // n * n))
-    return positions(fine, ["source"], "p", "i").select("source", "i", (F.col("v") % n).cast("int").alias("v"))
+def uniform_ints(data: DataFrame, n: int, chunk: int = 1 << 14) -> DataFrame:
+    """Chunks ``(source, off, bytes)`` to ``(source, i, v)``: draws below n from consecutive big-endian values, those at or over the last full multiple of n refused.
+
+    Each chunk (of ``chunk`` values) gives a list of draws; sums of their numbers give their places.
+    """
+    k = max(width(n), 1)
+
+    def draw(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        starts, counts = bounds[:-1], np.diff(bounds) // k  # a last value of too few bytes is left over
+        row = np.repeat(np.arange(len(off)), counts)
+        at = starts[row] + k * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
+        value = sum((raw[at + i].astype(np.int64) << (8 * (k - 1 - i)) for i in range(k)), np.zeros(len(at), np.int64))
+        fine = value < 256**k // n * n
+        drawn = np.bincount(row[fine], minlength=len(off))
+        return np.arange(len(off)), {"v": lists((value[fine] % n).astype(np.int32), drawn, pa.int32()), "n": pa.array(drawn)}
+
+    drawn = each(rechunk(data, chunk * k), draw, "v array<int>, n bigint", ("source", "off"))
+    placed = offsets(drawn, ["source"], "off", "n", "o", bucket=chunk * k * 4096)
+    return placed.select("source", "o", F.posexplode("v").alias("j", "v")).select("source", (F.col("o") + F.col("j")).alias("i"), "v")
 
 
 class _Cursor:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.chunks import each, rechunk, strings
 from ..functions.positions import offsets
 
 #: Share of an output's bits that a vetted conditioner may claim.
@@ -16,15 +19,21 @@ VETTED = 0.999
 
 
 def von_neumann(data: DataFrame) -> DataFrame:
-    """Bytes ``(source, pos, b)`` to ``(source, i, bit)``: pairs of bits 01 give 0, 10 give 1, others nothing.
+    """Chunks ``(source, off, bytes)`` to ``(source, off, i, bits)``: pairs of bits 01 give 0, 10 give 1, others nothing; ``bits`` is a string of 0 and 1, ``i`` the place of its first bit in the output.
 
-    A byte holds four whole pairs, so each byte gives its own bits, and sums of
+    A byte holds four whole pairs, so each chunk gives its own bits, and sums of
     their numbers give their places.
     """
-    pairs = F.array(*[F.call_function("shiftright", "b", F.lit(k)).bitwiseAND(F.lit(3)) for k in (6, 4, 2, 0)])
-    bits = F.transform(F.filter(pairs, lambda p: (p == 1) | (p == 2)), lambda p: p - 1)
-    each = data.select("source", "pos", bits.alias("bits")).withColumn("n", F.size("bits"))
-    return offsets(each, ["source"], "pos", "n", "o").select("source", "o", F.posexplode("bits").alias("j", "bit")).select("source", (F.col("o") + F.col("j")).alias("i"), "bit")
+
+    def debias(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        pairs = np.unpackbits(raw).reshape(-1, 2)
+        kept = pairs[:, 0] != pairs[:, 1]
+        upto = np.append(0, np.cumsum(kept))
+        counts = upto[4 * bounds[1:]] - upto[4 * bounds[:-1]]
+        return np.arange(len(off)), {"bits": strings(pairs[kept, 0] + 48, counts), "n": pa.array(counts)}
+
+    out = each(data, debias, "bits string, n bigint", ("source", "off"))
+    return offsets(out, ["source"], "off", "n", "i").where("n > 0").select("source", "off", "i", "bits")
 
 
 def _peres(bits: list[int], depth: int) -> list[int]:
@@ -56,19 +65,32 @@ def pool_bytes(h: float, safety: float) -> int:
 
 
 def condition(data: DataFrame, block: int) -> DataFrame:
-    """``(source, pos, b)`` to ``(source, block, digest)``: SHA-256 of each full pool, as hex."""
-    pool = data.groupBy("source", F.floor(F.col("pos") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("x")).where(F.size("x") == block)
-    text = F.array_join(F.transform("x", lambda e: F.lpad(F.hex(e["b"]), 2, "0")), "")
-    return pool.select("source", "block", F.sha2(F.unhex(text), 256).alias("digest"))
-
-
-def toeplitz(bits: DataFrame, seed: DataFrame, inputs: int, outputs: int) -> DataFrame:
-    """``(key, pos, bit)`` and ``(pos, s)`` of a seed of inputs + outputs - 1 bits to ``(key, i, bit)``: y(i) = XOR over j of s(i - j + inputs - 1) * x(j)."""
-    wide = bits.where(f"bit = 1 and pos < {inputs}").select("key", F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(outputs - 1))).alias("i"))
-    hit = wide.withColumn("pos", F.col("i") - F.col("j") + inputs - 1).join(F.broadcast(seed), "pos")  # the seed's length is a parameter
-    ones = hit.groupBy("key", "i").agg(F.bit_xor("s").alias("bit"))
-    every = bits.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0), F.lit(outputs - 1))).alias("i"))
-    return every.join(ones, ["key", "i"], "left").select("key", "i", F.coalesce("bit", F.lit(0)).alias("bit"))
+    """Chunks ``(source, off, bytes)`` to ``(source, block, digest)``: SHA-256 of each full pool, as hex."""
+    pool = rechunk(data, block).where(F.length("bytes") == block)
+    return pool.select("source", F.floor(F.col("off") / block).alias("block"), F.sha2("bytes", 256).alias("digest"))
+
+
+def hex_words(h: Column, digits: int) -> Column:
+    """A hex string of so many digits as 64-bit words, the last one filled up with zeros."""
+    half = lambda i: F.conv(F.rpad(F.substring(h, i + 1, 8), 8, "0"), 16, 10).cast("bigint")
+    return F.array(*[F.call_function("shiftleft", half(i), F.lit(32)).bitwiseOR(half(i + 8) if i + 8 < digits else F.lit(0).cast("bigint")) for i in range(0, digits, 16)])
+
+
+def toeplitz(words: Column, seed: str, inputs: int, outputs: int) -> Column:
+    """Input bits, as 64-bit words with the first bit highest, to a string of outputs: y(i) = XOR over j of s(i - j + inputs - 1) * x(j), of a seed of inputs + outputs - 1 bits (0 and 1).
+
+    Row i of the matrix is a reversed window of the seed; a bit is the parity of the ones that input and window share.
+    """
+    if len(seed) != inputs + outputs - 1:
+        raise ValueError("a seed of inputs + outputs - 1 bits")
+
+    def window(i: int) -> Column:
+        row = seed[i : i + inputs][::-1].ljust(-(-inputs // 64) * 64, "0")
+        signed = [int(row[k : k + 64], 2) for k in range(0, len(row), 64)]
+        return F.array(*[F.lit(v - (1 << 64) if v >> 63 else v).cast("bigint") for v in signed])
+
+    shared = lambda w: F.aggregate(F.zip_with(words, w, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda a, n: a + n)
+    return F.array_join(F.transform(F.array(*[window(i) for i in range(outputs)]), lambda w: (shared(w) % 2).cast("string")), "")
 
 
 def toeplitz_output_bits(k: Column, epsilon: float) -> Column:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunks import each, rechunk, slices
+
 
 def rct_cutoff(h: float) -> int:
     return 1 + math.ceil(20 / h)
@@ -25,27 +29,50 @@ def apt_cutoff(h: float, window: int) -> int:
     return window + 1
 
 
+def _run_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each byte: where its run of equal bytes starts, runs ending with their chunk."""
+    new = np.ones(len(raw), bool)
+    new[1:] = raw[1:] != raw[:-1]
+    new[bounds[:-1][bounds[:-1] < len(raw)]] = True
+    return np.maximum.accumulate(np.where(new, np.arange(len(raw)), 0))
+
+
 def rct_alarms(data: DataFrame, cutoff: int, bucket: int = 1 << 16) -> DataFrame:
-    """``(source, pos, b)`` of each alarm: the place in a run reaches the cutoff, and every cutoff - 1 after.
+    """Chunks ``(source, off, bytes)`` to ``(source, pos, b)`` of each alarm: the place in a run reaches the cutoff, and every cutoff - 1 after.
 
-    Runs are found by buckets of positions; a run that reaches a bucket's start
-    is continued with the length that it has there, carried by one row per bucket.
+    Runs are found in chunks of ``bucket`` bytes; a run that reaches a chunk's
+    start is continued with the length that it has there, carried by one row per
+    chunk.
     """
-    d = data.withColumn("__k", F.floor(F.col("pos") / bucket))
-    w = Window.partitionBy("source", "__k").orderBy("pos")
-    runs = d.withColumn("__new", (F.lag("b").over(w).isNull() | (F.lag("b").over(w) != F.col("b"))).cast("int"))
-    runs = runs.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("__r", F.row_number().over(Window.partitionBy("source", "__k", "__run").orderBy("pos")))
-    ends = runs.groupBy("source", "__k").agg(F.min_by("b", "pos").alias("first"), F.max_by("b", "pos").alias("last"), F.max_by("__r", "pos").alias("tail"), F.max("__run").alias("n"))
-    order = Window.partitionBy("source").orderBy("__k")
-    chain = ends.withColumn("prev", F.lag("last").over(order)).withColumn("start", ((F.col("n") > 1) | F.col("prev").isNull() | (F.col("prev") != F.col("first"))).cast("int"))
+    chunks = rechunk(data, bucket)
+
+    def ends(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        start = _run_starts(raw, bounds)
+        last = bounds[1:] - 1
+        columns = {"first": raw[bounds[:-1]], "last": raw[last], "tail": bounds[1:] - start[last], "whole": start[last] == bounds[:-1]}
+        return np.arange(len(off)), {"k": pa.array(off // bucket), **{c: pa.array(v.astype(np.int64)) for c, v in columns.items()}}
+
+    order = Window.partitionBy("source").orderBy("k")
+    chain = each(chunks, ends, "k bigint, first bigint, last bigint, tail bigint, whole bigint").withColumn("prev", F.lag("last").over(order))
+    chain = chain.withColumn("start", ((F.col("whole") == 0) | F.col("prev").isNull() | (F.col("prev") != F.col("first"))).cast("int"))
     chain = chain.withColumn("g", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = Window.partitionBy("source", "g").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
-    chain = chain.withColumn("tail", F.sum("tail").over(upto))
-    carry = chain.select("source", (F.col("__k") + 1).alias("__k"), F.col("tail").alias("carry"), F.col("last").alias("__last"))
-    r = runs.join(carry, ["source", "__k"], "left")
-    length = F.col("__r") + F.when((F.col("__run") == 1) & (F.col("b") == F.col("__last")), F.col("carry")).otherwise(0)
-    return r.withColumn("r", length).where((F.col("r") >= cutoff) & ((F.col("r") - cutoff) % (cutoff - 1) == 0)).select("source", "pos", "b")
+    upto = Window.partitionBy("source", "g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    carry = chain.select("source", (F.col("k") + 1).alias("k"), F.sum("tail").over(upto).alias("carry"), "last")
+    joined = chunks.withColumn("k", F.floor(F.col("off") / bucket)).join(carry, ["source", "k"], "left").select("source", "off", "bytes", F.coalesce("carry", F.lit(0)).alias("carry"), F.coalesce("last", F.lit(-1)).alias("last"))
+
+    def alarms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, carried, last = (batch.column(c).to_numpy() for c in ("off", "carry", "last"))
+            for a, b, raw, bounds in slices(batch.column("bytes")):
+                row = np.repeat(np.arange(a, b), np.diff(bounds))
+                start = _run_starts(raw, bounds)
+                first = bounds[row - a]
+                goes_on = (start == first) & (raw == last[row])
+                length = np.arange(len(raw)) - start + 1 + np.where(goes_on, carried[row], 0)
+                hit = np.flatnonzero((length >= cutoff) & ((length - cutoff) % (cutoff - 1) == 0))
+                yield pa.RecordBatch.from_arrays([batch.column("source").take(pa.array(row[hit])), pa.array(off[row[hit]] + hit - first[hit]), pa.array(raw[hit].astype(np.int32))], names=["source", "pos", "b"])
+
+    return joined.mapInArrow(alarms, f"source {dict(data.dtypes)['source']}, pos bigint, b int")
 
 
 def apt_windows(data: DataFrame, window: int, cutoff: int) -> DataFrame:

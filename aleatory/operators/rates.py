@@ -45,6 +45,11 @@ def mask(digits: Column, base: int = BASE) -> Column:
     return F.transform(digits, lambda v: (F.floor(v * 256 / base + 0.5) % 256).cast("int"))
 
 
+def mask_bytes(digits: list[int], base: int = BASE) -> list[int]:
+    """The same for a fixed rate."""
+    return [int(v * 256 / base + 0.5) % 256 for v in digits]
+
+
 def mask_at(digits: Column, i: Column, base: int = BASE) -> Column:
     return F.element_at(mask(digits, base), (i % F.size(digits) + 1).cast("int"))
 

@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chunks import each
+
 BITS_PER_TRIAL = 200
 MIN_CALIBRATION = 500
 
 
 def trials_from_bytes(data: DataFrame, bits: int = BITS_PER_TRIAL) -> DataFrame:
-    """``(source, pos, b)`` to ``(source, t, sum)``: one-bits of each ``bits`` consecutive bits; a partial last trial is dropped.
+    """Chunks ``(source, off, bytes)`` to ``(source, t, sum)``: one-bits of each ``bits`` consecutive bits; a partial last trial is dropped.
 
-    A byte touches at most two trials, so it gives at most two partial counts,
-    which are added up before the shuffle.
+    A chunk gives one partial count for each trial that it touches; these are
+    added up before the shuffle.
     """
     if bits < 8:
         raise ValueError("a trial has at least 8 bits")
-    if bits % 8 == 0:
-        parts = data.select("source", F.floor(F.col("pos") / (bits // 8)).alias("t"), F.bit_count("b").alias("ones"), F.lit(8).alias("n"))
-    else:
-        first = F.col("pos") * 8
-        t = F.floor(first / bits)
-        left = F.least((t + 1) * bits - first, F.lit(8)).cast("int")  # bits of this byte that belong to trial t
-        high = F.call_function("shiftright", F.col("b"), 8 - left)
-        low = F.col("b") - F.call_function("shiftleft", high, 8 - left)
-        both = F.array(F.struct(t.alias("t"), F.bit_count(high).alias("ones"), left.alias("n")), F.struct((t + 1).alias("t"), F.bit_count(low).alias("ones"), (8 - left).alias("n")))
-        parts = data.select("source", F.explode(both).alias("x")).select("source", "x.*").where("n > 0")
+
+    def count(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        ones = np.append(0, np.cumsum(np.unpackbits(raw), dtype=np.int32))
+        start, size = off * 8, np.diff(bounds) * 8
+        first = start // bits
+        pieces = np.where(size > 0, (start + size - 1) // bits - first + 1, 0)
+        row = np.repeat(np.arange(len(off)), pieces)
+        t = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        low = np.maximum(t * bits, start[row]) - start[row]
+        high = np.minimum((t + 1) * bits - start[row], size[row])
+        at = 8 * bounds[row]
+        return row, {"t": pa.array(t), "ones": pa.array((ones[at + high] - ones[at + low]).astype(np.int32)), "n": pa.array((high - low).astype(np.int32))}
+
+    parts = each(data, count, "t bigint, ones int, n int")
     full = parts.groupBy("source", "t").agg(F.sum("ones").cast("int").alias("sum"), F.sum("n").alias("n")).where(F.col("n") == bits)
-    return full.select("source", F.col("t").cast("bigint").alias("t"), "sum")
+    return full.select("source", "t", "sum")
 
 
 def theoretical_calibration(bits: int = BITS_PER_TRIAL) -> tuple[float, float]:

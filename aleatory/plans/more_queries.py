@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.bytes import bit_string
+from ..functions.chunks import xor_mask
 from ..operators import draws as dr
 from ..operators import letters as le
 from ..operators import rates as ra
@@ -16,7 +17,7 @@ from ..operators import vdf
 from ..sources import frames as fr
 from ..sources import strategies as st
 from ..streaming import live
-from .registry import BYTES, DIGEST, byte_stream, digest, query, read, rounded
+from .registry import BYTES, DIGEST, byte_stream, chunk_stream, digest, query, read, rounded
 
 _BITSTR = "array_to_string(list_transform(regexp_extract_all(h, '.'), lambda x: lpad(bin(('0x' || x)::int), 4, '0')), '')"
 
@@ -27,12 +28,12 @@ def _bits():
 
 @query("uniform_int", f"with {BYTES}, f as (select source, pos, b, row_number() over (partition by source order by pos) - 1 as i from byt where b < 240) select source, i, b % 24 as v from f")
 def _(spark, d):
-    return dr.uniform_ints(byte_stream(spark, d), 24)
+    return dr.uniform_ints(chunk_stream(spark, d), 24)
 
 
 @query("uniform_int_wide", f"with {BYTES}, w as (select source, pos // 2 as p, sum(case when pos % 2 = 0 then b * 256 else b end)::int as v from byt group by all), f as (select source, v, row_number() over (partition by source order by p) - 1 as i from w where v < 65065) select source, i, v % 1001 as v from f")
 def _(spark, d):
-    return dr.uniform_ints(byte_stream(spark, d), 1001)
+    return dr.uniform_ints(chunk_stream(spark, d), 1001)
 
 
 _LINE = "case when v = 0 then 6 when v < 4 then 7 when v < 7 then 8 else 9 end"
@@ -137,9 +138,9 @@ def _fixed():
     return F.array(F.lit(7), F.lit(40), F.lit(23))
 
 
-@query("xor_imprint", f"with {BYTES} select source, pos, xor(b, {_M}) as b from byt")
+@query("xor_imprint", f"with {BYTES} select source, pos // 32 * 32 as off, string_agg(printf('%02x', xor(b, {_M})), '' order by pos) as h from byt group by 1, 2")
 def _(spark, d):
-    return byte_stream(spark, d).select("source", "pos", ra.xor_imprint(F.col("b"), _fixed(), F.col("pos")).alias("b"))
+    return chunk_stream(spark, d).select("source", "off", F.lower(F.hex(xor_mask(ra.mask_bytes([7, 40, 23]))("bytes", "off"))).alias("h"))
 
 
 @query("phase_modulate", f"with {BYTES} select source, round(sum(x), 3) as total, count(*) as n from (select source, ((2 * pi() * b / 256 + [7, 40, 23][(pos % 3 + 1)::int] * 2 * pi() / 44) % (2 * pi())) as x from byt) group by source")
@@ -329,7 +330,7 @@ def _(spark, d):
 
 @query("histogram_decay", f"with {BYTES}, c as (select source, pos // 4096 as chunk, b // 8 as bin, count(*) as c from byt group by all), l as (select source, max(chunk) as last from c group by source) select source, bin::int as bin, round(sum(c * 0.9::double ** (last - chunk)), 6) as weight from c join l using (source) group by all")
 def _(spark, d):
-    return rounded(fr.decayed_histogram(byte_stream(spark, d).select("source", F.floor(F.col("pos") / 4096).alias("chunk"), "b")))
+    return rounded(fr.decayed_histogram(chunk_stream(spark, d)))
 
 
 @query("frame_roundtrip", "select event_id, round(event_id::double, 6) as x, round(value, 6) + 0.0 as y from events")

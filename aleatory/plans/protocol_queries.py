@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import numerics as nu
 from ..functions.bytes import bit_string, hmac_sha256
+from ..functions.chunks import low_bits
 from ..operators import extract as ex
 from ..operators import health
 from ..operators import network as net
 from ..operators import protocols as pr
-from .registry import BYTES, DIGEST, TRIALS, Z, byte_stream, digest, query, read, rounded, trials256, z256
+from .registry import BYTES, DIGEST, TRIALS, Z, byte_stream, chunk_stream, digest, query, read, rounded, trials256, z256
 
 _NIB = f"{BYTES}, nib as (select source, pos, b & 1 as b from byt)"
 
@@ -21,7 +22,7 @@ def _low_bits(spark, d):
 
 @query("rct_alarms", f"with {_NIB}, g as (select *, pos - row_number() over (partition by source, b order by pos) as g from nib), r as (select source, pos, b, row_number() over (partition by source, b, g order by pos) as r from g) select source, pos, b from r where r >= 9 and (r - 9) % 8 = 0")
 def _(spark, d):
-    return health.rct_alarms(_low_bits(spark, d), 9)
+    return health.rct_alarms(chunk_stream(spark, d).withColumn("bytes", low_bits("bytes")), 9)
 
 
 @query("apt_windows", f"with {_NIB}, w as (select source, pos // 64 as w, first_value(b) over (partition by source, pos // 64 order by pos) as first, b from nib) select source, w, first, count(*) filter (b = first) as count, count(*) filter (b = first) >= 42 as alarm from w group by source, w, first having count(*) = 64")
@@ -40,9 +41,9 @@ def _(spark, d):
     return spark.createDataFrame(rows, "h double, rct int, apt int")
 
 
-@query("von_neumann", f"with {BYTES}, bits as (select source, pos * 8 + i as p, (b >> (7 - i)::int) & 1 as bit from byt, range(0, 8) r(i)), pr as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from bits group by all) select source, row_number() over (partition by source order by p) - 1 as i, a as bit from pr where a <> b")
+@query("von_neumann", f"with {BYTES}, bits as (select source, pos * 8 + i as p, (b >> (7 - i)::int) & 1 as bit from byt, range(0, 8) r(i)), pr as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from bits group by all), kept as (select source, p, a, row_number() over (partition by source order by p) - 1 as i from pr where a <> b) select source, p // 128 * 32 as off, min(i) as i, string_agg(a::varchar, '' order by p) as bits from kept group by 1, 2")
 def _(spark, d):
-    return ex.von_neumann(byte_stream(spark, d))
+    return ex.von_neumann(chunk_stream(spark, d))
 
 
 @query("peres")
@@ -52,25 +53,22 @@ def _(spark, d):
 
 @query("condition_blocks", f"with {BYTES} select source, pos // 48 as block, sha256(unhex(string_agg(printf('%02X', b), '' order by pos))) as digest from byt group by all having count(*) = 48")
 def _(spark, d):
-    return ex.condition(byte_stream(spark, d), 48)
+    return ex.condition(chunk_stream(spark, d), 48)
 
 
-_SEED = "243f6a8885a308d313198a2e03707344"
+_SEED = "243f6a8885a308d313198a2e03707344a4093822299f31d0082efa98ec4e6c89452821e6"
 
 
 @query(
     "toeplitz",
-    f"""with {DIGEST}, x as (select source, t, j, (('0x' || substr(h, (j // 4 + 1)::int, 1))::int >> (3 - j % 4)::int) & 1 as x from dig, range(0, 64) r(j)),
-    s as (select p, (('0x' || substr('{_SEED}', (p // 4 + 1)::int, 1))::int >> (3 - p % 4)::int) & 1 as s from range(0, 79) r(p))
-    select source, t, i::int as i, bit_xor(s & x)::int as bit from x, range(0, 16) o(i), s where p = i - j + 63 group by all""",
+    f"""with {DIGEST}, x as (select source, t, j, (('0x' || substr(h, (j // 4 + 1)::int, 1))::int >> (3 - j % 4)::int) & 1 as x from dig, range(0, 256) r(j)),
+    s as (select p, (('0x' || substr('{_SEED}', (p // 4 + 1)::int, 1))::int >> (3 - p % 4)::int) & 1 as s from range(0, 271) r(p)),
+    y as (select source, t, i, bit_xor(s & x)::int as bit from x, range(0, 16) o(i), s where x = 1 and p = i - j + 255 group by all)
+    select source, t, string_agg(bit::varchar, '' order by i) as bits from y group by all""",
 )
 def _(spark, d):
-    seed = spark.range(0, 79).select(F.col("id").alias("pos"), F.shiftright(F.conv(F.substr(F.lit(_SEED), (F.floor(F.col("id") / 4) + 1).cast("int"), F.lit(1)), 16, 10).cast("int"), 0).alias("n"), (3 - F.col("id") % 4).cast("int").alias("k"))
-    seed = seed.select("pos", F.call_function("shiftright", "n", "k").bitwiseAND(F.lit(1)).alias("s"))
-    bits = digest(spark, d).select(F.struct("source", "t").alias("key"), F.posexplode(F.regexp_extract_all(F.substring("h", 1, 16), F.lit("."), F.lit(0))).alias("p", "x"))
-    bits = bits.select("key", "p", F.conv("x", 16, 10).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q"))
-    bits = bits.select("key", (F.col("p") * 4 + F.col("q")).alias("pos"), F.call_function("shiftright", "x", 3 - F.col("q")).bitwiseAND(F.lit(1)).alias("bit"))
-    return ex.toeplitz(bits, seed, 64, 16).select("key.source", "key.t", "i", "bit")
+    seed = "".join(f"{int(c, 16):04b}" for c in _SEED)[:271]
+    return digest(spark, d).select("source", "t", ex.toeplitz(ex.hex_words(F.col("h"), 64), seed, 256, 16).alias("bits"))
 
 
 @query("hmac_condition")

@@ -40,6 +40,11 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(e, ["source"], "event_id").select("source", "t", F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
 
 
+def chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(source, off, bytes)``: the digests, end to end."""
+    return digest(spark, sf_dir).select("source", (F.col("t") * 32).alias("off"), F.unhex("h").alias("bytes"))
+
+
 def byte_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source, pos, b)``: the digests' bytes, end to end."""
     return explode_bytes(digest(spark, sf_dir), F.col("h"), ["source", "t"]).select("source", (F.col("t") * 32 + F.col("pos")).alias("pos"), "b")

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from ..functions import numerics as nu
 from ..operators import network as net
 from ..operators import trials as tr
-from .registry import BYTES, TRIALS, Z, byte_stream, query, read, rounded, trials256, z256
+from .registry import BYTES, TRIALS, Z, chunk_stream, query, read, rounded, trials256, z256
 
 
 @query("trials_from_bytes", f"with {BYTES} select source, pos // 32 as t, sum(bit_count(b))::int as sum from byt group by all having count(*) = 32")
 def _(spark, d):
-    return tr.trials_from_bytes(byte_stream(spark, d), 256)
+    return tr.trials_from_bytes(chunk_stream(spark, d), 256)
 
 
 @query("trials_k200", f"with {BYTES} select source, pos // 25 as t, sum(bit_count(b))::int as sum from byt group by all having count(*) = 25")
 def _(spark, d):
-    return tr.trials_from_bytes(byte_stream(spark, d), 200)
+    return tr.trials_from_bytes(chunk_stream(spark, d), 200)
 
 
 @query(
@@ -26,7 +26,7 @@ def _(spark, d):
     select source, p // 12 as t, sum(bit)::int as sum from bits group by all having count(*) = 12""",
 )
 def _(spark, d):
-    return tr.trials_from_bytes(byte_stream(spark, d), 12)
+    return tr.trials_from_bytes(chunk_stream(spark, d), 12)
 
 
 @query("calibrate", f"with {TRIALS} select source, count(*) as trials, round(avg(sum), 6) as mean, round(stddev_samp(sum), 6) as sd from tri group by source having count(*) >= 500 and stddev_samp(sum) > 0")

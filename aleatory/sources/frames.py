@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
+from ..functions.chunks import each, rechunk
+
 VERSION = 1
 KINDS = {"bytes": 1, "series": 2, "matrix": 3}
 
@@ -65,10 +69,17 @@ def last_n(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
-def decayed_histogram(chunks: DataFrame, bins: int = 32, decay: float = 0.9) -> DataFrame:
-    """``(source, chunk, b)`` to ``(source, bin, weight)``: counts of byte bins, each chunk's weighing ``decay`` times the next one's."""
-    last = chunks.groupBy("source").agg(F.max("chunk").alias("last"))
-    counts = chunks.groupBy("source", "chunk", F.floor(F.col("b") * bins / 256).cast("int").alias("bin")).agg(F.count("*").alias("c"))
+def decayed_histogram(data: DataFrame, chunk: int = 4096, bins: int = 32, decay: float = 0.9) -> DataFrame:
+    """Chunks ``(source, off, bytes)`` to ``(source, bin, weight)``: counts of byte bins, each ``chunk`` bytes weighing ``decay`` times the next ones."""
+
+    def count(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        row = np.repeat(np.arange(len(off)), np.diff(bounds))
+        counts = np.bincount(row * bins + raw.astype(np.int64) * bins // 256, minlength=len(off) * bins)
+        hit = np.flatnonzero(counts)
+        return hit // bins, {"chunk": pa.array(off[hit // bins] // chunk), "bin": pa.array((hit % bins).astype(np.int32)), "c": pa.array(counts[hit])}
+
+    counts = each(rechunk(data, chunk), count, "chunk bigint, bin int, c bigint")
+    last = counts.groupBy("source").agg(F.max("chunk").alias("last"))
     return counts.join(last, "source").groupBy("source", "bin").agg(F.sum(F.col("c") * F.pow(F.lit(decay), F.col("last") - F.col("chunk"))).alias("weight"))
 
 

@@ -1,18 +1,19 @@
 """Closed forms, invariants and restated loops."""
 
+import hashlib
 import math
 import random
 from datetime import datetime
 
 import numpy as np
-
 import pytest
 from pyspark.sql import functions as F
 
 from aleatory.functions import bytes as by
 from aleatory.functions import numerics as nu
+from aleatory.functions.chunks import rechunk, xor_mask
 from aleatory.functions.positions import positions
-from aleatory.operators import draws, estimators, extract, flow, health, letters, network, protocols, rates, spatial, vdf
+from aleatory.operators import draws, estimators, extract, flow, health, letters, network, protocols, rates, spatial, trials, vdf
 from aleatory.sources import frames, providers
 from aleatory.streaming import live
 
@@ -56,8 +57,52 @@ def test_rct_alarms_follow_the_counter(spark):
             if count >= 6:
                 want.append((s, i))
                 count = 1
-    got = health.rct_alarms(frame(spark, data, "source string, pos bigint, b int"), 6, bucket=32)
-    assert sorted((r.source, r.pos) for r in got.collect()) == sorted(want)
+    for size in (1, 7, 100):
+        chunks = [(s, i, bytearray(b for t, j, b in data if t == s and i <= j < i + size)) for s in "xy" for i in range(0, 700, size)]
+        got = health.rct_alarms(frame(spark, chunks, "source string, off bigint, bytes binary"), 6, bucket=32)
+        assert sorted((r.source, r.pos) for r in got.collect()) == sorted(want)
+
+
+def test_chunks_of_any_size_give_the_same(spark):
+    """Trials, debiasing, draws and pools of a stream, however it is cut, against whole-array values."""
+    rng = np.random.default_rng(5)
+    whole = {s: rng.integers(0, 256, n).astype(np.uint8) for s, n in (("x", 1000), ("y", 333), ("z", 1))}
+    rows = []
+    for s, b in whole.items():
+        at = 0
+        while at < len(b):
+            size = int(rng.integers(1, 40))
+            rows.append((s, at, bytearray(b[at : at + size].tobytes())))
+            at += size
+    df = frame(spark, rows + [("x", 1000, bytearray())], "source string, off bigint, bytes binary").repartition(3)
+    for bits in (8, 13, 200):
+        want = {(s, t): int(x.sum()) for s, b in whole.items() for t, x in enumerate(np.unpackbits(b)[: 8 * len(b) // bits * bits].reshape(-1, bits))}
+        assert {(r.source, r.t): r["sum"] for r in trials.trials_from_bytes(df, bits).collect()} == want
+    got = sorted((r.source, r.i, r.bits) for r in extract.von_neumann(df).collect())
+    for s, b in whole.items():
+        pairs = np.unpackbits(b).reshape(-1, 2)
+        mine = [r for r in got if r[0] == s]
+        assert "".join(x for *_, x in mine) == "".join(str(a) for a, c in pairs if a != c)
+        assert [i for _, i, _ in mine] == np.append(0, np.cumsum([len(x) for *_, x in mine]))[:-1].tolist()
+    for n in (6, 256, 1000, 100_000):
+        k = draws.width(n)
+        values = {s: [v % n for v in (int.from_bytes(b[i : i + k].tobytes(), "big") for i in range(0, len(b) - k + 1, k)) if v < 256**k // n * n] for s, b in whole.items()}
+        drawn = draws.uniform_ints(df, n, chunk=16).collect()
+        assert sorted((r.source, r.i, r.v) for r in drawn) == sorted((s, i, v) for s, vs in values.items() for i, v in enumerate(vs))
+    pools = {(r.source, r.block): r.digest for r in extract.condition(df, 48).collect()}
+    assert pools == {(s, i): hashlib.sha256(b[48 * i : 48 * i + 48].tobytes()).hexdigest() for s, b in whole.items() for i in range(len(b) // 48)}
+    masked = df.select("source", "off", xor_mask([7, 200, 3])("bytes", "off").alias("bytes"))
+    again = rechunk(masked.select("source", "off", xor_mask([7, 200, 3])("bytes", "off").alias("bytes")), 64).collect()
+    assert {(r.source, r.off): bytes(r.bytes) for r in again} == {(s, i): b[i : i + 64].tobytes() for s, b in whole.items() for i in range(0, len(b), 64)}
+
+
+def test_toeplitz_against_the_matrix(spark):
+    rng = random.Random(6)
+    seed, h = "".join(rng.choice("01") for _ in range(100 + 20 - 1)), [f"{rng.getrandbits(100):025x}" for _ in range(20)]
+    got = frame(spark, [(x,) for x in h], "h string").select("h", extract.toeplitz(extract.hex_words(F.col("h"), 25), seed, 100, 20).alias("y")).collect()
+    for r in got:
+        x = [int(c) for c in f"{int(r.h, 16):0100b}"]
+        assert r.y == "".join(str(sum(int(seed[i - j + 99]) * x[j] for j in range(100)) % 2) for i in range(20))
 
 
 def test_apt_alarms_follow_the_sequential_test_across_segments(spark):
