@@ -172,9 +172,25 @@ def shield(bits: Column) -> Column:
     return F.struct(F.array(*mothers).alias("mothers"), F.array(*daughters).alias("daughters"), F.array(*nieces).alias("nieces"), F.array(right, left).alias("witnesses"), right.bitwiseXOR(left).alias("judge"))
 
 
-def scan_deviation(catalog: DataFrame, items: int, data: DataFrame, rounds: int) -> DataFrame:
-    """``catalog(ord, name)`` ranked by the Bayes factor of the low bits of bytes r * items + ord over the rounds."""
-    hits = data.where(F.col("pos") < rounds * items).groupBy((F.col("pos") % items).alias("ord")).agg(F.sum(F.col("b").bitwiseAND(F.lit(1))).alias("k"))
-    out = catalog.join(hits, "ord").withColumn("z", (F.col("k") - rounds / 2) / math.sqrt(rounds / 4)).withColumn("ln_bf", log_bayes_factor(F.col("k"), F.lit(rounds)))
-    order = Window.orderBy(F.desc("ln_bf"), fnv1a(F.col("name")), "name")  # one row per item of a catalogue
-    return out.select("ord", "name", "k", "z", "ln_bf", F.row_number().over(order).alias("rank"))
+def scan_deviation(catalog: DataFrame, items: int, data: DataFrame, most: int | None = None) -> DataFrame:
+    """``catalog(ord, name)`` ranked in each source by the Bayes factor of the low bits of bytes r * items + ord, over all full rounds that a source's chunks ``(source, off, bytes)`` hold (at most ``most``).
+
+    Chunks count their bits per item before the shuffle.
+    """
+
+    def count(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        row = np.repeat(np.arange(len(off)), np.diff(bounds))
+        item = (off[row] + np.arange(len(raw)) - bounds[row]) % items
+        k = np.bincount(row * items + item, raw & 1, len(off) * items).astype(np.int64)
+        return np.repeat(np.arange(len(off)), items), {"ord": pa.array(np.tile(np.arange(items), len(off))), "k": pa.array(k)}
+
+    rounds = F.floor(F.max(F.col("off") + F.length("bytes")) / items)
+    sizes = data.groupBy("source").agg((rounds if most is None else F.least(rounds, F.lit(most))).alias("rounds"))
+    limited = data.join(sizes, "source").where(F.col("off") < F.col("rounds") * items)
+    # A chunk over the end of the last full round is cut there.
+    whole = limited.select("source", "rounds", "off", F.substr("bytes", F.lit(1), F.least(F.length("bytes"), F.col("rounds") * items - F.col("off")).cast("int")).alias("bytes"))
+    hits = each(whole, count, "ord bigint, k bigint", ("source", "rounds")).groupBy("source", "rounds", "ord").agg(F.sum("k").alias("k"))
+    n = F.col("rounds")
+    out = catalog.join(hits, "ord").withColumn("z", (F.col("k") - n / 2) / F.sqrt(n / 4)).withColumn("ln_bf", log_bayes_factor(F.col("k"), n))
+    order = Window.partitionBy("source").orderBy(F.desc(F.round("ln_bf", 9)), fnv1a(F.col("name")), "name")  # one row per item of a catalogue
+    return out.select("source", "ord", "name", "rounds", "k", "z", "ln_bf", F.row_number().over(order).alias("rank"))

@@ -7,10 +7,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..functions.positions import ranked
+
 #: Means and null variances of the contrasts for a Gaussian.
 LOGCOSH_MEAN, LOGCOSH_NULL = 0.37456720749143796, 0.0063278669911599715
 EXP_MEAN, EXP_NULL = -1 / math.sqrt(2), 0.014850269189625764
@@ -97,9 +99,8 @@ def autocorrelation(series: DataFrame, lags: int) -> DataFrame:
 
 def vasicek(series: DataFrame) -> DataFrame:
     """``(series, n, entropy, negentropy)`` by m-spacings, m = floor(sqrt(n) + 1/2); a series with ties in a spacing is left out."""
-    rank = Window.partitionBy("series").orderBy("x", "t")
     size = series.groupBy("series").agg(F.count("*").alias("n"), F.var_pop("x").alias("var")).withColumn("m", F.floor(F.sqrt("n") + 0.5)).where("m < n / 2")
-    r = series.withColumn("r", F.row_number().over(rank)).join(size, "series").select("series", "r", "x", "n", "m", "var")
+    r = ranked(series, ["series"], "x", "t").withColumn("r", F.col("r") + 1).drop("n").join(size, "series").select("series", "r", "x", "n", "m", "var")
     up = r.select("series", F.greatest(F.col("r") - F.col("m"), F.lit(1)).alias("lo"), F.least(F.col("r") + F.col("m"), F.col("n")).alias("hi"), "n", "m", "var")
     at = r.select("series", F.col("r").alias("rr"), F.col("x"))
     ends = up.join(at.withColumnsRenamed({"rr": "lo", "x": "xl"}), ["series", "lo"]).join(at.withColumnsRenamed({"rr": "hi", "x": "xh"}), ["series", "hi"])
@@ -173,8 +174,14 @@ def _spectral_test(x: np.ndarray) -> tuple[float, float]:
 
 def _template_counts(x: np.ndarray, m: int, r: float, count: int) -> np.ndarray:
     """Of each of the first ``count`` templates of length m: how many are within r (itself too), in blocks of rows."""
-    t = np.lib.stride_tricks.sliding_window_view(x, m)[:count]
-    return np.concatenate([(np.abs(t[i : i + 256, None, :] - t[None]).max(2) <= r).sum(1) for i in range(0, len(t), 256)]) if len(t) else np.zeros(0)
+    block = max(1, (1 << 21) // max(len(x), 1))  # rows whose distances are held at a time: 16 MB
+    out = []
+    for i in range(0, count, block):
+        near = np.ones((min(block, count - i), count), bool)
+        for k in range(m):
+            near &= np.abs(x[i + k : i + k + len(near), None] - x[None, k : k + count]) <= r
+        out.append(near.sum(1))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def _sample_entropy(x: np.ndarray, m: int = 2) -> float:

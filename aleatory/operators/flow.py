@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import xorshift32
+from ..functions.positions import ranked
 
 
 def quantile_bins(series: DataFrame, bins: int) -> DataFrame:
     """``(series, t, s)``: floor(rank * bins / n), ties in order of t (not ntile, which parts remainders differently)."""
-    w = Window.partitionBy("series")
-    rank = F.row_number().over(w.orderBy("x", "t")) - 1
-    return series.select("series", "t", F.floor(rank * bins / F.count("*").over(w)).cast("int").alias("s"))
+    return ranked(series, ["series"], "x", "t").select("series", "t", F.floor(F.col("r") * bins / F.col("n")).cast("int").alias("s"))
 
 
 def equal_width_bins(series: DataFrame, bins: int) -> DataFrame:
@@ -25,10 +24,10 @@ def equal_width_bins(series: DataFrame, bins: int) -> DataFrame:
 
 
 def ordinal_patterns(series: DataFrame, order: int = 3, delay: int = 1) -> DataFrame:
-    """``(series, t, s, weight)``: Lehmer code of the stable ranks of x(t), x(t + delay), ...; weight is their population variance."""
-    w = Window.partitionBy("series").orderBy("t")
-    xs = [F.lead("x", j * delay).over(w) for j in range(order)]
-    df = series.select("series", "t", *[x.alias(f"x{j}") for j, x in enumerate(xs)]).where(f"x{order - 1} is not null")
+    """``(series, t, s, weight)``: Lehmer code of the stable ranks of x(t), x(t + delay), ...; weight is their population variance. ``t`` is dense."""
+    df = series.select("series", "t", F.col("x").alias("x0"))
+    for j in range(1, order):  # joins on t, so that one long series is dealt to all tasks
+        df = df.join(series.select("series", (F.col("t") - j * delay).alias("t"), F.col("x").alias(f"x{j}")), ["series", "t"])
     code = F.lit(0)
     for i in range(order):
         for j in range(i + 1, order):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..functions import numerics as nu
@@ -24,13 +26,16 @@ def _(spark, d):
     return byte_stream(spark, d).select("source", "pos", F.posexplode(dv.radio_bits(F.col("b"))).alias("i", "bit"))
 
 
-@query("frame_sign_bits", f"with {BYTES}, f as (select source, pos // 32 as frame, pos % 32 as pixel, b as v from byt where pos % 32 % 2 = 0) select n.source, n.frame, n.pixel, (n.v > p.v)::int as bit from f n join f p on p.source = n.source and p.frame + 1 = n.frame and p.pixel = n.pixel where n.v <> p.v")
+@query("frame_sign_bits", f"with {BYTES}, f as (select source, pos // 32 as frame, pos % 32 as pixel, b as v from byt where pos % 32 % 2 = 0), w as (select *, lag(v) over (partition by source, pixel order by frame) as before from f) select source, frame, pixel, (v > before)::int as bit from w where v <> before")
 def _(spark, d):
     pixels = byte_stream(spark, d).select("source", F.floor(F.col("pos") / 32).alias("frame"), (F.col("pos") % 32).alias("pixel"), F.col("b").alias("v"))
     return dv.sign_bits(pixels, 2)
 
 
-@query("probit_bytes")
+_PROBIT = [NormalDist().inv_cdf((b + 0.5) / 256) for b in range(256)]
+
+
+@query("probit_bytes", f"with {BYTES}, x as (select source, ({_PROBIT}::double[])[b + 1] as x from byt where pos % 2 = 0) select source, round(avg(x), 6) + 0.0 as mean, round(stddev_pop(x), 6) as sd, count(*) as n from x group by source")
 def _(spark, d):
     b = byte_stream(spark, d).where(F.col("pos") % 2 == 0).select("source", "pos", nu.norm_ppf((F.col("b") + 0.5) / 256).alias("x"))
     return rounded(b.groupBy("source").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import byte_histogram
+from ..functions.positions import positions
 from ..operators import estimators as es
 from .registry import BYTES, byte_stream, query, read, rounded
 
@@ -21,8 +21,8 @@ _SERIES = "ser as (select user_id as series, row_number() over (partition by use
 
 def series(spark, d):
     """``(series, t, x)``: values of each user, in order."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return read(spark, d, "events").select(F.col("user_id").alias("series"), (F.row_number().over(w) - 1).cast("bigint").alias("t"), F.col("value").alias("x"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("series"), "event_id", F.col("value").alias("x"))
+    return positions(e, ["series"], "event_id").select("series", "t", "x")
 
 
 def _hist(spark, d):
@@ -69,7 +69,15 @@ def _(spark, d):
     return rounded(_counts(spark, d).where("c.ones > 0 and c.ones < 8 * c.n").select("doc_id", es.runs_z(F.col("c")).alias("z")))
 
 
-@query("markov_min_entropy")
+@query(
+    "markov_min_entropy",
+    f"""with recursive {_BITS},
+    p as (select doc_id, n, case when n00 + n01 > 0 then n00 / (n00 + n01) else 0 end as p00, case when n00 + n01 > 0 then n01 / (n00 + n01) else 0 end as p01,
+      case when n10 + n11 > 0 then n10 / (n10 + n11) else 0 end as p10, case when n10 + n11 > 0 then n11 / (n10 + n11) else 0 end as p11, ones / n as one from cnt),
+    l as (select doc_id, n, {", ".join(f"case when {c} > 0 then log2({c}) else '-infinity'::double end as {n}" for n, c in (("l00", "p00"), ("l01", "p01"), ("l10", "p10"), ("l11", "p11"), ("a", "(1 - one)"), ("b", "one")))} from p),
+    path as (select doc_id, 1 as k, a, b from l union all select doc_id, k + 1, greatest(path.a + l00, path.b + l10), greatest(path.a + l01, path.b + l11) from path join l using (doc_id) where k < 128)
+    select doc_id, round(case when greatest(a, b) = '-infinity'::double then 0 else greatest(0, least(1, -greatest(a, b) / 128)) end, 6) + 0.0 as min_entropy from path where k = 128""",
+)
 def _(spark, d):
     return rounded(_counts(spark, d).select("doc_id", es.markov_min_entropy(F.col("c")).alias("min_entropy")))
 

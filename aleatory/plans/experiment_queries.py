@@ -9,7 +9,7 @@ from ..operators import dims, draws, experiment
 from ..operators import rates as ra
 from ..operators import spatial as sp
 from ..sources.frames import linear_scale
-from .registry import BYTES, DIGEST, Z, byte_stream, digest, query, read, rounded, trials256
+from .registry import BITSTR, BYTES, DIGEST, Z, byte_stream, digest, query, read, rounded, trials256
 
 
 def _events(spark, d):
@@ -77,13 +77,29 @@ def _(spark, d):
     return s.join(f, "value").select("s_suppkey", "value", (8 - F.col("points")).cast("bigint").alias("ones"))
 
 
-@query("geomancy_cast")
+_FIGURE_ROWS = ", ".join(f"({int(f.rows, 2)}, '{f.name}', {8 - f.rows.count('1')})" for f in dims.FIGURES)
+_JUDGE = f"with {DIGEST}, s as (select source, t, {BITSTR} as s from dig), m as (select source, t, list_transform(range(0, 16), lambda i: substr(s, (i + 1)::int, 1)::int) as b from s), j as (select source, t, list_reduce(list_transform(range(0, 4), lambda r: (8 >> r::int) * xor(xor(xor(b[(r + 1)::int], b[(r + 5)::int]), xor(b[(r + 9)::int], b[(r + 13)::int])), xor(xor(b[(4 * r + 1)::int], b[(4 * r + 2)::int]), xor(b[(4 * r + 3)::int], b[(4 * r + 4)::int])))), lambda x, y: x + y)::int as judge from m)"
+
+
+@query("geomancy_cast", f"{_JUDGE} select source, t, name, points from j join (values {_FIGURE_ROWS}) f(value, name, points) on judge = value")
 def _(spark, d):
     j = digest(spark, d).select("source", "t", draws.shield(bit_string(F.col("h"), 64))["judge"].alias("value"))
     return j.join(F.broadcast(dims.figures(spark)), "value").select("source", "t", "name", "points")  # 16 rows
 
 
-@query("hexagram_names")
+_WEN = "[" + ", ".join(str(draws.KING_WEN[draws.TRIGRAMS.index(f"{v:06b}"[:3])][draws.TRIGRAMS.index(f"{v:06b}"[3:])]) for v in range(64)) + "]"
+_NAMED = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in dims.TRIGRAM_NAMES.items()) + "}"
+#: Yang lines, bottom up, as a string: of a coin's values 0 (6, moving yin), 1-3 (7), 4-6 (8), 7 (9, moving yang).
+_LINES = f"with {DIGEST}, s as (select source, t, {BITSTR} as s from dig), v as (select source, t, list_transform(range(0, 6), lambda i: ('0b' || substr(s, (i * 3 + 1)::int, 3))::int) as v from s), y as (select source, t, v, array_to_string(list_transform(v, lambda x: (x between 1 and 3 or x = 7)::int), '') as y, array_to_string(list_transform(v, lambda x: (x between 1 and 3 or x = 0)::int), '') as z from v)"
+
+
+@query("iching_cast", f"{_LINES} select source, t, ({_WEN})[('0b' || y)::int + 1] as primary, case when len(list_filter(v, lambda x: x in (0, 7))) > 0 then ({_WEN})[('0b' || z)::int + 1] else 0 end as relating, len(list_filter(v, lambda x: x in (0, 7)))::int as changing from y")
+def _(spark, d):
+    h = digest(spark, d).select("source", "t", draws.hexagram(bit_string(F.col("h"), 64)).alias("c"))
+    return h.select("source", "t", "c.primary", F.coalesce("c.relating", F.lit(0)).alias("relating"), F.size("c.changing").alias("changing"))
+
+
+@query("hexagram_names", f"{_LINES} select source, t, ({_WEN})[('0b' || y)::int + 1] as number, {_NAMED}[substr(y, 1, 3)] as lower, {_NAMED}[substr(y, 4, 3)] as upper from y")
 def _(spark, d):
     c = digest(spark, d).select("source", "t", draws.hexagram(bit_string(F.col("h"), 64))["primary"].alias("number"))
     return c.join(F.broadcast(dims.hexagrams(spark)), "number").select("source", "t", "number", "lower", "upper")  # 64 rows
@@ -95,12 +111,12 @@ def _(spark, d):
     return digest(spark, d).select("source", "t", F.array_join(F.transform(lines, lambda x: x.cast("string")), "").alias("lines"))
 
 
-@query("runes")
+@query("runes", "select i::int as index, r.name, ['Freyr', 'Heimdall', 'Tyr'][(i // 8 + 1)::int] as aett, r.invertible from (select unnest(range(24)) as i, unnest([" + ", ".join(f"{{'name': '{r.name}', 'invertible': {str(r.invertible).lower()}}}" for r in dims.RUNES) + "]) as r)")
 def _(spark, d):
     return dims.runes(spark)
 
 
-@query("tarot_deck")
+@query("tarot_deck", "select i::int as index, case when i < 22 then 'major' else 'minor' end as arcana, case when i >= 22 then ['Wands', 'Cups', 'Swords', 'Pentacles'][((i - 22) // 14 + 1)::int] end as suit, (case when i < 22 then i else (i - 22) % 14 + 1 end)::int as number from range(0, 78) r(i)")
 def _(spark, d):
     return dims.cards(spark)
 
@@ -110,7 +126,11 @@ def _(spark, d):
     return dims.providers(spark)
 
 
-@query("viridis_lut")
+_STOP = f"(({[list(c) for c in dims.VIRIDIS]})[k + {{1}}][{{0}}])"
+_CHANNEL = lambda c: f"floor({_STOP.format(c, 1)} + (x - k) * ({_STOP.format(c, 2)} - {_STOP.format(c, 1)}) + 0.5)::int"
+
+
+@query("viridis_lut", f"with p as (select i::int as i, i / 255.0::double * 9 as x, least(floor(i / 255.0::double * 9), 8)::int as k from range(0, 256) r(i)) select i, {_CHANNEL(1)} as r, {_CHANNEL(2)} as g, {_CHANNEL(3)} as b from p")
 def _(spark, d):
     return dims.viridis(spark, 256)
 

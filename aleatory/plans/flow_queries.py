@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.bytes import xorshift32
 from ..functions.positions import positions
 from ..operators import flow
 from .estimator_queries import _SERIES, series
@@ -105,7 +106,13 @@ def _(spark, d):
     return rounded(there.crossJoin(back).select((F.col("a") - F.col("b")).alias("net")), 9)  # one row each
 
 
-_SURROGATES = 19
+_SURROGATES = 199
+_DRAWS = [s for _, s in zip(range(_SURROGATES), xorshift32(), strict=False)]
+_TURNED = f"""with {_PAIR}, size as (select count(*) as n from pr), off as (select i, 1 + floor((d + 0.5) / 4294967296.0::double * (n - 1))::bigint as o, n from (select unnest({_DRAWS}) as d, unnest(range({_SURROGATES})) as i), size),
+tu as (select i, (t + o) % n as t, x from pr, off), sp as (select i, t, tu.x, y from tu join pr using (t)), own as (select -1 as i, t, x, y from pr), every as (select * from sp union all select * from own),
+em as (select b.i, b.y as y1, a.y as y0, a.x as x0 from every a join every b on b.i = a.i and b.t = a.t + 1),
+jt as (select i, y1, y0, x0, count(*) as c from em group by all), mg as (select *, sum(c) over (partition by i, y0) as dp, sum(c) over (partition by i, y0, x0) as sp, sum(c) over (partition by i, y1, y0) as df from jt),
+te as (select i, greatest({_TE}, 0) as te from mg group by i)"""
 
 
 def _surrogates(spark, d):
@@ -115,14 +122,14 @@ def _surrogates(spark, d):
     return flow.transfer_entropy(p), flow.transfer_entropy(flow.embed_keyed(s, "surrogate"), ["surrogate"])
 
 
-@query("te_permutation")
+@query("te_permutation", f"{_TURNED}, o as (select te from te where i < 0) select round(o.te, 9) as te, round((1 + count(*) filter (round(s.te, 12) >= round(o.te, 12))) / (1 + count(*)), 9) as p from te s, o where i >= 0 group by o.te")
 def _(spark, d):
     own, others = _surrogates(spark, d)
     both = others.select(F.col("te").alias("s")).crossJoin(F.broadcast(own.select("te")))  # one row
-    return rounded(both.groupBy("te").agg(((1 + F.count_if(F.col("s") >= F.col("te"))) / (1 + F.count("*"))).alias("p")), 9)
+    return rounded(both.groupBy("te").agg(((1 + F.count_if(F.round("s", 12) >= F.round("te", 12))) / (1 + F.count("*"))).alias("p")), 9)
 
 
-@query("effective_te")
+@query("effective_te", f"{_TURNED} select round((select te from te where i < 0) - (select avg(te) from te where i >= 0), 9) + 0.0 as te")
 def _(spark, d):
     own, others = _surrogates(spark, d)
     return rounded(own.crossJoin(others.agg(F.avg("te").alias("m"))).select((F.col("te") - F.col("m")).alias("te")), 9)  # one row each

@@ -17,10 +17,7 @@ from ..operators import vdf
 from ..sources import frames as fr
 from ..sources import strategies as st
 from ..streaming import live
-from .registry import BYTES, DIGEST, byte_stream, chunk_stream, digest, query, read, rounded
-
-_BITSTR = "array_to_string(list_transform(regexp_extract_all(h, '.'), lambda x: lpad(bin(('0x' || x)::int), 4, '0')), '')"
-
+from .registry import BITSTR, BYTES, DIGEST, byte_stream, chunk_stream, digest, query, read, rounded
 
 def _bits():
     return bit_string(F.col("h"), 64)
@@ -39,18 +36,12 @@ def _(spark, d):
 _LINE = "case when v = 0 then 6 when v < 4 then 7 when v < 7 then 8 else 9 end"
 
 
-@query("iching_lines", f"with {DIGEST}, s as (select source, t, {_BITSTR} as s from dig), l as (select source, t, i, ('0b' || substr(s, (i * 3 + 1)::int, 3))::int as v from s, range(0, 6) r(i)) select source, t, string_agg(({_LINE})::varchar, '' order by i) as lines from l group by all")
+@query("iching_lines", f"with {DIGEST}, s as (select source, t, {BITSTR} as s from dig), l as (select source, t, i, ('0b' || substr(s, (i * 3 + 1)::int, 3))::int as v from s, range(0, 6) r(i)) select source, t, string_agg(({_LINE})::varchar, '' order by i) as lines from l group by all")
 def _(spark, d):
     return digest(spark, d).select("source", "t", F.array_join(F.transform(dr.hexagram(_bits())["lines"], lambda x: x.cast("string")), "").alias("lines"))
 
 
-@query("iching_cast")
-def _(spark, d):
-    h = digest(spark, d).select("source", "t", dr.hexagram(_bits()).alias("c"))
-    return h.select("source", "t", "c.primary", "c.relating", F.size("c.changing").alias("changing"))
-
-
-@query("geomancy_judge", f"with {DIGEST}, s as (select source, t, {_BITSTR} as s from dig), m as (select source, t, list_transform(range(0, 16), lambda i: substr(s, (i + 1)::int, 1)::int) as b from s) select source, t, list_reduce(list_transform(range(0, 4), lambda r: (8 >> r::int) * xor(xor(xor(b[(r + 1)::int], b[(r + 5)::int]), xor(b[(r + 9)::int], b[(r + 13)::int])), xor(xor(b[(4 * r + 1)::int], b[(4 * r + 2)::int]), xor(b[(4 * r + 3)::int], b[(4 * r + 4)::int])))), lambda x, y: x + y)::int as judge from m")
+@query("geomancy_judge", f"with {DIGEST}, s as (select source, t, {BITSTR} as s from dig), m as (select source, t, list_transform(range(0, 16), lambda i: substr(s, (i + 1)::int, 1)::int) as b from s) select source, t, list_reduce(list_transform(range(0, 4), lambda r: (8 >> r::int) * xor(xor(xor(b[(r + 1)::int], b[(r + 5)::int]), xor(b[(r + 9)::int], b[(r + 13)::int])), xor(xor(b[(4 * r + 1)::int], b[(4 * r + 2)::int]), xor(b[(4 * r + 3)::int], b[(4 * r + 4)::int])))), lambda x, y: x + y)::int as judge from m")
 def _(spark, d):
     return digest(spark, d).select("source", "t", dr.shield(_bits())["judge"].alias("judge"))
 
@@ -83,26 +74,26 @@ def _(spark, d):
     return _long_bytes(spark, d).select("s_suppkey", dr.vitality("x").alias("r")).select("s_suppkey", F.element_at("r.drawn", 1).alias("vitality"), "r.used")
 
 
-@query(
-    "scan_deviation",
-    f"""with {BYTES}, c as (select pos % 25 as ord, sum(b & 1)::bigint as k from byt where source = (select min(source) from byt) and pos < 64 * 25 group by 1)
-    select n_nationkey::bigint as ord, n_name as name, k, round((k - 32) / 4.0::double, 6) as z, round(lgamma(k + 1.0) + lgamma(65.0 - k) - lgamma(66.0) + 64 * ln(2), 6) as ln_bf from nation join c on ord = n_nationkey""",
-)
-def _(spark, d):
-    b = byte_stream(spark, d)
-    first = F.broadcast(b.agg(F.min("source").alias("first")))  # one row
+#: Each source scans the catalogue with all the full rounds that its bytes hold; FNV-1a of the name breaks ties.
+_SCAN = f"""with {BYTES}, r as (select source, (max(pos) + 1) // 25 as rounds from byt group by source),
+c as (select source, rounds, pos % 25 as ord, sum(b & 1)::bigint as k from byt join r using (source) where pos < rounds * 25 group by all),
+s as (select source, ord, n_name as name, rounds, k, (k - rounds / 2) / sqrt(rounds / 4) as z, lgamma(k + 1.0) + lgamma(rounds - k + 1.0) - lgamma(rounds + 2.0) + rounds * ln(2) as bf,
+  list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(n_name, ''), lambda x: ascii(x)::bigint)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) as tie from c join nation on ord = n_nationkey)"""
+
+
+def _scan(spark, d):
     items = read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("ord"), F.col("n_name").alias("name"))
-    return rounded(dr.scan_deviation(items, 25, b.join(first).where("source = first"), 64)).select("ord", "name", "k", "z", "ln_bf")
+    return rounded(dr.scan_deviation(items, 25, chunk_stream(spark, d)))
 
 
-@query("scan_ranking")
+@query("scan_deviation", f"{_SCAN} select source, ord, name, rounds, k, round(z, 6) + 0.0 as z, round(bf, 6) + 0.0 as ln_bf from s")
 def _(spark, d):
-    b = byte_stream(spark, d)
-    first = F.broadcast(b.agg(F.min("source").alias("first")))  # one row
-    items = read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("ord"), F.col("n_name").alias("name"))
-    return rounded(dr.scan_deviation(items, 25, b.join(first).where("source = first"), 64))
+    return _scan(spark, d).drop("rank")
 
 
+@query("scan_ranking", f"{_SCAN} select source, name, (row_number() over (partition by source order by round(bf, 9) desc, tie, name))::int as rank from s")
+def _(spark, d):
+    return _scan(spark, d).select("source", "name", "rank")
 
 
 def _rates(spark, d):

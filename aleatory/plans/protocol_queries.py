@@ -35,7 +35,12 @@ def _(spark, d):
     return health.apt_alarms(_low_bits(spark, d), 64, 42)
 
 
-@query("health_cutoffs")
+@query(
+    "health_cutoffs",
+    """with h as (select unnest([0.25, 0.5, 1, 2, 4, 7, 8]::double[]) as h),
+    b as (select h, k, sum(exp(lgamma(513.0) - lgamma(k + 1.0) - lgamma(513.0 - k) - k * h * ln(2) + (512 - k) * ln(1 - 2.0::double ** -h))) over (partition by h order by k) as cdf from h, range(0, 513) r(k))
+    select h, (1 + ceil(20 / h))::int as rct, (1 + min(k))::int as apt from b where cdf >= 1 - 2.0::double ** -20 group by h""",
+)
 def _(spark, d):
     rows = [(h, health.rct_cutoff(h), health.apt_cutoff(h, 512)) for h in (0.25, 0.5, 1.0, 2.0, 4.0, 7.0, 8.0)]
     return spark.createDataFrame(rows, "h double, rct int, apt int")
@@ -71,7 +76,10 @@ def _(spark, d):
     return digest(spark, d).select("source", "t", ex.toeplitz(ex.hex_words(F.col("h"), 64), seed, 256, 16).alias("bits"))
 
 
-@query("hmac_condition")
+_PAD = "unhex(array_to_string(list_transform(range(1, 65), lambda i: printf('%02x', xor(case when i <= length(source) then ascii(substr(source, i::int, 1)) else 0 end, {}))), ''){})"
+
+
+@query("hmac_condition", f"with {DIGEST}, i as (select source, t, sha256({_PAD.format(54, ' || h')}) as h from dig) select source, t, sha256({_PAD.format(92, ' || h')}) as mac from i")
 def _(spark, d):
     return digest(spark, d).select("source", "t", F.lower(F.hex(hmac_sha256(F.encode("source", "UTF-8"), F.unhex("h")))).alias("mac"))
 
@@ -128,19 +136,19 @@ def _(spark, d):
 _OFFSETS = list(range(50, 1000, 50))
 
 
-@query(
-    "time_offset_surrogates",
-    f"""with {Z}, f as (select min(source) as m, max(t) + 1 as n from z), sl as (select t, sum(z) as s, count(*) as c from z where source <> (select m from f) group by t),
-    tu as (select o as "offset", (t + o) % (select n from f) as t, z from z, range(50, 1000, 50) r(o) where source = (select m from f))
-    select "offset"::int as "offset", round(sum((s + z) * (s + z) / (c + 1)), 6) as statistic from tu join sl using (t) group by 1""",
-)
+_OFFSET_SQL = f"""with {Z}, f as (select min(source) as m, max(t) + 1 as n from z), sl as (select t, sum(z) as s, count(*) as c from z where source <> (select m from f) group by t),
+tu as (select o as "offset", (t + o) % (select n from f) as t, z from z, range(50, 1000, 50) r(o) where source = (select m from f)),
+su as (select "offset", sum((s + z) * (s + z) / (c + 1)) as statistic from tu join sl using (t) group by 1)"""
+
+
+@query("time_offset_surrogates", f'{_OFFSET_SQL} select "offset"::int as "offset", round(statistic, 6) as statistic from su')
 def surrogates(spark, d):
     z = z256(spark, d)
     first, n = z.agg(F.min("source"), F.max("t") + 1).first()
     return rounded(pr.offset_surrogates(z, first, _OFFSETS, n))
 
 
-@query("permutation_p")
+@query("permutation_p", f"{_OFFSET_SQL}, o as (select sum(zs * zs) as own from st) select round(own, 6) as own, round((1 + count(*) filter (round(statistic, 6) >= own)) / (1 + count(*)), 6) as p from su, o group by own")
 def _(spark, d):
     own = F.broadcast(net.netvar(z256(spark, d)).select(F.col("statistic").alias("own")))  # one row
     s = surrogates(spark, d).crossJoin(own)
@@ -150,3 +158,8 @@ def _(spark, d):
 @query("jsonl_roundtrip", f"with {TRIALS} select 1 as v, t, source, sum, 256 as \"bitsPerTrial\", true as ok from tri")
 def _(spark, d):
     return pr.parse_records(pr.record_lines(trials256(spark, d), 256))
+
+
+@query("jsonl_lines", f"""with {TRIALS} select '{{"v":1,"t":' || t || ',"source":"' || source || '","sum":' || sum || ',"bitsPerTrial":256}}' as value from tri""")
+def _(spark, d):
+    return pr.record_lines(trials256(spark, d), 256)

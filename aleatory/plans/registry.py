@@ -62,6 +62,7 @@ def z256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB's equivalents, as common table expressions.
 DIGEST = "dig as (select event_type as source, row_number() over (partition by event_type order by event_id) - 1 as t, sha256(event_id::varchar) as h from events)"
+BITSTR = "array_to_string(list_transform(regexp_extract_all(h, '.'), lambda x: lpad(bin(('0x' || x)::int), 4, '0')), '')"
 BYTES = DIGEST + """,
 byt as (select source, t * 32 + i - 1 as pos, ('0x' || substr(h, (2 * i - 1)::int, 2))::int as b from dig, range(1, 33) r(i))"""
 TRIALS = DIGEST + """,
