@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 MASK32 = 4294967295
 
@@ -111,6 +111,45 @@ def base32_decode(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else _base32(t) for t in text])
 
 
+def varint(data: bytes, at: int) -> tuple[int, int]:
+    """An unsigned LEB128 number of at most eight bytes and the place after it."""
+    value = 0
+    for i, b in enumerate(data[at : at + 8]):
+        value |= (b & 127) << 7 * i
+        if b < 128:
+            return value, at + i + 1
+    raise ValueError("truncated or too large varint")
+
+
+def cid_digest(cid: str) -> bytes:
+    """The digest in a base32 content identifier: after version 1, codec, hash function and length."""
+    data, at, numbers = (_base32(cid[1:]) if cid[:1] == "b" else None), 0, []
+    if data is None:
+        raise ValueError("not a base32 identifier")
+    for _ in range(4):
+        value, at = varint(data, at)
+        numbers.append(value)
+    if numbers[0] != 1 or at + numbers[3] > len(data):
+        raise ValueError("not a whole identifier of version 1")
+    return data[at : at + numbers[3]]
+
+
+_VARINT = StructType([StructField("value", LongType()), StructField("length", IntegerType())])
+
+
+@F.pandas_udf(_VARINT)
+def read_varint(data: pd.Series) -> pd.DataFrame:
+    """The number that a binary value starts with, and its bytes; length 0 where there is none."""
+
+    def one(x: bytes | None) -> tuple[int, int]:
+        try:
+            return varint(bytes(x or b""), 0)
+        except ValueError:
+            return 0, 0
+
+    return pd.DataFrame([one(x) for x in data], columns=_VARINT.names)
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def byte_histogram(text: pd.Series) -> pd.Series:
     """Counts of the 256 byte values of each text's UTF-8."""

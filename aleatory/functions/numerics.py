@@ -154,3 +154,7 @@ def chi2_sf_even(x: Column, df: Column) -> Column:
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
     steps = F.when(df >= 4, F.sequence(F.lit(1), (df / 2 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.exp(-half) * F.aggregate(steps, start, step)["total"]
+
+
+def chi2_cdf(x: Column, df: Column) -> Column:
+    return gamma_p(df.cast("double") / 2, x.cast("double") / 2)

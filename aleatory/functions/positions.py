@@ -35,16 +35,17 @@ def offsets(df: DataFrame, group: list[str], order: str, count: str, out: str, b
     return summed.join(starts, [*group, "__b"]).withColumn(out, (F.col("__r") + F.col("__o")).cast("bigint")).drop("__b", "__r", "__o")
 
 
-def ranked(df: DataFrame, group: list[str], order: str, tie: str, out: str = "r", buckets: int = 128) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: str, tie: str, out: str = "r", buckets: int = 128, bucket: int = BUCKET) -> DataFrame:
     """Add ``out`` = 0, 1, ... within each group by a number ``order``, then ``tie`` (unique among equal ones), and ``n``, the group's size.
 
-    Rows are numbered inside buckets between the group's approximate quantiles;
-    the buckets' sizes, one row each, are summed up and joined. So a group that
-    holds most rows is numbered by many tasks (rows of one very common value
-    share a bucket).
+    Rows of a group over BUCKET rows are numbered inside buckets between its
+    approximate quantiles; the buckets' sizes, one row each, are summed up and
+    joined. So a group that holds most rows is numbered by many tasks (rows of
+    one very common value share a bucket).
     """
     bounds = df.groupBy(*group).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)]).alias("__q"), F.count("*").alias("n"))
-    dealt = df.join(bounds, group).withColumn("__b", F.size(F.filter("__q", lambda q: q < F.col(order)))).drop("__q")
+    place = F.size(F.filter("__q", lambda q: q < F.col(order)))
+    dealt = df.join(bounds, group).withColumn("__b", F.when(F.col("n") > bucket, place).otherwise(0)).drop("__q")
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
     starts = sizes.select(*group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))

@@ -172,6 +172,11 @@ def shield(bits: Column) -> Column:
     return F.struct(F.array(*mothers).alias("mothers"), F.array(*daughters).alias("daughters"), F.array(*nieces).alias("nieces"), F.array(right, left).alias("witnesses"), right.bitwiseXOR(left).alias("judge"))
 
 
+def houses(cast: Column) -> Column:
+    """The twelve houses of a shield: mothers, daughters, nieces."""
+    return F.concat(cast["mothers"], cast["daughters"], cast["nieces"])
+
+
 def scan_deviation(catalog: DataFrame, items: int, data: DataFrame, most: int | None = None) -> DataFrame:
     """``catalog(ord, name)`` ranked in each source by the Bayes factor of the low bits of bytes r * items + ord, over all full rounds that a source's chunks ``(source, off, bytes)`` hold (at most ``most``).
 
@@ -194,3 +199,17 @@ def scan_deviation(catalog: DataFrame, items: int, data: DataFrame, most: int |
     out = catalog.join(hits, "ord").withColumn("z", (F.col("k") - n / 2) / F.sqrt(n / 4)).withColumn("ln_bf", log_bayes_factor(F.col("k"), n))
     order = Window.partitionBy("source").orderBy(F.desc(F.round("ln_bf", 9)), fnv1a(F.col("name")), "name")  # one row per item of a catalogue
     return out.select("source", "ord", "name", "rounds", "k", "z", "ln_bf", F.row_number().over(order).alias("rank"))
+
+
+def scan_tripolar(catalog: DataFrame, items: int, data: DataFrame) -> DataFrame:
+    """The catalogue scanned thrice, for high, low and baseline, on consecutive parts of a source of equally many full rounds; as ``scan_deviation``, with ``intention``."""
+    size = data.groupBy("source").agg((F.floor(F.max(F.col("off") + F.length("bytes")) / (3 * items)) * items).alias("size"))
+    held = data.join(size, "source")
+    end = F.col("off") + F.length("bytes")
+    parts = None
+    for k, name in enumerate(("high", "low", "baseline")):
+        low, high = F.greatest(F.col("off"), F.col("size") * k), F.least(end, F.col("size") * (k + 1))
+        own = held.where(low < high).select("source", (low - F.col("size") * k).alias("off"), F.substr("bytes", (low - F.col("off") + 1).cast("int"), (high - low).cast("int")).alias("bytes"))
+        one = scan_deviation(catalog, items, own).withColumn("intention", F.lit(name))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts

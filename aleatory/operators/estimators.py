@@ -99,14 +99,17 @@ def autocorrelation(series: DataFrame, lags: int) -> DataFrame:
 
 def vasicek(series: DataFrame) -> DataFrame:
     """``(series, n, entropy, negentropy)`` by m-spacings, m = floor(sqrt(n) + 1/2); a series with ties in a spacing is left out."""
-    size = series.groupBy("series").agg(F.count("*").alias("n"), F.var_pop("x").alias("var")).withColumn("m", F.floor(F.sqrt("n") + 0.5)).where("m < n / 2")
-    r = ranked(series, ["series"], "x", "t").withColumn("r", F.col("r") + 1).drop("n").join(size, "series").select("series", "r", "x", "n", "m", "var")
-    up = r.select("series", F.greatest(F.col("r") - F.col("m"), F.lit(1)).alias("lo"), F.least(F.col("r") + F.col("m"), F.col("n")).alias("hi"), "n", "m", "var")
-    at = r.select("series", F.col("r").alias("rr"), F.col("x"))
-    ends = up.join(at.withColumnsRenamed({"rr": "lo", "x": "xl"}), ["series", "lo"]).join(at.withColumnsRenamed({"rr": "hi", "x": "xh"}), ["series", "hi"])
-    gap = F.col("xh") - F.col("xl")
-    out = ends.groupBy("series", "n", "var").agg(F.avg(F.log(F.col("n") / (2 * F.col("m")) * gap)).alias("entropy"), F.min(gap).alias("g")).where("g > 0")
-    return out.select("series", "n", "entropy", (0.5 * F.log(F.lit(2 * math.pi * math.e) * F.col("var")) - F.col("entropy")).alias("negentropy"))
+    r = ranked(series, ["series"], "x", "t").select("series", "x", "n", (F.col("r") + 1).alias("r"), F.floor(F.sqrt("n") + 0.5).alias("m")).where("m < n / 2")
+    # A value is the lower end of the place m above it and the upper end of the place m below; the first and last value are so for all places beyond.
+    i, none = F.col("r"), F.array().cast("array<bigint>")
+    low = F.when(i == 1, F.sequence(F.lit(1).cast("bigint"), F.col("m") + 1)).when(i + F.col("m") <= F.col("n"), F.array(i + F.col("m"))).otherwise(none)
+    high = F.when(i == F.col("n"), F.sequence(F.col("n") - F.col("m"), F.col("n"))).when(i > F.col("m"), F.array(i - F.col("m"))).otherwise(none)
+    end = lambda places, up: F.transform(places, lambda p: F.struct(p.alias("place"), F.lit(up).alias("up")))
+    ends = r.select("series", "x", "n", "m", F.explode(F.concat(end(low, 0), end(high, 1))).alias("e"))
+    gaps = ends.groupBy("series", "n", "m", "e.place").agg((F.max(F.when(F.col("e.up") == 1, F.col("x"))) - F.max(F.when(F.col("e.up") == 0, F.col("x")))).alias("gap"))
+    out = gaps.groupBy("series", "n").agg(F.avg(F.log(F.col("n") / (2 * F.col("m")) * F.col("gap"))).alias("entropy"), F.min("gap").alias("g")).where("g > 0")
+    spread = series.groupBy("series").agg(F.var_pop("x").alias("var"))
+    return out.join(spread, "series").select("series", "n", "entropy", (0.5 * F.log(F.lit(2 * math.pi * math.e) * F.col("var")) - F.col("entropy")).alias("negentropy"))
 
 
 def moments(x: str = "x") -> list[Column]:

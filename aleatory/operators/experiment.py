@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,13 @@ def sample_field(data: DataFrame, width: float, height: float) -> DataFrame:
     return p.where("n = 8").select("source", "id", (F.col("x") / 2.0**32 * width).alias("x"), (F.col("y") / 2.0**32 * height).alias("y"))
 
 
+def sample_disk(data: DataFrame, radius: float) -> DataFrame:
+    """The same over a disk about the origin: a distance of radius times the root of the first fraction, a direction of the second."""
+    unit = sample_field(data, 1.0, 1.0)
+    r, turn = F.sqrt("x") * radius, F.col("y") * (2 * math.pi)
+    return unit.select("source", "id", (r * F.cos(turn)).alias("x"), (r * F.sin(turn)).alias("y"))
+
+
 def label_rotation_p(ep: DataFrame, labels: DataFrame, size: int, offsets: list[int]) -> DataFrame:
     """``epochs(id, phase, zs)`` and ``labels(i, target)`` of ids 0..size-1: per phase, dz of the labels and the share of rotations (a stated list) that reach it."""
     by_id = ep.groupBy("phase", "id").agg(F.sum("zs").alias("s"), F.count("*").alias("n"))

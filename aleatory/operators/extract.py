@@ -70,27 +70,28 @@ def condition(data: DataFrame, block: int) -> DataFrame:
     return pool.select("source", F.floor(F.col("off") / block).alias("block"), F.sha2("bytes", 256).alias("digest"))
 
 
-def hex_words(h: Column, digits: int) -> Column:
-    """A hex string of so many digits as 64-bit words, the last one filled up with zeros."""
-    half = lambda i: F.conv(F.rpad(F.substring(h, i + 1, 8), 8, "0"), 16, 10).cast("bigint")
-    return F.array(*[F.call_function("shiftleft", half(i), F.lit(32)).bitwiseOR(half(i + 8) if i + 8 < digits else F.lit(0).cast("bigint")) for i in range(0, digits, 16)])
+def toeplitz(seed: str, inputs: int, outputs: int):
+    """A UDF of a binary column of inputs bits to a string of outputs: y(i) = XOR over j of s(i - j + inputs - 1) * x(j), of a seed of inputs + outputs - 1 bits (0 and 1).
 
-
-def toeplitz(words: Column, seed: str, inputs: int, outputs: int) -> Column:
-    """Input bits, as 64-bit words with the first bit highest, to a string of outputs: y(i) = XOR over j of s(i - j + inputs - 1) * x(j), of a seed of inputs + outputs - 1 bits (0 and 1).
-
-    Row i of the matrix is a reversed window of the seed; a bit is the parity of the ones that input and window share.
+    Row i of the matrix is a reversed window of the seed; a bit is the parity of
+    the ones that input and window share, counted in 64-bit words.
     """
     if len(seed) != inputs + outputs - 1:
         raise ValueError("a seed of inputs + outputs - 1 bits")
+    width = -(-inputs // 64) * 8
+    rows = np.packbits([[int(c) for c in seed[i : i + inputs][::-1].ljust(width * 8, "0")] for i in range(outputs)], axis=1).view(np.uint64)
 
-    def window(i: int) -> Column:
-        row = seed[i : i + inputs][::-1].ljust(-(-inputs // 64) * 64, "0")
-        signed = [int(row[k : k + 64], 2) for k in range(0, len(row), 64)]
-        return F.array(*[F.lit(v - (1 << 64) if v >> 63 else v).cast("bigint") for v in signed])
+    @F.pandas_udf(StringType())
+    def run(data: pd.Series) -> pd.Series:
+        out = []
+        block = max(1, (1 << 22) // rows.size)  # inputs whose words are held at a time
+        for i in range(0, len(data), block):
+            x = np.frombuffer(b"".join(bytes(v)[:width].ljust(width, b"\0") for v in data[i : i + block]), np.uint64).reshape(-1, 1, width // 8)
+            bits = np.bitwise_count(x & rows).sum(2, dtype=np.int64) & 1
+            out += [bytes(r).decode() for r in (bits + 48).astype(np.uint8)]
+        return pd.Series(out)
 
-    shared = lambda w: F.aggregate(F.zip_with(words, w, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda a, n: a + n)
-    return F.array_join(F.transform(F.array(*[window(i) for i in range(outputs)]), lambda w: (shared(w) % 2).cast("string")), "")
+    return run
 
 
 def toeplitz_output_bits(k: Column, epsilon: float) -> Column:
@@ -105,3 +106,9 @@ def claim(h_per_byte: Column, n: Column) -> Column:
     """Start of an account: h bits of min-entropy per byte (over 0, at most 8) over n bytes."""
     ok = (h_per_byte > 0) & (h_per_byte <= 8)
     return F.when(ok, h_per_byte * n).otherwise(F.raise_error(F.lit("invalid_claim: 0 < h <= 8")).cast("double"))
+
+
+def debias_account(debiased: DataFrame) -> DataFrame:
+    """``(source, off, bytes, bits, trace)`` of von Neumann's output: whole bytes of each chunk, all their bits credited, on a stated assumption."""
+    n = F.floor(F.length("bits") / 8)
+    return debiased.select("source", "off", n.alias("bytes"), (n * 8).cast("double").alias("bits"), F.lit("input: independent bits of one bias; von-neumann").alias("trace"))

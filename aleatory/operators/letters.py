@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 # Alphabets in order of value, and the tables that no rule gives.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -94,6 +95,31 @@ def cipher_tables() -> dict[str, tuple[str, dict[str, int], bool]]:
     return out
 
 
+# Friendly names of ciphers.
+ALIASES = {"hebrew": "he-hechrachi", "english": "en-english", "simple": "en-ordinal", "ordinal": "en-ordinal", "sumerian": "en-sumerian", "isopsephy": "gr-isopsephy"}
+
+
+def resolve_cipher(name: str) -> str:
+    """A friendly name's cipher; any other name as it is, an error if no cipher has it."""
+    cipher = ALIASES.get(name, name)
+    if cipher not in cipher_tables():
+        raise ValueError(f"unknown_cipher: {name}")
+    return cipher
+
+
+def reverse_value(text: Column) -> Column:
+    """Sum of a..z counted from z = 1; null for a text without such letters."""
+    kept = F.regexp_replace(F.lower(text), "[^a-z]", "")
+    total = F.aggregate(F.filter(F.split(kept, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda a, c: a + 123 - F.ascii(c))
+    return F.when(kept != "", total)
+
+
+def chamber(letter: Column) -> Column:
+    """The chamber (1 to 9) of a Hebrew letter and its place there: letters and finals in order of their values, nine to a place."""
+    i = F.call_function("instr", F.lit(HEBREW + "".join(FINALS)), letter) - 1
+    return F.when((F.length(letter) == 1) & (i >= 0), F.struct((i % 9 + 1).cast("int").alias("chamber"), (F.floor(i / 9) + 1).cast("int").alias("place")))
+
+
 def cipher_rows(spark: SparkSession) -> DataFrame:
     """``(cipher, script, letter, value, reduced)``, some 600 rows made by rule."""
     rows = [(k, s, c, v, r) for k, (s, table, r) in cipher_tables().items() for c, v in table.items()]
@@ -144,21 +170,54 @@ def lexicon_matches(values: DataFrame, lexicon: DataFrame, tolerance: int) -> Da
     return hit.select("id", "word", (F.col("lv") - F.col("value")).alias("delta"))
 
 
+_FACTS = StructType([StructField("prime", BooleanType()), StructField("triangular_index", LongType()), StructField("square", BooleanType()), StructField("perfect", BooleanType())])
+#: Bases that decide Miller and Rabin's test for every 64-bit number.
+_BASES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+
+
+def is_prime(n: int) -> bool:
+    if n < 2 or any(n % p == 0 for p in _BASES):
+        return n in _BASES
+    odd, twos = n - 1, 0
+    while odd % 2 == 0:
+        odd, twos = odd // 2, twos + 1
+
+    def passes(a: int) -> bool:
+        x = pow(a, odd, n)
+        return x in (1, n - 1) or any((x := x * x % n) == n - 1 for _ in range(twos - 1))
+
+    return all(passes(a) for a in _BASES)
+
+
+def is_perfect(n: int) -> bool:
+    """Even perfect numbers are 2**(p - 1) * (2**p - 1) with a prime 2**p - 1; an odd one would have over 1500 digits."""
+    p = (n & -n).bit_length() if n > 0 else 0
+    return p > 1 and n == ((1 << p) - 1) << (p - 1) and is_prime((1 << p) - 1)
+
+
+def triangular_index(n: int) -> int | None:
+    """k of k * (k + 1) / 2 = n, if there is one."""
+    k = (math.isqrt(8 * n + 1) - 1) // 2
+    return k if k * (k + 1) // 2 == n else None
+
+
+@F.pandas_udf(_FACTS)
+def _number_facts(n: pd.Series) -> pd.DataFrame:
+    rows = [(is_prime(x), triangular_index(x), math.isqrt(x) ** 2 == x, is_perfect(x)) for x in map(int, n)]
+    return pd.DataFrame(rows, columns=_FACTS.names).astype({"triangular_index": "Int64"})
+
+
 def number_properties(n: Column) -> Column:
-    """Digit sum and root, prime, triangular (and its index), square, perfect; for n >= 1."""
-    divides = lambda k: n % k == 0
-    roots = F.when(n >= 4, F.sequence(F.lit(2), F.floor(F.sqrt(n)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    index = F.floor((F.sqrt(8 * n + 1) - 1) / 2)
-    root = F.floor(F.sqrt(n) + 0.5)
-    divisors = F.aggregate(F.filter(roots, divides), F.lit(1).cast("bigint"), lambda a, k: a + k + F.when(F.floor(n / k) != k, F.floor(n / k)).otherwise(0))
+    """Digit sum and root, prime, triangular (and its index), square, perfect; for 64-bit n >= 1, in a time that grows with its digits."""
+    facts = _number_facts(n)
     return F.struct(
         F.aggregate(F.split(n.cast("string"), ""), F.lit(0), lambda a, c: a + c.cast("int")).alias("digit_sum"),
         digit_root(n).alias("root"),
-        ((n >= 2) & ~F.exists(roots, divides)).alias("prime"),
-        (index * (index + 1) / 2 == n).alias("triangular"),
-        F.when(index * (index + 1) / 2 == n, index).alias("triangular_index"),
-        (root * root == n).alias("square"),
-        ((n > 1) & (divisors == n)).alias("perfect"),
+        facts["prime"].alias("prime"),
+        facts["triangular_index"].isNotNull().alias("triangular"),
+        facts["triangular_index"].alias("triangular_index"),
+        facts["square"].alias("square"),
+        facts["perfect"].alias("perfect"),
     )
 
 

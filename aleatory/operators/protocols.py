@@ -85,6 +85,30 @@ def parse_records(lines: DataFrame) -> DataFrame:
     return r.withColumn("ok", F.coalesce((F.col("v") == 1) & whole & F.col("sum").between(0, F.col("bitsPerTrial")), F.lit(False)))
 
 
+def session_bits(records: DataFrame) -> DataFrame:
+    """``(source, records, constant)``: whether all of a source's good records have the same bits per trial."""
+    good = records.where("ok").groupBy("source")
+    return good.agg(F.count("*").alias("records"), (F.min("bitsPerTrial") == F.max("bitsPerTrial")).alias("constant"))
+
+
+_RECEIPT = ("v", "t", "target", "witnessHash", "bytesConsumed", "resonances", "rounds")
+
+
+def receipt_line() -> Column:
+    """A broadcast's receipt as one JSON line, keys in a fixed order, an absent witness hash left out."""
+    return F.to_json(F.struct(F.lit(1).alias("v"), *_RECEIPT[1:]))
+
+
+def receipt_ok(line: Column) -> Column:
+    """Whether a line is a receipt: version 1, a target, and numbers."""
+    r = F.from_json(line, "v int, t double, target string, witnessHash string, bytesConsumed double, resonances double, rounds double")
+    numbers = [r[c].isNotNull() & ~F.isnan(r[c]) for c in ("t", "bytesConsumed", "resonances", "rounds")]
+    whole = (r["v"] == 1) & (F.length(r["target"]) > 0)
+    for n in numbers:
+        whole &= n
+    return F.coalesce(whole, F.lit(False))
+
+
 def canonical_json(value) -> str:
     """Keys sorted, no spaces, dates as ISO; numbers that aren't finite are refused."""
 

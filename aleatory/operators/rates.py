@@ -40,6 +40,11 @@ def convert_base(digits: Column, source: int, target: int) -> Column:
     return F.struct(F.transform(digits, to).alias("digits"), error.alias("error"))
 
 
+def degrees(digit: Column, base: int = BASE) -> Column:
+    """A digit's angle in degrees."""
+    return digit * F.lit(360.0) / base
+
+
 def mask(digits: Column, base: int = BASE) -> Column:
     """A rate's period of mask bytes."""
     return F.transform(digits, lambda v: (F.floor(v * 256 / base + 0.5) % 256).cast("int"))

@@ -23,7 +23,7 @@ def _near(points: DataFrame, reach: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, area: float, n: int) -> DataFrame:
-    """``(id, d)`` to the nearest other point: rings are widened for those that found none, until all have one."""
+    """``(id, d)`` to the nearest other point: rings are widened for those that found none, until all have one (an error if 40 doublings don't do)."""
     if n < 2:
         raise ValueError("at least 2 points")
     reach = 2 * math.sqrt(area / n)
@@ -35,6 +35,8 @@ def nearest(points: DataFrame, area: float, n: int) -> DataFrame:
         reach *= 2
         wide = _near(points, reach).join(rest.select("id"), "id", "left_semi").groupBy("id").agg(F.min("d2").alias("d2"))
         found = found.unionByName(wide)
+    else:
+        raise ValueError("points lie too far apart for their number and area")
     return found.select("id", F.sqrt("d2").alias("d"))
 
 
@@ -85,3 +87,19 @@ def destination(lat: Column, lon: Column, bearing: Column, metres: Column) -> Co
     y = F.asin(F.sin(a) * F.cos(d) + F.cos(a) * F.sin(d) * F.cos(t))
     x = o + F.atan2(F.sin(t) * F.sin(d) * F.cos(a), F.cos(d) - F.sin(a) * F.sin(y))
     return F.struct(F.degrees(y).alias("lat"), (F.pmod(F.degrees(x) + 540, F.lit(360.0)) - 180).alias("lon"))
+
+
+def region_area(kind: str = "kind") -> Column:
+    """Area of a rectangle (width, height) or a disk (radius)."""
+    return F.when(F.col(kind) == "disk", math.pi * F.col("radius") * F.col("radius")).otherwise(F.col("width") * F.col("height"))
+
+
+def valid_region(kind: str = "kind") -> Column:
+    """Whether a region's own measures are finite and over 0."""
+    fine = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False))
+    return F.when(F.col(kind) == "disk", fine("radius")).otherwise(fine("width") & fine("height"))
+
+
+def point_to_place(lat: Column, lon: Column, x: Column, y: Column) -> Column:
+    """Latitude and longitude of the point x metres east and y metres north of a place."""
+    return destination(lat, lon, F.degrees(F.atan2(x, y)), F.hypot(x, y))

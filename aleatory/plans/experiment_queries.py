@@ -48,6 +48,11 @@ def _(spark, d):
     return rounded(experiment.sample_field(byte_stream(spark, d), 100.0, 80.0))
 
 
+@query("sample_disk", f"with {BYTES}, p as (select source, pos // 8 as id, sum(case when pos % 8 < 4 then b * 256.0::double ** (3 - pos % 4) else 0 end) / 4294967296.0::double as u, sum(case when pos % 8 >= 4 then b * 256.0::double ** (3 - pos % 4) else 0 end) / 4294967296.0::double as v from byt group by all having count(*) = 8) select source, id, round(100 * sqrt(u) * cos(2 * pi() * v), 6) + 0.0 as x, round(100 * sqrt(u) * sin(2 * pi() * v), 6) + 0.0 as y from p")
+def _(spark, d):
+    return rounded(experiment.sample_disk(byte_stream(spark, d), 100.0))
+
+
 @query("csr_envelope")
 def _(spark, d):
     """Range of L over simulated fields, one per event type, of the points that its digests give."""

@@ -343,7 +343,11 @@ def _(spark, d):
 
 
 def _folder(spark):
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    """Where streams keep chunks and state: the cluster's shared folder; only on one machine, if none is named, a folder of it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="stream-")
 
 
 @query("stream_trials", f"with {BYTES} select source, pos // 25 as t, sum(bit_count(b))::int as sum from byt group by all having count(*) = 25")

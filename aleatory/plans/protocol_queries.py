@@ -73,7 +73,7 @@ _SEED = "243f6a8885a308d313198a2e03707344a4093822299f31d0082efa98ec4e6c89452821e
 )
 def _(spark, d):
     seed = "".join(f"{int(c, 16):04b}" for c in _SEED)[:271]
-    return digest(spark, d).select("source", "t", ex.toeplitz(ex.hex_words(F.col("h"), 64), seed, 256, 16).alias("bits"))
+    return digest(spark, d).select("source", "t", ex.toeplitz(seed, 256, 16)(F.unhex("h")).alias("bits"))
 
 
 _PAD = "unhex(array_to_string(list_transform(range(1, 65), lambda i: printf('%02x', xor(case when i <= length(source) then ascii(substr(source, i::int, 1)) else 0 end, {}))), ''){})"

@@ -22,6 +22,16 @@ def common_kind(kind: Column) -> Column:
     return F.when(F.min(kind) == F.max(kind), F.min(kind)).otherwise("mixed")
 
 
+def pessimistic_privacy(privacy: Column) -> Column:
+    """Private only if all members are."""
+    return F.when(F.bool_and(privacy == "private"), "private").otherwise("public")
+
+
+def members(strategy: str) -> Column:
+    """How many members a composite source has; an error if none."""
+    return F.when(F.count("*") > 0, F.count("*")).otherwise(F.raise_error(F.lit(f"{strategy}: no_providers")).cast("bigint"))
+
+
 def xor_mix(responses: DataFrame) -> DataFrame:
     """``(request_id, name, kind, privacy, h)``: byte-wise XOR of all members, of requests where all succeeded; private if any member is."""
     who = responses.groupBy("request_id").agg(

@@ -45,6 +45,43 @@ def interval_trials(chunks: DataFrame, every: str, late: str = "30 seconds") ->
     return g.select("source", F.col("w.start").alias("start"), "n", "sum")
 
 
+def alarm_stream(chunks: DataFrame, cutoff: int) -> DataFrame:
+    """A stream ``(source, seq, bytes)`` to ``(source, pos, b)`` of repetition alarms, as in the batch operator: the run that a batch ends with goes on in the next."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, last, length = state.get if state.exists else (0, -1, 0)
+        data = pd.concat(list(frames)).sort_values("seq")
+        b = np.frombuffer(b"".join(bytes(x) for x in data["bytes"]), np.uint8)
+        if not len(b):
+            return
+        place = np.arange(len(b))
+        start = np.maximum.accumulate(np.where(np.append(True, b[1:] != b[:-1]), place, 0))
+        runs = place - start + 1 + np.where((start == 0) & (b == last), length, 0)
+        hit = np.flatnonzero((runs >= cutoff) & ((runs - cutoff) % (cutoff - 1) == 0))
+        state.update((int(at + len(b)), int(b[-1]), int(runs[-1])))
+        yield pd.DataFrame({"source": key[0], "pos": at + hit, "b": b[hit].astype(np.int32)})
+
+    return chunks.groupBy("source").applyInPandasWithState(run, "source string, pos bigint, b int", "at bigint, last bigint, length bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def session_steps(trials: DataFrame, sources: int, bits: int, late: str = "0 seconds") -> DataFrame:
+    """A stream ``(source, t, sum)`` to ``(t, sources, stouffer, step)``: rounds that all sources have, closed by the watermark over their steps (one step is one second of event time).
+
+    ``step`` is the round's z squared less 1, whose running sum is the session's
+    cumulative deviation, and with 1 added its network variance; prefix sums
+    over the sink's table give both. Rounds that a source lacks are skipped.
+    """
+    z = (F.col("sum") - bits / 2) / (bits / 4) ** 0.5
+    timed = trials.select(F.timestamp_seconds("t").alias("at"), "t", z.alias("z")).withWatermark("at", late)
+    rounds = timed.groupBy(F.window("at", "1 second"), "t").agg(F.count("*").alias("sources"), F.sum("z").alias("s")).where(F.col("sources") == sources)
+    stouffer = F.col("s") / F.sqrt("sources")
+    return rounds.select("t", "sources", stouffer.alias("stouffer"), (stouffer * stouffer - 1).alias("step"))
+
+
+def new_name() -> str:
+    return uuid.uuid4().hex
+
+
 def run_available(stream: DataFrame, folder: str) -> DataFrame:
     """Process all that is there, exactly once, into a Parquet folder, and read it."""
     at = f"{folder}/{uuid.uuid4().hex}"

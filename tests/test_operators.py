@@ -1,5 +1,6 @@
 """Closed forms, invariants and restated loops."""
 
+import base64
 import hashlib
 import math
 import random
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from aleatory.functions import bytes as by
 from aleatory.functions import numerics as nu
 from aleatory.functions.chunks import rechunk, xor_mask
-from aleatory.functions.positions import positions
-from aleatory.operators import draws, estimators, extract, flow, health, letters, network, protocols, rates, spatial, trials, vdf
+from aleatory.functions.positions import positions, ranked
+from aleatory.operators import draws, estimators, extract, flow, health, letters, lexicon, network, protocols, rates, spatial, trials, vdf
 from aleatory.sources import frames, providers
 from aleatory.streaming import live
 
@@ -44,6 +45,14 @@ def test_positions_across_buckets(spark):
         assert part.sort_values("o").t.tolist() == list(range(len(part)))
 
 
+def test_ranks_of_hot_groups(spark):
+    rng = random.Random(7)
+    rows = [("hot" if i % 4 else f"g{i % 12}", i, rng.choice([rng.random() ** 9, 0.5])) for i in range(2000)]
+    got = ranked(frame(spark, rows, "g string, t bigint, x double"), ["g"], "x", "t", bucket=50).collect()
+    order = {(g, t): k for g in {r[0] for r in rows} for k, (_, t) in enumerate(sorted((x, t) for h, t, x in rows if h == g))}
+    assert len(got) == 2000 and all(r.r == order[r.g, r.t] for r in got)
+
+
 def test_rct_alarms_follow_the_counter(spark):
     rng = random.Random(3)
     data = [(s, i, rng.random() < 0.8) for s in "xy" for i in range(700)]
@@ -99,7 +108,7 @@ def test_chunks_of_any_size_give_the_same(spark):
 def test_toeplitz_against_the_matrix(spark):
     rng = random.Random(6)
     seed, h = "".join(rng.choice("01") for _ in range(100 + 20 - 1)), [f"{rng.getrandbits(100):025x}" for _ in range(20)]
-    got = frame(spark, [(x,) for x in h], "h string").select("h", extract.toeplitz(extract.hex_words(F.col("h"), 25), seed, 100, 20).alias("y")).collect()
+    got = frame(spark, [(x,) for x in h], "h string").select("h", extract.toeplitz(seed, 100, 20)(F.unhex(F.concat("h", F.lit("0")))).alias("y")).collect()
     for r in got:
         x = [int(c) for c in f"{int(r.h, 16):0100b}"]
         assert r.y == "".join(str(sum(int(seed[i - j + 99]) * x[j] for j in range(100)) % 2) for i in range(20))
@@ -177,6 +186,42 @@ def test_bad_records_are_marked(spark):
     assert [r.ok for r in protocols.parse_records(frame(spark, [(x,) for x in lines], "value string")).collect()] == [True, False, False, False]
 
 
+def test_varints_and_content_identifiers():
+    assert by.varint(b"\xac\x02\x01", 0) == (300, 2) and by.varint(b"\x00\x7f", 1) == (127, 2)
+    for bad in (b"", b"\x80", b"\xff" * 9):
+        with pytest.raises(ValueError):
+            by.varint(bad, 0)
+    digest = hashlib.sha256(b"x").digest()
+    cid = "b" + base64.b32encode(b"\x01\x71\x12\x20" + digest).decode().lower().rstrip("=")
+    assert by.cid_digest(cid) == digest
+    for bad in ("z" + cid[1:], cid[:20], "b" + base64.b32encode(b"\x02\x71\x12\x20" + digest).decode().lower().rstrip("=")):
+        with pytest.raises(ValueError):
+            by.cid_digest(bad)
+
+
+def test_large_numbers(spark):
+    numbers = [2**61 - 1, 33550336, 2305843008139952128, 10**18 + 9, 10**18, 561, 3215031751, 1, 2, 6]
+    got = {r.n: r.p for r in frame(spark, [(n,) for n in numbers], "n bigint").select("n", letters.number_properties(F.col("n")).alias("p")).collect()}
+    assert [n for n in numbers if got[n].prime] == [2**61 - 1, 10**18 + 9, 2] and [n for n in numbers if got[n].perfect] == [33550336, 2305843008139952128, 6]
+
+
+def test_lexicon_errors(spark):
+    data = frame(spark, [("a", 0, bytearray(b"\x00\x01"))], "source string, off bigint, bytes binary")
+    words = frame(spark, [("x", 3), ("y", 3), ("z", 4)], "word string, value bigint")
+    with pytest.raises(ValueError):
+        lexicon.draw_words(data, words.limit(0))
+    with pytest.raises(ValueError):
+        letters.resolve_cipher("none")
+    assert lexicon.draw_by_value(data, words, 9).count() == 0 and letters.resolve_cipher("hebrew") == "he-hechrachi"
+    assert sorted(tuple(r) for r in lexicon.draw_by_value(data, words, 3).collect()) == [("a", 0, "x", 3), ("a", 1, "y", 3)]
+
+
+def test_frames_against_fixed_bytes():
+    assert frames.encode_bytes(7, b"ab") == bytes.fromhex("010107006162")
+    assert frames.encode_series(1, [(1.0, -2.0, 0.5, 0.0)]).hex() == "01020100" + "000000000000f03f" + "00000000000000c0" + "000000000000e03f" + "0000000000000000"
+    assert frames.encode_matrix(2, 1, 2, [1.0, 0.5]).hex() == "01030200" + "01000200" + "0000803f" + "0000003f"
+
+
 def test_decodings(spark):
     df = frame(spark, [("2NEpo7TZRRrLZSi2U", "mzxw6ytboi")], "a string, b string")
     r = df.select(by.base58_decode("a"), by.base32_decode("b")).first()
@@ -298,6 +343,29 @@ def test_stream_of_trials_equals_batch(spark, tmp_path):
         assert got[got.source == s].sort_values("t")["sum"].tolist() == want
 
 
+def test_stream_of_alarms_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    data = {s: (rng.random(300) < p).astype(np.uint8).tobytes() for s, p in (("a", 0.8), ("b", 1.0))}
+    for k in range(3):
+        rows = [(s, 10 * k + i, bytearray(data[s][100 * k + 10 * i : 100 * k + 10 * i + 10])) for s in "ab" for i in range(10)]
+        frame(spark, rows, "source string, seq bigint, bytes binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, seq bigint, bytes binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = live.run_available(live.alarm_stream(stream, 5), str(tmp_path)).collect()
+    batch = health.rct_alarms(frame(spark, [(s, 0, bytearray(b)) for s, b in data.items()], "source string, off bigint, bytes binary"), 5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch)) and len(got) > 50
+
+
+def test_session_skips_rounds_that_a_source_lacks(spark, tmp_path):
+    rows = [(s, t, 4 + (t * k) % 3) for k, s in enumerate("abc") for t in range(20) if (s, t) != ("b", 7)]
+    for part in (rows[:25], rows[25:]):
+        frame(spark, part, "source string, t bigint, sum int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, t bigint, sum int").parquet(str(tmp_path / "in"))
+    got = {r.t: r for r in live.run_available(live.session_steps(stream, 3, 9), str(tmp_path)).collect()}
+    assert sorted(got) == [t for t in range(19) if t != 7]
+    z = sum((4 + (5 * k) % 3 - 4.5) / 1.5 for k in range(3)) / math.sqrt(3)
+    assert got[5].stouffer == pytest.approx(z) and got[5].step == pytest.approx(z * z - 1)
+
+
 def test_interval_trials(spark, tmp_path):
     rows = [("a", datetime(2024, 1, 1, 0, 0, 1), bytearray(b"\xff")), ("a", datetime(2024, 1, 1, 0, 0, 2), bytearray(b"\x01")), ("a", datetime(2024, 1, 1, 0, 0, 12), bytearray(b"\x00"))]
     got = live.interval_trials(frame(spark, rows, "source string, at timestamp, bytes binary"), "10 seconds").toPandas().sort_values("start")
