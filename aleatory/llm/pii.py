@@ -37,7 +37,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
-_AT = re.compile(r" ?[\[({] ?[aA][tT] ?[\])}] ?")
+_AT = re.compile(r"[\[({] ?[aA][tT] ?[\])}] ?")
 _DOT = re.compile(r"(?: ?[\[({] ?[dD][oO][tT] ?[\])}] ?|\.)(?=[A-Za-z0-9])")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _GROUPS = re.compile(r"(?<![0-9])[0-9]+(?:[ .()-]{1,3}[0-9]+)+")
@@ -83,10 +83,11 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 def _spelled(t: str) -> Iterator[tuple[int, int]]:
     """Addresses with at and dot in brackets."""
     for m in _AT.finditer(t):
-        start, at = m.start(), m.end()
-        while start > 0 and m.start() - start < MOST and t[start - 1] in _LOCAL:
+        name = m.start() - (m.start() > 0 and t[m.start() - 1] == " ")
+        start, at = name, m.end()
+        while start > 0 and name - start < MOST and t[start - 1] in _LOCAL:
             start -= 1
-        if start == m.start() or not (label := _LABEL.match(t, at)):
+        if start == name or not (label := _LABEL.match(t, at)):
             continue
         end = label.end()
         while (dot := _DOT.match(t, end)) and (label := _LABEL.match(t, dot.end())):
