@@ -109,6 +109,14 @@ def shifted(pairs: DataFrame, offsets: list[int], n: int) -> DataFrame:
     return turned.join(pairs.select("t", "y"), "t")
 
 
+def permuted(pairs: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """``(surrogate, t, x, y)`` with x in a random order for each of ``count`` surrogates: that of an MD5 of seed, surrogate and t, so no series is shuffled by one task. t runs from 0."""
+    text = F.concat_ws(":", F.lit(seed).cast("string"), F.col("surrogate").cast("string"), F.col("t").cast("string"))
+    x = pairs.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("surrogate"), "t", "x")
+    drawn = x.withColumn("u", F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint"))
+    return ranked(drawn, ["surrogate"], "u", "t").select("surrogate", F.col("r").alias("t"), "x").join(pairs.select("t", "y"), "t").select("surrogate", "t", "x", "y")
+
+
 def embed_keyed(pairs: DataFrame, key: str, lag: int = 1) -> DataFrame:
     past = pairs.select(key, (F.col("t") + lag).alias("t"), F.col("x").alias("x0"))
     before = pairs.select(key, (F.col("t") + 1).alias("t"), F.col("y").alias("y0"))

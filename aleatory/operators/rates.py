@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = 44
@@ -40,6 +40,30 @@ def convert_base(digits: Column, source: int, target: int) -> Column:
     return F.struct(F.transform(digits, to).alias("digits"), error.alias("error"))
 
 
+#: The systems of a rate index that are dials of ten, most trusted first; two dials of a hundred and labels of base 44 come after them.
+TEN_DIALS = ("combe_base10", "delawarr", "copen_homeo", "copen_organ")
+
+
+def rate_of_systems(system: dict[str, Column]) -> Column:
+    """The base-44 digits of the first system that holds a rate; null if none does."""
+    ten = [F.when(c.rlike("^[0-9]+$"), convert_base(F.transform(F.regexp_extract_all(c, F.lit("([0-9])")), lambda x: x.cast("int")), 10, BASE)["digits"]) for c in (system[s] for s in TEN_DIALS if s in system)]
+    found = list(ten)
+    if "krt" in system:
+        number = lambda x: F.floor(F.nullif(F.regexp_extract(x, r"^\s*([+]?[0-9]*\.?[0-9]+)", 1), F.lit("")).cast("double") + 0.5)
+        hundred = F.transform(F.split(system["krt"], "-"), lambda x: F.pmod(number(x), F.lit(100)))
+        found.append(F.when(F.forall(hundred, lambda v: v.isNotNull()), convert_base(hundred, 100, BASE)["digits"]))
+    if "combe_base44" in system:
+        found.append(parse_rate(F.regexp_replace(F.trim(system["combe_base44"]), r"\s+", "-")))
+    return F.coalesce(*found) if found else F.lit(None).cast("array<int>")
+
+
+def catalog(entries: DataFrame) -> DataFrame:
+    """Entries ``(term, systems struct, ...)`` with their base-44 ``rate``; those without a term are left out, those without a rate keep null."""
+    fields = entries.schema["systems"].dataType.names
+    rate = rate_of_systems({f: F.col("systems")[f] for f in fields})
+    return entries.where(F.length("term") > 0).withColumn("rate", rate)
+
+
 def degrees(digit: Column, base: int = BASE) -> Column:
     """A digit's angle in degrees."""
     return digit * F.lit(360.0) / base

@@ -12,14 +12,14 @@ from ..functions.numerics import gamma_p, gamma_q
 EARTH_RADIUS_M = 6371008.8
 
 
-def _near(points: DataFrame, reach: float) -> DataFrame:
-    """``(id, x, y, id2, d2)``: ordered pairs within ``reach``, by an equi-join on cells of that size and their neighbours."""
-    p = points.select("id", "x", "y", F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
+def _near(points: DataFrame, reach: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, id, x, y, id2, d2)``: ordered pairs of one field within ``reach``, by an equi-join on cells of that size and their neighbours."""
+    p = points.select(*by, "id", "x", "y", F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = p.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.explode(steps).alias("s"))
-    q = q.select("id2", "x2", "y2", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    q = p.select(*by, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.explode(steps).alias("s"))
+    q = q.select(*by, "id2", "x2", "y2", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
     d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-    return p.join(q, ["cx", "cy"]).where("id <> id2").withColumn("d2", d2).where(F.col("d2") <= reach * reach).select("id", "x", "y", "id2", "d2")
+    return p.join(q, [*by, "cx", "cy"]).where("id <> id2").withColumn("d2", d2).where(F.col("d2") <= reach * reach).select(*by, "id", "x", "y", "id2", "d2")
 
 
 def nearest(points: DataFrame, area: float, n: int) -> DataFrame:
@@ -57,6 +57,16 @@ def ripley_l(points: DataFrame, area: float, n: int, radii: list[float]) -> Data
     return out.select("radius", (F.sqrt(F.coalesce("c", F.lit(0)) * (area / n / n / math.pi)) - F.col("radius")).alias("l"))
 
 
+def ripley_l_by(points: DataFrame, by: str, area: float, radii: list[float]) -> DataFrame:
+    """``(by, radius, l)`` of every field in one pass; a field without pairs within a radius has l = -radius."""
+    steps = F.explode(F.array(*map(F.lit, radii))).alias("radius")
+    pair = _near(points, max(radii), (by,)).select(by, "d2", steps).where("d2 <= radius * radius")
+    sizes = points.groupBy(by).agg(F.count("*").alias("n")).select(by, "n", steps)
+    out = sizes.join(pair.groupBy(by, "radius").agg(F.count("*").alias("c")), [by, "radius"], "left")
+    n = F.col("n").cast("double")
+    return out.select(by, "radius", (F.sqrt(F.coalesce("c", F.lit(0)) * area / n / n / math.pi) - F.col("radius")).alias("l"))
+
+
 def neighbour_counts(points: DataFrame, radius: float) -> DataFrame:
     near = _near(points, radius).groupBy("id").agg(F.count("*").alias("c"))
     return points.join(near, "id", "left").select("id", "x", "y", F.coalesce("c", F.lit(0)).alias("neighbours"))

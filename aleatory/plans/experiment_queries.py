@@ -9,7 +9,7 @@ from ..operators import dims, draws, experiment
 from ..operators import rates as ra
 from ..operators import spatial as sp
 from ..sources.frames import linear_scale
-from .registry import BITSTR, BYTES, DIGEST, Z, byte_stream, digest, query, read, rounded, trials256
+from .registry import BITSTR, BYTES, DIGEST, TRIALS, Z, byte_stream, chi2_sf_sql, digest, norm_cdf_sql, norm_ppf_sql, query, read, rounded, trials256
 
 
 def _events(spark, d):
@@ -23,17 +23,27 @@ def _(spark, d):
     return rounded(per.select("id", "steps", "netvar", "devvar", "correlation"))
 
 
-@query("experiment_events")
+_PER = "per as (select s_suppkey as id, count(*) as steps, sum(zs * zs) as netvar, sum(q) as devvar, sum(n) as cells, sum((s * s - q) / 2) / sqrt(sum(n * (n - 1) / 2)) as correlation from st join supplier on t >= s_suppkey * 3 and t < s_suppkey * 3 + 50 group by id)"
+_P_NETVAR = chi2_sf_sql("netvar", "steps")
+_RESULT = f"select id, steps, round(netvar, 6) as netvar, round(devvar, 6) as devvar, round(correlation, 6) + 0.0 as correlation, round({_P_NETVAR}, 6) + 0.0 as p_netvar, round({chi2_sf_sql('devvar', 'cells')}, 6) + 0.0 as p_devvar, round({norm_cdf_sql('(-correlation)')}, 6) + 0.0 as p_correlation from per"
+
+
+@query("experiment_events", f"with {Z}, {_PER} {_RESULT}")
 def _(spark, d):
     return rounded(experiment.analyse(trials256(spark, d), _events(spark, d), 256)[0])
 
 
-@query("experiment_composite")
+@query("experiment_composite", f"with {Z}, {_PER}, u as (select least(greatest({_P_NETVAR}, 1e-300), 1 - 1e-16::double) as p from per), {norm_ppf_sql('u', 'q')}, c as (select -sum(z) / sqrt(count(*)) as z, count(*) as events from q) select round(z, 6) as z, events, round({norm_cdf_sql('(-z)')}, 6) as p from c")
 def _(spark, d):
     return rounded(experiment.analyse(trials256(spark, d), _events(spark, d), 256)[1])
 
 
-@query("experiment_burn")
+@query(
+    "experiment_burn",
+    f"""with {TRIALS}, cal as (select source, avg(sum) as mean, stddev_samp(sum) as sd from tri where t < 600 group by source having count(*) >= 500), rest as (select source, t - 600 as t, sum from tri where t >= 600),
+    ali as (select * from rest where t <= (select min(m) from (select max(t) as m from rest group by source))), z as (select source, t, (sum - mean) / sd as z from ali join cal using (source) where sd > 0),
+    st as (select t, count(*) as n, sum(z) as s, sum(z * z) as q, sum(z) / sqrt(count(*)) as zs from z group by t), {_PER} {_RESULT}""",
+)
 def _(spark, d):
     return rounded(experiment.analyse(trials256(spark, d), _events(spark, d), 256, "burn", 600)[0])
 
@@ -53,15 +63,17 @@ def _(spark, d):
     return rounded(experiment.sample_disk(byte_stream(spark, d), 100.0))
 
 
-@query("csr_envelope")
+@query(
+    "csr_envelope",
+    f"""with {BYTES}, p as (select source, pos // 8 as id, sum(case when pos % 8 < 4 then b * 256.0::double ** (3 - pos % 4) else 0 end) / 4294967296.0::double as x, sum(case when pos % 8 >= 4 then b * 256.0::double ** (3 - pos % 4) else 0 end) / 4294967296.0::double as y from byt group by all having count(*) = 8),
+    c as (select *, floor(x / 0.01) as cx, floor(y / 0.01) as cy from p), far as (select source, id, x, y, cx + i as cx, cy + j as cy from c, range(-1, 2) a(i), range(-1, 2) b(j)), n as (select source, count(*) as n from p group by source),
+    r as (select unnest([0.005, 0.01]::double[]) as radius), k as (select source, radius, count(*) filter ((c.x - far.x) * (c.x - far.x) + (c.y - far.y) * (c.y - far.y) <= radius * radius) as k from c join far using (source, cx, cy), r where c.id <> far.id group by all),
+    l as (select radius, sqrt(coalesce(k, 0) / (n * n)::double / pi()) - radius as l from n cross join r left join k using (source, radius)) select radius, round(min(l), 9) + 0.0 as low, round(max(l), 9) + 0.0 as high from l group by radius""",
+)
 def _(spark, d):
     """Range of L over simulated fields, one per event type, of the points that its digests give."""
     p = experiment.sample_field(byte_stream(spark, d), 1.0, 1.0)
-    n = {r["source"]: r["n"] for r in p.groupBy("source").agg(F.count("*").alias("n")).collect()}  # one row per source
-    runs = [sp.ripley_l(p.where(F.col("source") == s).select("id", "x", "y"), 1.0, k, [0.005, 0.01]) for s, k in sorted(n.items())]
-    every = runs[0]
-    for r in runs[1:]:
-        every = every.unionByName(r)
+    every = sp.ripley_l_by(p, "source", 1.0, [0.005, 0.01])
     return rounded(every.groupBy("radius").agg(F.min("l").alias("low"), F.max("l").alias("high")), 9)
 
 

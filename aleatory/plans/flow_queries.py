@@ -135,6 +135,21 @@ def _(spark, d):
     return rounded(own.crossJoin(others.agg(F.avg("te").alias("m"))).select((F.col("te") - F.col("m")).alias("te")), 9)  # one row each
 
 
+_SHUFFLES = 9
+
+
+@query(
+    "shuffled_te",
+    f"""with {_PAIR}, dr as (select i, x, row_number() over (partition by i order by ('0x' || substr(md5('7:' || i || ':' || t), 1, 13))::bigint, t) - 1 as t from pr, range({_SHUFFLES}) r(i)), every as (select i, t, dr.x, y from dr join pr using (t)),
+    em as (select b.i, b.y as y1, a.y as y0, a.x as x0 from every a join every b on b.i = a.i and b.t = a.t + 1),
+    jt as (select i, y1, y0, x0, count(*) as c from em group by all), mg as (select *, sum(c) over (partition by i, y0) as dp, sum(c) over (partition by i, y0, x0) as sp, sum(c) over (partition by i, y1, y0) as df from jt)
+    select i::int as surrogate, round(greatest({_TE}, 0), 9) as te from mg group by i""",
+)
+def _(spark, d):
+    s = flow.permuted(pairs(spark, d), _SHUFFLES, 7)
+    return rounded(flow.transfer_entropy(flow.embed_keyed(s, "surrogate"), ["surrogate"]).select("surrogate", "te"), 9)
+
+
 @query(
     "windowed_te",
     f"""with {_EMB}, w as (select w, y1, y0, x0 from em, lateral (select unnest(range(greatest(ceil((t - 255) / 64.0), 0)::bigint, ((t - 1) // 64 + 1)::bigint)) as w)),

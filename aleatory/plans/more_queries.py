@@ -46,13 +46,21 @@ def _(spark, d):
     return digest(spark, d).select("source", "t", dr.shield(_bits())["judge"].alias("judge"))
 
 
-@query("tarot_spread")
+def _shuffle_sql(items: int, name: str) -> str:
+    """Three of the items by a partial Fisher-Yates shuffle: a byte a step, taken again if it is past the last multiple."""
+    return f"""with recursive {DIGEST}, dr as (select source, t, h, 0 as i, 0 as used, range(0, {items}) as deck from dig
+    union all select source, t, h, i + ok::int, used + 1, case when ok then list_transform(range(0, {items}), lambda k: deck[case when k = i then j + 1 when k = j then i + 1 else k + 1 end]) else deck end
+    from (select *, v < 256 // n * n as ok, i + v % n as j from (select *, {items} - i as n, ('0x' || substr(h, 2 * used + 1, 2))::int as v from dr where i < 3)))
+    select source, t, deck[1] || ',' || deck[2] || ',' || deck[3] as {name}, used from dr where i = 3"""
+
+
+@query("tarot_spread", _shuffle_sql(78, "cards"))
 def _(spark, d):
     x = digest(spark, d).select("source", "t", dr.draw_without_replacement(78, 3)(F.unhex("h")).alias("r"))
     return x.select("source", "t", F.array_join(F.transform("r.drawn", lambda v: v.cast("string")), ",").alias("cards"), "r.used")
 
 
-@query("rune_cast")
+@query("rune_cast", _shuffle_sql(24, "runes"))
 def _(spark, d):
     x = digest(spark, d).select("source", "t", dr.draw_without_replacement(24, 3)(F.unhex("h")).alias("r"))
     return x.select("source", "t", F.array_join(F.transform("r.drawn", lambda v: v.cast("string")), ",").alias("runes"), "r.used")
@@ -115,6 +123,30 @@ def _(spark, d):
     return rounded(c.select("p_partkey", F.array_join(F.transform("c.digits", lambda v: v.cast("string")), ",").alias("digits"), "c.error"), 9)
 
 
+_TO44 = "lambda v: (floor(v * 44 / {}.0::double + 0.5) % 44)::int"
+
+
+@query(
+    "rate_catalog",
+    f"""with e as (select p_partkey, p_size, p_partkey % 4 as k from part), d as (select *, case
+      when k = 0 then list_transform(string_split((p_partkey * p_size)::varchar, ''), lambda c: c::int)
+      when k = 1 then [p_size % 100, p_partkey % 100]
+      when k = 2 and p_size < 44 then [5, 9, p_size] end as v from e)
+    select p_partkey, array_to_string(list_transform(case k when 0 then list_transform(v, {_TO44.format(10)}) when 1 then list_transform(v, {_TO44.format(100)}) else v end, lambda x: x::varchar), '-') as rate from d""",
+)
+def _(spark, d):
+    """A rate index of several systems, projected to base 44; entries of no system keep no rate."""
+    k = F.col("p_partkey") % 4
+    systems = F.struct(
+        F.when(k == 0, (F.col("p_partkey") * F.col("p_size")).cast("string")).alias("combe_base10"),
+        F.when(k == 1, F.concat(F.col("p_size").cast("string"), F.lit(".00-"), (F.col("p_partkey") % 100).cast("string"), F.lit(".25"))).alias("krt"),
+        F.when(k == 2, F.concat(F.lit(" 05 09 "), F.col("p_size").cast("string"))).alias("combe_base44"),
+        F.when(k == 3, F.lit("none")).alias("delawarr"),
+    )
+    entries = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("term"), systems.alias("systems"))
+    return ra.catalog(entries).select("p_partkey", ra.format_rate(F.col("rate")).alias("rate"))
+
+
 @query("rate_parse", f"with {_R} select p_partkey, array_to_string(r, '-') as rate, array_to_string(list_transform(r, lambda v: lpad(v::varchar, 2, '0')), '.') as padded from r")
 def _(spark, d):
     t = _rates(spark, d).select("p_partkey", ra.format_rate(F.col("r"), pad=True).alias("p"))
@@ -272,21 +304,19 @@ def _(spark, d):
     return read(spark, d, "part").select("p_partkey", le.temurah(word).alias("atbash"))
 
 
-#: A small odd modulus for the registered queries; production takes an RSA modulus of 2048 bits.
-_MODULUS = 0xC5F3F8F5E9C2B1D7 * 0xE3779B97F4A7C15F | 1
 
 
 @query("vdf_seal")
 def _(spark, d):
     s = read(spark, d, "supplier").select("s_suppkey", F.encode(F.col("s_name"), "UTF-8").alias("x"), (F.col("s_suppkey") % 50 + 1).alias("t"))
-    return s.select("s_suppkey", F.lower(F.hex(vdf.seal(_MODULUS)("x", "t"))).alias("proof"))
+    return s.select("s_suppkey", F.lower(F.hex(vdf.seal(vdf.RSA_2048)("x", "t"))).alias("proof"))
 
 
 @query("vdf_verify", "select s_suppkey, true as ok, false as forged from supplier")
 def _(spark, d):
     s = read(spark, d, "supplier").select("s_suppkey", F.encode(F.col("s_name"), "UTF-8").alias("x"), (F.col("s_suppkey") % 50 + 1).alias("t"))
-    p = s.withColumn("p", vdf.seal(_MODULUS)("x", "t"))
-    return p.select("s_suppkey", vdf.verify(_MODULUS)("x", "p").alias("ok"), vdf.verify(_MODULUS)(F.concat("x", F.lit(b"!")), "p").alias("forged"))
+    p = s.withColumn("p", vdf.seal(vdf.RSA_2048)("x", "t"))
+    return p.select("s_suppkey", vdf.verify(vdf.RSA_2048)("x", "p").alias("ok"), vdf.verify(vdf.RSA_2048)(F.concat("x", F.lit(b"!")), "p").alias("forged"))
 
 
 _RESP = "resp as (select s_suppkey // 4 as request_id, s_suppkey % 4 as ord, 'p' || (s_suppkey % 4) as name, case when s_suppkey % 3 = 0 then 'qrng' else 'trng' end as kind, case when s_suppkey % 5 = 0 then 'public' else 'private' end as privacy, s_suppkey % 7 <> 0 as ok, s_suppkey * 31 % 97 as latency_ms, sha256(s_suppkey::varchar) as h from supplier)"

@@ -11,7 +11,7 @@ from ..operators import extract as ex
 from ..operators import health
 from ..operators import network as net
 from ..operators import protocols as pr
-from .registry import BYTES, DIGEST, TRIALS, Z, byte_stream, chunk_stream, digest, query, read, rounded, trials256, z256
+from .registry import BYTES, DIGEST, TRIALS, Z, byte_stream, chi2_sf_sql, chunk_stream, digest, norm_ppf_sql, query, read, rounded, trials256, z256
 
 _NIB = f"{BYTES}, nib as (select source, pos, b & 1 as b from byt)"
 
@@ -101,7 +101,10 @@ def _(spark, d):
     return rounded(pr.rolling(net.steps(z256(spark, d)).select("t", "zs"), 32, 4))
 
 
-@query("rolling_netvar")
+@query(
+    "rolling_netvar",
+    f"""with {Z}, w as (select t, sum(zs * zs) over (order by t rows 31 preceding) as x from st), u as (select t, {chi2_sf_sql('x', '32')} as p from w where t >= 31 and (t - 31) % 4 = 0), {norm_ppf_sql('u', 'q')} select t, round(-z, 6) + 0.0 as z from q""",
+)
 def _(spark, d):
     r = pr.rolling(net.steps(z256(spark, d)).select("t", "zs"), 32, 4)
     return rounded(r.select("t", (-nu.norm_ppf(nu.chi2_sf(F.col("chi"), F.lit(32.0)))).alias("z")))

@@ -71,3 +71,35 @@ Z = TRIALS + """,
 ali as (select * from tri where t <= (select min(m) from (select max(t) as m from tri group by source))),
 z as (select source, t, (sum - 128) / 8.0::double as z from ali),
 st as (select t, count(*) as n, sum(z) as s, sum(z * z) as q, sum(z) / sqrt(count(*)) as zs from z group by t)"""
+
+
+def gamma_p_sql(a: str, x: str) -> str:
+    """DuckDB's equivalent of the lower regularised incomplete gamma function, by its series."""
+    return f"coalesce(list_sum(list_transform(range(0, 3000), lambda k: exp(({a} + k) * ln(greatest({x}, 1e-300::double)) - {x} - lgamma({a} + k + 1)))), 0)"
+
+
+def chi2_sf_sql(x: str, df: str) -> str:
+    return f"(1 - {gamma_p_sql(f'(({df}) / 2.0::double)', f'(({x}) / 2.0::double)')})"
+
+
+def norm_cdf_sql(z: str) -> str:
+    return f"(0.5::double + 0.5::double * sign({z}) * {gamma_p_sql('0.5::double', f'({z} * {z} / 2)')})"
+
+
+#: Acklam's rational approximation of the normal quantile, its middle and its tails.
+_MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+_TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+
+
+def norm_ppf_sql(rows: str, out: str) -> str:
+    """Common table expressions ``out``: the rows with z, the normal quantile of their column p, after one Newton step."""
+
+    def ratio(parts: tuple[tuple[float, ...], ...], x: str) -> str:
+        def poly(c: tuple[float, ...]) -> str:
+            return "(" + " + ".join(f"({v!r})::double * {x} ** {len(c) - 1 - i}" for i, v in enumerate(c)) + ")"
+
+        return f"{poly(parts[0])} / {poly(parts[1])}"
+
+    low, high, middle = ratio(_TAIL, "sqrt(-2 * ln(p))"), ratio(_TAIL, "sqrt(-2 * ln(1 - p))"), ratio(_MIDDLE, "((p - 0.5) * (p - 0.5))")
+    start = f"case when p < 0.02425 then {low} when p > 0.97575 then -({high}) else (p - 0.5) * {middle} end"
+    return f"{out}0 as (select *, {start} as z0 from {rows}), {out} as (select *, z0 - ({norm_cdf_sql('z0')} - p) * sqrt(2 * pi()) * exp(z0 * z0 / 2) as z from {out}0)"

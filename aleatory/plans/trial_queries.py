@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numerics as nu
 from ..operators import network as net
 from ..operators import trials as tr
-from .registry import BYTES, TRIALS, Z, chunk_stream, query, read, rounded, trials256, z256
+from .registry import BYTES, TRIALS, Z, chi2_sf_sql, chunk_stream, gamma_p_sql, norm_cdf_sql, norm_ppf_sql, query, read, rounded, trials256, z256
 
 
 @query("trials_from_bytes", f"with {BYTES} select source, pos // 32 as t, sum(bit_count(b))::int as sum from byt group by all having count(*) = 32")
@@ -55,7 +55,7 @@ def netvar(spark, d):
     return rounded(net.netvar(z256(spark, d)))
 
 
-@query("netvar_p")
+@query("netvar_p", f"with {Z}, v as (select sum(zs * zs) as x, count(*) as df from st) select round(x, 6) as statistic, df, round({chi2_sf_sql('x', 'df')}, 6) as p from v")
 def _(spark, d):
     s = net.netvar(z256(spark, d))
     return rounded(s.withColumn("p", nu.chi_square_p(F.col("statistic"), F.col("df"))))
@@ -115,10 +115,17 @@ def _(spark, d):
     return rounded(net.cumulative_deviation(net.steps(z256(spark, d))))
 
 
-@query("significance_envelope")
+#: The quantile by Wilson and Hilferty's start and four Newton steps.
+_STEP = f"x - ({gamma_p_sql('(t / 2.0::double)', '(x / 2)')} - 0.95::double) * 2 / exp((t / 2.0::double - 1) * ln(x / 2) - x / 2 - lgamma(t / 2.0::double))"
+
+
+@query(
+    "significance_envelope",
+    f"""with {Z}, n0 as (select t + 1 as t, (t + 1) * (1 - 2 / (9.0::double * (t + 1)) + 1.6448536269514722::double * sqrt(2 / (9.0::double * (t + 1)))) ** 3 as x from st),
+    n1 as (select t, {_STEP} as x from n0), n2 as (select t, {_STEP} as x from n1), n3 as (select t, {_STEP} as x from n2), n4 as (select t, {_STEP} as x from n3) select t, round(x - t, 5) + 0.0 as bound from n4""",
+)
 def _(spark, d):
-    n = read(spark, d, "nation").count()
-    return rounded(net.envelope(spark.range(1, 8 * n + 1).withColumnRenamed("id", "t")))
+    return rounded(net.envelope(net.steps(z256(spark, d)).select((F.col("t") + 1).alias("t"))), 5)
 
 
 @query(
@@ -137,7 +144,12 @@ def _(spark, d):
     return rounded(net.event_windows(z256(spark, d), events))
 
 
-@query("composite_z")
+@query(
+    "composite_z",
+    f"""with {Z}, v as (select s_suppkey as id, sum(zs * zs) as x, count(*) as df from st join supplier on t >= s_suppkey * 3 and t < s_suppkey * 3 + 50 group by id),
+    u as (select least(greatest({chi2_sf_sql('x', 'df')}, 1e-300), 1 - 1e-16::double) as p from v), {norm_ppf_sql('u', 'q')}, c as (select -sum(z) / sqrt(count(*)) as z, count(*) as events from q)
+    select round(z, 6) as z, events, round({norm_cdf_sql('-z')}, 6) as p from c""",
+)
 def _(spark, d):
     events = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 3).alias("start_t"), (F.col("s_suppkey") * 3 + 50).alias("end_t"))
     per = net.event_windows(z256(spark, d), events)

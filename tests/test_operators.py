@@ -311,6 +311,60 @@ def test_delay_proofs():
         assert vdf.from_bytes(raw, n) == (t, y, mus) and vdf.from_bytes(raw[:-1], n) is None
 
 
+def test_delay_proofs_of_the_challenge_number():
+    n = vdf.assert_modulus(vdf.RSA_2048)
+    assert n.bit_length() == 2048 and len(str(n)) == 617
+    y, mus = vdf.prove(b"seed", 37, n)
+    assert vdf.from_bytes(vdf.to_bytes(37, y, mus, n), n) == (37, y, mus)
+    assert vdf.check(b"seed", 37, y, mus, n) and not vdf.check(b"seed", 36, y, mus, n)
+    for bad in (2**80, 2**61 - 1):
+        with pytest.raises(ValueError):
+            vdf.seal(bad)
+    for bad in (0, 2**32):
+        with pytest.raises(ValueError):
+            vdf.assert_steps(bad)
+
+
+def test_rate_catalog_prefers_dials_of_ten(spark):
+    def entry(term, **system):
+        return (term, {k: system.get(k) for k in ("combe_base10", "delawarr", "copen_homeo", "copen_organ", "krt", "combe_base44")})
+
+    rows = [
+        entry("both", delawarr="149", krt="62.00-38.00"),
+        entry("hundred", delawarr="x", krt="62.00-38.00"),
+        entry("labels", krt="a-b", combe_base44=" 05 09 12 "),
+        entry("out of range", combe_base44="05 44"),
+        entry("none"),
+        entry("", delawarr="149"),
+        entry(None, delawarr="149"),
+    ]
+    fields = ", ".join(f"{k}: string" for k in rows[0][1])
+    got = rates.catalog(spark.createDataFrame(rows, f"term string, systems struct<{fields}>"))
+    assert {r.term: r.rate for r in got.collect()} == {"both": [4, 18, 40], "hundred": [27, 17], "labels": [5, 9, 12], "out of range": None, "none": None}
+
+
+def test_permuted_keeps_the_values_of_each_series(spark):
+    pairs = spark.range(200).select(F.col("id").alias("t"), (F.col("id") * F.col("id") % 7).alias("x"), (F.col("id") % 3).alias("y"))
+    got = flow.permuted(pairs, 3, 1).toPandas().sort_values(["surrogate", "t"])
+    own = pairs.toPandas()
+    orders = [g for _, g in got.groupby("surrogate")]
+    assert len(orders) == 3
+    for g in orders:
+        assert g.t.tolist() == list(range(200)) and g.y.tolist() == own.y.tolist()
+        assert sorted(g.x) == sorted(own.x) and g.x.tolist() != own.x.tolist()
+    assert orders[0].x.tolist() != orders[1].x.tolist()
+
+
+def test_ripley_by_field_is_ripley_of_each_field(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f, i, float(x), float(y)) for f, n in (("a", 60), ("b", 25), ("lonely", 1)) for i, (x, y) in enumerate(rng.random((n, 2)))]
+    p = frame(spark, rows, "f string, id int, x double, y double")
+    got = {(r.f, r.radius): r.l for r in spatial.ripley_l_by(p, "f", 1.0, [0.05, 0.2]).collect()}
+    for f, n in (("a", 60), ("b", 25), ("lonely", 1)):
+        for r in spatial.ripley_l(p.where(F.col("f") == f).drop("f"), 1.0, n, [0.05, 0.2]).collect():
+            assert got[f, r.radius] == pytest.approx(r.l)
+
+
 def test_frames_round_trip():
     assert frames.decode(frames.encode_bytes(3, b"abc")) == {"kind": "bytes", "channel": 3, "data": b"abc"}
     assert frames.decode(frames.encode_matrix(1, 1, 2, [0.5, 1.5]))["values"] == [0.5, 1.5]
