@@ -365,6 +365,34 @@ def test_ripley_by_field_is_ripley_of_each_field(spark):
             assert got[f, r.radius] == pytest.approx(r.l)
 
 
+def test_races_and_vitality_of_stated_bytes(spark):
+    def run(udf, data):
+        return spark.createDataFrame([(bytearray(data),)], "x binary").select(udf("x").alias("r")).first().r
+
+    # Of 3 items all are chosen, two draws order them (the last takes no byte); then each gains 10 a round.
+    race = run(draws.energy_race(3), bytes([0, 0]) + bytes([10]) * 28)
+    assert race.drawn == [0, 100, 1, 90, 2, 90] and race.used == 2 + 28
+    assert run(draws.energy_race(3), bytes([0, 0, 10])).drawn is None
+    # Two bytes a draw of 0..1000, one a draw of 0..100.
+    calm = run(draws.vitality, b"".join(v.to_bytes(2, "big") for v in (7, 950, 12)))
+    assert calm.drawn == [950] and calm.used == 6
+    lively = run(draws.vitality, b"".join(v.to_bytes(2, "big") for v in (7, 951, 12)) + bytes([60, 50, 49]))
+    assert lively.drawn == [951 + 110] and lively.used == 9
+
+
+def test_attractors_against_a_loop(spark):
+    rng = np.random.default_rng(11)
+    xy = rng.random((80, 2))
+    radius = math.sqrt(4.0 / 80 / math.pi)
+    near = [sum(i != j and float(((a - b) ** 2).sum()) <= radius * radius for j, b in enumerate(xy)) for i, a in enumerate(xy)]
+    p = frame(spark, [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, x double, y double")
+    got = {r.kind: r for r in spatial.attractors(p, 1.0, 80).collect()}
+    most, least = max(near), min(near)
+    pmf = [math.exp(-4) * 4**k / math.factorial(k) for k in range(80)]
+    assert (got["attractor"].id, got["attractor"].neighbours) == (near.index(most), most) and got["attractor"].p == pytest.approx(sum(pmf[most:]), rel=1e-9)
+    assert (got["void"].id, got["void"].neighbours) == (near.index(least), least) and got["void"].p == pytest.approx(sum(pmf[: least + 1]), rel=1e-9)
+
+
 def test_frames_round_trip():
     assert frames.decode(frames.encode_bytes(3, b"abc")) == {"kind": "bytes", "channel": 3, "data": b"abc"}
     assert frames.decode(frames.encode_matrix(1, 1, 2, [0.5, 1.5]))["values"] == [0.5, 1.5]
