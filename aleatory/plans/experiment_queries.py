@@ -9,6 +9,7 @@ from ..operators import dims, draws, experiment
 from ..operators import rates as ra
 from ..operators import spatial as sp
 from ..sources.frames import linear_scale
+from .protocol_queries import _EP, _epochs
 from .registry import BITSTR, BYTES, DIGEST, TRIALS, Z, byte_stream, chi2_sf_sql, digest, norm_cdf_sql, norm_ppf_sql, query, read, rounded, trials256
 
 
@@ -77,14 +78,19 @@ def _(spark, d):
     return rounded(every.groupBy("radius").agg(F.min("l").alias("low"), F.max("l").alias("high")), 9)
 
 
-@query("presentiment_permutation")
+@query(
+    "presentiment_permutation",
+    f"""with {_EP}, b as (select phase, id, sum(zs) as s, count(*) as n from ep group by all), size as (select max(id) + 1 as size from ep),
+    l as (select o, ((i - o) % size + size) % size as id, i * i % 3 = 1 as target from (select unnest(range(0, size)) as i, size from size), range(0, 20) r(o) where o = 0 or o < size and (size % 3 <> 0 or o % 3 <> 0)),
+    d as (select phase, o, (sum(s) filter (target) / sqrt(sum(n) filter (target)) - sum(s) filter (not target) / sqrt(sum(n) filter (not target))) / sqrt(2) as dz from b join l using (id) group by all)
+    select phase, round(a.dz, 6) + 0.0 as own, round((1 + count(*) filter (c.dz >= a.dz)) / (1 + count(*))::double, 6) as p from d a join d c using (phase) where a.o = 0 and c.o > 0 group by phase, a.dz""",
+)
 def _(spark, d):
-    from .protocol_queries import _epochs
-
     ep = _epochs(spark, d).select("id", "phase", "zs")
     n = ep.agg(F.max("id") + 1).first()[0] or 1
     labels = spark.range(n).select(F.col("id").alias("i"), (F.col("id") * F.col("id") % 3 == 1).alias("target"))
-    return rounded(experiment.label_rotation_p(ep, labels, n, list(range(1, 20))))
+    offsets = [o for o in range(1, 20) if o < n and (n % 3 or o % 3)]  # rotations that give the same labels are left out
+    return rounded(experiment.label_rotation_p(ep, labels, n, offsets))
 
 
 @query("geomancy_figures", "select s_suppkey, (s_suppkey % 16)::int as value, length(replace(bin(s_suppkey % 16), '0', '')) as ones from supplier")
