@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, repeats, topk, urls
+from . import decontam, middle, mixing, pii, ranking, repeats, topk, urls, vectors
 from .langid import identify
 from .neardup import near_duplicates
 from .quality import score_quality
@@ -86,8 +86,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.middle_digests(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op9_repeated_passages, op3_personal_data, op5_top_k, op6_urls, op4_quality, op7_toxicity, op8_language, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op9_repeated_passages, op3_personal_data, op5_top_k, op6_urls, op4_quality, op7_toxicity, op8_language, op10_near_duplicates, op11_near_vectors, op12_ranking, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -96,4 +108,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_top_k": topk.SQL,
         "op9_repeated_passages": REPEATED_PASSAGES_SQL,
         "op10_near_duplicates": NEAR_DUPLICATES_SQL,
+        "op11_near_vectors": vectors.SQL,
+        "op12_ranking": ranking.SQL,
+        "op13_fill_in_middle": middle.SQL,
     }
