@@ -2,11 +2,8 @@
 
 Tokens (words) are added up per source; a source's repetition rate is its
 target over its size; each document is emitted floor(rate) times plus one more
-time with probability equal to the fraction, decided by a hash of its id.
-``turns`` = 1 is this plain draw: what a document gets then hangs on nothing
-but its id and its source's rate. With more turns, a source of few documents
-comes nearer to its target: its hashes are turned by the fraction of a circle
-that serves best, still each with the same probability.
+time with probability equal to the fraction, decided by a hash of its id: what
+a document gets hangs on nothing but its id and its source's rate.
 """
 
 from __future__ import annotations
@@ -20,8 +17,6 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-#: Turns of the hash that a source chooses from; 1: the plain Bernoulli draw.
-TURNS = 16
 
 
 def words(text: str = "text") -> Column:
@@ -62,25 +57,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return out.select("source", "source_size", F.least(F.col("cap"), F.coalesce("level", F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
-def _extra(u: Column, turn: Column, turns: int, rate: Column) -> Column:
-    """Whether the draw, turned, gives one more copy."""
-    turned = u + turn / turns
-    return turned - F.floor(turned) < rate - F.floor(rate)
+def _copies() -> Column:
+    """floor(rate), and one more with probability equal to the rest."""
+    return (F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
 
 
-def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float, turns: int) -> DataFrame:
-    """``(of, source_size, target, rate, turn)``, one row per source, from rows of (source, size, u)."""
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """``(of, source_size, target, rate)``, one row per source, from rows of (source, size)."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    plan = source_targets(sizes, weights, share, most).select(F.col("source").alias("of"), "source_size", "target", rate.alias("rate"))
-    if turns == 1:
-        return small(cut(plan.withColumn("turn", F.lit(0))))
-    plan = cut(plan)
-    drawn = sized.join(small(plan), F.col("source").eqNullSafe(F.col("of")))
-    sums = [F.sum(F.when(_extra(F.col("u"), F.lit(i), turns, F.col("rate")), F.col("size")).otherwise(0)).alias(f"s{i}") for i in range(turns)]
-    by = drawn.groupBy("of", "source_size", "target", "rate").agg(*sums)
-    off = F.array(*[F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{i}") - F.col("target")).alias("off"), F.lit(i).alias("turn")) for i in range(turns)])
-    return small(cut(by.select("of", "source_size", "target", "rate", F.array_min(off)["turn"].alias("turn"))))
+    return small(cut(source_targets(sizes, weights, share, most).select(F.col("source").alias("of"), "source_size", "target", rate.alias("rate"))))
 
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
@@ -88,7 +74,7 @@ def _sized(docs: DataFrame, seed: str) -> DataFrame:
     return cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"), hash_unit("doc_id", seed=seed).alias("u")))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix", turns: int = TURNS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)``, one row per document (taken = copies * size); needs ``doc_id, text, source``.
 
     A null text has size 0; null is a source of its own. A source of size 0 has
@@ -97,12 +83,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     not read. An empty table gives no rows. Texts are read once.
     """
     sized = _sized(docs, seed)
-    joined = sized.join(_plan(sized, weights, share, most, turns), F.col("source").eqNullSafe(F.col("of")))
-    copies = (F.floor("rate") + _extra(F.col("u"), F.col("turn"), turns, F.col("rate")).cast("int")).cast("int")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    joined = sized.join(_plan(sized, weights, share, most), F.col("source").eqNullSafe(F.col("of")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
 
 
-def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix", turns: int = TURNS) -> DataFrame:
+def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """One row per copy: the documents' columns as they are, and ``copy``, from 1 (an input's ``copy`` is replaced).
 
     Cases as for ``mix_sources``; texts of size 0 are not emitted from sources
@@ -110,11 +95,10 @@ def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     document's copies hang on its id and source alone.
     """
     names = [c for c in docs.columns if c != "copy"]
-    plan = _plan(_sized(docs, seed), weights, share, most, turns)
+    plan = _plan(_sized(docs, seed), weights, share, most)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").cast("string").alias("source"), hash_unit("doc_id", seed=seed).alias("u"))
     joined = whole.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    copies = (F.floor("rate") + _extra(F.col("u"), F.col("turn"), turns, F.col("rate")).cast("int")).cast("int")
-    out = joined.select("row", copies.alias("copies")).where("copies > 0")
+    out = joined.select("row", _copies().alias("copies")).where("copies > 0")
     out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return out.select(*[F.col("row")[c].alias(c) for c in names], "copy")
 
@@ -137,11 +121,6 @@ mixed as (
   from base b join plan p on b.source is not distinct from p.source),
 drawn as (
   select *, ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double as u from mixed),
-sums as (
-  select source, turn, abs(floor(any_value(rate)) * any_value(source_size) + sum(case when u + turn / 16.0::double - floor(u + turn / 16.0::double) < rate - floor(rate) then size else 0 end) - any_value(target)) as off
-  from drawn, range(0, 16) r(turn) group by source, turn),
-turns as (select source, arg_min(turn, (off, turn)) as turn from sums group by source),
 mix as (
-  select d.*, (floor(rate) + (u + turn / 16.0::double - floor(u + turn / 16.0::double) < rate - floor(rate))::int)::int as copies
-  from drawn d join turns t on d.source is not distinct from t.source)
+  select *, (floor(rate) + (u < rate - floor(rate))::int)::int as copies from drawn)
 """

@@ -161,14 +161,31 @@ def test_mixing_of_odd_documents(spark):
     docs = odd_docs(spark)
     mixed = mixing.mix_sources(docs)
     assert mixed.count() == docs.count() and mixed.schema["size"].dataType.typeName() == "long"
-    plain = mixing.mix_sources(docs, turns=1).collect()
-    assert {(r.doc_id, r.copies) for r in plain if r.source == "b"} == {(r.doc_id, r.copies) for r in mixing.mix_sources(docs.where("source = 'b' or source <> 'b'"), turns=1).collect() if r.source == "b"}
+    plain = mixed.collect()
+    assert {(r.doc_id, r.copies) for r in plain if r.source == "b"} == {(r.doc_id, r.copies) for r in mixing.mix_sources(docs.where("source = 'b' or source <> 'b'")).collect() if r.source == "b"}
     out = mixing.emit_mix(docs)
     assert out.columns == [c for c in docs.columns if c != "copy"] + ["copy"]
     assert out.where("size <> 'own size'").count() == 0  # a column of the input by that name is its own
     assert mixing.mix_sources(empty_docs(spark)).count() == 0 and mixing.emit_mix(empty_docs(spark)).count() == 0
 
 
+def test_copies_have_the_probability_of_the_fraction(spark):
+    """Over many seeds, also where a source is one large document, or one large and many small ones."""
+    rng = random.Random(4)
+    rows = [(0, "x " * 500, "one")] + [(1, "x " * 400, "two")] + [(i, "x " * 20, "two") for i in range(2, 11)] + [(i, "x " * int(rng.lognormvariate(3, 1) + 1), "many") for i in range(11, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sized = mixing._sized(docs, "any")
+    plan = mixing._plan(sized, mixing.WEIGHTS, mixing.SHARE, mixing.MOST)
+    seeds, extra = 400, {}
+    drawn = sized.crossJoin(spark.range(seeds)).select("doc_id", "source", mixing.hash_unit("id", "doc_id", seed="mix").alias("u"))
+    for r in drawn.join(plan, drawn.source == plan.of).select("doc_id", "rate", mixing._copies().alias("copies")).collect():
+        assert r.copies in (int(r.rate), int(r.rate) + 1)
+        extra.setdefault((r.doc_id, r.rate), []).append(r.copies - int(r.rate))
+    assert len(extra) == 60 and all(len(x) == seeds for x in extra.values())
+    for (_, rate), x in extra.items():
+        assert abs(sum(x) / seeds - rate % 1) < 4.5 * (rate % 1 * (1 - rate % 1) / seeds) ** 0.5 + 1e-9
+
+
 def labelled(spark, n=1500):
     rng = random.Random(3)
     vocabulary = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "mo", "ne") for b in ("ra", "so", "ti", "vu", "xe")]
