@@ -51,3 +51,16 @@ def ranked(df: DataFrame, group: list[str], order: str, tie: str, out: str = "r"
     starts = sizes.select(*group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     numbered = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*group, "__b").orderBy(order, tie)) - 1)
     return numbered.join(starts, [*group, "__b"]).withColumn(out, (F.col("__r") + F.col("__o")).cast("bigint")).drop("__b", "__r", "__o")
+
+
+def haloed(df: DataFrame, keys: list[str], order: str, reach: int, bucket: int = BUCKET) -> DataFrame:
+    """Add ``__b`` and ``__own``: each row in its range bucket of the integer ``order`` and, where later rows reach back over the border, in the next one too (there ``__own`` is false).
+
+    A window over (keys, ``__b``) by ``order`` then sees, for every own row,
+    the ``reach`` places before it, whatever the length of the series: one
+    shuffle, and a series is dealt to as many tasks as it has buckets.
+    """
+    size = max(bucket, reach)  # so that no row is needed by more than two buckets
+    b = F.floor(F.col(order) / size)
+    to = F.when(F.col(order) % size >= size - reach, F.array(b, b + 1)).otherwise(F.array(b))
+    return df.withColumn("__b", F.explode(to)).withColumn("__own", F.floor(F.col(order) / size) == F.col("__b"))

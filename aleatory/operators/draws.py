@@ -42,8 +42,13 @@ def uniform_ints(data: DataFrame, n: int, chunk: int = 1 << 14) -> DataFrame:
     """Chunks ``(source, off, bytes)`` to ``(source, i, v)``: draws below n from consecutive big-endian values, those at or over the last full multiple of n refused.
 
     Each chunk (of ``chunk`` values) gives a list of draws; sums of their numbers give their places.
+    A draw below 1 takes no bytes, so no stream says how many there are: each source gives one.
     """
-    k = max(width(n), 1)
+    if n < 1:
+        raise ValueError("a bound of at least 1")
+    if n == 1:
+        return data.select("source").distinct().select("source", F.lit(0).cast("bigint").alias("i"), F.lit(0).alias("v"))
+    k = width(n)
 
     def draw(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
         starts, counts = bounds[:-1], np.diff(bounds) // k  # a last value of too few bytes is left over

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..functions.numerics import erfc
 from ..functions.positions import ranked
+from . import spectrum
 
 #: Means and null variances of the contrasts for a Gaussian.
 LOGCOSH_MEAN, LOGCOSH_NULL = 0.37456720749143796, 0.0063278669911599715
@@ -251,30 +253,27 @@ def series_estimates(series: DataFrame, least: int = 8, most: int = 1 << 16) ->
     """``(series, segment, n, spectral_entropy, spectral_d, spectral_p, sample_entropy, approximate_entropy)`` of whole series; ``segment`` is 0, ``t`` is dense.
 
     Template pairs of series longer than ``most``, whose number grows with the
-    square of the length, are counted by many tasks. The FFT of a series is one
-    task's, which holds its values.
+    square of the length, are counted by many tasks, and such series are
+    transformed by many tasks too (``spectrum.fft``).
     """
     names = ["series", "segment", "n", "spectral_entropy", "spectral_d", "spectral_p", "sample_entropy", "approximate_entropy"]
 
-    def estimate(templates: bool):
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf.sort_values("t")["x"].to_numpy(float)
-            if len(x) < least or x.std() == 0:
-                return pd.DataFrame([], columns=names[: 8 if templates else 6])
-            rest = (_sample_entropy(x), _approximate_entropy(x)) if templates else ()
-            d, p = _spectral_test(x)
-            return pd.DataFrame([(key[0], 0, len(x), _spectral_entropy(x), d, p, *rest)], columns=names[: 6 + len(rest)])
-
-        return run
+    def estimate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("t")["x"].to_numpy(float)
+        if len(x) < least or x.std() == 0:
+            return pd.DataFrame([], columns=names)
+        return pd.DataFrame([(key[0], 0, len(x), _spectral_entropy(x), *_spectral_test(x), _sample_entropy(x), _approximate_entropy(x))], columns=names)
 
     kind = dict(series.dtypes)["series"]
-    schema = [f"series {kind}", "segment bigint", "n bigint", *[f"{c} double" for c in names[3:]]]
+    schema = ", ".join([f"series {kind}", "segment bigint", "n bigint", *[f"{c} double" for c in names[3:]]])
     series = series.select("series", "t", "x")
     sizes = series.groupBy("series").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
     long = sizes.where(F.col("n") > most)
     if long.isEmpty():
-        return series.groupBy("series").applyInPandas(estimate(True), ", ".join(schema))
-    short = series.join(long, "series", "left_anti").groupBy("series").applyInPandas(estimate(True), ", ".join(schema))
+        return series.groupBy("series").applyInPandas(estimate, schema)
+    short = series.join(long, "series", "left_anti").groupBy("series").applyInPandas(estimate, schema)
+    long = long.where("sd > 0")
     large = series.join(long, "series", "left_semi")
-    spectra = large.groupBy("series").applyInPandas(estimate(False), ", ".join(schema[:6]))
-    return short.unionByName(spectra.join(_whole_entropies(large, long.where("sd > 0")), "series"))
+    p = erfc(F.abs("spectral_d") / math.sqrt(2))
+    spectra = spectrum.spectral_estimates(large, most).select("series", F.lit(0).cast("bigint").alias("segment"), "n", "spectral_entropy", "spectral_d", p.alias("spectral_p"))
+    return short.unionByName(spectra.join(_whole_entropies(large, long), "series"))

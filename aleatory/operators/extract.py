@@ -7,12 +7,13 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.chunks import each, rechunk, strings
+from ..functions.chunks import LATIN, each, rechunk, strings
 from ..functions.positions import offsets
+from ..functions.shared import cut
 
 #: Share of an output's bits that a vetted conditioner may claim.
 VETTED = 0.999
@@ -36,18 +37,103 @@ def von_neumann(data: DataFrame) -> DataFrame:
     return offsets(out, ["source"], "off", "n", "i").where("n > 0").select("source", "off", "i", "bits")
 
 
-def _peres(bits: list[int], depth: int) -> list[int]:
-    if depth == 0 or len(bits) < 2:
-        return []
-    pairs = list(zip(bits[::2], bits[1::2], strict=False))
-    first = [a for a, b in pairs if a != b]
-    return first + _peres([a ^ b for a, b in pairs], depth - 1) + _peres([a for a, b in pairs if a == b], depth - 1)
+#: Bits of a node that one task works on by itself, and of a piece of a larger one.
+NODE, PIECE = 1 << 20, 1 << 18
 
 
-@F.pandas_udf(StringType())
-def peres(bits: pd.Series) -> pd.Series:
-    """Peres' iterated debiasing of strings of 0 and 1: von Neumann's output, then that of the XORs, then that of the equal pairs."""
-    return pd.Series([None if s is None else "".join(map(str, _peres([int(c) for c in s], 64))) for s in bits])
+def _halves(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One level of the iteration on sequences laid end to end: unequal pairs' first bits, XORs of pairs, and equal pairs' bits, with the number that each sequence has of them. An odd last bit is dropped."""
+    start = np.cumsum(sizes) - sizes
+    pairs = sizes // 2
+    first = np.repeat(start - 2 * (np.cumsum(pairs) - pairs), pairs) + 2 * np.arange(pairs.sum())
+    a, x = flat[first], flat[first] ^ flat[first + 1]
+    upto = np.append(0, np.cumsum(x, dtype=np.int64))
+    ends = np.cumsum(pairs)
+    unequal = upto[ends] - upto[ends - pairs]
+    return a[x == 1], unequal, x, pairs, a[x == 0], pairs - unequal
+
+
+def _peres_rows(flat: np.ndarray, sizes: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The iterated output of sequences laid end to end, all sequences of a level at once.
+
+    A sequence's output comes before that of its XORs, and that before its
+    equal pairs': the order of a key that gains a digit of 2 bits per level.
+    """
+    row, key = np.arange(len(sizes)), np.zeros(len(sizes), np.uint64)
+    out: list[tuple[np.ndarray, ...]] = []
+    shift = 62
+    while len(sizes) and shift > 0:
+        alive = (sizes >= 2) & (depths >= 1)
+        flat = flat[np.repeat(alive, sizes)]
+        sizes, depths, row, key = sizes[alive], depths[alive], row[alive], key[alive]
+        fresh, n, xors, pairs, equal, left = _halves(flat, sizes)
+        out.append((np.repeat(row, n), np.repeat(key, n), fresh))
+        shift -= 2
+        one, two = key | np.uint64(1 << shift), key | np.uint64(2 << shift)
+        flat, sizes = np.concatenate([xors, equal]), np.concatenate([pairs, left])
+        row, key, depths = np.tile(row, 2), np.concatenate([one, two]), np.tile(depths - 1, 2)
+    rows, keys, bits = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+    return rows, bits[np.lexsort((keys, rows))].astype(np.uint8)
+
+
+def _unpacked(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Chunks of bytes as chunks of bits, a byte each."""
+    return np.arange(len(off)), {"at": pa.array(8 * off), "bits": pa.array([np.unpackbits(raw[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())}
+
+
+def peres(data: DataFrame, depth: int = 64, node: int = NODE, piece: int = PIECE) -> DataFrame:
+    """Chunks ``(source, off, bytes)`` to ``(source, i, bits)``: Peres' iterated debiasing of each source's whole stream of bits; ``bits`` is a string of 0 and 1, ``i`` the place of its first bit.
+
+    The output is von Neumann's, then that of the pairs' XORs, then that of the
+    equal pairs, each debiased in the same way, ``depth`` levels deep. Sequences
+    longer than ``node`` bits are halved by many tasks, level by level: pieces
+    start at even places, XORs know theirs, equal pairs' places are sums of
+    pieces' counts. Shorter ones are finished by one task each. So the result
+    doesn't hang on the chunks, and each level is about three quarters of the
+    one before.
+    """
+    kind = dict(data.dtypes)["source"]
+    node, piece = max(node, 2), max(piece // 2 * 2, 2)
+    key = F.struct(F.col("source").alias("of"), F.lit("").alias("path")).alias("source")
+    now = cut(each(data, _unpacked, "at bigint, bits binary", ("source",)).select(key, F.col("at").alias("off"), F.col("bits").alias("bytes")))
+    found: list[DataFrame] = [now.select("source", "off", F.lit("").alias("bits")).limit(0)]
+
+    def split(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        fresh, n, xors, pairs, equal, left = _halves(raw, np.diff(bounds))
+        return np.arange(len(off)), {"bits": strings(fresh + 48, n), "xors": strings(xors, pairs).view(pa.binary()), "equal": strings(equal, left).view(pa.binary())}
+
+    for level in range(depth):
+        large = cut(now.groupBy("source").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > node))
+        rest = rechunk(now.join(large, "source", "left_anti"), node)
+        found.append(each(rest, lambda off, raw, bounds, left=depth - level: _finish(raw, bounds, left), "bits string", ("source",)).select("source", F.lit(0).cast("bigint").alias("off"), "bits"))
+        if large.isEmpty():
+            break
+        parts = cut(each(rechunk(now.join(large, "source", "left_semi"), piece), split, "bits string, xors binary, equal binary", ("source", "off")))
+        found.append(parts.select("source", "off", "bits"))
+        child = lambda digit: F.struct(F.col("source.of").alias("of"), F.concat("source.path", F.lit(digit)).alias("path")).alias("source")
+        placed = offsets(parts.withColumn("n", F.length("equal")), ["source"], "off", "n", "at", piece << 10)
+        now = cut(parts.select(child("1"), F.floor(F.col("off") / 2).alias("off"), F.col("xors").alias("bytes")).unionByName(placed.select(child("2"), F.col("at").alias("off"), F.col("equal").alias("bytes"))))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    every = cut(every.withColumn("n", F.length("bits")).where("n > 0"))
+    # Paths in the order of the output: a sequence's own path comes before those under it. One row per path of a source.
+    before = Window.partitionBy("source.of").orderBy("source.path").rowsBetween(Window.unboundedPreceding, -1)
+    paths = every.groupBy("source").agg(F.sum("n").alias("all")).select("source", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("start"))
+    out = offsets(every, ["source"], "off", "n", "o", piece << 10).join(paths, "source")
+    return out.select(F.col("source.of").cast(kind).alias("source"), (F.col("start") + F.col("o")).alias("i"), "bits")
+
+
+def bit_blocks(pieces: DataFrame, size: int) -> DataFrame:
+    """``(source, i, bits)`` in pieces that start at multiples of ``size`` (the last of a source is shorter)."""
+    cut_ = rechunk(pieces.select("source", F.col("i").alias("off"), F.encode("bits", LATIN).alias("bytes")), size)
+    return cut_.select("source", F.col("off").alias("i"), F.decode("bytes", LATIN).alias("bits"))
+
+
+def _finish(raw: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    n = len(bounds) - 1
+    rows, bits = _peres_rows(raw, np.diff(bounds), np.full(n, depth))
+    return np.arange(n), {"bits": strings(bits + 48, np.bincount(rows, minlength=n))}
 
 
 def peres_rate(p: float, depth: int = 25) -> float:
@@ -109,6 +195,10 @@ def claim(h_per_byte: Column, n: Column) -> Column:
 
 
 def debias_account(debiased: DataFrame) -> DataFrame:
-    """``(source, off, bytes, bits, trace)`` of von Neumann's output: whole bytes of each chunk, all their bits credited, on a stated assumption."""
-    n = F.floor(F.length("bits") / 8)
+    """``(source, off, bytes, bits, trace)`` of von Neumann's output: the bytes that each chunk completes in its source's stream of bits, all their bits credited, on a stated assumption.
+
+    Only the bits after a source's last whole byte are left out, so a source is
+    credited the same however its bytes were cut into chunks.
+    """
+    n = F.floor((F.col("i") + F.length("bits")) / 8) - F.floor(F.col("i") / 8)
     return debiased.select("source", "off", n.alias("bytes"), (n * 8).cast("double").alias("bits"), F.lit("input: independent bits of one bias; von-neumann").alias("trace"))

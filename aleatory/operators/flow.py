@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import xorshift32
-from ..functions.positions import ranked
+from ..functions.positions import BUCKET, haloed, ranked
 
 
 def quantile_bins(series: DataFrame, bins: int) -> DataFrame:
@@ -25,9 +25,11 @@ def equal_width_bins(series: DataFrame, bins: int) -> DataFrame:
 
 def ordinal_patterns(series: DataFrame, order: int = 3, delay: int = 1) -> DataFrame:
     """``(series, t, s, weight)``: Lehmer code of the stable ranks of x(t), x(t + delay), ...; weight is their population variance. ``t`` is dense."""
-    df = series.select("series", "t", F.col("x").alias("x0"))
-    for j in range(1, order):  # joins on t, so that one long series is dealt to all tasks
-        df = df.join(series.select("series", (F.col("t") - j * delay).alias("t"), F.col("x").alias(f"x{j}")), ["series", "t"])
+    reach = (order - 1) * delay
+    w = Window.partitionBy("series", "__b").orderBy("t")
+    held = haloed(series.select("series", "t", "x"), ["series"], "t", reach)
+    df = held.select("series", "__own", (F.col("t") - reach).alias("t"), *[(F.lag("x", reach - j * delay).over(w) if j < order - 1 else F.col("x")).alias(f"x{j}") for j in range(order)])
+    df = df.where(F.col("__own") & (F.col("t") >= 0))
     code = F.lit(0)
     for i in range(order):
         for j in range(i + 1, order):
@@ -64,32 +66,65 @@ def miller_madow(h: Column, kinds: Column, n: Column) -> Column:
     return h + (kinds - 1) / (2 * n * math.log(2))
 
 
-def embed(pairs: DataFrame, lag: int = 1) -> DataFrame:
-    """``(t, x, y)`` to ``(t, y1, y0, x0)`` by joins on t, so that a single long stream is dealt to all tasks."""
-    past = pairs.select((F.col("t") + lag).alias("t"), F.col("x").alias("x0"))
-    before = pairs.select((F.col("t") + 1).alias("t"), F.col("y").alias("y0"))
-    return pairs.select("t", F.col("y").alias("y1")).join(before, "t").join(past, "t")
+def _history(name: str, first: int, length: int, alphabet: int, w) -> Column:
+    """The symbols ``first``, ``first + 1``, ... places back as one number in base ``alphabet``, the latest the lowest digit; an array where 63 bits don't hold it."""
+    past = [F.lag(name, first + j).over(w) for j in range(length)]
+    if alphabet**length >= 1 << 63:
+        return F.array(*past)
+    return sum((p.cast("bigint") * alphabet**j for j, p in enumerate(past[1:], 1)), past[0].cast("bigint"))
 
 
-def transfer_entropy(pairs: DataFrame, keys: list[str] | None = None, lag: int = 1) -> DataFrame:
-    """``(n, te)`` from x to y with histories of one symbol; not under 0.
+def embed(pairs: DataFrame, lag: int = 1, k: int = 1, l: int = 1, keys: list[str] | None = None, alphabet: int | None = None, bucket: int = BUCKET) -> DataFrame:  # noqa: E741
+    """``(keys, t, x, y)`` to ``(keys, t, y1, y0, x0)``: the symbol y1 at t, the ``k`` symbols of y before it and ``l`` symbols of x, the latest ``lag`` before it.
 
-    Joint states are counted first, the marginals over those few rows.
+    Histories are mixed-radix codes made in one pass over range buckets with a
+    halo, so that any k and l cost one shuffle and a single long stream is
+    dealt to all tasks. ``alphabet`` bounds the symbols (0 <= symbol <
+    alphabet); unless given it is looked up. Steps whose history has a gap or
+    isn't whole give no row.
     """
+    if min(lag, k, l) < 1:
+        raise ValueError("lag, k and l are at least 1")
     keys = keys or []
-    return _te(pairs if "y0" in pairs.columns else embed(pairs, lag), keys)
+    most, least = (alphabet - 1, 0) if alphabet else pairs.agg(F.max(F.greatest("x", "y")), F.min(F.least("x", "y"))).first()
+    if least is not None and least < 0:
+        raise ValueError("symbols are numbers from 0")
+    reach = max(k, lag + l - 1)
+    w = Window.partitionBy(*keys, "__b").orderBy("t")
+    code = lambda name, first, length: _history(name, first, length, (most or 0) + 1, w)
+    held = haloed(pairs.select(*keys, "t", "x", "y"), keys, "t", reach, bucket)
+    e = held.select(*keys, "t", "__own", F.col("y").alias("y1"), code("y", 1, k).alias("y0"), code("x", lag, l).alias("x0"), (F.lag("t", reach).over(w) == F.col("t") - reach).alias("__whole"))
+    return e.where("__own and __whole").select(*keys, "t", "y1", "y0", "x0")
+
+
+def transfer_entropy(pairs: DataFrame, keys: list[str] | None = None, lag: int = 1, k: int = 1, l: int = 1, miller_madow: bool = False, alphabet: int | None = None) -> DataFrame:  # noqa: E741
+    """``(keys, n, te)`` from x to y in bits, with histories of ``k`` symbols of y and ``l`` of x; embedded pairs are taken as they are.
+
+    Not under 0, unless corrected by ``miller_madow``: each of the four
+    entropies then gains (kinds - 1) / (2 n ln 2).
+    Joint states are counted first, the marginals over those rows.
+    """
+    keys = keys or []
+    return _te(pairs if "y0" in pairs.columns else embed(pairs, lag, k, l, keys, alphabet), keys, miller_madow)
 
 
-def _te(e: DataFrame, keys: list[str]) -> DataFrame:
+def _te(e: DataFrame, keys: list[str], miller_madow: bool = False) -> DataFrame:
     joint = e.groupBy(*keys, "y1", "y0", "x0").agg(F.count("*").alias("c"))
     over = lambda *c: F.sum("c").over(Window.partitionBy(*keys, *c))
     ratio = F.log2(F.col("c") * over("y0") / (over("y0", "x0") * over("y1", "y0")))
-    return joint.withColumn("l", ratio).groupBy(*keys).agg(F.sum("c").alias("n"), F.greatest(F.sum(F.col("c") * F.col("l")) / F.sum("c"), F.lit(0.0)).alias("te"))
-
-
-def local_transfer_entropy(pairs: DataFrame, lag: int = 1) -> DataFrame:
-    """``(t, te)`` of each step; the joint counts are few and joined back."""
-    e = embed(pairs, lag)
+    te = F.sum(F.col("c") * F.col("l")) / F.sum("c")
+    if not miller_madow:
+        return joint.withColumn("l", ratio).groupBy(*keys).agg(F.sum("c").alias("n"), F.greatest(te, F.lit(0.0)).alias("te"))
+    # A kind counts once: its rows share it out.
+    share = lambda *c: 1 / F.count("*").over(Window.partitionBy(*keys, *c))
+    kinds = share("y1", "y0") + share("y0", "x0") - 1 - share("y0")
+    by = joint.select(*keys, "c", ratio.alias("l"), kinds.alias("kinds")).groupBy(*keys)
+    return by.agg(F.sum("c").alias("n"), (te + F.round(F.sum("kinds")) / (2 * F.sum("c") * math.log(2))).alias("te"))
+
+
+def local_transfer_entropy(pairs: DataFrame, lag: int = 1, k: int = 1, l: int = 1, alphabet: int | None = None) -> DataFrame:  # noqa: E741
+    """``(t, te)`` of each step with a whole history; their mean is the transfer entropy."""
+    e = embed(pairs, lag, k, l, alphabet=alphabet)
     joint = e.groupBy("y1", "y0", "x0").agg(F.count("*").alias("c"))
     over = lambda *c: F.sum("c").over(Window.partitionBy(*c))
     local = joint.withColumn("te", F.log2(F.col("c") * over("y0") / (over("y0", "x0") * over("y1", "y0")))).drop("c")
@@ -103,9 +138,9 @@ def circular_offsets(n: int, count: int, seed: int = 0x9E3779B9) -> list[int]:
 
 
 def shifted(pairs: DataFrame, offsets: list[int], n: int) -> DataFrame:
-    """``(surrogate, t, x, y)`` with x rotated by each offset (a stated, small list)."""
+    """``(surrogate, t, x, y)`` with x rotated by each offset (a stated, small list): step t takes the symbol of step t + offset."""
     x = pairs.select("t", "x")
-    turned = x.select(F.posexplode(F.array(*map(F.lit, offsets))).alias("surrogate", "o"), "t", "x").select("surrogate", F.pmod(F.col("t") + F.col("o"), F.lit(n)).alias("t"), "x")
+    turned = x.select(F.posexplode(F.array(*map(F.lit, offsets))).alias("surrogate", "o"), "t", "x").select("surrogate", F.pmod(F.col("t") - F.col("o"), F.lit(n)).alias("t"), "x")
     return turned.join(pairs.select("t", "y"), "t")
 
 
@@ -117,12 +152,6 @@ def permuted(pairs: DataFrame, count: int, seed: int = 0) -> DataFrame:
     return ranked(drawn, ["surrogate"], "u", "t").select("surrogate", F.col("r").alias("t"), "x").join(pairs.select("t", "y"), "t").select("surrogate", "t", "x", "y")
 
 
-def embed_keyed(pairs: DataFrame, key: str, lag: int = 1) -> DataFrame:
-    past = pairs.select(key, (F.col("t") + lag).alias("t"), F.col("x").alias("x0"))
-    before = pairs.select(key, (F.col("t") + 1).alias("t"), F.col("y").alias("y0"))
-    return pairs.select(key, "t", F.col("y").alias("y1")).join(before, [key, "t"]).join(past, [key, "t"])
-
-
 def windowed_transfer_entropy(pairs: DataFrame, size: int, hop: int) -> DataFrame:
     """``(w, te)`` over full count windows: each step's embedding goes to the windows that hold it and its past."""
     e = embed(pairs)

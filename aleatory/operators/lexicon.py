@@ -27,7 +27,7 @@ def draw_words(data: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def draw_by_value(data: DataFrame, lexicon: DataFrame, value: int) -> DataFrame:
-    """The same among the words ``(word, value)`` of one value; without such a word there is no draw."""
+    """The same among the words ``(word, value)`` of one value; without such a word there is no draw, and a single one takes no bytes: each source gives it once."""
     fitting = lexicon.where(F.col("value") == value)
     if fitting.isEmpty():
         return data.select("source", F.lit(0).cast("bigint").alias("i"), F.lit("").alias("word"), F.lit(value).cast("bigint").alias("value")).limit(0)

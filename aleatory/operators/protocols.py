@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerics import ln_gamma
+from ..functions.positions import haloed
 
 RECORD = "v int, t bigint, source string, sum int, bitsPerTrial int"
 
@@ -23,17 +24,11 @@ def log_bayes_factor(k: Column, n: Column, a: float = 1.0, b: float = 1.0) -> Co
 
 
 def rolling(series: DataFrame, size: int, hop: int, bucket: int = 1 << 14) -> DataFrame:
-    """``(t, zs)`` to ``(t, stouffer, chi)`` over the last ``size`` steps, at every ``hop``: sum of z over sqrt(size), and sum of z**2.
-
-    Each step is sent to its bucket and, if near its end, to the next, so that
-    windows reach back over bucket borders.
-    """
-    b = F.floor(F.col("t") / bucket)
-    both = F.when(F.col("t") % bucket >= bucket - size + 1, F.array(b, b + 1)).otherwise(F.array(b))
+    """``(t, zs)`` to ``(t, stouffer, chi)`` over the last ``size`` steps, at every ``hop``: sum of z over sqrt(size), and sum of z**2. Windows may be longer than a bucket; steps are dense."""
     w = Window.partitionBy("__b").orderBy("t").rowsBetween(-(size - 1), 0)
-    x = series.withColumn("__b", F.explode(both)).select("t", "__b", (F.sum("zs").over(w) / math.sqrt(size)).alias("stouffer"), F.sum(F.col("zs") * F.col("zs")).over(w).alias("chi"))
-    own = F.floor(F.col("t") / bucket) == F.col("__b")
-    return x.where(own & (F.col("t") >= size - 1) & ((F.col("t") + 1 - size) % hop == 0)).select("t", "stouffer", "chi")
+    x = haloed(series.select("t", "zs"), [], "t", size - 1, bucket)
+    x = x.select("t", "__own", (F.sum("zs").over(w) / math.sqrt(size)).alias("stouffer"), F.sum(F.col("zs") * F.col("zs")).over(w).alias("chi"))
+    return x.where(F.col("__own") & (F.col("t") >= size - 1) & ((F.col("t") + 1 - size) % hop == 0)).select("t", "stouffer", "chi")
 
 
 def epochs(series: DataFrame, events: DataFrame, pre: int, post: int) -> DataFrame:

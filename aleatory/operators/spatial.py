@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numerics import gamma_p, gamma_q
+from ..functions.skip import GOLDEN, field
 
 EARTH_RADIUS_M = 6371008.8
 
@@ -67,6 +68,19 @@ def ripley_l_by(points: DataFrame, by: str, area: float, radii: list[float]) ->
     return out.select(by, "radius", (F.sqrt(F.coalesce("c", F.lit(0)) * area / n / n / math.pi) - F.col("radius")).alias("l"))
 
 
+def csr_envelope(spark: SparkSession, n: int, width: float, height: float, radii: list[float], runs: int = 99, seed: int = GOLDEN) -> DataFrame:
+    """``(radius, low, high)``: range of L(r) - r over ``runs`` fields of ``n`` points at random, drawn from one seeded chain by many tasks."""
+    every = ripley_l_by(field(spark, runs, n, width, height, seed), "run", width * height, radii)
+    return every.groupBy("radius").agg(F.min("l").alias("low"), F.max("l").alias("high"))
+
+
+def csr_test(points: DataFrame, n: int, width: float, height: float, radii: list[float], runs: int = 99, seed: int = GOLDEN) -> DataFrame:
+    """``(radius, l, low, high, outside)``: L(r) - r of ``n`` points and whether it leaves the envelope of simulated fields of as many points, at a level of about 2 / (runs + 1)."""
+    envelope = csr_envelope(points.sparkSession, n, width, height, radii, runs, seed)
+    out = ripley_l(points, width * height, n, radii).join(envelope, "radius")
+    return out.select("radius", "l", "low", "high", (~F.col("l").between(F.col("low"), F.col("high"))).alias("outside"))
+
+
 def neighbour_counts(points: DataFrame, radius: float) -> DataFrame:
     near = _near(points, radius).groupBy("id").agg(F.count("*").alias("c"))
     return points.join(near, "id", "left").select("id", "x", "y", F.coalesce("c", F.lit(0)).alias("neighbours"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.bytes import byte_histogram
 from ..functions.positions import positions
 from ..operators import estimators as es
+from ..operators import spectrum
 from .registry import BYTES, byte_stream, query, read, rounded
 
 _DOC = """raw as (select doc_id, regexp_extract_all(hex(encode(text)), '..') as l from documents where text is not null and text <> ''),
@@ -152,3 +153,42 @@ def _(spark, d):
 @query("series_estimates")
 def _(spark, d):
     return rounded(es.series_estimates(series(spark, d)))
+
+
+def type_series(spark, d):
+    """``(series, t, x)``: values of each event type, in order: few series, whose length grows with the table."""
+    e = read(spark, d, "events").select(F.col("event_type").alias("series"), "event_id", F.col("value").alias("x"))
+    return positions(e, ["series"], "event_id").select("series", "t", "x")
+
+
+def _dft(series: str, out: str, half: bool = False) -> str:
+    """DuckDB's equivalent of a transform, by its sums: ``out`` is (series, n, k, re, im)."""
+    last = "n // 2 + 1" if half else "n"
+    turn = "2 * pi() * ((k * t) % n) / n"
+    return f"{out} as (select series, n, k, sum(x * cos({turn})) as re, -sum(x * sin({turn})) as im from (select *, unnest(range(0, {last})) as k from (select *, count(*) over (partition by series) as n from {series})) group by all)"
+
+
+_TYPES = "tys as (select event_type as series, row_number() over (partition by event_type order by event_id) - 1 as t, value as x from events)"
+
+
+@query("power_spectrum", f"with {_SERIES}, {_dft('ser', 'ft', True)} select series, n, k, round(sqrt(re * re + im * im), 6) + 0.0 as magnitude from ft")
+def _(spark, d):
+    p = spectrum.power_spectrum(series(spark, d))
+    return rounded(p.select("series", "n", "k", F.sqrt("power").alias("magnitude")))
+
+
+@query("fourier_transform", f"with {_TYPES}, {_dft('tys', 'ft')} select series, k, round(re, 3) + 0.0 as re, round(im, 3) + 0.0 as im from ft")
+def _(spark, d):
+    s = type_series(spark, d).select("series", "t", F.col("x").alias("re"), F.lit(0.0).alias("im"))
+    return rounded(spectrum.fft(s), 3)
+
+
+@query(
+    "spectral_estimates",
+    f"""with {_TYPES}, {_dft('tys', 'ft', True)}, sg as (select series, t, case when x > m then 1.0::double else -1.0::double end as x from (select *, median(x) over (partition by series) as m from tys)), {_dft('sg', 'sf', True)},
+    pw as (select series, n, re * re + im * im as p from ft), e as (select series, n, log2(sum(p)) - sum(case when p > 0 then p * log2(p) else 0 end) / sum(p) as h from pw group by series, n),
+    t as (select series, (count(*) filter (k < n // 2 and sqrt(re * re + im * im) < sqrt(ln(20) * n)) - 0.95 * n / 2) / sqrt(n * (0.95 * 0.05 / 4)) as d from sf group by series, n)
+    select series, n, round(h, 6) + 0.0 as spectral_entropy, round(d, 6) + 0.0 as spectral_d from e join t using (series)""",
+)
+def _(spark, d):
+    return rounded(spectrum.spectral_estimates(type_series(spark, d), most=1 << 10))

@@ -78,6 +78,30 @@ def _(spark, d):
     return rounded(every.groupBy("radius").agg(F.min("l").alias("low"), F.max("l").alias("high")), 9)
 
 
+def _chain(count: str) -> str:
+    """States of the seeded generator, one after another."""
+    step = "xor(a, (a & 524287) << 13) as b from (select i + 1 as i, s as a, last from chain where i < last)"
+    return f"chain as (select 0::bigint as i, {0x9E3779B9}::bigint as s, {count} as last union all select i, xor(c, (c & 134217727) << 5) as s, last from (select i, xor(b, b >> 17) as c, last from (select i, last, {step})))"
+
+
+_SPOTS = "pt as (select s_suppkey as id, (s_acctbal::double + 1000) / 11000 as x, (s_suppkey * 7919 % 1009)::double / 1009 as y from supplier)"
+
+
+@query(
+    "csr_test",
+    f"""with recursive {_SPOTS}, {_chain('(select 2 * 99 * count(*) from supplier)')}, n as (select count(*) as n from pt), f as (select (i - 1) // 2 as p, max(case when i % 2 = 1 then s end) / 4294967296.0::double as x, max(case when i % 2 = 0 then s end) / 4294967296.0::double as y from chain where i > 0 group by 1),
+    g as (select p // n as run, p % n as id, x, y from f, n union all select -1 as run, id, x, y from pt), r as (select unnest([0.05, 0.1, 0.2]::double[]) as radius),
+    k as (select a.run, radius, count(*) filter ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= radius * radius and a.id <> b.id) as k from g a join g b on a.run = b.run, r group by all),
+    l as (select run, radius, sqrt(k / (n * n)::double / pi()) - radius as l from k, n)
+    select radius, round(max(l) filter (run < 0), 9) + 0.0 as l, round(min(l) filter (run >= 0), 9) + 0.0 as low, round(max(l) filter (run >= 0), 9) + 0.0 as high, not (max(l) filter (run < 0) between min(l) filter (run >= 0) and max(l) filter (run >= 0)) as outside from l group by radius""",
+)
+def _(spark, d):
+    """Suppliers' points against 99 fields of as many points at random, all from one seeded chain."""
+    k = F.col("s_suppkey")
+    p = read(spark, d, "supplier").select(k.alias("id"), ((F.col("s_acctbal").cast("double") + 1000) / 11000).alias("x"), ((k * 7919 % 1009).cast("double") / 1009).alias("y"))
+    return rounded(sp.csr_test(p, p.count(), 1.0, 1.0, [0.05, 0.1, 0.2]), 9)
+
+
 @query(
     "presentiment_permutation",
     f"""with {_EP}, b as (select phase, id, sum(zs) as s, count(*) as n from ep group by all), size as (select max(id) + 1 as size from ep),

@@ -95,6 +95,32 @@ def _(spark, d):
     return rounded(flow.local_transfer_entropy(pairs(spark, d)))
 
 
+_DEEP = f"{_PAIR}, la as (select t, y as y1, lag(y, 1) over w as a1, lag(y, 2) over w as a2, lag(y, 3) over w as a3, lag(x, 1) over w as b1, lag(x, 2) over w as b2, lag(x, 3) over w as b3 from pr window w as (order by t))"
+_KINDS = "((select count(*) from (select distinct y1, y0 from jt)) + (select count(*) from (select distinct y0, x0 from jt)) - (select count(*) from jt) - (select count(distinct y0) from jt)) / (2 * sum(c) * ln(2))"
+
+
+def _deep(k: int, first: int, l: int) -> str:  # noqa: E741
+    """Embedded pairs with k symbols of y and l of x from ``first`` on; whole histories only."""
+    past = lambda c, i, n: " || '/' || ".join(f"{c}{j}" for j in range(i, i + n))
+    return f"{_DEEP}, em as (select t, y1, {past('a', 1, k)} as y0, {past('b', first, l)} as x0 from la where t >= {max(k, first + l - 1)})"
+
+
+for _k, _l, _u in ((2, 1, 1), (3, 2, 2)):
+
+    @query(f"transfer_entropy_k{_k}_l{_l}_lag{_u}", f"with {_deep(_k, _u, _l)}, {_MARG} select sum(c)::bigint as n, round(greatest({_TE}, 0), 9) as te from mg")
+    def _(spark, d, k=_k, l=_l, u=_u):  # noqa: E741
+        return rounded(flow.transfer_entropy(pairs(spark, d), lag=u, k=k, l=l), 9)
+
+    @query(f"transfer_entropy_k{_k}_l{_l}_lag{_u}_miller_madow", f"with {_deep(_k, _u, _l)}, {_MARG} select sum(c)::bigint as n, round({_TE} + {_KINDS}, 9) as te from mg")
+    def _(spark, d, k=_k, l=_l, u=_u):  # noqa: E741
+        return rounded(flow.transfer_entropy(pairs(spark, d), lag=u, k=k, l=l, miller_madow=True), 9)
+
+
+@query("local_transfer_entropy_k2_l2_lag2", f"with {_deep(2, 2, 2)}, {_MARG} select t, round(log2(c * dp / (sp * df)), 6) + 0.0 as te from em join mg using (y1, y0, x0)")
+def _(spark, d):
+    return rounded(flow.local_transfer_entropy(pairs(spark, d), lag=2, k=2, l=2))
+
+
 _BACK = f"{_EMB}, {_MARG}, em2 as (select b.t, b.x as y1, a.x as y0, a.y as x0 from pr a join pr b on b.t = a.t + 1), jt2 as (select y1, y0, x0, count(*) as c from em2 group by all), mg2 as (select *, sum(c) over (partition by y0) as dp, sum(c) over (partition by y0, x0) as sp, sum(c) over (partition by y1, y0) as df from jt2)"
 
 
@@ -109,7 +135,7 @@ def _(spark, d):
 _SURROGATES = 199
 _DRAWS = [s for _, s in zip(range(_SURROGATES), xorshift32(), strict=False)]
 _TURNED = f"""with {_PAIR}, size as (select count(*) as n from pr), off as (select i, 1 + floor((d + 0.5) / 4294967296.0::double * (n - 1))::bigint as o, n from (select unnest({_DRAWS}) as d, unnest(range({_SURROGATES})) as i), size),
-tu as (select i, (t + o) % n as t, x from pr, off), sp as (select i, t, tu.x, y from tu join pr using (t)), own as (select -1 as i, t, x, y from pr), every as (select * from sp union all select * from own),
+tu as (select i, (t - o + n) % n as t, x from pr, off), sp as (select i, t, tu.x, y from tu join pr using (t)), own as (select -1 as i, t, x, y from pr), every as (select * from sp union all select * from own),
 em as (select b.i, b.y as y1, a.y as y0, a.x as x0 from every a join every b on b.i = a.i and b.t = a.t + 1),
 jt as (select i, y1, y0, x0, count(*) as c from em group by all), mg as (select *, sum(c) over (partition by i, y0) as dp, sum(c) over (partition by i, y0, x0) as sp, sum(c) over (partition by i, y1, y0) as df from jt),
 te as (select i, greatest({_TE}, 0) as te from mg group by i)"""
@@ -119,7 +145,7 @@ def _surrogates(spark, d):
     p = pairs(spark, d)
     n = p.count()
     s = flow.shifted(p, flow.circular_offsets(n, _SURROGATES), n)
-    return flow.transfer_entropy(p), flow.transfer_entropy(flow.embed_keyed(s, "surrogate"), ["surrogate"])
+    return flow.transfer_entropy(p), flow.transfer_entropy(flow.embed(s, keys=["surrogate"]), ["surrogate"])
 
 
 @query("te_permutation", f"{_TURNED}, o as (select te from te where i < 0) select round(o.te, 9) as te, round((1 + count(*) filter (round(s.te, 12) >= round(o.te, 12))) / (1 + count(*)), 9) as p from te s, o where i >= 0 group by o.te")
@@ -147,7 +173,7 @@ _SHUFFLES = 9
 )
 def _(spark, d):
     s = flow.permuted(pairs(spark, d), _SHUFFLES, 7)
-    return rounded(flow.transfer_entropy(flow.embed_keyed(s, "surrogate"), ["surrogate"]).select("surrogate", "te"), 9)
+    return rounded(flow.transfer_entropy(flow.embed(s, keys=["surrogate"]), ["surrogate"]).select("surrogate", "te"), 9)
 
 
 @query(

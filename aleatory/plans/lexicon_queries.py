@@ -21,10 +21,14 @@ def _drawn(n: str, limit: str) -> str:
     return f"f as (select source, b, row_number() over (partition by source order by pos) - 1 as i from byt where b < {limit}), d as (select source, i, b % {n} as v from f)"
 
 
+def _valued(spark, names):
+    """``(word, value)`` of ``(id, text)``."""
+    values = letters.profile(names, letters.cipher_rows(spark).where(F.col("cipher") == letters.resolve_cipher("simple")))
+    return values.join(names, "id").select(F.col("text").alias("word"), "value")
+
+
 def _words(spark, d):
-    nation = read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("text"))
-    values = letters.profile(nation, letters.cipher_rows(spark).where(F.col("cipher") == letters.resolve_cipher("simple")))
-    return values.join(nation, "id").select(F.col("text").alias("word"), "value")
+    return _valued(spark, read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("text")))
 
 
 @query("draw_words", f"with {BYTES}, {_WORDS}, p as (select word, row_number() over (order by word) - 1 as v from w), {_drawn('25', '250')} select source, i, word from d join p using (v)")
@@ -32,12 +36,25 @@ def _(spark, d):
     return lexicon.draw_words(chunk_stream(spark, d), _words(spark, d).select("word"))
 
 
-_FEW = "(select count(*) from p)"
+_CHOSEN = "c as (select value, count(*) as c from w group by value order by c desc, value desc limit 1), p as (select word, w.value, row_number() over (order by word) - 1 as v, c.c as n from w join c on w.value = c.value), k as materialized (select any_value(n) as n, 256 // any_value(n) * any_value(n) as top from p)"
 
 
-@query("draw_by_value", f"with {BYTES}, {_WORDS}, p as (select word, value, row_number() over (order by word) - 1 as v from w where value = (select max(value) from w)), {_drawn(_FEW, f'256 // {_FEW} * {_FEW}')}, g as (select source, i, v from d where (select count(*) from p) > 1 union all select source, pos as i, 0 as v from byt where (select count(*) from p) = 1) select source, i, word, value from g join p using (v)")
+@query("draw_by_value", f"with {BYTES}, {_WORDS}, {_CHOSEN}, f as (select source, b % n as v, row_number() over (partition by source order by pos) - 1 as i from byt, k where b < top and n > 1 union all select distinct source, 0, 0 from byt, k where n = 1) select source, i, word, value from f join p using (v)")
 def _(spark, d):
+    """Words of the value that most words share, the greatest of such values."""
     words = _words(spark, d)
+    shared = words.groupBy("value").agg(F.count("*").alias("c")).agg(F.max_by("value", F.struct("c", "value"))).first()[0]
+    return lexicon.draw_by_value(chunk_stream(spark, d), words, shared or 0)
+
+
+_SEGMENTS = _WORDS.replace("n_name", "word").replace("select word as word,", "select word,").replace("from nation", "from (select distinct c_mktsegment as word from customer)")
+
+
+@query("draw_by_own_value", f"with {BYTES}, {_SEGMENTS}, m as materialized (select max(value) as value from w), p as (select word, w.value, row_number() over (order by word) - 1 as v, count(*) over () as n from w join m on w.value = m.value), k as materialized (select max(n) as n, 256 // max(n) * max(n) as top from p), f as (select source, b % n as v, row_number() over (partition by source order by pos) - 1 as i from byt, k where b < top and n > 1 union all select distinct source, 0, 0 from byt, k where n = 1) select source, i, word, value from f join p using (v)")
+def _(spark, d):
+    """Of the market segments, words of the greatest value: where that is one word's own, no bytes are taken."""
+    names = read(spark, d, "customer").select(F.col("c_mktsegment").alias("text")).distinct()
+    words = _valued(spark, names.select(F.xxhash64("text").alias("id"), "text"))
     return lexicon.draw_by_value(chunk_stream(spark, d), words, words.agg(F.max("value")).first()[0] or 0)
 
 
@@ -77,10 +94,10 @@ def _(spark, d):
     return h.select("source", "t", F.array_join(F.transform("h", lambda v: v.cast("string")), ",").alias("houses"))
 
 
-_VN = f"{BYTES}, bits as (select source, pos * 8 + i as p, (b >> (7 - i)::int) & 1 as bit from byt, range(0, 8) r(i)), pr as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from bits group by all), vn as (select source, p // 128 * 32 as off, count(*) // 8 as bytes from pr where a <> b group by 1, 2)"
+_VN = f"{BYTES}, bits as (select source, pos * 8 + i as p, (b >> (7 - i)::int) & 1 as bit from byt, range(0, 8) r(i)), pr as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from bits group by all), vn as (select source, p // 128 * 32 as off, count(*) as n, sum(count(*)) over (partition by source order by p // 128 * 32) as upto from pr where a <> b group by 1, 2)"
 
 
-@query("debias_account", f"with {_VN} select source, off, bytes, round(8.0 * bytes, 6)::double as bits, 'input: independent bits of one bias; von-neumann' as trace from vn")
+@query("debias_account", f"with {_VN} select source, off, (upto // 8 - (upto - n) // 8)::bigint as bytes, round(8.0 * (upto // 8 - (upto - n) // 8), 6)::double as bits, 'input: independent bits of one bias; von-neumann' as trace from vn")
 def _(spark, d):
     return extract.debias_account(extract.von_neumann(chunk_stream(spark, d)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numerics as nu
-from ..functions.bytes import bit_string, hmac_sha256
+from ..functions.bytes import hmac_sha256
 from ..functions.chunks import low_bits
 from ..operators import extract as ex
 from ..operators import health
@@ -51,9 +51,21 @@ def _(spark, d):
     return ex.von_neumann(chunk_stream(spark, d))
 
 
+_BIT_PAIRS = f"{BYTES}, bits as (select source, pos * 8 + i as p, (b >> (7 - i)::int) & 1 as bit from byt, range(0, 8) r(i)), pr as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from bits group by all)"
+_PERES = f"""{_BIT_PAIRS}, u as (select source, p, xor(a, b) as bit from pr), v as (select source, row_number() over (partition by source order by p) - 1 as p, a as bit from pr where a = b),
+up as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from u group by all having count(*) = 2), vp as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from v group by all having count(*) = 2),
+every as (select source, 0 as part, p, a from pr where a <> b union all select source, 1, p, a from up where a <> b union all select source, 2, p, a from vp where a <> b)"""
+
+
+@query("peres_two_levels", f"with {_PERES}, n as (select source, a, row_number() over (partition by source order by part, p) - 1 as i from every) select source, i // 1024 * 1024 as i, string_agg(a::varchar, '' order by i) as bits from n group by 1, 2")
+def _(spark, d):
+    return ex.bit_blocks(ex.peres(chunk_stream(spark, d), depth=2, node=1 << 14, piece=1 << 12), 1024)
+
+
 @query("peres")
 def _(spark, d):
-    return digest(spark, d).select("source", "t", ex.peres(bit_string(F.col("h"), 64)).alias("bits"))
+    """Of the whole stream of each source, to the last level."""
+    return ex.bit_blocks(ex.peres(chunk_stream(spark, d)), 1024)
 
 
 @query("condition_blocks", f"with {BYTES} select source, pos // 48 as block, sha256(unhex(string_agg(printf('%02X', b), '' order by pos))) as digest from byt group by all having count(*) = 48")
