@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chain import entries
 from ..functions.chunks import each, rechunk, slices
+from ..functions.shared import cut
 
 
 def rct_cutoff(h: float) -> int:
@@ -100,8 +102,8 @@ def apt_alarms(data: DataFrame, window: int, cutoff: int, segment: int = 1 << 20
 
     A segment is walked from each of the ``window`` places at which its first
     window may start, and says where the next segment's first one then starts.
-    These are chained by one row per segment; then each segment is walked once
-    more from the place that really occurs. A segment also reads the
+    These are composed by a tree (``chain.entries``); then each segment is walked
+    once more from the place that really occurs. A segment also reads the
     window - 1 values after it.
     """
     segment = max(segment, window)
@@ -121,22 +123,15 @@ def apt_alarms(data: DataFrame, window: int, cutoff: int, segment: int = 1 << 20
             at[inside] = after[at[inside]]
         return pd.DataFrame({"source": [key[0]], "__s": [key[1]], "leave": [(at - n).tolist()]})
 
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, at, starts = pdf.sort_values("__s"), 0, []
-        for to in pdf["leave"]:
-            starts.append(at)
-            at = to[at]
-        return pd.DataFrame({"source": pdf["source"], "__s": pdf["__s"], "start": starts})
-
     def run(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         pos, n, alarm, after = read(key[1], pdf)
-        out, at = [], int(start["start"].iloc[0]) if len(start) else n
+        out, at = [], int(start["enter"].iloc[0]) if len(start) else n
         while at < n:
             if alarm[at]:
                 out.append((key[0], pos[after[at] - 1]))
             at = int(after[at])
         return pd.DataFrame(out, columns=["source", "pos"])
 
-    leaves = dealt.groupBy("source", "__s").applyInPandas(leave, "source string, __s bigint, leave array<int>")
-    starts = leaves.groupBy("source").applyInPandas(chain, "source string, __s bigint, start int")
+    leaves = dealt.groupBy("source", "__s").applyInPandas(leave, "source string, __s bigint, leave array<bigint>")
+    starts = entries(cut(leaves.withColumnRenamed("__s", "b"))).withColumnRenamed("b", "__s")
     return dealt.groupBy("source", "__s").cogroup(starts.groupBy("source", "__s")).applyInPandas(run, "source string, pos bigint")

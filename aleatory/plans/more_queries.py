@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import bit_string
 from ..functions.chunks import xor_mask
+from ..operators import casts
 from ..operators import draws as dr
 from ..operators import letters as le
 from ..operators import rates as ra
@@ -66,6 +67,28 @@ def _(spark, d):
     return x.select("source", "t", F.array_join(F.transform("r.drawn", lambda v: v.cast("string")), ",").alias("runes"), "r.used")
 
 
+def _reader_sql(items: int, name: str) -> str:
+    """Three of the items by one reader over each source's whole stream: a draw keeps its turn until a byte is under the last multiple."""
+    top = str([256 // (items - i) * (items - i) for i in range(3)])
+    return f"""with {BYTES}, bl as (select source, list(b order by pos) as l from byt group by source),
+    rd as (select source, l, list_reduce(list_transform(l, lambda b: {{'b': b, 'p': 0, 's': ''}}), lambda a, x: {{'b': x.b, 'p': case when x.b < ({top})[a.p + 1] then (a.p + 1) % 3 else a.p end, 's': a.s || case when x.b < ({top})[a.p + 1] then a.p::varchar else 'r' end}}, {{'b': 0, 'p': 0, 's': ''}}).s as s from bl),
+    pl as (select source, unnest(range(0, len(l))) as pos, unnest(l) as b, unnest(string_split(s, '')) as p from rd), nr as (select source, b, p::int as p, (row_number() over (partition by source order by pos) - 1) // 3 as i from pl where p <> 'r'),
+    v as (select source, i, max(case when p = 0 then b % {items} end) as a, 1 + max(case when p = 1 then b % {items - 1} end) as b, 2 + max(case when p = 2 then b % {items - 2} end) as c from nr group by all having count(*) = 3)
+    select source, i, a || ',' || (case when b = a then 0 else b end) || ',' || (case when c = b then case when a = 1 then 0 else 1 end when c = a then 0 else c end) as {name} from v"""
+
+
+@query("tarot_stream", _reader_sql(78, "cards"))
+def _(spark, d):
+    x = casts.without_replacement(chunk_stream(spark, d), 78, 3, block=1 << 14)
+    return x.select("source", "i", F.array_join(F.transform("drawn", lambda v: v.cast("string")), ",").alias("cards"))
+
+
+@query("rune_stream", _reader_sql(24, "runes"))
+def _(spark, d):
+    x = casts.without_replacement(chunk_stream(spark, d), 24, 3)
+    return x.select("source", "i", F.array_join(F.transform("drawn", lambda v: v.cast("string")), ",").alias("runes"))
+
+
 def _long_bytes(spark, d):
     blocks = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sha2(F.concat_ws(":", F.col("s_suppkey").cast("string"), i.cast("string")), 256))
     return read(spark, d, "supplier").select("s_suppkey", F.unhex(F.array_join(blocks, "")).alias("x"))

@@ -215,3 +215,58 @@ def test_a_transform_of_a_million_values_is_dealt_to_many_tasks(spark):
     got = spectrum.fft(df).toPandas().sort_values("k")
     want = np.fft.fft(x)
     assert np.abs(got["re"].to_numpy() + 1j * got["im"].to_numpy() - want).max() < 1e-6
+
+
+def plain_casts(raw, bounds):
+    cursor, out = draws._Cursor(raw), []
+    while True:
+        try:
+            out.append(tuple(cursor.below(n) for n in bounds))
+        except EOFError:
+            return out
+
+
+@pytest.mark.parametrize("bounds", [(78, 77, 76), (256, 3), (1000, 2, 70_000), (200, 60_000), (3,)])
+def test_a_reader_goes_on_from_block_to_block(bounds):
+    from aleatory.operators import casts
+
+    raw, reader = np.random.default_rng(11).integers(0, 256, 900).astype(np.uint8), casts.Reader(bounds)
+    want = [v for c in plain_casts(raw.tobytes(), bounds) for v in c]
+    for block in range(reader.halo + 1, 40):
+        state, out = 0, []
+        for i in range(0, len(raw), block):
+            halo = min(reader.halo, i)
+            buf = raw[i - halo : i + block]
+            out += reader.read(buf, halo, state).tolist()
+            state = int(reader.leave(buf, halo)[state])
+        assert out[: len(want)] == want and len(out) - len(want) < len(bounds)
+
+
+@pytest.mark.parametrize(("bounds", "block", "fan"), [([24, 23, 22, 1], 7, 2), ([1000, 2, 70_000], 64, 3), ([3], 1 << 20, 1024)])
+def test_casts_of_a_stream_are_those_of_one_reader(spark, bounds, block, fan):
+    from aleatory.operators import casts
+
+    rng = np.random.default_rng(11)
+    whole = {"x": rng.integers(0, 256, 300).astype(np.uint8), "y": np.full(50, 255, np.uint8), "z": rng.integers(200, 256, 90).astype(np.uint8), "w": np.array([1], np.uint8)}
+    rows = [(s, i, bytearray(b[i : i + 33].tobytes())) for s, b in whole.items() for i in range(0, len(b), 33)]
+    want = {(s, i, c) for s, b in whole.items() for i, c in enumerate(plain_casts(b.tobytes(), bounds))}
+    got = [(r["source"], r["i"], tuple(r["v"])) for r in casts.casts(frame(spark, rows, "source string, off long, bytes binary"), bounds, block, fan).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_spreads_of_a_stream(spark):
+    from aleatory.operators import casts
+
+    raw = np.random.default_rng(12).integers(0, 256, 2000).astype(np.uint8).tobytes()
+    data = frame(spark, [("s", i, bytearray(raw[i : i + 100])) for i in range(0, 2000, 100)], "source string, off long, bytes binary")
+    cursor, want = draws._Cursor(raw), []
+    while True:
+        try:
+            want.append(draws._without_replacement(cursor, 78, 10))
+        except EOFError:
+            break
+    got = casts.without_replacement(data, 78, 10, block=128, fan=2).orderBy("i").collect()
+    assert [r["drawn"] for r in got] == want
+    for bad in ([1, 1], [0], [1 << 49]):
+        with pytest.raises(ValueError):
+            casts.casts(data, bad)
