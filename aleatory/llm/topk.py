@@ -28,8 +28,9 @@ ROUNDS = 12
 class ImpactIndex:
     """Posting segments (dimension, impact // WIDTH) of one block of integer vectors, with their least and greatest impact."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors, self.exact = ids, vectors, vectors.astype(np.float64)  # sums stay far below 2**53
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, kind: type = np.float64) -> None:
+        self.kind = kind  # of sums: float64 where they stay below 2**53, int64 where they need not
+        self.ids, self.vectors, self.exact = ids, vectors, vectors.astype(kind)
         n, dims = vectors.shape
         order = np.argsort(vectors, axis=0, kind="stable")
         impact = np.take_along_axis(vectors, order, 0).T
@@ -39,7 +40,7 @@ class ImpactIndex:
         self.start = np.flatnonzero(new)
         self.end = np.append(self.start[1:], n * dims)
         flat = impact.ravel()
-        self.low, self.high = flat[self.start].astype(np.float64), flat[self.end - 1].astype(np.float64)
+        self.low, self.high = flat[self.start].astype(kind), flat[self.end - 1].astype(kind)
         self.dim = self.start // n
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +56,7 @@ class ImpactIndex:
         by = np.argsort(-gain, kind="stable")
         start, size, gain = self.start[by], (self.end - self.start)[by], gain[by]
         through = np.cumsum(size)
-        done, pending = np.zeros(n), np.full(n, dims)
+        done, pending = np.zeros(n, self.kind), np.full(n, dims)
         left = np.flatnonzero(self.ids != own)
         at = 0
         for target in np.linspace(0, n * dims, ROUNDS + 1)[1:]:
@@ -65,12 +66,15 @@ class ImpactIndex:
             count = size[at:to]
             flat = np.repeat(start[at:to] - (through[at:to] - count - (through[at] - size[at])), count) + np.arange(count.sum())
             rows = self.postings[flat]
-            done += np.bincount(rows, np.repeat(gain[at:to], count), n)
+            if self.kind is np.float64:
+                done += np.bincount(rows, np.repeat(gain[at:to], count), n)
+            else:
+                np.add.at(done, rows, np.repeat(gain[at:to], count))
             pending -= np.bincount(rows, minlength=n)
             at = to
             ahead = left[np.argpartition(done[left], len(left) - k)[len(left) - k :]]
             bar = (self.exact[ahead] @ query).min()
-            ceiling = gain[at] if at < len(by) else 0.0
+            ceiling = gain[at] if at < len(by) else self.kind(0)
             left = left[done[left] + pending[left] * ceiling >= bar]
         score = self.exact[left] @ query
         best = np.lexsort((self.ids[left], -score))[:k]
@@ -85,7 +89,7 @@ def _stack(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], k: int, kind: type = np.float64) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (block, queries, role): a block's vectors, then the queries that search it."""
     group, ids, vecs, index = None, [], [], None
     for batch in batches:
@@ -102,9 +106,9 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 continue
             if not ids:
                 continue
-            index = index or ImpactIndex(np.array(ids, np.int64), _stack(vecs))
+            index = index or ImpactIndex(np.array(ids, np.int64), _stack(vecs), kind)
             dims = index.vectors.shape[1]
-            q = np.zeros(dims)
+            q = np.zeros(dims, kind)
             q[: len(v[r])] = v[r][:dims]
             who, score = index.search(q, vid[r], k)
             out[0].extend([vid[r]] * len(who))
@@ -121,19 +125,26 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
     its own vec_id. Vectors that are null or hold a null or non-finite component
     take no part, nor do rows without vec_id; empty vectors score 0; a shorter
     vector counts as padded with zeros. Repeated rows of one vec_id and vector
-    count once. Each query block meets each vector block in a task of its own of
+    count once; different vectors under one vec_id are rows of their own, and as
+    queries share one list. Scores that 64 bits might not hold are an error;
+    those over 2**53 are added up as integers, not doubles. Each query block meets each vector block in a task of its own of
     bounded size; every row is indexed.
     """
     x = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
     rows = cut(vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).cast("array<bigint>").alias("v")).distinct())
     asked = rows.where(F.col("vec_id") % every == 0)
+    most = rows.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("decimal(38,0)"))))).alias("c"), F.max(F.size("v")).alias("d")).first()
+    bound = int(most["c"] or 0) ** 2 * int(most["d"] or 0)  # of any score
+    if bound >= 1 << 63:
+        raise ValueError("scores may not fit into 64 bits: scale the components down")
+    kind = np.float64 if bound < 1 << 53 else np.int64
     blocks, parts = max(1, -(-rows.count() // BLOCK)), max(1, -(-asked.count() // QUERIES))
     spread = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     held = rows.select(spread(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("role"), "vec_id", "v")
     asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), spread(parts, 2).alias("part"), F.lit(1).alias("role"), "vec_id", "v")
     dealt = held.unionByName(asks).repartition(min(blocks * parts, 2000), "block", "part").sortWithinPartitions("block", "part", "role")
-    found = dealt.mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(lambda it: _search(it, k, kind), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

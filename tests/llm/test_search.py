@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from aleatory.llm import repeats
 from aleatory.llm._text import text_slices
@@ -310,3 +311,17 @@ def test_top_k_of_odd_rows(spark):
     for c in ("block", "part", "role", "v", "rank", "score", "query_id"):
         vectors = vectors.withColumn(c, F.lit("own"))
     assert [tuple(r) for r in top_k(vectors).orderBy("query_id", "rank").collect()] == [(0, 1, 3, 65536), (0, 2, 50, 32768), (0, 3, 7, 0), (50, 1, 0, 32768), (50, 2, 3, 32768), (50, 3, 7, 0)]
+
+
+def test_scores_over_the_doubles_are_exact(spark):
+    rng = random.Random(21)
+    rows = [(i, [float(rng.randrange(-(1 << 30), 1 << 30)) for _ in range(6)]) for i in range(120)]
+    rows += [(200, rows[50][1]), (201, [x + (1.0 if j == 0 else 0.0) for j, x in enumerate(rows[50][1])])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), scale=1.0).collect())
+    want, seen = [], {i: [int(x) for x in v] for i, v in rows}
+    for q in (0, 50, 100, 200):
+        best = sorted((-sum(a * b for a, b in zip(seen[q], v, strict=True)), i) for i, v in seen.items() if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == want and max(abs(s) for *_, s in want) > 1 << 53
+    with pytest.raises(ValueError):
+        top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id bigint, embedding array<double>")).collect()
