@@ -31,6 +31,17 @@ def apt_cutoff(h: float, window: int) -> int:
     return window + 1
 
 
+def with_cutoffs(claims: DataFrame, window: int) -> DataFrame:
+    """``claims(..., h)`` with the tests' cutoffs ``rct`` and ``apt`` at h bits of min-entropy per sample, worked out once for each value of h."""
+
+    def cutoffs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf = pdf.dropna()
+            yield pd.DataFrame({"h": pdf["h"], "rct": [rct_cutoff(h) for h in pdf["h"]], "apt": [apt_cutoff(h, window) for h in pdf["h"]]})
+
+    return claims.join(claims.select("h").where("h > 0").distinct().mapInPandas(cutoffs, "h double, rct int, apt int"), "h")
+
+
 def _run_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Of each byte: where its run of equal bytes starts, runs ending with their chunk."""
     new = np.ones(len(raw), bool)

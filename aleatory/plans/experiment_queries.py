@@ -158,28 +158,45 @@ def _(spark, d):
     return digest(spark, d).select("source", "t", F.array_join(F.transform(lines, lambda x: x.cast("string")), "").alias("lines"))
 
 
-@query("runes", "select i::int as index, r.name, ['Freyr', 'Heimdall', 'Tyr'][(i // 8 + 1)::int] as aett, r.invertible from (select unnest(range(24)) as i, unnest([" + ", ".join(f"{{'name': '{r.name}', 'invertible': {str(r.invertible).lower()}}}" for r in dims.RUNES) + "]) as r)")
+_RUNE_ROWS = "select i::int as index, r.name, ['Freyr', 'Heimdall', 'Tyr'][(i // 8 + 1)::int] as aett, r.invertible from (select unnest(range(24)) as i, unnest([" + ", ".join(f"{{'name': '{r.name}', 'invertible': {str(r.invertible).lower()}}}" for r in dims.RUNES) + "]) as r)"
+
+
+def _by_part(spark, d, rows, size: int):
+    """A dimension's row for each part, by its key."""
+    part = read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % size).cast("int").alias("index"))
+    return part.join(F.broadcast(rows), "index")  # a dimension's rows
+
+
+@query("runes", f"select p_partkey, r.* from part join ({_RUNE_ROWS}) r on p_partkey % 24 = index")
 def _(spark, d):
-    return dims.runes(spark)
+    return _by_part(spark, d, dims.runes(spark), 24)
 
 
-@query("tarot_deck", "select i::int as index, case when i < 22 then 'major' else 'minor' end as arcana, case when i >= 22 then ['Wands', 'Cups', 'Swords', 'Pentacles'][((i - 22) // 14 + 1)::int] end as suit, (case when i < 22 then i else (i - 22) % 14 + 1 end)::int as number from range(0, 78) r(i)")
+@query("tarot_deck", "select p_partkey, c.* from part join (select i::int as index, case when i < 22 then 'major' else 'minor' end as arcana, case when i >= 22 then ['Wands', 'Cups', 'Swords', 'Pentacles'][((i - 22) // 14 + 1)::int] end as suit, (case when i < 22 then i else (i - 22) % 14 + 1 end)::int as number from range(0, 78) r(i)) c on p_partkey % 78 = index")
 def _(spark, d):
-    return dims.cards(spark)
+    return _by_part(spark, d, dims.cards(spark), 78)
+
+
+_PROVIDER_ROWS = ", ".join(f"({i}, '{k}', '{kind}', '{privacy}', '{access}')" for i, (k, (kind, privacy, access)) in enumerate(dims.PROVIDERS.items()))
 
 
-@query("source_descriptions")
+@query("source_descriptions", f"select p_partkey, name, kind, privacy, access from part join (values {_PROVIDER_ROWS}) p(i, name, kind, privacy, access) on p_partkey % {len(dims.PROVIDERS)} = i")
 def _(spark, d):
-    return dims.providers(spark)
+    """The provider that each part's key stands for."""
+    place = {k: i for i, k in enumerate(dims.PROVIDERS)}
+    rows = dims.providers(spark).withColumn("index", F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col("name")])
+    return _by_part(spark, d, rows, len(place)).drop("index")
 
 
 _STOP = f"(({[list(c) for c in dims.VIRIDIS]})[k + {{1}}][{{0}}])"
 _CHANNEL = lambda c: f"floor({_STOP.format(c, 1)} + (x - k) * ({_STOP.format(c, 2)} - {_STOP.format(c, 1)}) + 0.5)::int"
 
 
-@query("viridis_lut", f"with p as (select i::int as i, i / 255.0::double * 9 as x, least(floor(i / 255.0::double * 9), 8)::int as k from range(0, 256) r(i)) select i, {_CHANNEL(1)} as r, {_CHANNEL(2)} as g, {_CHANNEL(3)} as b from p")
+@query("viridis_lut", f"with p as (select i::int as i, i / 255.0::double * 9 as x, least(floor(i / 255.0::double * 9), 8)::int as k from range(0, 256) r(i)) select event_id, i, {_CHANNEL(1)} as r, {_CHANNEL(2)} as g, {_CHANNEL(3)} as b from p join events on i = event_id % 256")
 def _(spark, d):
-    return dims.viridis(spark, 256)
+    """The colour of each event, by the last byte of its id."""
+    e = read(spark, d, "events").select("event_id", (F.col("event_id") % 256).cast("int").alias("i"))
+    return e.join(F.broadcast(dims.viridis(spark, 256)), "i")  # 256 rows
 
 
 @query("card_geometry", "with r as (select p_partkey, [p_partkey % 44, p_partkey // 44 % 44, p_partkey * 7 % 44] as r from part) select p_partkey, i::int as ring, round(0.2::double + i * 0.8::double / 2, 6) as radius, round(r[(i + 1)::int] * 2 * pi() / 44, 6) as angle from r, range(0, 3) g(i)")

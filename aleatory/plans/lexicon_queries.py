@@ -11,6 +11,7 @@ from ..operators import draws, extract, letters, lexicon, protocols, rates, spat
 from ..sources import strategies
 from ..streaming import live
 from .more_queries import _RESP, _folder, _responses
+from .protocol_queries import _APT
 from .registry import BITSTR, BYTES, DIGEST, TRIALS, Z, chunk_stream, digest, query, read, rounded, trials256
 
 _WORDS = "w as (select n_name as word, list_sum(list_transform(list_filter(string_split(lower(n_name), ''), lambda c: c between 'a' and 'z'), lambda c: ascii(c) - 96))::bigint as value from nation)"
@@ -168,22 +169,56 @@ def _(spark, d):
     return rounded(draws.scan_tripolar(items, 25, chunk_stream(spark, d)).select("source", "intention", "name", "k", "z"))
 
 
-@query("stream_session", f"with {Z}, last as (select max(t) as last from tri) select t, n as sources, round(zs, 6) + 0.0 as stouffer, round(zs * zs - 1, 6) + 0.0 as step from st, last where n = 5 and t + 1 < last")
-def _(spark, d):
-    """Lock-step rounds of a live session: a step is given out once all sources have it and a later one has come."""
+_TICKS = f"{TRIALS}, zz as (select t, source, (sum - 128) / 8.0::double as z from tri), ro as (select t, string_agg(source, ',' order by source) as present, sum(z) / sqrt(count(*)) as zs from zz group by t), tk as (select t as step, t, present, zs, sum(zs * zs) over (order by t) as netvar from ro)"
+
+
+def _ticks(spark, d):
+    """All event types' digests as one live session: each source ends where its events do, and the others go on without it."""
     at = f"{_folder(spark)}/session-{live.new_name()}"
-    rows = trials256(spark, d)
+    tri = trials256(spark, d).select(F.lit("all").alias("session"), "source", "t", F.col("sum").cast("double").alias("sum"))
+    ends = tri.groupBy("session", "source").agg((F.max("t") + 1).alias("t")).withColumn("sum", F.lit(None).cast("double"))
+    rows = tri.unionByName(ends)
     rows.write.parquet(at)
-    steps = live.session_steps(spark.readStream.schema(rows.schema).parquet(at), 5, 256)
-    return rounded(live.run_available(steps, at))
+    roster = [r[0] for r in ends.select("source").collect()]  # a session's sources
+    live.rocksdb_state(spark)
+    return live.run_available(live.session_ticks(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(at), roster, 256), at)
 
 
-_NIB = f"{BYTES}, nib as (select source, pos, b & 1 as b from byt)"
+@query("stream_session", f"with {_TICKS} select step, t, present, round(zs, 6) + 0.0 as stouffer, round(netvar, 6) as netvar, round(netvar - step - 1, 6) + 0.0 as cumdev from tk")
+def _(spark, d):
+    return rounded(_ticks(spark, d).select("step", "t", F.array_join("present", ",").alias("present"), "stouffer", "netvar", "cumdev"))
 
 
-@query("stream_alarms", f"with {_NIB}, g as (select *, pos - row_number() over (partition by source, b order by pos) as g from nib), r as (select source, pos, b, row_number() over (partition by source, b, g order by pos) as r from g) select source, pos, b from r where r >= 9 and (r - 9) % 8 = 0")
+@query("session_events", f"with {_TICKS} select step, s_suppkey as id from tk join supplier on step >= s_suppkey * 3 and step < s_suppkey * 3 + 50")
 def _(spark, d):
-    at = f"{_folder(spark)}/alarms-{live.new_name()}"
-    rows = chunk_stream(spark, d).withColumn("bytes", low_bits("bytes")).select("source", F.col("off").alias("seq"), "bytes")
+    k = F.col("s_suppkey")
+    events = read(spark, d, "supplier").select(k.alias("id"), (k * 3).alias("start"), (k * 3 + 50).alias("stop"))
+    return live.active_events(_ticks(spark, d), events).select("step", "id")
+
+
+_NIB = f"{BYTES}, nib as (select source, pos, b & 1 as b from byt)"
+_RCT = "g as (select *, pos - row_number() over (partition by source, b order by pos) as g from nib), r as (select source, pos, b, row_number() over (partition by source, b, g order by pos) as r from g), rct as (select source, pos, b from r where r >= 9 and (r - 9) % 8 = 0)"
+
+def _low_stream(spark, d, name):
+    at = f"{_folder(spark)}/{name}-{live.new_name()}"
+    rows = chunk_stream(spark, d).withColumn("bytes", low_bits("bytes")).select("source", "off", "bytes")
     rows.write.parquet(at)
-    return live.run_available(live.alarm_stream(spark.readStream.schema(rows.schema).parquet(at), 9), at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(at), at
+
+
+@query("stream_alarms", f"with {_NIB}, {_RCT} select source, pos, b from rct")
+def _(spark, d):
+    stream, at = _low_stream(spark, d, "alarms")
+    return live.run_available(live.alarm_stream(stream, 9), at)
+
+
+@query("stream_health", f"with {_NIB}, {_RCT}, {_APT} select source, pos as sample, 'rct' as test, 9 as count, b as value from rct union all select source, pos, 'apt', 42, b from apt")
+def _(spark, d):
+    stream, at = _low_stream(spark, d, "health")
+    return live.run_available(live.health_stream(stream, 9, 42, 64), at)
+
+
+@query("stream_health_strict", f"with {_NIB}, {_RCT}, {_APT}, e as (select source, pos, 0 as o, 'rct' as test, 9 as count, b from rct union all select source, pos, 1, 'apt', 42, b from apt) select source, pos as sample, test, count, b as value from (select *, row_number() over (partition by source order by pos, o) as n from e) where n = 1")
+def _(spark, d):
+    stream, at = _low_stream(spark, d, "strict")
+    return live.run_available(live.health_stream(stream, 9, 42, 64, strict=True), at)

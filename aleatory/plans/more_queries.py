@@ -285,10 +285,21 @@ for _cipher in _LATIN_CIPHERS:
     query("letter_" + _cipher.replace("-", "_"), f"select * from ({_PROFILE}) where cipher = '{_cipher}'")(lambda spark, d, c=_cipher: _profile(spark, d).where(F.col("cipher") == c))
 
 
-@query("letter_values_other_scripts")
+#: The letters that stand for a, b, c, ... in part names written in other scripts.
+_SCRIPTS = (le.HEBREW, "αβγδεζηθικλμνξοπρστυφχψω", "".join(le.ARABIC[:26]))
+_TABLE = ", ".join(f"('{k}', '{c}', {v}, {str(r).lower()})" for k, (script, table, r) in le.cipher_tables().items() if script != "latin" for c, v in table.items())
+
+
+@query(
+    "letter_values_other_scripts",
+    "with w as (" + " union all ".join(f"select p_partkey * 3 + {i} as id, translate(lower(p_name), '{'abcdefghijklmnopqrstuvwxyz'[: len(x)]}', '{x}') as text from part" for i, x in enumerate(_SCRIPTS)) + f"""), l as (select id, unnest(string_split(text, '')) as letter from w),
+    v as (select id, cipher, sum(value)::bigint as v, any_value(reduced) as reduced from l join (values {_TABLE}) c(cipher, letter, value, reduced) using (letter) group by all),
+    r as (select *, case when v = 0 then 0 else 1 + (abs(v) - 1) % 9 end::int as root from v) select id, cipher, (case when reduced then root else v end)::bigint as value, root from r""",
+)
 def _(spark, d):
-    words = [(1, "יהוה"), (2, "אמת"), (3, "שלום"), (4, "Ἰησοῦς"), (5, "λόγος"), (6, "الله"), (7, "محمد")]
-    return le.profile(spark.createDataFrame(words, "id bigint, text string"), le.cipher_rows(spark))
+    part = read(spark, d, "part")
+    words = [part.select((F.col("p_partkey") * 3 + i).alias("id"), F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz"[: len(x)], x).alias("text")) for i, x in enumerate(_SCRIPTS)]
+    return le.profile(words[0].unionByName(words[1]).unionByName(words[2]), le.cipher_rows(spark).where("script <> 'latin'"))
 
 
 _NATION = "n as (select n_nationkey as id, n_name as word, list_sum(list_transform(list_filter(string_split(lower(n_name), ''), lambda c: c between 'a' and 'z'), lambda c: ascii(c) - 96))::bigint as value from nation)"
@@ -405,7 +416,7 @@ def _folder(spark):
 
 @query("stream_trials", f"with {BYTES} select source, pos // 25 as t, sum(bit_count(b))::int as sum from byt group by all having count(*) = 25")
 def _(spark, d):
-    rows = digest(spark, d).select("source", F.col("t").alias("seq"), F.unhex("h").alias("bytes"))
+    rows = chunk_stream(spark, d)
     at = f"{_folder(spark)}/chunks-{uuid.uuid4().hex}"
     rows.write.parquet(at)
     return live.run_available(live.trial_stream(spark.readStream.schema(rows.schema).parquet(at), 200), at)

@@ -30,20 +30,27 @@ def _(spark, d):
     return health.apt_windows(_low_bits(spark, d), 64, 42)
 
 
-@query("apt_alarms")
+#: The adaptive proportion test, sample after sample: place in the window, its first sample, how often that has come; 1 marks an alarm.
+_HIT = "x.b = a.r and a.i > 0 and a.c + 1 >= 42"
+_APT = f"bl as (select source, list(b order by pos) as l from nib group by source), sq as (select source, l, list_reduce(list_transform(l, lambda b: {{'b': b, 'i': 0, 'r': 0, 'c': 0, 's': ''}}), lambda a, x: {{'b': x.b, 'i': case when {_HIT} then 0 else (a.i + 1) % 64 end, 'r': case when a.i = 0 then x.b else a.r end, 'c': case when a.i = 0 then 1 else a.c + (x.b = a.r)::int end, 's': a.s || case when {_HIT} then '1' else '0' end}}, {{'b': 0, 'i': 0, 'r': 0, 'c': 0, 's': ''}}).s as s from bl), apt as (select source, pos, b from (select source, unnest(range(0, len(l))) as pos, unnest(l) as b, unnest(string_split(s, '')) as hit from sq) where hit = '1')"
+
+
+@query("apt_alarms", f"with {_NIB}, {_APT} select source, pos from apt")
 def _(spark, d):
     return health.apt_alarms(_low_bits(spark, d), 64, 42)
 
 
 @query(
     "health_cutoffs",
-    """with h as (select unnest([0.25, 0.5, 1, 2, 4, 7, 8]::double[]) as h),
-    b as (select h, k, sum(exp(lgamma(513.0) - lgamma(k + 1.0) - lgamma(513.0 - k) - k * h * ln(2) + (512 - k) * ln(1 - 2.0::double ** -h))) over (partition by h order by k) as cdf from h, range(0, 513) r(k))
-    select h, (1 + ceil(20 / h))::int as rct, (1 + min(k))::int as apt from b where cdf >= 1 - 2.0::double ** -20 group by h""",
+    """with h as (select distinct (s_suppkey % 32 + 1) / 4.0::double as h from supplier),
+    b as (select h, k, sum(exp(lgamma(513.0) - lgamma(k + 1.0) - lgamma(513.0 - k) - k * h * ln(2) + (512 - k) * ln(1 - 2.0::double ** -h))) over (partition by h order by k) as cdf from h, range(0, 513) r(k)),
+    c as (select h, (1 + ceil(20 / h))::int as rct, (1 + min(k))::int as apt from b where cdf >= 1 - 2.0::double ** -20 group by h)
+    select s_suppkey, h, rct, apt from supplier join c on (s_suppkey % 32 + 1) / 4.0::double = h""",
 )
 def _(spark, d):
-    rows = [(h, health.rct_cutoff(h), health.apt_cutoff(h, 512)) for h in (0.25, 0.5, 1.0, 2.0, 4.0, 7.0, 8.0)]
-    return spark.createDataFrame(rows, "h double, rct int, apt int")
+    """Cutoffs at each supplier's claim of min-entropy."""
+    claim = ((F.col("s_suppkey") % 32 + 1) / 4.0).alias("h")
+    return health.with_cutoffs(read(spark, d, "supplier").select("s_suppkey", claim), 512)
 
 
 @query("von_neumann", f"with {BYTES}, bits as (select source, pos * 8 + i as p, (b >> (7 - i)::int) & 1 as bit from byt, range(0, 8) r(i)), pr as (select source, p // 2 as p, max(case when p % 2 = 0 then bit end) as a, max(case when p % 2 = 1 then bit end) as b from bits group by all), kept as (select source, p, a, row_number() over (partition by source order by p) - 1 as i from pr where a <> b) select source, p // 128 * 32 as off, min(i) as i, string_agg(a::varchar, '' order by p) as bits from kept group by 1, 2")

@@ -7,34 +7,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+
+_WAITING = "offs array<bigint>, chunks array<binary>"
+
+
+class _Ordered:
+    """Chunks of one source in the order of their places, one at a time: what comes early waits, in the state if need be."""
+
+    def __init__(self, at: int, offs: list, chunks: list) -> None:
+        self.at, self.waiting = at, dict(zip(offs, chunks, strict=True))
+
+    def walk(self, frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        yield from self._ready()
+        for frame in frames:
+            for off, chunk in zip(frame["off"], frame["bytes"], strict=True):
+                if off >= self.at and len(chunk):  # what has been read is not read again
+                    self.waiting[int(off)] = bytes(chunk)
+            yield from self._ready()
+
+    def _ready(self) -> Iterator[np.ndarray]:
+        while self.at in self.waiting:
+            chunk = self.waiting.pop(self.at)
+            self.at += len(chunk)
+            yield np.frombuffer(chunk, np.uint8)
+
+    def state(self) -> tuple[int, list[int], list[bytes]]:
+        return self.at, list(self.waiting), list(self.waiting.values())
 
 
 def trial_stream(chunks: DataFrame, bits: int) -> DataFrame:
-    """A stream ``(source, seq, bytes)`` to ``(source, t, sum)``: bits carry over from chunk to chunk, as in the batch operator.
+    """A stream ``(source, off, bytes)`` to ``(source, t, sum)``: bits carry over from chunk to chunk, as in the batch operator.
 
-    Chunks of a source have to come in order of seq from batch to batch; within
-    a batch they are sorted.
+    Chunks may come in any order and more than once; one whose predecessor is
+    still to come waits in the state. A source's chunks are walked one by one.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, ones, have = state.get if state.exists else (0, 0, 0)
-        data = pd.concat(list(frames)).sort_values("seq")
-        b = np.unpackbits(np.frombuffer(b"".join(bytes(x) for x in data["bytes"]), np.uint8)).astype(np.int64)
-        total = np.append(0, np.cumsum(b))
-        ends = np.arange(bits - have, len(b) + 1, bits)
-        sums = np.diff(np.append(0, total[ends])) if len(ends) else np.zeros(0, np.int64)
-        if len(sums):
-            sums[0] += ones
-            ones, have = int(total[-1] - total[ends[-1]]), int(len(b) - ends[-1])
-        else:
-            ones, have = int(ones + total[-1]), int(have + len(b))
-        state.update((int(t + len(sums)), ones, have))
-        yield pd.DataFrame({"source": key[0], "t": np.arange(t, t + len(sums)), "sum": sums.astype(np.int32)})
-
-    return chunks.groupBy("source").applyInPandasWithState(run, "source string, t bigint, sum int", "t bigint, ones bigint, have bigint", "append", GroupStateTimeout.NoTimeout)
+        t, ones, have, at, offs, waiting = state.get if state.exists else (0, 0, 0, 0, [], [])
+        reader = _Ordered(at, offs, waiting)
+        for raw in reader.walk(frames):
+            b = np.unpackbits(raw).astype(np.int64)
+            total = np.append(0, np.cumsum(b))
+            ends = np.arange(bits - have, len(b) + 1, bits)
+            sums = np.diff(np.append(0, total[ends])) if len(ends) else np.zeros(0, np.int64)
+            if len(sums):
+                sums[0] += ones
+                ones, have = int(total[-1] - total[ends[-1]]), int(len(b) - ends[-1])
+                yield pd.DataFrame({"source": key[0], "t": np.arange(t, t + len(sums)), "sum": sums.astype(np.int32)})
+            else:
+                ones, have = int(ones + total[-1]), int(have + len(b))
+            t += len(sums)
+        state.update((int(t), ones, have, *reader.state()))
+
+    return chunks.groupBy("source").applyInPandasWithState(run, "source string, t bigint, sum int", f"t bigint, ones bigint, have bigint, at bigint, {_WAITING}", "append", GroupStateTimeout.NoTimeout)
 
 
 def interval_trials(chunks: DataFrame, every: str, late: str = "30 seconds") -> DataFrame:
@@ -45,37 +75,188 @@ def interval_trials(chunks: DataFrame, every: str, late: str = "30 seconds") ->
     return g.select("source", F.col("w.start").alias("start"), "n", "sum")
 
 
-def alarm_stream(chunks: DataFrame, cutoff: int) -> DataFrame:
-    """A stream ``(source, seq, bytes)`` to ``(source, pos, b)`` of repetition alarms, as in the batch operator: the run that a batch ends with goes on in the next."""
+class _Health:
+    """Both continuous tests of one source, chunk by chunk; ``state`` is what the next chunk needs."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, last, length = state.get if state.exists else (0, -1, 0)
-        data = pd.concat(list(frames)).sort_values("seq")
-        b = np.frombuffer(b"".join(bytes(x) for x in data["bytes"]), np.uint8)
-        if not len(b):
-            return
+    def __init__(self, rct: int, apt: int, window: int, state: tuple[int, ...]) -> None:
+        self.rct, self.apt, self.window = rct, apt, window
+        self.at, self.last, self.length, self.index, self.reference, self.count = state
+
+    def push(self, b: np.ndarray) -> list[tuple[int, str, int, int]]:
+        """Alarms as (sample, test, count, value). A long run alarms anew after each cutoff - 1 further samples; an alarm of the window test starts a new window."""
         place = np.arange(len(b))
         start = np.maximum.accumulate(np.where(np.append(True, b[1:] != b[:-1]), place, 0))
-        runs = place - start + 1 + np.where((start == 0) & (b == last), length, 0)
-        hit = np.flatnonzero((runs >= cutoff) & ((runs - cutoff) % (cutoff - 1) == 0))
-        state.update((int(at + len(b)), int(b[-1]), int(runs[-1])))
-        yield pd.DataFrame({"source": key[0], "pos": at + hit, "b": b[hit].astype(np.int32)})
+        runs = place - start + 1 + np.where((start == 0) & (b == self.last), self.length, 0)
+        hit = np.flatnonzero((runs >= self.rct) & ((runs - self.rct) % (self.rct - 1) == 0))
+        found = [(self.at + int(i), "rct", self.rct, int(b[i])) for i in hit]
+        self.last, self.length = int(b[-1]), int(runs[-1])
+        i = 0
+        while i < len(b):
+            if self.index == 0:
+                self.reference, self.count, self.index = int(b[i]), 1, 1
+                i += 1
+                continue
+            part = b[i : i + self.window - self.index]
+            upto = self.count + np.cumsum(part == self.reference)
+            if upto[-1] >= self.apt:
+                i += int(np.searchsorted(upto, self.apt)) + 1
+                found.append((self.at + i - 1, "apt", self.apt, self.reference))
+                self.index = 0
+            else:
+                i += len(part)
+                self.count, self.index = int(upto[-1]), (self.index + len(part)) % self.window
+        self.at += len(b)
+        return sorted(found, key=lambda x: (x[0], x[1] == "apt"))
 
-    return chunks.groupBy("source").applyInPandasWithState(run, "source string, pos bigint, b int", "at bigint, last bigint, length bigint", "append", GroupStateTimeout.NoTimeout)
+    def state(self) -> tuple[int, ...]:
+        return self.at, self.last, self.length, self.index, self.reference, self.count
 
 
-def session_steps(trials: DataFrame, sources: int, bits: int, late: str = "0 seconds") -> DataFrame:
-    """A stream ``(source, t, sum)`` to ``(t, sources, stouffer, step)``: rounds that all sources have, closed by the watermark over their steps (one step is one second of event time).
+def health_stream(chunks: DataFrame, rct: int, apt: int, window: int, strict: bool = False) -> DataFrame:
+    """A stream ``(source, off, bytes)`` to ``(source, sample, test, count, value)``: alarms of the repetition count and adaptive proportion tests over each source's samples (bytes), as of one sequential run whatever the micro-batches.
 
-    ``step`` is the round's z squared less 1, whose running sum is the session's
-    cumulative deviation, and with 1 added its network variance; prefix sums
-    over the sink's table give both. Rounds that a source lacks are skipped.
+    Chunks may come in any order and more than once. With ``strict`` a source is
+    shut at its first alarm: nothing after it is tested or given out. Runs go on
+    over chunks; only a chunk is held at a time.
     """
-    z = (F.col("sum") - bits / 2) / (bits / 4) ** 0.5
-    timed = trials.select(F.timestamp_seconds("t").alias("at"), "t", z.alias("z")).withWatermark("at", late)
-    rounds = timed.groupBy(F.window("at", "1 second"), "t").agg(F.count("*").alias("sources"), F.sum("z").alias("s")).where(F.col("sources") == sources)
-    stouffer = F.col("s") / F.sqrt("sources")
-    return rounds.select("t", "sources", stouffer.alias("stouffer"), (stouffer * stouffer - 1).alias("step"))
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *test, shut, offs, waiting = state.get if state.exists else (0, -1, 0, 0, -1, 0, False, [], [])
+        health, reader = _Health(rct, apt, window, tuple(test)), _Ordered(test[0], offs, waiting)
+        for b in reader.walk(frames):
+            if shut:
+                health.at += len(b)
+                continue
+            found = health.push(b)
+            if strict and found:
+                found, shut = found[:1], True
+            if found:
+                sample, kind, count, value = zip(*found, strict=True)
+                yield pd.DataFrame({"source": key[0], "sample": sample, "test": kind, "count": np.array(count, np.int32), "value": np.array(value, np.int32)})
+        state.update((*health.state(), shut, *reader.state()[1:]))
+
+    kept = "at bigint, last bigint, length bigint, idx bigint, reference bigint, cnt bigint, shut boolean"
+    return chunks.groupBy("source").applyInPandasWithState(run, "source string, sample bigint, test string, count int, value int", f"{kept}, {_WAITING}", "append", GroupStateTimeout.NoTimeout)
+
+
+def alarm_stream(chunks: DataFrame, cutoff: int) -> DataFrame:
+    """A stream ``(source, off, bytes)`` to ``(source, pos, b)`` of repetition alarms alone, as in the batch operator."""
+    never = 1 << 31
+    return health_stream(chunks, cutoff, never, 1 << 20).select("source", F.col("sample").alias("pos"), F.col("value").alias("b"))
+
+
+class _Session(StatefulProcessor):
+    """Rounds of one session: a round is closed when each source has given its trial or has ended, when it is ``late`` rounds behind, or when nothing has come for ``idle`` milliseconds."""
+
+    def __init__(self, roster: list[str], bits: int, late: int | None, idle: int | None) -> None:
+        self.roster, self.bits, self.late, self.idle = sorted(roster), bits, late, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "next bigint, step bigint, netvar double, newest bigint")
+        self.open = handle.getMapState("rounds", "t bigint", "source array<string>, z array<double>")
+        self.ends = handle.getMapState("ends", "source string", "t bigint")
+
+    def _close(self, key: tuple, rounds: dict[int, dict[str, float]], ends: dict[str, int], state: tuple, everything: bool) -> pd.DataFrame:
+        t, step, netvar, newest = state
+        out = []
+        while True:
+            due = [s for s in self.roster if ends.get(s, t + 1) > t]
+            have = rounds.get(t, {})
+            if not due or everything and t > newest:
+                break
+            if not (everything or all(s in have for s in due) or self.late is not None and newest >= t + self.late):
+                break
+            rounds.pop(t, None)
+            if have:
+                present = sorted(have)
+                z = sum(have[s] for s in present) / len(present) ** 0.5
+                netvar += z * z
+                out.append((key[0], step, t, present, z, netvar, netvar - step - 1))
+                step += 1
+            t += 1
+        self.sums.update((t, step, netvar, newest))
+        return pd.DataFrame(out, columns=["session", "step", "t", "present", "stouffer", "netvar", "cumdev"])
+
+    def _state(self) -> tuple:
+        return self.sums.get() if self.sums.exists() else (0, 0, 0.0, -1)
+
+    def _rounds(self) -> dict[int, dict[str, float]]:
+        return {k[0]: dict(zip(v[0], v[1], strict=True)) for k, v in self.open.iterator()}
+
+    def _keep(self, before: dict, rounds: dict) -> None:
+        for t in before.keys() - rounds.keys():
+            self.open.removeKey((t,))
+        for t, have in rounds.items():
+            if before.get(t) != have:
+                self.open.updateValue((t,), (list(have), list(have.values())))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self._state()
+        before = self._rounds()
+        rounds = {t: dict(have) for t, have in before.items()}
+        ends = {k[0]: v[0] for k, v in self.ends.iterator()}
+        for frame in rows:
+            for source, t, total in zip(frame["source"], frame["t"], frame["sum"], strict=True):
+                if source not in self.roster:
+                    continue
+                if pd.isna(total):  # the source has no trial from t on
+                    ends[source] = int(t)
+                    self.ends.updateValue((source,), (int(t),))
+                elif t >= state[0]:
+                    rounds.setdefault(int(t), {}).setdefault(source, (float(total) - self.bits / 2) / (self.bits / 4) ** 0.5)
+                    state = (*state[:3], max(state[3], int(t)))
+            ticks = self._close(key, rounds, ends, state, False)
+            if len(ticks):
+                yield ticks
+            state = self._state()
+        self._keep(before, rounds)
+        if self.idle is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if rounds:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self._rounds()
+        rounds = dict(before)
+        ticks = self._close(key, rounds, {k[0]: v[0] for k, v in self.ends.iterator()}, self._state(), True)
+        self._keep(before, rounds)
+        if len(ticks):
+            yield ticks
+
+    def close(self) -> None:
+        pass
+
+
+def session_ticks(trials: DataFrame, roster: list[str], bits: int, late: int | None = None, idle: int | None = None) -> DataFrame:
+    """A stream ``(session, source, t, sum)`` to ``(session, step, t, present, stouffer, netvar, cumdev)``: lock-step rounds of each live session with their running sums.
+
+    Round t takes the trial t of each source of ``roster``; a null ``sum`` says
+    that a source has none from t on. A round is given out, once, when all
+    sources that haven't ended have come, when one has come ``late`` rounds
+    further on, or when nothing has come for ``idle`` milliseconds. Sources that
+    lack by then are skipped in that round and their later rows for it dropped;
+    rounds that nobody has are no steps. ``netvar`` adds up the rounds' squared
+    z, ``cumdev`` those less 1. So the ticks don't hang on the micro-batches.
+    A session is one key; sessions are dealt over tasks. The state store has
+    to be RocksDB (``rocksdb_state``).
+    """
+    schema = "session string, step bigint, t bigint, present array<string>, stouffer double, netvar double, cumdev double"
+    return trials.groupBy("session").transformWithStateInPandas(_Session(list(roster), bits, late, idle), schema, "append", "ProcessingTime" if idle is not None else "None")
+
+
+def active_events(ticks: DataFrame, events: DataFrame, bucket: int = 256) -> DataFrame:
+    """``(session, step, id)``: the events ``(id, start, stop)``, a static table, in whose steps [start, stop) a tick falls, by an equi-join on buckets of steps."""
+    spread = F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket)))
+    static = events.where(F.col("start") < F.col("stop")).select("id", "start", "stop", spread.alias("b"))
+    joined = ticks.select("session", "step", F.floor(F.col("step") / bucket).alias("b")).join(static, "b")
+    return joined.where((F.col("step") >= F.col("start")) & (F.col("step") < F.col("stop"))).select("session", "step", "id")
+
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, which ``session_ticks`` needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def new_name() -> str:
