@@ -8,7 +8,7 @@ from ..functions import numerics as nu
 from ..functions.bytes import bit_string, read_varint
 from ..functions.chunks import low_bits
 from ..operators import draws, extract, letters, lexicon, protocols, rates, spatial, trials
-from ..sources import strategies
+from ..sources import records, strategies
 from ..streaming import live
 from .more_queries import _RESP, _folder, _responses
 from .protocol_queries import _APT
@@ -108,6 +108,29 @@ def _(spark, d):
     return protocols.record_lines(trials.aligned(trials256(spark, d)), 256)
 
 
+@query("session_round_trip", f"with {TRIALS} select source, t::double as t, sum::bigint as sum, 256::bigint as bits, null::varchar as error from tri")
+def _(spark, d):
+    """Written as lines by a committing sink and read back."""
+    at = f"{_folder(spark)}/recorded-{live.new_name()}"
+    records.write_session(trials256(spark, d), at, 256)
+    return records.read_session(spark, at).select("source", "t", "sum", F.col("bitsPerTrial").alias("bits"), "error")
+
+
+_FAULTS = ("version", "timestamp", "source", "bitsPerTrial", "sum")
+
+
+@query("session_faults", "select case s_suppkey % 9 when 5 then 'not JSON' " + " ".join(f"when {i} then '{f}'" for i, f in enumerate(_FAULTS)) + " end as error, count(*) as lines from supplier group by 1")
+def _(spark, d):
+    """Of a line for each supplier, of which most have a fault: how many are found to have which."""
+    k = F.col("s_suppkey")
+    field = lambda i, fine, bad: F.when(k % 9 == i, F.lit(bad)).otherwise(F.lit(fine) if isinstance(fine, str) else fine)
+    parts = [field(0, "1", "2"), field(1, k.cast("string"), '"soon"'), field(2, F.format_string('"s%d"', k % 3), '""'), field(4, "100", "201"), field(3, "200", "7")]
+    line = F.format_string('{"v":%s,"t":%s,"source":%s,"sum":%s,"bitsPerTrial":%s}', *parts)
+    at = f"{_folder(spark)}/faults-{live.new_name()}"
+    read(spark, d, "supplier").select(F.when(k % 9 == 5, '{"v":1,').otherwise(line).alias("value")).write.text(at)
+    return records.read_session(spark, at).groupBy("error").agg(F.count("*").alias("lines"))
+
+
 @query("constant_bits", f"with {TRIALS} select source, count(*) as records, true as constant from tri group by source")
 def _(spark, d):
     return protocols.session_bits(protocols.parse_records(protocols.record_lines(trials256(spark, d), 256)))
@@ -184,9 +207,9 @@ def _ticks(spark, d):
     return live.run_available(live.session_ticks(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(at), roster, 256), at)
 
 
-@query("stream_session", f"with {_TICKS} select step, t, present, round(zs, 6) + 0.0 as stouffer, round(netvar, 6) as netvar, round(netvar - step - 1, 6) + 0.0 as cumdev from tk")
+@query("stream_session", f"with {_TICKS} select step, t, present, round(zs, 9) + 0.0 as stouffer, round(netvar, 9) as netvar, round(netvar - step - 1, 9) + 0.0 as cumdev from tk")
 def _(spark, d):
-    return rounded(_ticks(spark, d).select("step", "t", F.array_join("present", ",").alias("present"), "stouffer", "netvar", "cumdev"))
+    return rounded(_ticks(spark, d).select("step", "t", F.array_join("present", ",").alias("present"), "stouffer", "netvar", "cumdev"), 9)
 
 
 @query("session_events", f"with {_TICKS} select step, s_suppkey as id from tk join supplier on step >= s_suppkey * 3 and step < s_suppkey * 3 + 50")
