@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import gamma_p, gamma_q
 from ..functions.skip import GOLDEN, field
+from . import quadtree
 
 EARTH_RADIUS_M = 6371008.8
 
@@ -24,21 +25,10 @@ def _near(points: DataFrame, reach: float, by: tuple[str, ...] = ()) -> DataFram
 
 
 def nearest(points: DataFrame, area: float, n: int) -> DataFrame:
-    """``(id, d)`` to the nearest other point: rings are widened for those that found none, until all have one (an error if 40 doublings don't do)."""
+    """``(id, d)`` to the nearest other point, however densely they lie."""
     if n < 2:
         raise ValueError("at least 2 points")
-    reach = 2 * math.sqrt(area / n)
-    found = _near(points, reach).groupBy("id").agg(F.min("d2").alias("d2"))
-    for _ in range(40):
-        rest = points.join(found, "id", "left_anti")
-        if rest.isEmpty():
-            break
-        reach *= 2
-        wide = _near(points, reach).join(rest.select("id"), "id", "left_semi").groupBy("id").agg(F.min("d2").alias("d2"))
-        found = found.unionByName(wide)
-    else:
-        raise ValueError("points lie too far apart for their number and area")
-    return found.select("id", F.sqrt("d2").alias("d"))
+    return quadtree.nearest(points)
 
 
 def clark_evans(points: DataFrame, area: float, n: int) -> DataFrame:
@@ -51,11 +41,8 @@ def clark_evans(points: DataFrame, area: float, n: int) -> DataFrame:
 
 def ripley_l(points: DataFrame, area: float, n: int, radii: list[float]) -> DataFrame:
     """``(radius, l)``: L(r) - r without edge correction."""
-    pair = _near(points, max(radii)).select("d2", F.explode(F.array(*map(F.lit, radii))).alias("radius")).where("d2 <= radius * radius")
-    count = pair.groupBy("radius").agg(F.count("*").alias("c"))
-    every = points.sparkSession.createDataFrame([(float(r),) for r in radii], "radius double")
-    out = every.join(count, "radius", "left")
-    return out.select("radius", (F.sqrt(F.coalesce("c", F.lit(0)) * (area / n / n / math.pi)) - F.col("radius")).alias("l"))
+    count = quadtree.pair_counts(points.select("id", "x", "y"), radii)
+    return count.select("radius", (F.sqrt(F.col("pairs") * (area / n / n / math.pi)) - F.col("radius")).alias("l"))
 
 
 def ripley_l_by(points: DataFrame, by: str, area: float, radii: list[float]) -> DataFrame:
@@ -82,8 +69,7 @@ def csr_test(points: DataFrame, n: int, width: float, height: float, radii: list
 
 
 def neighbour_counts(points: DataFrame, radius: float) -> DataFrame:
-    near = _near(points, radius).groupBy("id").agg(F.count("*").alias("c"))
-    return points.join(near, "id", "left").select("id", "x", "y", F.coalesce("c", F.lit(0)).alias("neighbours"))
+    return points.select("id", "x", "y").join(quadtree.neighbour_counts(points, radius), "id")
 
 
 def attractors(points: DataFrame, area: float, n: int, expected: float = 4.0) -> DataFrame:

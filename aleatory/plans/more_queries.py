@@ -18,7 +18,7 @@ from ..operators import vdf
 from ..sources import frames as fr
 from ..sources import strategies as st
 from ..streaming import live
-from .registry import BITSTR, BYTES, DIGEST, byte_stream, chunk_stream, digest, query, read, rounded
+from .registry import BITSTR, BYTES, DIGEST, byte_stream, chunk_stream, digest, gamma_p_sql, query, read, rounded
 
 def _bits():
     return bit_string(F.col("h"), 64)
@@ -243,7 +243,10 @@ def _(spark, d):
     return rounded(sp.neighbour_counts(p, (4.0 / p.count() / 3.141592653589793) ** 0.5))
 
 
-@query("attractors")
+_COUNTED = f"{_PT}, ct as (select pt.id, coalesce(c, 0) as neighbours from pt left join (select id, count(*) as c from pr where d2 <= 4.0::double / (select count(*) from pt) / pi() group by id) using (id))"
+
+
+@query("attractors", f"with {_COUNTED}, e as ((select 'attractor' as kind, id, neighbours from ct order by neighbours desc, id limit 1) union all (select 'void', id, neighbours from ct order by neighbours, id limit 1)) select kind, id, neighbours, round(case when kind = 'void' then 1 - {gamma_p_sql('(neighbours + 1)', '4.0::double')} when neighbours >= 1 then {gamma_p_sql('greatest(neighbours, 1)', '4.0::double')} else 1 end, 6) + 0.0 as p from e")
 def _(spark, d):
     p = _points(spark, d)
     return rounded(sp.attractors(p, 1.0, p.count()))
