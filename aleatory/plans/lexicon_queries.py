@@ -64,7 +64,7 @@ def _(spark, d):
     return lexicon.cast_words(chunk_stream(spark, d), _words(spark, d))
 
 
-@query("cast_values", f"with {BYTES}, {_WORDS}, c as (select value, count(*) as words from w group by value), p as (select value, words, row_number() over (order by value) - 1 as v from c), {_drawn('(select count(*) from p)', '256 // (select count(*) from p) * (select count(*) from p)')} select source, i, value, words, round(words / (select count(*) from w), 6) as share from d join p using (v)")
+@query("cast_values", f"with {BYTES}, {_WORDS}, c as (select value, count(*) as words from w group by value), p as (select value, words, row_number() over (order by value) - 1 as v from c), k as materialized (select count(*) as n, 256 // count(*) * count(*) as top from p), d as (select source, row_number() over (partition by source order by pos) - 1 as i, b % n as v from byt, k where b < top and n > 1 union all select distinct source, 0, 0 from byt, k where n = 1) select source, i, value, words, round(words / (select count(*) from w), 6) as share from d join p using (v)")
 def _(spark, d):
     return rounded(lexicon.cast_values(chunk_stream(spark, d), _words(spark, d)))
 
