@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import xorshift32
 from ..functions.positions import BUCKET, haloed, ranked
+from ..functions.shared import cut
 
 
 def quantile_bins(series: DataFrame, bins: int) -> DataFrame:
@@ -144,6 +145,20 @@ def shifted(pairs: DataFrame, offsets: list[int], n: int) -> DataFrame:
     return turned.join(pairs.select("t", "y"), "t")
 
 
+def shifted_embedding(pairs: DataFrame, offsets: list[int], n: int, lag: int = 1, k: int = 1, l: int = 1) -> DataFrame:  # noqa: E741
+    """``(surrogate, t, y1, y0, x0)``: what ``embed`` makes of ``shifted``, for dense t from 0 to n - 1.
+
+    The history of a rotated series is the rotated history of the series as a
+    ring, so histories are made once, not for each surrogate.
+    """
+    reach = max(k, lag + l - 1)
+    at = F.array(F.struct((F.col("t") + reach).alias("t")), F.struct((F.col("t") + reach - n).alias("t")))
+    ring = pairs.select(F.explode(F.filter(at, lambda p: p["t"] >= 0)).alias("p"), "x", "y").select("p.t", "x", "y").where(F.col("t") < n + reach)
+    e = cut(embed(ring, lag, k, l)).withColumn("t", F.col("t") - reach).where("t >= 0")
+    turned = e.select(F.posexplode(F.array(*map(F.lit, offsets))).alias("surrogate", "o"), "t", "x0").select("surrogate", F.pmod(F.col("t") - F.col("o"), F.lit(n)).alias("t"), "x0")
+    return turned.join(e.where(F.col("t") >= reach).select("t", "y1", "y0"), "t")
+
+
 def permuted(pairs: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """``(surrogate, t, x, y)`` with x in a random order for each of ``count`` surrogates: that of an MD5 of seed, surrogate and t, so no series is shuffled by one task. t runs from 0."""
     text = F.concat_ws(":", F.lit(seed).cast("string"), F.col("surrogate").cast("string"), F.col("t").cast("string"))

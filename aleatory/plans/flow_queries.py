@@ -144,8 +144,8 @@ te as (select i, greatest({_TE}, 0) as te from mg group by i)"""
 def _surrogates(spark, d):
     p = pairs(spark, d)
     n = p.count()
-    s = flow.shifted(p, flow.circular_offsets(n, _SURROGATES), n)
-    return flow.transfer_entropy(p), flow.transfer_entropy(flow.embed(s, keys=["surrogate"]), ["surrogate"])
+    s = flow.shifted_embedding(p, flow.circular_offsets(n, _SURROGATES), n)
+    return flow.transfer_entropy(p), flow.transfer_entropy(s, ["surrogate"])
 
 
 @query("te_permutation", f"{_TURNED}, o as (select te from te where i < 0) select round(o.te, 9) as te, round((1 + count(*) filter (round(s.te, 12) >= round(o.te, 12))) / (1 + count(*)), 9) as p from te s, o where i >= 0 group by o.te")

@@ -17,7 +17,7 @@ _WAITING = "offs array<bigint>, chunks array<binary>"
 
 
 class _Ordered:
-    """Chunks of one source in the order of their places, one at a time: what comes early waits, in the state if need be."""
+    """Chunks of one source in the order of their places: what follows on is joined, what comes early waits, in the state if need be."""
 
     def __init__(self, at: int, offs: list, chunks: list) -> None:
         self.at, self.waiting = at, dict(zip(offs, chunks, strict=True))
@@ -25,16 +25,33 @@ class _Ordered:
     def walk(self, frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         yield from self._ready()
         for frame in frames:
-            for off, chunk in zip(frame["off"], frame["bytes"], strict=True):
-                if off >= self.at and len(chunk):  # what has been read is not read again
-                    self.waiting[int(off)] = bytes(chunk)
+            chunks = sorted((int(o), bytes(c)) for o, c in zip(frame["off"], frame["bytes"], strict=True) if o >= self.at and len(c))  # what has been read is not read again
+            run: list[bytes] = []
+            start = end = -1
+            for off, chunk in chunks:
+                if off == end:
+                    run.append(chunk)
+                elif off < end:
+                    continue  # a chunk that came twice
+                else:
+                    self._wait(start, run)
+                    start, run = off, [chunk]
+                end = off + len(chunk)
+            self._wait(start, run)
             yield from self._ready()
 
+    def _wait(self, start: int, run: list[bytes]) -> None:
+        if run and len(self.waiting.get(start, b"")) < sum(map(len, run)):
+            self.waiting[start] = b"".join(run)
+
     def _ready(self) -> Iterator[np.ndarray]:
-        while self.at in self.waiting:
-            chunk = self.waiting.pop(self.at)
-            self.at += len(chunk)
-            yield np.frombuffer(chunk, np.uint8)
+        while here := [o for o in self.waiting if o <= self.at]:
+            for off in here:
+                chunk = self.waiting.pop(off)
+                if off <= self.at < off + len(chunk):
+                    fresh = np.frombuffer(chunk, np.uint8)[self.at - off :]
+                    self.at = off + len(chunk)
+                    yield fresh
 
     def state(self) -> tuple[int, list[int], list[bytes]]:
         return self.at, list(self.waiting), list(self.waiting.values())

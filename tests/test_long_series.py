@@ -98,6 +98,16 @@ def test_shifted_series_take_the_symbol_of_a_later_step(spark):
     assert {(r["t"], r["x"]) for r in flow.shifted(df, [3], 10).collect()} == {(t, (t + 3) % 10) for t in range(10)}
 
 
+@pytest.mark.parametrize(("k", "l", "u"), [(1, 1, 1), (2, 3, 2)])
+def test_histories_of_shifted_series(spark, k, l, u):  # noqa: E741
+    rng = random.Random(3)
+    n, offsets = 60, [1, 17, 59]
+    df = frame(spark, [(t, rng.randrange(3), rng.randrange(3)) for t in range(n)], "t long, x int, y int")
+    key = lambda d: sorted(map(tuple, d.select("surrogate", "t", "y1", "y0", "x0").collect()))
+    want = key(flow.embed(flow.shifted(df, offsets, n), u, k, l, ["surrogate"]))
+    assert key(flow.shifted_embedding(df, offsets, n, u, k, l)) == want and len(want) == 3 * (n - max(k, u + l - 1))
+
+
 @pytest.mark.parametrize("bucket_rows", [40, 1 << 16])
 def test_ordinal_patterns_reach_over_buckets(spark, monkeypatch, bucket_rows):
     from aleatory.functions import positions
