@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut
 
-#: Points of a leaf, and the deepest level (points closer than the root's side over 2**DEEPEST share a leaf, in parts).
+#: Points of a leaf, and the deepest level (points in one cell of the root's side over 2**DEEPEST share a leaf, in parts).
 CAP, DEEPEST = 256, 24
 
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
@@ -47,21 +47,33 @@ class Tree:
         code = _spread(place("x", x0)).bitwiseOR(F.shiftleft(_spread(place("y", y0)), 1))
         rest = cut(points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), code.alias("code")))
         self.spark, self.cap, nodes, placed = points.sparkSession, cap, [], []
-        for level in range(deepest + 1):
+        level, before, self.levels = 0, 0, []
+        while True:
             own = rest.withColumn("c", F.shiftright("code", 2 * (deepest - level)))
-            stats = own.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
-            leaf = (F.col("n") <= cap) | F.lit(level == deepest)
-            stats = cut(stats.select("c", _name(F.col("c"), F.lit(level)).alias("node"), F.lit(level).alias("level"), "n", "x1", "x2", "y1", "y2", leaf.alias("leaf")))
-            nodes.append(stats)
+            stats = own.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.min("code").bitwiseXOR(F.max("code")).alias("differ"))
+            parent = _name(F.shiftright("c", 2 * (level - before)), F.lit(before))
+            leaf = (F.col("n") <= cap) | (F.col("differ") == 0)
+            # Levels at which no cell would part are left out.
+            parts = F.lit(deepest) - F.floor((F.length(F.bin("differ")) - 1) / 2)
+            stats = cut(stats.select("c", _name(F.col("c"), F.lit(level)).alias("node"), parent.alias("of"), F.lit(level).alias("level"), "n", "x1", "x2", "y1", "y2", leaf.alias("leaf"), parts.alias("parts")))
+            self.levels.append(level)
+            nodes.append(stats.drop("parts"))
             placed.append(own.join(stats.where("leaf").select("c", F.col("node").alias("leaf"), "n"), "c").select("leaf", "n", "id", "x", "y"))
-            split = stats.where("not leaf").select("c")
-            if split.isEmpty():
+            split = stats.where("not leaf")
+            following = split.agg(F.min("parts")).first()[0]
+            if following is None:
                 break
-            rest = cut(own.join(split, "c", "left_semi").drop("c"))
+            rest = cut(own.join(split.select("c"), "c", "left_semi").drop("c"))
+            level, before = int(following), level
         whole = lambda frames: frames[0] if len(frames) == 1 else whole([a.unionByName(b) for a, b in zip(frames[::2], frames[1::2], strict=False)] + frames[len(frames) // 2 * 2 :])
         self.nodes, self.placed = cut(whole(nodes).drop("c")), cut(whole(placed))
-        parent = _name(F.shiftright("node", 7), F.col("level") - 1)  # the code without its last two bits
-        self.kids = cut(self.nodes.where("level > 0").select(parent.alias("of"), "node").unionByName(self.nodes.where("leaf").select(F.col("node").alias("of"), "node")))
+        self.kids = cut(self.nodes.where("level > 0").select("of", "node").unionByName(self.nodes.where("leaf").select(F.col("node").alias("of"), "node")))
+
+    def above(self, nodes: DataFrame, keep: list[str]) -> DataFrame:
+        """``(keep, above)``: each of ``nodes(node, level)`` with itself and all nodes over it."""
+        up = F.explode(F.filter(F.array(*map(F.lit, self.levels)), lambda v: v <= F.col("level"))).alias("up")
+        name = _name(F.expr("shiftright(shiftright(node, 5), cast(2 * (level - up) as int))"), F.col("up"))
+        return nodes.select("*", up).select(*keep, name.alias("above"))
 
     def leaves(self) -> DataFrame:
         """``(leaf, ids, xs, ys)``: each leaf's points as arrays of at most some ``cap``; only leaves of coincident points have several rows."""
@@ -141,9 +153,8 @@ def neighbour_counts(points: DataFrame, radius: float, cap: int = CAP) -> DataFr
     tree = Tree(points, cap)
     within, open_ = _descend(tree, [radius])
     sums = within.groupBy("a").agg(F.sum("n_b").alias("c"))
-    leaves = tree.nodes.where("leaf").select("node", "level", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("up"))
-    above = _name(F.expr("shiftright(shiftright(node, 5), cast(2 * (level - up) as int))"), F.col("up"))
-    per_leaf = leaves.select(F.col("node").alias("leaf"), above.alias("a")).join(sums, "a").groupBy("leaf").agg(F.sum("c").alias("c"))
+    over = tree.above(tree.nodes.where("leaf").select("node", "level"), ["node"])
+    per_leaf = over.select(F.col("node").alias("leaf"), F.col("above").alias("a")).join(sums, "a").groupBy("leaf").agg(F.sum("c").alias("c"))
     base = tree.placed.join(per_leaf, "leaf", "left").select("id", F.coalesce("c", F.lit(0)).alias("c"))
     near = _counted(tree, open_, dict(points.dtypes)["id"]).select("id", "c")
     return base.unionByName(near).groupBy("id").agg((F.sum("c") - 1).alias("neighbours"))
@@ -168,12 +179,10 @@ def nearest(points: DataFrame, cap: int = CAP) -> DataFrame:
     # Bounds from below: of a leaf by its points; of a node by its box, if it holds two; a lone leaf takes that of the node above.
     box = (F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1"))
     leaf = own.groupBy("a").agg(F.max("d2").alias("own")).withColumnRenamed("a", "node")
-    up = F.explode(F.sequence(F.lit(0), F.col("level"))).alias("up")
-    above = _name(F.expr("shiftright(shiftright(node, 5), cast(2 * (level - up) as int))"), F.col("up")).alias("above")
     boxes = tree.nodes.where("n > 1").select(F.col("node").alias("above"), box.alias("box"))
-    bound = tree.nodes.where("leaf").select("node", "level", up).select("node", "level", above).join(boxes, "above").groupBy("node", "level").agg(F.min("box").alias("box"))
+    bound = tree.above(tree.nodes.where("leaf").select("node", "level"), ["node", "level"]).join(boxes, "above").groupBy("node", "level").agg(F.min("box").alias("box"))
     bound = cut(bound.join(leaf, "node").select("node", "level", F.least("box", "own").alias("bound")))
-    bounds = cut(bound.select("node", "bound", "level", up).select(above, "bound").groupBy("above").agg(F.max("bound").alias("bound")).withColumnRenamed("above", "a"))
+    bounds = cut(tree.above(bound, ["bound"]).groupBy("above").agg(F.max("bound").alias("bound")).withColumnRenamed("above", "a"))
     pairs, open_ = tree.nodes.where("level = 0").select(F.col("node").alias("a"), F.col("node").alias("b")), []
     while True:
         boxed = cut(tree.boxes(pairs).join(bounds, "a").where(F.col("near") <= F.col("bound")))
