@@ -17,18 +17,26 @@ from pyspark.sql.types import BinaryType
 
 #: Bytes worked on at a time; one longer chunk is worked on alone.
 SLICE = 1 << 20
+#: Bytes of a chunk that records are cut from.
+BUCKET = 1 << 16
 LATIN = "ISO-8859-1"
 
 
-def rechunk(data: DataFrame, size: int) -> DataFrame:
-    """The same bytes in chunks that start at multiples of ``size`` and hold so many bytes (the last of a source fewer, one beside a gap too)."""
+def haloed(data: DataFrame, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """``(source, c, off, bytes)``: chunk c holds the bytes from c * size to (c + 1) * size, ``before`` bytes more in front and ``after`` behind, as far as there are such; ``off`` is the place of its first byte."""
     end = F.col("off") + F.length("bytes")
-    cut = data.where(F.length("bytes") > 0).select("source", "off", "bytes", F.explode(F.sequence(F.floor(F.col("off") / size), F.floor((end - 1) / size))).alias("c"))
-    low, high = F.greatest(F.col("c") * size, F.col("off")), F.least((F.col("c") + 1) * size, end)
+    chunks = F.sequence(F.greatest(F.floor((F.col("off") - after) / size), F.lit(0)), F.floor((end - 1 + before) / size))
+    cut = data.where(F.length("bytes") > 0).select("source", "off", "bytes", F.explode(chunks).alias("c"))
+    low, high = F.greatest(F.col("c") * size - before, F.col("off")), F.least((F.col("c") + 1) * size + after, end)
     part = F.decode(F.substr("bytes", (low - F.col("off") + 1).cast("int"), (high - low).cast("int")), LATIN)
     parts = cut.select("source", "c", F.struct(low.alias("low"), part.alias("part")).alias("p")).groupBy("source", "c").agg(F.array_sort(F.collect_list("p")).alias("p"))
     joined = F.encode(F.array_join(F.transform("p", lambda p: p["part"]), ""), LATIN)
-    return parts.select("source", F.col("p")[0]["low"].alias("off"), joined.alias("bytes"))
+    return parts.select("source", "c", F.col("p")[0]["low"].alias("off"), joined.alias("bytes"))
+
+
+def rechunk(data: DataFrame, size: int) -> DataFrame:
+    """The same bytes in chunks that start at multiples of ``size`` and hold so many bytes (the last of a source fewer, one beside a gap too)."""
+    return haloed(data, size).drop("c")
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -61,6 +69,23 @@ def each(data: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], t
     return data.select(*dict.fromkeys([*keep, "off", "bytes"])).mapInArrow(run, types)
 
 
+def records(data: DataFrame, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, pa.Array]]], schema: str, bucket: int = BUCKET) -> DataFrame:
+    """Run ``work(row, index, record)`` on the whole records of ``size`` bytes, one row of ``record`` each; ``index`` is a record's number in its source, ``row`` its chunk's.
+
+    As in ``each``, it returns the chunk's row of each result and the results' columns. Bytes after the last whole record are left over.
+    """
+
+    def cut(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        skip = -off % size
+        count = np.maximum((np.diff(bounds) - skip) // size, 0)
+        row = np.repeat(np.arange(len(off)), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = (bounds[:-1] + skip)[row] + nth * size
+        return work(row, (off + skip)[row] // size + nth, raw[start[:, None] + np.arange(size)])
+
+    return each(rechunk(data, size * max(bucket // size, 1)), cut, schema)
+
+
 def strings(chars: np.ndarray, counts: np.ndarray) -> pa.Array:
     """One string of so many ASCII characters per row."""
     ends = np.append(0, np.cumsum(counts)).astype(np.int32)

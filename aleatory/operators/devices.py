@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chunks import BUCKET, each, haloed
 
-def sign_bits(pixels: DataFrame, stride: int = 1) -> DataFrame:
-    """``(source, frame, pixel, v)`` to ``(source, frame, pixel, bit)``: 1 where a strided pixel rose since the frame before, 0 where it fell, none where it is the same."""
-    p = pixels.where(F.col("pixel") % stride == 0)
-    before = p.select("source", (F.col("frame") + 1).alias("frame"), "pixel", F.col("v").alias("was"))
-    return p.join(before, ["source", "frame", "pixel"]).where("v <> was").select("source", "frame", "pixel", (F.col("v") > F.col("was")).cast("int").alias("bit"))
+
+def sign_bits(data: DataFrame, pixels: int, stride: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """Chunks ``(source, off, bytes)`` of frames of so many bytes to ``(source, frame, pixel, bit)``: 1 where a strided pixel rose since the frame before, 0 where it fell, none where it is the same. A last frame that isn't whole is left out.
+
+    A chunk of frames also carries the last frame before it: one shuffle of chunks, and rows are only the bits.
+    """
+
+    def compare(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        found: list[tuple[np.ndarray, ...]] = []
+        for r, skip in enumerate(-off % pixels):
+            low, n = bounds[r] + skip, max(bounds[r + 1] - bounds[r] - skip, 0) // pixels
+            m = raw[low : low + n * pixels].reshape(n, pixels)[:, ::stride]
+            frame, pixel = np.nonzero(m[1:] != m[:-1])
+            found.append((np.full(len(frame), r), (off[r] + skip) // pixels + 1 + frame, pixel * stride, (m[1:] > m[:-1])[frame, pixel]))
+        row, frame, pixel, bit = (np.concatenate(x) for x in zip(*found, strict=True))
+        return row, {"frame": pa.array(frame), "pixel": pa.array(pixel), "bit": pa.array(bit.astype(np.int32))}
+
+    size = pixels * max(bucket // pixels, 1)
+    return each(haloed(data, size, before=pixels), compare, "frame bigint, pixel bigint, bit int")
 
 
 def low_bits(value: Column, bits: int) -> Column:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import gzip
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..functions.chunks import each, lists, rechunk, records
 from ..functions.numerics import erfc
 from ..functions.positions import ranked
 from . import spectrum
@@ -145,12 +148,43 @@ def windowed_negentropy(series: DataFrame, size: int = 32, hop: int = 8) -> Data
 
 
 def monte_carlo_pi(data: DataFrame) -> DataFrame:
-    """``(source, points, pi)``: six bytes are a point of two 24-bit coordinates."""
-    place = (F.col("pos") % 6).cast("int")
-    weight = F.element_at(F.array(*[F.lit(1 << s) for s in (16, 8, 0)]), place % 3 + 1)
-    xy = data.groupBy("source", F.floor(F.col("pos") / 6).alias("p")).agg(F.sum(F.when(place < 3, F.col("b") * weight).otherwise(0)).cast("double").alias("x"), F.sum(F.when(place >= 3, F.col("b") * weight).otherwise(0)).cast("double").alias("y"), F.count("*").alias("c"))
-    inside = (F.col("x") * F.col("x") + F.col("y") * F.col("y") <= float(((1 << 24) - 1) ** 2)).cast("int")
-    return xy.where("c = 6").groupBy("source").agg(F.count("*").alias("points"), (4 * F.avg(inside)).alias("pi"))
+    """Chunks ``(source, off, bytes)`` to ``(source, points, pi)``: six bytes are a point of two 24-bit coordinates; a source of under six bytes has no row."""
+
+    def count(row: np.ndarray, index: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        x, y = (record[:, [i, i + 1, i + 2]].astype(np.int64) @ np.array([1 << 16, 1 << 8, 1]) for i in (0, 3))
+        inside = x * x + y * y <= ((1 << 24) - 1) ** 2
+        points = np.bincount(row)
+        at = np.flatnonzero(points)
+        return at, {"points": pa.array(points[at]), "hits": pa.array(np.bincount(row, inside)[at].astype(np.int64))}
+
+    total = records(data, 6, count, "points bigint, hits bigint").groupBy("source").agg(F.sum("points").alias("points"), F.sum("hits").alias("hits"))
+    return total.select("source", "points", (4 * F.col("hits") / F.col("points")).alias("pi"))
+
+
+def rolling_quality(data: DataFrame, size: int) -> DataFrame:
+    """Chunks ``(source, off, bytes)`` to ``(source, chunk, n, entropy, most)`` of each ``size`` bytes: Shannon entropy per byte and the count of the commonest byte. The last chunk of a source may hold fewer bytes: ``n``."""
+
+    def count(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        n = np.diff(bounds)
+        key, c = np.unique(np.repeat(np.arange(len(off)), n) * 256 + raw, return_counts=True)
+        first = np.searchsorted(key, np.arange(len(off)) * 256)
+        entropy = np.log2(n) - np.add.reduceat(c * np.log2(c), first) / n
+        columns = {"chunk": off // size, "n": n, "entropy": entropy, "most": np.maximum.reduceat(c, first)}
+        return np.arange(len(off)), {k: pa.array(v) for k, v in columns.items()}
+
+    return each(rechunk(data, size), count, "chunk bigint, n bigint, entropy double, most bigint")
+
+
+def probit_bytes(data: DataFrame, stride: int = 1) -> DataFrame:
+    """Chunks ``(source, off, bytes)`` to ``(source, off, z)``: the normal quantiles of (b + 0.5) / 256 of each ``stride``-th byte of the stream, as an array per chunk."""
+    z = np.array([NormalDist().inv_cdf((b + 0.5) / 256) for b in range(256)])
+
+    def turn(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        row = np.repeat(np.arange(len(off)), np.diff(bounds))
+        take = (off[row] + np.arange(len(raw)) - bounds[row]) % stride == 0
+        return np.arange(len(off)), {"z": lists(z[raw[take]], np.bincount(row[take], minlength=len(off)), pa.float64())}
+
+    return each(data.where("bytes is not null"), turn, "z array<double>", ("source", "off"))
 
 
 @F.pandas_udf(DoubleType())

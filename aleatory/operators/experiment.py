@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics as nu
+from ..functions.chunks import records
 from . import network, trials
 
 
@@ -44,19 +47,26 @@ def analyse(data: DataFrame, events: DataFrame, bits: int, calibration: str = "t
 
 
 def broadcast_rounds(data: DataFrame, size: int = 16, odds: int = 6765) -> DataFrame:
-    """``(source, pos, b)`` to ``(source, round, resonance)`` of full rounds: the first accepted two-byte draw below ``odds`` within the round is the last value."""
+    """Chunks ``(source, off, bytes)`` to ``(source, round, resonance)`` of full rounds of an even number of bytes: the first accepted two-byte draw below ``odds`` within the round is the last value."""
     limit = 65536 // odds * odds
-    pair = data.groupBy("source", F.floor(F.col("pos") / size).alias("round"), F.floor(F.col("pos") % size / 2).alias("k")).agg(F.sum(F.when(F.col("pos") % 2 == 0, F.col("b") * 256).otherwise(F.col("b"))).alias("v"), F.count("*").alias("n"))
-    r = pair.groupBy("source", "round").agg(F.min(F.when(F.col("v") < limit, F.struct("k", "v"))).alias("first"), F.sum("n").alias("n")).where(F.col("n") == size)
-    return r.select("source", "round", F.coalesce(F.col("first.v") % odds == odds - 1, F.lit(False)).alias("resonance"))
+
+    def draw(row: np.ndarray, index: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        v = record.view(">u2").astype(np.int64)
+        accepted = v < limit
+        first = v[np.arange(len(v)), accepted.argmax(1)]
+        return row, {"round": pa.array(index), "resonance": pa.array(accepted.any(1) & (first % odds == odds - 1))}
+
+    return records(data, size, draw, "round bigint, resonance boolean")
 
 
 def sample_field(data: DataFrame, width: float, height: float) -> DataFrame:
-    """``(source, pos, b)`` to ``(source, id, x, y)``: eight bytes are two big-endian 32-bit fractions of a rectangle."""
-    place = (F.col("pos") % 4).cast("int")
-    weight = F.element_at(F.array(*[F.lit(float(256**k)) for k in (3, 2, 1, 0)]), place + 1)
-    p = data.groupBy("source", F.floor(F.col("pos") / 8).alias("id")).agg(F.sum(F.when(F.col("pos") % 8 < 4, F.col("b") * weight).otherwise(0.0)).alias("x"), F.sum(F.when(F.col("pos") % 8 >= 4, F.col("b") * weight).otherwise(0.0)).alias("y"), F.count("*").alias("n"))
-    return p.where("n = 8").select("source", "id", (F.col("x") / 2.0**32 * width).alias("x"), (F.col("y") / 2.0**32 * height).alias("y"))
+    """Chunks ``(source, off, bytes)`` to ``(source, id, x, y)``: eight bytes are two big-endian 32-bit fractions of a rectangle."""
+
+    def points(row: np.ndarray, index: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        part = record.view(">u4").astype(np.float64) / 2.0**32
+        return row, {"id": pa.array(index), "x": pa.array(part[:, 0] * width), "y": pa.array(part[:, 1] * height)}
+
+    return records(data, 8, points, "id bigint, x double, y double")
 
 
 def sample_disk(data: DataFrame, radius: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chain import entries
-from ..functions.chunks import each, rechunk, slices
+from ..functions.chunks import each, haloed, lists, rechunk, records, slices
 from ..functions.shared import cut
 
 
@@ -89,11 +89,13 @@ def rct_alarms(data: DataFrame, cutoff: int, bucket: int = 1 << 16) -> DataFrame
 
 
 def apt_windows(data: DataFrame, window: int, cutoff: int) -> DataFrame:
-    """``(source, w, first, count, alarm)`` over fixed windows: how often the first sample comes up. These are the test's windows up to a source's first alarm."""
-    d = data.withColumn("w", F.floor(F.col("pos") / window))
-    first = d.where(F.col("pos") % window == 0).select("source", "w", F.col("b").alias("first"))
-    out = d.join(first, ["source", "w"]).groupBy("source", "w", "first").agg(F.count_if(F.col("b") == F.col("first")).alias("count"), F.count("*").alias("n")).where(F.col("n") == window)
-    return out.select("source", "w", "first", "count", (F.col("count") >= cutoff).alias("alarm"))
+    """Chunks ``(source, off, bytes)`` to ``(source, w, first, count, alarm)`` over fixed windows of bytes: how often the first one comes up. These are the test's windows up to a source's first alarm."""
+
+    def count(row: np.ndarray, index: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        same = (record == record[:, :1]).sum(1)
+        return row, {"w": pa.array(index), "first": pa.array(record[:, 0].astype(np.int32)), "count": pa.array(same), "alarm": pa.array(same >= cutoff)}
+
+    return records(data, window, count, "w bigint, first int, count bigint, alarm boolean")
 
 
 def _apt_steps(b: np.ndarray, window: int, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,41 +110,45 @@ def _apt_steps(b: np.ndarray, window: int, cutoff: int) -> tuple[np.ndarray, np.
     return alarm, np.where(alarm, last + 1, here + window)
 
 
-def apt_alarms(data: DataFrame, window: int, cutoff: int, segment: int = 1 << 20) -> DataFrame:
-    """``(source, pos)`` of each alarm of the sequential test, windows starting anew after one; ``pos`` is dense.
+def apt_alarms(data: DataFrame, window: int, cutoff: int, segment: int = 1 << 16) -> DataFrame:
+    """Chunks ``(source, off, bytes)`` without gaps to ``(source, pos)`` of each alarm of the sequential test on bytes, windows starting anew after one.
 
     A segment is walked from each of the ``window`` places at which its first
     window may start, and says where the next segment's first one then starts.
     These are composed by a tree (``chain.entries``); then each segment is walked
     once more from the place that really occurs. A segment also reads the
-    window - 1 values after it.
+    window - 1 bytes after it.
     """
     segment = max(segment, window)
-    own = F.floor(F.col("pos") / segment)
-    tail = (own > 0) & (F.col("pos") % segment < window - 1)
-    dealt = data.select("source", F.col("pos").cast("bigint").alias("pos"), "b", F.explode(F.when(tail, F.array(own, own - 1)).otherwise(F.array(own))).alias("__s"))
-
-    def read(s: int, pdf: pd.DataFrame) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-        pdf = pdf.sort_values("pos")
-        pos = pdf["pos"].to_numpy()
-        return pos, int(np.searchsorted(pos, (s + 1) * segment)), *_apt_steps(pdf["b"].to_numpy(), window, cutoff)
-
-    def leave(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, n, _, after = read(key[1], pdf)
-        at = np.arange(window)
-        while (inside := at < n).any():
-            at[inside] = after[at[inside]]
-        return pd.DataFrame({"source": [key[0]], "__s": [key[1]], "leave": [(at - n).tolist()]})
-
-    def run(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pos, n, alarm, after = read(key[1], pdf)
-        out, at = [], int(start["enter"].iloc[0]) if len(start) else n
-        while at < n:
-            if alarm[at]:
-                out.append((key[0], pos[after[at] - 1]))
-            at = int(after[at])
-        return pd.DataFrame(out, columns=["source", "pos"])
-
-    leaves = dealt.groupBy("source", "__s").applyInPandas(leave, "source string, __s bigint, leave array<bigint>")
-    starts = entries(cut(leaves.withColumnRenamed("__s", "b"))).withColumnRenamed("b", "__s")
-    return dealt.groupBy("source", "__s").cogroup(starts.groupBy("source", "__s")).applyInPandas(run, "source string, pos bigint")
+    dealt = haloed(data, segment, after=window - 1)
+    source = dict(data.dtypes)["source"]
+
+    def leave(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        out = []
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            n = min(int(high - low), segment)
+            _, after = _apt_steps(raw[low:high], window, cutoff)
+            at = np.arange(window)
+            while (inside := at < n).any():
+                at[inside] = after[at[inside]]
+            out.append(at - n)
+        return np.arange(len(off)), {"leave": lists(np.concatenate(out), np.full(len(out), window), pa.int64())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, enter = batch.column("off").to_numpy(), batch.column("enter").to_numpy()
+            for a, b, raw, bounds in slices(batch.column("bytes")):
+                row, pos = [], []
+                for r in range(a, b):
+                    x = raw[bounds[r - a] : bounds[r - a + 1]]
+                    alarm, after = _apt_steps(x, window, cutoff)
+                    at = int(enter[r])
+                    while at < min(len(x), segment):
+                        if alarm[at]:
+                            row.append(r)
+                            pos.append(int(off[r] + after[at] - 1))
+                        at = int(after[at])
+                yield pa.RecordBatch.from_arrays([batch.column("source").take(pa.array(row, pa.int64())), pa.array(pos, pa.int64())], names=["source", "pos"])
+
+    starts = entries(cut(each(dealt, leave, "leave array<bigint>", ("source", "c")).withColumnRenamed("c", "b"))).withColumnRenamed("b", "c")
+    return dealt.join(starts, ["source", "c"]).select("source", "off", "enter", "bytes").mapInArrow(run, f"source {source}, pos bigint")

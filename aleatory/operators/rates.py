@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chunks import each, lists
+
 BASE = 44
 TAU = 2 * math.pi
 
@@ -88,9 +92,16 @@ def xor_imprint(b: Column, digits: Column, i: Column, base: int = BASE) -> Colum
     return b.bitwiseXOR(mask_at(digits, i, base))
 
 
-def phase_modulate(b: Column, digits: Column, i: Column, base: int = BASE) -> Column:
-    x = F.lit(TAU) * b / 256 + angle(F.element_at(digits, (i % F.size(digits) + 1).cast("int")), base)
-    return x % F.lit(TAU)
+def phase_modulate(data: DataFrame, digits: list[int], base: int = BASE) -> DataFrame:
+    """Chunks ``(source, off, bytes)`` to ``(source, off, theta)``: each byte as a phase, turned by the digit of its place, the digits repeating; an array per chunk."""
+    turns = TAU * np.array(digits) / base
+
+    def turn(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        n = np.diff(bounds)
+        place = np.repeat(off - bounds[:-1], n) + np.arange(len(raw))
+        return np.arange(len(off)), {"theta": lists((TAU * raw / 256 + turns[place % len(turns)]) % TAU, n, pa.float64())}
+
+    return each(data.where("bytes is not null"), turn, "theta array<double>", ("source", "off"))
 
 
 def circular(theta: Column) -> list[Column]:

@@ -6,9 +6,9 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from ..functions import numerics as nu
 from ..operators import devices as dv
-from .registry import BYTES, byte_stream, query, read, rounded
+from ..operators import estimators as es
+from .registry import BYTES, byte_stream, chunk_stream, query, read, rounded
 
 
 @query("sensor_bytes", "select event_id, (floor(value * 100 + 0.5)::bigint & 255)::int as b from events")
@@ -28,8 +28,7 @@ def _(spark, d):
 
 @query("frame_sign_bits", f"with {BYTES}, f as (select source, pos // 32 as frame, pos % 32 as pixel, b as v from byt where pos % 32 % 2 = 0), w as (select *, lag(v) over (partition by source, pixel order by frame) as before from f) select source, frame, pixel, (v > before)::int as bit from w where v <> before")
 def _(spark, d):
-    pixels = byte_stream(spark, d).select("source", F.floor(F.col("pos") / 32).alias("frame"), (F.col("pos") % 32).alias("pixel"), F.col("b").alias("v"))
-    return dv.sign_bits(pixels, 2)
+    return dv.sign_bits(chunk_stream(spark, d), 32, 2)
 
 
 _PROBIT = [NormalDist().inv_cdf((b + 0.5) / 256) for b in range(256)]
@@ -37,12 +36,13 @@ _PROBIT = [NormalDist().inv_cdf((b + 0.5) / 256) for b in range(256)]
 
 @query("probit_bytes", f"with {BYTES}, x as (select source, ({_PROBIT}::double[])[b + 1] as x from byt where pos % 2 = 0) select source, round(avg(x), 6) + 0.0 as mean, round(stddev_pop(x), 6) as sd, count(*) as n from x group by source")
 def _(spark, d):
-    b = byte_stream(spark, d).where(F.col("pos") % 2 == 0).select("source", "pos", nu.norm_ppf((F.col("b") + 0.5) / 256).alias("x"))
-    return rounded(b.groupBy("source").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n")))
+    z = es.probit_bytes(chunk_stream(spark, d), 2)
+    part = [F.sum(F.aggregate("z", F.lit(0.0), f)) for f in (lambda a, v: a + v, lambda a, v: a + v * v)]
+    m = z.groupBy("source").agg(part[0].alias("s"), part[1].alias("q"), F.sum(F.size("z")).alias("n"))
+    mean = F.col("s") / F.col("n")
+    return rounded(m.select("source", mean.alias("mean"), F.sqrt(F.col("q") / F.col("n") - mean * mean).alias("sd"), "n"))
 
 
-@query("rolling_quality", f"with {BYTES}, c as (select source, pos // 4096 as chunk, b, count(*) as c from byt group by all), n as (select source, chunk, sum(c) as n, max(c) as m, -sum(c * log2(c)) as l from c group by all) select source, chunk, round(log2(n) + l / n, 6) + 0.0 as entropy, (m)::bigint as most from n where n = 4096")
+@query("rolling_quality", f"with {BYTES}, c as (select source, pos // 4096 as chunk, b, count(*) as c from byt group by all), n as (select source, chunk, sum(c) as n, max(c) as m, -sum(c * log2(c)) as l from c group by all) select source, chunk, n::bigint as n, round(log2(n) + l / n, 6) + 0.0 as entropy, m::bigint as most from n")
 def _(spark, d):
-    c = byte_stream(spark, d).groupBy("source", F.floor(F.col("pos") / 4096).alias("chunk"), "b").agg(F.count("*").alias("c"))
-    n = c.groupBy("source", "chunk").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.sum(F.col("c") * F.log2("c")).alias("l")).where("n = 4096")
-    return rounded(n.select("source", "chunk", (F.log2("n") - F.col("l") / F.col("n")).alias("entropy"), "most"))
+    return rounded(es.rolling_quality(chunk_stream(spark, d), 4096))

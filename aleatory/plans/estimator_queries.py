@@ -8,7 +8,7 @@ from ..functions.bytes import byte_histogram
 from ..functions.positions import positions
 from ..operators import estimators as es
 from ..operators import spectrum
-from .registry import BYTES, byte_stream, query, read, rounded
+from .registry import BYTES, chunk_stream, query, read, rounded
 
 _DOC = """raw as (select doc_id, regexp_extract_all(hex(encode(text)), '..') as l from documents where text is not null and text <> ''),
 byt as (select doc_id, unnest(range(0, len(l))) as pos, ('0x' || unnest(l))::int as b from raw),
@@ -136,7 +136,7 @@ def _(spark, d):
 
 @query("monte_carlo_pi", f"with {BYTES}, p as (select source, pos // 6 as p, sum(case when pos % 6 < 3 then b * (1 << (16 - 8 * (pos % 3))::int) else 0 end)::double as x, sum(case when pos % 6 >= 3 then b * (1 << (16 - 8 * (pos % 3))::int) else 0 end)::double as y from byt group by all having count(*) = 6) select source, count(*) as points, round(4 * avg((x * x + y * y <= 16777215.0::double * 16777215)::int), 6) as pi from p group by source")
 def _(spark, d):
-    return rounded(es.monte_carlo_pi(byte_stream(spark, d)))
+    return rounded(es.monte_carlo_pi(chunk_stream(spark, d)))
 
 
 @query("compression_ratio")

@@ -10,7 +10,7 @@ from ..operators import rates as ra
 from ..operators import spatial as sp
 from ..sources.frames import linear_scale
 from .protocol_queries import _EP, _epochs
-from .registry import BITSTR, BYTES, DIGEST, TRIALS, Z, byte_stream, chi2_sf_sql, digest, norm_cdf_sql, norm_ppf_sql, query, read, rounded, trials256
+from .registry import BITSTR, BYTES, DIGEST, TRIALS, Z, chunk_stream, chi2_sf_sql, digest, norm_cdf_sql, norm_ppf_sql, query, read, rounded, trials256
 
 
 def _events(spark, d):
@@ -51,17 +51,17 @@ def _(spark, d):
 
 @query("broadcast_rounds", f"with {BYTES}, w as (select source, pos // 16 as round, pos % 16 // 2 as k, sum(case when pos % 2 = 0 then b * 256 else b end)::bigint as v from byt group by all), f as (select source, round, arg_min(v, k) filter (v < 60885) as v from w group by all) select source, round, coalesce(v % 6765 = 6764, false) as resonance from f")
 def _(spark, d):
-    return experiment.broadcast_rounds(byte_stream(spark, d))
+    return experiment.broadcast_rounds(chunk_stream(spark, d))
 
 
 @query("sample_field", f"with {BYTES}, p as (select source, pos // 8 as id, sum(case when pos % 8 < 4 then b * 256.0::double ** (3 - pos % 4) else 0 end) as x, sum(case when pos % 8 >= 4 then b * 256.0::double ** (3 - pos % 4) else 0 end) as y from byt group by all having count(*) = 8) select source, id, round(x / 4294967296.0::double * 100, 6) as x, round(y / 4294967296.0::double * 80, 6) as y from p")
 def _(spark, d):
-    return rounded(experiment.sample_field(byte_stream(spark, d), 100.0, 80.0))
+    return rounded(experiment.sample_field(chunk_stream(spark, d), 100.0, 80.0))
 
 
 @query("sample_disk", f"with {BYTES}, p as (select source, pos // 8 as id, sum(case when pos % 8 < 4 then b * 256.0::double ** (3 - pos % 4) else 0 end) / 4294967296.0::double as u, sum(case when pos % 8 >= 4 then b * 256.0::double ** (3 - pos % 4) else 0 end) / 4294967296.0::double as v from byt group by all having count(*) = 8) select source, id, round(100 * sqrt(u) * cos(2 * pi() * v), 6) + 0.0 as x, round(100 * sqrt(u) * sin(2 * pi() * v), 6) + 0.0 as y from p")
 def _(spark, d):
-    return rounded(experiment.sample_disk(byte_stream(spark, d), 100.0))
+    return rounded(experiment.sample_disk(chunk_stream(spark, d), 100.0))
 
 
 @query(
@@ -73,7 +73,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Range of L over simulated fields, one per event type, of the points that its digests give."""
-    p = experiment.sample_field(byte_stream(spark, d), 1.0, 1.0)
+    p = experiment.sample_field(chunk_stream(spark, d), 1.0, 1.0)
     every = sp.ripley_l_by(p, "source", 1.0, [0.005, 0.01])
     return rounded(every.groupBy("radius").agg(F.min("l").alias("low"), F.max("l").alias("high")), 9)
 

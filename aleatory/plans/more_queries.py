@@ -18,7 +18,7 @@ from ..operators import vdf
 from ..sources import frames as fr
 from ..sources import strategies as st
 from ..streaming import live
-from .registry import BITSTR, BYTES, DIGEST, byte_stream, chunk_stream, digest, gamma_p_sql, query, read, rounded
+from .registry import BITSTR, BYTES, DIGEST, chunk_stream, digest, gamma_p_sql, query, read, rounded
 
 def _bits():
     return bit_string(F.col("h"), 64)
@@ -180,10 +180,6 @@ def _(spark, d):
 _M = "(floor([7, 40, 23][(pos % 3 + 1)::int] * 256 / 44.0::double + 0.5) % 256)::int"
 
 
-def _fixed():
-    return F.array(F.lit(7), F.lit(40), F.lit(23))
-
-
 @query("xor_imprint", f"with {BYTES} select source, pos // 32 * 32 as off, string_agg(printf('%02x', xor(b, {_M})), '' order by pos) as h from byt group by 1, 2")
 def _(spark, d):
     return chunk_stream(spark, d).select("source", "off", F.lower(F.hex(xor_mask(ra.mask_bytes([7, 40, 23]))("bytes", "off"))).alias("h"))
@@ -191,8 +187,9 @@ def _(spark, d):
 
 @query("phase_modulate", f"with {BYTES} select source, round(sum(x), 3) as total, count(*) as n from (select source, ((2 * pi() * b / 256 + [7, 40, 23][(pos % 3 + 1)::int] * 2 * pi() / 44) % (2 * pi())) as x from byt) group by source")
 def _(spark, d):
-    x = byte_stream(spark, d).select("source", ra.phase_modulate(F.col("b"), _fixed(), F.col("pos")).alias("x"))
-    return rounded(x.groupBy("source").agg(F.sum("x").alias("total"), F.count("*").alias("n")), 3)
+    x = ra.phase_modulate(chunk_stream(spark, d), [7, 40, 23])
+    total = F.aggregate("theta", F.lit(0.0), lambda a, v: a + v)
+    return rounded(x.groupBy("source").agg(F.sum(total).alias("total"), F.sum(F.size("theta")).alias("n")), 3)
 
 
 @query("circular_stats", "with a as (select user_id, value * pi() / 50 as th from events), s as (select user_id, count(*) as n, sum(cos(th)) as c, sum(sin(th)) as s from a group by user_id) select user_id, n, round(sqrt(c * c + s * s) / n, 6) as resultant, round(case when atan2(s, c) < 0 then atan2(s, c) + 2 * pi() else atan2(s, c) end, 6) as mean, round(1 - sqrt(c * c + s * s) / n, 6) as variance from s")

@@ -11,18 +11,18 @@ from ..operators import extract as ex
 from ..operators import health
 from ..operators import network as net
 from ..operators import protocols as pr
-from .registry import BYTES, DIGEST, TRIALS, Z, byte_stream, chi2_sf_sql, chunk_stream, digest, norm_ppf_sql, query, read, rounded, trials256, z256
+from .registry import BYTES, DIGEST, TRIALS, Z, chi2_sf_sql, chunk_stream, digest, norm_ppf_sql, query, read, rounded, trials256, z256
 
 _NIB = f"{BYTES}, nib as (select source, pos, b & 1 as b from byt)"
 
 
 def _low_bits(spark, d):
-    return byte_stream(spark, d).select("source", "pos", F.col("b").bitwiseAND(F.lit(1)).alias("b"))
+    return chunk_stream(spark, d).withColumn("bytes", low_bits("bytes"))
 
 
 @query("rct_alarms", f"with {_NIB}, g as (select *, pos - row_number() over (partition by source, b order by pos) as g from nib), r as (select source, pos, b, row_number() over (partition by source, b, g order by pos) as r from g) select source, pos, b from r where r >= 9 and (r - 9) % 8 = 0")
 def _(spark, d):
-    return health.rct_alarms(chunk_stream(spark, d).withColumn("bytes", low_bits("bytes")), 9)
+    return health.rct_alarms(_low_bits(spark, d), 9)
 
 
 @query("apt_windows", f"with {_NIB}, w as (select source, pos // 64 as w, first_value(b) over (partition by source, pos // 64 order by pos) as first, b from nib) select source, w, first, count(*) filter (b = first) as count, count(*) filter (b = first) >= 42 as alarm from w group by source, w, first having count(*) = 64")

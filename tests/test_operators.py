@@ -127,8 +127,9 @@ def test_apt_alarms_follow_the_sequential_test_across_segments(spark):
                 i = hits[10] + 1
             else:
                 i += 16
-    for segment in (50, 16, 1 << 20):
-        got = health.apt_alarms(frame(spark, data, "source string, pos bigint, b int"), 16, 11, segment=segment)
+    chunks = [(s, i, bytearray(r[2] for r in data if r[0] == s)[i : i + 37]) for s in "xyzw" for i in range(0, sum(r[0] == s for r in data), 37)]
+    for segment in (50, 16, 1 << 16):
+        got = health.apt_alarms(frame(spark, chunks, "source string, off bigint, bytes binary"), 16, 11, segment=segment)
         assert sorted((r.source, r.pos) for r in got.collect()) == sorted(want)
 
 
