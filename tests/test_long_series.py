@@ -108,6 +108,25 @@ def test_histories_of_shifted_series(spark, k, l, u):  # noqa: E741
     assert key(flow.shifted_embedding(df, offsets, n, u, k, l)) == want and len(want) == 3 * (n - max(k, u + l - 1))
 
 
+@pytest.mark.parametrize(("k", "l", "u", "top"), [(1, 1, 1, 3), (2, 3, 2, 3), (9, 1, 1, 200)])
+@pytest.mark.parametrize("block", [7, 40, None])
+def test_states_of_shifted_series_are_counted_in_blocks(spark, k, l, u, top, block):  # noqa: E741
+    from collections import Counter
+
+    rng = np.random.default_rng(k)
+    n, offsets = 101, [1, 37, 100]
+    df = frame(spark, [(t, int(x), int(y)) for t, (x, y) in enumerate(rng.integers(0, top, (n, 2)))], "t long, x long, y long")
+    want = Counter((r.surrogate, str(r.y1), str(r.y0), str(r.x0)) for r in flow.shifted_embedding(df, offsets, n, u, k, l).collect())
+    got = flow.shifted_counts(df, offsets, n, u, k, l, block)
+    rows = got.collect()
+    assert sum(want.values()) == sum(r.c for r in rows) and sorted(want.values()) == sorted(r.c for r in rows)
+    if top < 9:
+        assert {(r.surrogate, str(r.y1), str(r.y0), str(r.x0)): r.c for r in rows} == want
+    tes = {r.surrogate: r.te for r in flow.transfer_entropy(got, ["surrogate"]).collect()}
+    for r in flow.transfer_entropy(flow.shifted_embedding(df, offsets, n, u, k, l), ["surrogate"]).collect():
+        assert tes[r.surrogate] == pytest.approx(r.te, abs=1e-12)
+
+
 @pytest.mark.parametrize("bucket_rows", [40, 1 << 16])
 def test_ordinal_patterns_reach_over_buckets(spark, monkeypatch, bucket_rows):
     from aleatory.functions import positions
