@@ -31,6 +31,20 @@ def test_special_functions():
     assert nu.norm_ppf_np(np.array([0.0, 0.5, 1.0])).tolist() == [-math.inf, 0.0, math.inf]
 
 
+def test_quantiles_of_many_degrees_of_freedom():
+    import time
+
+    k = np.array([200.0, 201.0, 555.0, 3000.0, 40001.0])
+    for p in (1e-5, 0.05, 0.5, 0.95, 0.999):
+        z = float(nu.norm_ppf_np(np.array([p]))[0])
+        guess = k * (1 - 2 / (9 * k) + z * np.sqrt(2 / (9 * k))) ** 3
+        assert nu.chi2_ppf_np(np.full(k.shape, p), k) == pytest.approx(nu._ppf_bisected(np.full(k.shape, p), k, guess), abs=2e-7)
+    many = np.arange(1e7, 1e7 + 20000)
+    start = time.process_time()
+    x = nu.chi2_ppf_np(np.full(many.shape, 0.95), many)
+    assert time.process_time() - start < 10 and (np.diff(x) > 1).all()  # bisection took some 10**6 steps per row
+
+
 def test_even_chi_square_agrees_with_the_udf(spark):
     df = frame(spark, [(x, k) for x in (0.5, 10.0, 40.0) for k in (2, 4, 10, 30)], "x double, k int")
     got = df.select(nu.chi2_sf_even(F.col("x"), F.col("k")).alias("a"), nu.chi2_sf(F.col("x"), F.col("k").cast("double")).alias("b")).toPandas()
