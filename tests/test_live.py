@@ -54,6 +54,35 @@ def test_ticks_are_those_of_the_batch(spark, tmp_path, sources):
     assert max(r["t"] for r in got) == 20 + 3 * (sources - 1) - 1
 
 
+def test_a_replayed_table_comes_range_by_range(spark, tmp_path, monkeypatch):
+    rows = [("x", s, t, float(t % 17)) for t in range(400) for s in "abc"] + [("x", s, 400 + i, None) for i, s in enumerate("abc")]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    stream = live.replayed(table, "t", 1, 300, str(tmp_path), files=3)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(files) == 15 and (tmp_path / "staged").is_dir()
+    spans = [sorted(r[0] for f in files[i : i + 3] for r in spark.read.parquet(str(f)).select("t").collect()) for i in range(0, 15, 3)]
+    assert all(a[-1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(map(len, spans)) == len(rows)
+    live.rocksdb_state(spark)
+    got = live.run_available(live.session_ticks(stream, list("abc"), 16), str(tmp_path)).collect()
+    assert sorted((r["session"], r["step"], r["t"], r["present"], round(r["stouffer"], 9), round(r["netvar"], 9), round(r["cumdev"], 9)) for r in got) == plain([r for r in rows if r[3] is not None])
+
+
+def test_far_apart_rounds_are_not_walked_one_by_one(spark, tmp_path):
+    ts = [0, 5, 10**12]
+    write(spark, [("x", "a", t, 8.0) for t in ts] + [("x", "b", 10**12 + 3, 4.0)], SCHEMA, tmp_path / "in")
+    got = ticks(spark, tmp_path / "in", tmp_path, ["a", "b"], late=3).collect()
+    assert sorted(r["t"] for r in got) == ts
+
+
+def test_chunks_are_given_on_in_slices(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(live, "SLICE", 4)
+    reader = live._Ordered(0, [], [])
+    parts = [p.tolist() for p in reader.walk(iter([pd.DataFrame({"off": [0, 7], "bytes": [b"abcdefg", b"hij"]})]))]
+    assert max(map(len, parts)) == 4 and bytes(sum(parts, [])) == b"abcdefghij"
+
+
 def test_a_late_source_is_skipped(spark, tmp_path):
     rows = [("x", s, t, float(4 + t % 3)) for t in range(30) for s in "ab"]
     late = [("x", "c", t, 9.0) for t in range(30)]
