@@ -60,3 +60,16 @@ def test_clustered_points_stand_out(spark):
     kinds = {r["kind"]: r for r in spatial.attractors(df, 1.0, 350).collect()}
     assert kinds["attractor"]["id"] >= 300 and kinds["attractor"]["p"] < 1e-6
     assert spatial.clark_evans(df, 1.0, 350).first()["ratio"] < 1
+
+
+@pytest.mark.parametrize("block", [20, 1 << 17])
+def test_pairs_of_fields_are_those_of_all_points(spark, block):
+    rng = np.random.default_rng(block)
+    fields = {"a": rng.random((300, 2)), "b": np.append(rng.random((50, 2)) * 1e-3 + 0.5, [[0.0, 0.0], [1.0, 1.0]], 0), "c": np.array([[0.25, 0.5]] * 3), "d": np.array([[0.1, 0.1]]), "e": np.round(rng.random((200, 2)), 1)}
+    radii = [0.0005, 0.1, 0.3, 2.0]
+    rows = [(f, i, float(x), float(y)) for f, p in fields.items() for i, (x, y) in enumerate(p)]
+    got = {(r.f, r.radius): r.c for r in spatial._pairs_by(spark.createDataFrame(rows, "f string, id long, x double, y double"), "f", radii, block).collect()}
+    for f, p in fields.items():
+        dx, dy = (np.subtract.outer(p[:, i], p[:, i]) for i in (0, 1))
+        for r in radii:
+            assert got[f, r] == (dx * dx + dy * dy <= r * r).sum() - len(p), (f, r)
