@@ -46,6 +46,15 @@ def test_draws_below_one_take_no_bytes(spark):
         draws.uniform_ints(data, 0)
 
 
+def test_casts_of_a_single_value_go_through_the_whole_stream(spark):
+    data = frame(spark, [("a", 0, bytearray(b"\x01\x02")), ("a", 2, bytearray(b"\xff")), ("b", 0, bytearray(b"\x07"))], "source string, off long, bytes binary")
+    words = frame(spark, [("x", 5), ("y", 5)], "word string, value long")
+    assert sorted(map(tuple, lexicon.cast_values(data, words).collect())) == [("a", 0, 5, 2, 1.0), ("a", 1, 5, 2, 1.0), ("a", 2, 5, 2, 1.0), ("b", 0, 5, 2, 1.0)]
+    assert lexicon.cast_values(data, words, 5, 5).count() == 4
+    with pytest.raises(ValueError):
+        lexicon.cast_values(data, words.limit(0))
+
+
 def plain_te(x, y, k, l, u):  # noqa: E741
     """The predicted places, their local values and the correction, by counting tuples."""
     first = max(k - 1, u + l - 2) + 1
