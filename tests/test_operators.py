@@ -217,6 +217,16 @@ def test_large_numbers(spark):
     assert [n for n in numbers if got[n].prime] == [2**61 - 1, 10**18 + 9, 2] and [n for n in numbers if got[n].perfect] == [33550336, 2305843008139952128, 6]
 
 
+def test_letters_are_looked_up_in_their_row(spark):
+    words = frame(spark, [(1, "Ab, é"), (1, "b"), (2, None), (3, "7 !"), (None, "z"), (4, ""), (5, "אב")], "id long, text string")
+    ciphers = letters.cipher_rows(spark).where("cipher in ('en-ordinal', 'he-katan-mispari')")
+    got = letters.profile(words, ciphers)
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "en-ordinal", 2, 2), (1, "en-ordinal", 8, 8), (5, "he-katan-mispari", 3, 3), (None, "en-ordinal", 26, 8)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan  # a task holds no groups of the words
+    assert letters.profile(words, ciphers.limit(0)).count() == 0
+
+
 def test_lexicon_errors(spark):
     data = frame(spark, [("a", 0, bytearray(b"\x00\x01"))], "source string, off bigint, bytes binary")
     words = frame(spark, [("x", 3), ("y", 3), ("z", 4)], "word string, value bigint")
