@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aleatory.functions import bytes as by
+from aleatory.functions import modular
 from aleatory.functions import numerics as nu
 from aleatory.functions.chunks import rechunk, xor_mask
 from aleatory.functions.positions import positions, ranked
@@ -333,6 +334,37 @@ def test_delay_proofs():
         assert vdf.from_bytes(raw, n) == (t, y, mus) and vdf.from_bytes(raw[:-1], n) is None
 
 
+@pytest.mark.parametrize("n", [vdf.RSA_2048, (1 << 4096) - 1, (1 << 64) + 13])
+def test_powers_of_many_rows(n):
+    r = random.Random(3)
+    bases = [r.randrange(n) for _ in range(150)] + [0, 1, 2, n - 1, n - 2]
+    exponents = [r.getrandbits(128) for _ in range(150)] + [0, 0, 1, 2**128 - 1, 2**128 - 1]
+    assert modular.modulus(n).powers(bases, exponents) == [pow(b, e, n) for b, e in zip(bases, exponents, strict=True)]
+
+
+def plain_check(data, t, y, mus, n):
+    x = vdf.group_element(data, n)
+    for mu in mus:
+        r = vdf.challenge(x, y, mu, t, n)
+        x, y, t = pow(x, r, n) * mu % n, pow(mu, r, n) * (y * y if t % 2 else y) % n, (t + 1) // 2
+    return y == x * x % n
+
+
+def test_delay_proofs_of_a_batch():
+    """Proofs of many rows are those of one row and of long delays; every kind of forgery has the outcome of the plain folding."""
+    n = (2**89 - 1) * (2**107 - 1)
+    data, ts = [b"%d" % i for i in range(80)], [i % 40 + 1 for i in range(78)] + [129, 300]
+    proofs = vdf.prove_all(data, ts, n)
+    assert proofs[5] == vdf.prove(data[5], ts[5], n) and all(plain_check(d, t, y, mus, n) for d, t, (y, mus) in zip(data, ts, proofs, strict=True))
+    assert all(vdf.check_all(data, [(t, *p) for t, p in zip(ts, proofs, strict=True)], n))
+    forged = []
+    for i, (y, mus) in enumerate(proofs):
+        k = i % len(mus) if mus else 0
+        forged += [(data[i], ts[i], n - y, mus), (data[i], ts[i], y, [*mus[:k], n - mus[k], *mus[k + 1 :]] if mus else mus), (data[i], ts[i], n - y, [n - mus[0], *mus[1:]] if mus else mus), (data[i] + b"!", ts[i], y, mus)]
+    got = vdf.check_all([f[0] for f in forged], [f[1:] for f in forged], n)
+    assert got == [plain_check(*f, n) for f in forged] and True in got and False in got
+
+
 def test_delay_proofs_of_the_challenge_number():
     n = vdf.assert_modulus(vdf.RSA_2048)
     assert n.bit_length() == 2048 and len(str(n)) == 617
