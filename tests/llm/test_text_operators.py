@@ -186,6 +186,30 @@ def test_copies_have_the_probability_of_the_fraction(spark):
         assert abs(sum(x) / seeds - rate % 1) < 4.5 * (rate % 1 * (1 - rate % 1) / seeds) ** 0.5 + 1e-9
 
 
+def test_mixed_sources_come_near_their_targets(spark):
+    rng = random.Random(6)
+    rows = [(i, "x " * int(rng.lognormvariate(4, 1) + 1), f"s{i % 4}" if i % 4 else None) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mixing.mix_sources(docs).toPandas()
+    per = mixed.groupby(mixed.source.fillna("null")).agg(target=("target", "first"), taken=("taken", "sum"))
+    assert len(per) == 4 and (abs(per.taken / per.target - 1) < 0.002).all()
+    emitted = mixing.emit_mix(docs).groupBy("doc_id").count().collect()
+    assert {(r.doc_id, r["count"]) for r in emitted} == {(d, c) for d, c in zip(mixed.doc_id, mixed.copies, strict=True) if c}
+
+
+def test_balanced_rounding_keeps_each_probability():
+    rng = random.Random(8)
+    weights = sorted((rng.lognormvariate(3, 1.5) for _ in range(30)), reverse=True) + [0.001]
+    for rests in ([rng.random() for _ in weights], [0.4] * len(weights), [0.0] * len(weights), [0.3] + [0.0] * 30):
+        seen = [mixing.balanced(rests, weights, [rng.random() for _ in weights]) for _ in range(4000)]
+        for i, r in enumerate(rests):
+            assert abs(sum(x[i] for x in seen) / len(seen) - r) < 4.5 * (r * (1 - r) / len(seen)) ** 0.5 + 1e-9
+    off = lambda x: abs(sum(w * (v - 0.4) for w, v in zip(weights, x, strict=True)))
+    even = sorted(off(mixing.balanced([0.4] * 31, weights, [rng.random() for _ in weights])) for _ in range(400))
+    plain = sorted(off([rng.random() < 0.4 for _ in weights]) for _ in range(400))
+    assert even[200] < plain[200] / 5
+
+
 def labelled(spark, n=1500):
     rng = random.Random(3)
     vocabulary = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "mo", "ne") for b in ("ra", "so", "ti", "vu", "xe")]
