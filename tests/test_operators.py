@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aleatory import plans
 from aleatory.functions import bytes as by
 from aleatory.functions import modular
 from aleatory.functions import numerics as nu
@@ -273,6 +274,27 @@ def test_hexagram_and_shield(spark):
     assert all(bin(r.j).count("1") % 2 == 0 for r in judges)
 
 
+def test_figures_of_a_shield(spark):
+    rows = [(f"{v:016b}" + "01" * (v % 3),) for v in range(0, 65536, 61)] + [(None,), ("01",)]
+    for r in frame(spark, rows, "s string").select("s", draws.shield(F.col("s")).alias("c"), draws.houses(draws.shield(F.col("s"))).alias("h")).collect():
+        if not r.s or len(r.s) < 16:
+            assert all(v is None for v in [*r.h, *r.c.mothers, *r.c.daughters, *r.c.nieces, *r.c.witnesses, r.c.judge])
+            continue
+        b = [int(x) for x in r.s[:16]]
+        mothers = [int("".join(map(str, b[4 * m : 4 * m + 4])), 2) for m in range(4)]
+        daughters = [int("".join(str(b[4 * m + k]) for m in range(4)), 2) for k in range(4)]
+        nieces = [mothers[0] ^ mothers[1], mothers[2] ^ mothers[3], daughters[0] ^ daughters[1], daughters[2] ^ daughters[3]]
+        assert (r.c.mothers, r.c.daughters, r.c.nieces, r.h) == (mothers, daughters, nieces, mothers + daughters + nieces)
+        assert r.c.witnesses == [nieces[0] ^ nieces[1], nieces[2] ^ nieces[3]] and r.c.judge == r.c.witnesses[0] ^ r.c.witnesses[1]
+
+
+def test_houses_read_a_digest_once(spark, tmp_path):
+    """Its text was made again for each bit of each house, a millisecond a row; lambdas around the houses kept Spark from seeing that."""
+    frame(spark, [(i, "ab"[i % 2]) for i in range(10)], "event_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    plan = plans.QUERIES["geomancy_houses"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("conv(") == 1 and "transform(" not in plan
+
+
 def test_draws_are_distinct_and_counted(spark):
     data = bytes(range(256))
     r = frame(spark, [(bytearray(data),), (bytearray(b""),), (None,)], "x binary").select(draws.draw_without_replacement(78, 10)("x").alias("r")).collect()
