@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.chunks import LATIN, each, rechunk, strings
+from ..functions.chunks import LATIN, SLICE, each, rechunk, slices, strings
 from ..functions.positions import offsets
-from ..functions.shared import cut
+from ..functions.shared import Kept, cut, small
 
 #: Share of an output's bits that a vetted conditioner may claim.
 VETTED = 0.999
@@ -37,8 +40,8 @@ def von_neumann(data: DataFrame) -> DataFrame:
     return offsets(out, ["source"], "off", "n", "i").where("n > 0").select("source", "off", "i", "bits")
 
 
-#: Bits of a node that one task works on by itself, and of a piece of a larger one.
-NODE, PIECE = 1 << 20, 1 << 18
+#: Bits of a node that one task works on by itself, and of a piece of a stream.
+NODE, PIECE = 1 << 20, 1 << 22
 
 
 def _halves(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -76,9 +79,119 @@ def _peres_rows(flat: np.ndarray, sizes: np.ndarray, depths: np.ndarray) -> tupl
     return rows, bits[np.lexsort((keys, rows))].astype(np.uint8)
 
 
-def _unpacked(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """Chunks of bytes as chunks of bits, a byte each."""
-    return np.arange(len(off)), {"at": pa.array(8 * off), "bits": pa.array([np.unpackbits(raw[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())}
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n)
+
+
+class _Rows:
+    """Rows of packed bits, given on in batches of some SLICE bytes; ``tag`` columns are taken from rows of the input."""
+
+    def __init__(self, batch: pa.RecordBatch, tag: tuple[str, ...], kinds: bool = False):
+        self.batch, self.tag, self.kinds = batch, tag, kinds
+        self.rows: list[tuple] = []
+        self.held = 0
+
+    def add(self, row: int, bits: np.ndarray, kind: int = 0) -> bool:
+        """Whether it is time to give on what is held."""
+        self.rows.append((row, kind, len(bits), int(bits[0]) if len(bits) else 0, np.packbits(bits).tobytes()))
+        self.held += len(self.rows[-1][-1]) + 64
+        return self.held > SLICE
+
+    def give(self) -> pa.RecordBatch:
+        row, kind, n, head, packed = zip(*self.rows, strict=True)
+        columns = {c: self.batch.column(c).take(pa.array(row, pa.int64())) for c in self.tag}
+        columns |= {"kind": pa.array(kind, pa.int32())} if self.kinds else {}
+        columns |= {"n": pa.array(n, pa.int64()), "head": pa.array(head, pa.int32()), "bits": pa.array(packed, pa.binary())}
+        self.rows, self.held = [], 0
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _joined(data: DataFrame, size: int) -> DataFrame:
+    """Chunks, those that follow on each other in a task laid together up to some ``size`` bytes; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        source, start, end = None, 0, 0  # of what is held
+
+        def give() -> pa.RecordBatch:
+            whole = b"".join(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([source, pa.array([start], pa.int64()), pa.array([whole], pa.binary())], names=["source", "off", "bytes"])
+
+        for batch in batches:
+            sources, offs = batch.column("source"), batch.column("off").to_numpy()
+            for a, b, raw, bounds in slices(batch.column("bytes")):
+                same = pc.fill_null(pc.equal(sources.slice(a + 1, b - a - 1), sources.slice(a, b - a - 1)), False).to_numpy(zero_copy_only=False)
+                off = offs[a:b]
+                follows = same & (off[1:] == off[:-1] + np.diff(bounds)[:-1]) & (bounds[1:-1] // size == bounds[:-2] // size)
+                first = np.append(0, np.flatnonzero(~follows) + 1)
+                for i, j in zip(first, np.append(first[1:], b - a), strict=True):
+                    own = sources.slice(a + i, 1)
+                    if held and not (own.equals(source) and off[i] == end and end - start < size):
+                        yield give()
+                    if not held:
+                        source, start, end = own, int(off[i]), int(off[i])
+                    held.append(raw[bounds[i] : bounds[j]].tobytes())
+                    end += int(bounds[j] - bounds[i])
+        if held:
+            yield give()
+
+    return data.select("source", "off", "bytes").where(F.length("bytes") > 0).mapInArrow(run, f"source {dict(data.dtypes)['source']}, off bigint, bytes binary")
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A piece's own output (kind 0), its XORs (1) and its equal pairs' bits (2). Pairs start at even places of the sequence: an odd piece leaves its first bit to the piece before, which has it as ``next``."""
+    for batch in batches:
+        out = _Rows(batch, ("source", "k"), kinds=True)
+        odd, after, n, packed = (batch.column(c) for c in ("odd", "next", "n", "bits"))
+        for r in range(batch.num_rows):
+            bits = _bits(packed[r].as_py(), n[r].as_py())[odd[r].as_py() :]
+            if after[r].is_valid:
+                bits = np.append(bits, np.uint8(after[r].as_py()))
+            pairs = bits[: len(bits) // 2 * 2].reshape(-1, 2)
+            a, x = pairs[:, 0], pairs[:, 0] ^ pairs[:, 1]
+            out.add(r, a[x == 1], 0)
+            out.add(r, x, 1)
+            if out.add(r, a[x == 0], 2):
+                yield out.give()
+        if out.rows:
+            yield out.give()
+
+
+def _finish(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """The whole output of sequences given as their pieces in order."""
+    for batch in batches:
+        out, parts = _Rows(batch, ("source", "k")), batch.column("parts")
+        rows: list[int] = []
+        flats: list[np.ndarray] = []
+
+        def work() -> None:
+            row, bits = _peres_rows(np.concatenate(flats), np.array([len(f) for f in flats]), np.full(len(flats), depth))
+            for r, b in zip(rows, np.split(bits, np.cumsum(np.bincount(row, minlength=len(flats)))[:-1]), strict=True):
+                out.add(r, b)
+            rows.clear(), flats.clear()
+
+        for r in range(batch.num_rows):
+            rows.append(r)
+            flats.append(np.concatenate([_bits(p["bits"], p["n"]) for p in parts[r].as_py()]))
+            if sum(map(len, flats)) > SLICE or r == batch.num_rows - 1:
+                work()
+                yield out.give()
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed bits as strings of 0 and 1."""
+    for batch in batches:
+        n, packed = batch.column("n"), batch.column("bits")
+        at = 0
+        while at < batch.num_rows:
+            to, chars = at, []
+            while to < batch.num_rows and (not chars or sum(map(len, chars)) < SLICE):
+                chars.append(_bits(packed[to].as_py(), n[to].as_py()) + 48)
+                to += 1
+            text = strings(np.concatenate(chars), np.array([len(c) for c in chars]))
+            yield pa.RecordBatch.from_arrays([batch.column("of").slice(at, to - at), batch.column("i").slice(at, to - at), text], names=["source", "i", "bits"])
+            at = to
 
 
 def peres(data: DataFrame, depth: int = 64, node: int = NODE, piece: int = PIECE) -> DataFrame:
@@ -86,54 +199,90 @@ def peres(data: DataFrame, depth: int = 64, node: int = NODE, piece: int = PIECE
 
     The output is von Neumann's, then that of the pairs' XORs, then that of the
     equal pairs, each debiased in the same way, ``depth`` levels deep. Sequences
-    longer than ``node`` bits are halved by many tasks, level by level: pieces
-    start at even places, XORs know theirs, equal pairs' places are sums of
-    pieces' counts. Shorter ones are finished by one task each. So the result
+    longer than ``node`` bits are halved by many tasks, level by level, in the
+    pieces of the stream (``piece`` bits or so): a piece's XORs and equal pairs
+    stay with it, and what it has to know of the others is whether it starts at
+    an even place and which bit comes after it, from a table of a row per piece
+    and sequence. Shorter sequences are finished by one task each. So the result
     doesn't hang on the chunks, and each level is about three quarters of the
-    one before.
+    one before. Bits are kept packed, only those of sequences to be finished
+    are shuffled (all, if chunks are small and lie in no order, or if the table
+    has over BROADCAST_ROWS rows), and a level is dropped when the next is written.
     """
     kind = dict(data.dtypes)["source"]
-    node, piece = max(node, 2), max(piece // 2 * 2, 2)
+    node, size = max(node, 2), max(piece // 8, 1)
+    if depth < 1:
+        return data.select("source", F.lit(0).cast("bigint").alias("i"), F.lit("").alias("bits")).limit(0)
+    pieces = Kept(_joined(data, size))
+    rows, total = pieces.read().agg(F.count("*"), F.sum(F.length("bytes"))).first()
+    if rows and total * 4 < rows * size:  # chunks lay in no order
+        last, pieces = pieces, Kept(rechunk(pieces.read(), size))
+        last.drop()
     key = F.struct(F.col("source").alias("of"), F.lit("").alias("path")).alias("source")
-    now = cut(each(data, _unpacked, "at bigint, bits binary", ("source",)).select(key, F.col("at").alias("off"), F.col("bits").alias("bytes")))
-    found: list[DataFrame] = [now.select("source", "off", F.lit("").alias("bits")).limit(0)]
-
-    def split(off: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
-        fresh, n, xors, pairs, equal, left = _halves(raw, np.diff(bounds))
-        return np.arange(len(off)), {"bits": strings(fresh + 48, n), "xors": strings(xors, pairs).view(pa.binary()), "equal": strings(equal, left).view(pa.binary())}
-
+    head = F.conv(F.hex(F.substring("bytes", 1, 1)), 16, 10).cast("int") >= 128
+    now = pieces.read().select(key, F.col("off").alias("k"), (F.length("bytes") * 8).cast("bigint").alias("n"), head.cast("int").alias("head"), F.col("bytes").alias("bits"))
+    gone: list[tuple[Kept, int | None]] = [(pieces, None)]
+    found: list[DataFrame] = []
+    upto = Window.partitionBy("source").orderBy("k")
+    columns = f"source struct<of: {kind}, path: string>, k bigint, {{}}n bigint, head int, bits binary"
     for level in range(depth):
-        large = cut(now.groupBy("source").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > node))
-        rest = rechunk(now.join(large, "source", "left_anti"), node)
-        found.append(each(rest, lambda off, raw, bounds, left=depth - level: _finish(raw, bounds, left), "bits string", ("source",)).select("source", F.lit(0).cast("bigint").alias("off"), "bits"))
-        if large.isEmpty():
+        now = now.where("n > 0")
+        places = now.select("source", "k", "n", (F.sum("n").over(upto) % 2).alias("end"), F.lead("head").over(upto).alias("next"), F.sum("n").over(Window.partitionBy("source")).alias("size"))
+        places = cut(places.select("source", "k", ((F.col("end") + F.col("n")) % 2).cast("int").alias("odd"), F.when(F.col("end") == 1, F.col("next")).alias("next"), "size"))
+        large = cut(places.where(F.col("size") > node).drop("size"))
+        short = small(cut(places.where(F.col("size") <= node).select("source").distinct()))
+        rest = now.join(short, "source").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "n", "bits"))).alias("parts")).withColumn("k", F.lit(0).cast("bigint"))
+        found.append(Kept(rest.mapInArrow(lambda batches, left=depth - level: _finish(batches, left), columns.format(""))).read())
+        parts = None if large.isEmpty() else Kept(now.join(small(large), ["source", "k"]).mapInArrow(_split, columns.format("kind int, ")), by="kind")
+        for kept, part in gone:
+            kept.drop(part)
+        gone = [(parts, 1), (parts, 2)] if parts else []
+        if not parts:
             break
-        parts = cut(each(rechunk(now.join(large, "source", "left_semi"), piece), split, "bits string, xors binary, equal binary", ("source", "off")))
-        found.append(parts.select("source", "off", "bits"))
-        child = lambda digit: F.struct(F.col("source.of").alias("of"), F.concat("source.path", F.lit(digit)).alias("path")).alias("source")
-        placed = offsets(parts.withColumn("n", F.length("equal")), ["source"], "off", "n", "at", piece << 10)
-        now = cut(parts.select(child("1"), F.floor(F.col("off") / 2).alias("off"), F.col("xors").alias("bytes")).unionByName(placed.select(child("2"), F.col("at").alias("off"), F.col("equal").alias("bytes"))))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    every = cut(every.withColumn("n", F.length("bits")).where("n > 0"))
-    # Paths in the order of the output: a sequence's own path comes before those under it. One row per path of a source.
-    before = Window.partitionBy("source.of").orderBy("source.path").rowsBetween(Window.unboundedPreceding, -1)
-    paths = every.groupBy("source").agg(F.sum("n").alias("all")).select("source", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("start"))
-    out = offsets(every, ["source"], "off", "n", "o", piece << 10).join(paths, "source")
-    return out.select(F.col("source.of").cast(kind).alias("source"), (F.col("start") + F.col("o")).alias("i"), "bits")
+        child = lambda digit: F.struct(F.col("source.of").alias("of"), F.concat("source.path", F.lit(str(digit))).alias("path")).alias("source")
+        now = parts.read(1).select(child(1), "k", "n", "head", "bits").unionByName(parts.read(2).select(child(2), "k", "n", "head", "bits"))
+        found.append(parts.read(0))
+    for kept, part in gone:
+        kept.drop(part)
+    found = [f.where("n > 0") for f in found]
+    # Paths in the order of the output: a sequence's own path comes before those under it. One row per piece and path of a source.
+    before = Window.partitionBy("source.of").orderBy("source.path", "k").rowsBetween(Window.unboundedPreceding, -1)
+    places = [f.select(F.lit(j).alias("level"), "source", "k", "n") for j, f in enumerate(found)]
+    places = cut(reduce(DataFrame.unionByName, places).select("level", "source", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("i")))
+    placed = [f.join(small(places.where(F.col("level") == j).drop("level")), ["source", "k"]) for j, f in enumerate(found)]
+    out = reduce(DataFrame.unionByName, placed).select(F.col("source.of").alias("of"), "i", "n", "bits")
+    return out.mapInArrow(_written, f"source {kind}, i bigint, bits string")
 
 
 def bit_blocks(pieces: DataFrame, size: int) -> DataFrame:
-    """``(source, i, bits)`` in pieces that start at multiples of ``size`` (the last of a source is shorter)."""
-    cut_ = rechunk(pieces.select("source", F.col("i").alias("off"), F.encode("bits", LATIN).alias("bytes")), size)
-    return cut_.select("source", F.col("off").alias("i"), F.decode("bytes", LATIN).alias("bits"))
-
-
-def _finish(raw: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    n = len(bounds) - 1
-    rows, bits = _peres_rows(raw, np.diff(bounds), np.full(n, depth))
-    return np.arange(n), {"bits": strings(bits + 48, np.bincount(rows, minlength=n))}
+    """``(source, i, bits)`` in pieces that start at multiples of ``size`` (the last of a source is shorter). Blocks within a piece are cut from it; only pieces' ends are shuffled."""
+
+    def cut_(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column("i").to_numpy()
+            for a, b, raw, bounds in slices(batch.column("bits").cast(pa.binary())):
+                i, n = places[a:b], np.diff(bounds)
+                low = -(-i // size) * size
+                high = np.maximum((i + n) // size * size, low)
+                if whole:
+                    count = (high - low) // size
+                    row = np.repeat(np.arange(len(i)), count)
+                    at = low[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size
+                    counts = np.full(len(row), size)
+                    first = bounds[:-1][row] + at - i[row]
+                else:
+                    row = np.repeat(np.arange(len(i)), 2)
+                    at = np.stack([i, high], 1).ravel()
+                    counts = np.stack([np.minimum(low - i, n), np.maximum(i + n - high, 0)], 1).ravel()
+                    row, at, counts = row[counts > 0], at[counts > 0], counts[counts > 0]
+                    first = bounds[:-1][row] + at - i[row]
+                chars = raw[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+                yield pa.RecordBatch.from_arrays([batch.column("source").take(pa.array(row + a)), pa.array(at), strings(chars, counts)], names=["source", "i", "bits"])
+
+    pieces = pieces.select("source", "i", "bits").where(F.length("bits") > 0)
+    whole, ends = (pieces.mapInArrow(lambda batches, w=w: cut_(batches, w), pieces.schema) for w in (True, False))
+    ends = rechunk(ends.select("source", F.col("i").alias("off"), F.encode("bits", LATIN).alias("bytes")), size)
+    return whole.unionByName(ends.select("source", F.col("off").alias("i"), F.decode("bytes", LATIN).alias("bits")))
 
 
 def peres_rate(p: float, depth: int = 25) -> float:

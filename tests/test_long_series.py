@@ -180,6 +180,30 @@ def test_peres_of_a_stream_does_not_hang_on_its_chunks(spark, depth, node, piece
     assert blocks == {(s, i): w[i : i + 50] for s, w in want.items() for i in range(0, len(w), 50)}
 
 
+def test_peres_keeps_its_levels_packed_and_drops_them(spark):
+    """Each level was checkpointed twice, a byte per bit: some 40 times the stream stayed on disk. Also of chunks in no order."""
+    from pathlib import Path
+
+    from aleatory.functions.shared import folder
+
+    rng = np.random.default_rng(8)
+    whole = {"x": (rng.random(1 << 22) < 0.4).astype(np.uint8), None: (rng.random((1 << 15) + 8) < 0.5).astype(np.uint8)}
+    want = {s: "".join(map(str, extract._peres_rows(b, np.array([len(b)]), np.array([64]))[1])) for s, b in whole.items()}
+    for size, mixed in ((1 << 13, False), (1 << 10, True)):
+        rows = [(s, i, bytearray(raw[i : i + size])) for s, b in whole.items() for raw in [np.packbits(b).tobytes()] for i in range(0, len(raw), size)]
+        if mixed:
+            rows = [rows[i] for i in rng.permutation(len(rows))]
+        kept = lambda: sum(f.stat().st_size for f in Path(folder(spark).removeprefix("file:")).rglob("*") if f.is_file())
+        before = kept()
+        out = extract.peres(frame(spark, rows, "source string, off long, bytes binary"), node=1 << 19, piece=1 << 17)
+        got = {}
+        for r in sorted(out.collect(), key=lambda r: r["i"]):
+            assert r["i"] == len(got.get(r["source"], ""))
+            got[r["source"]] = got.get(r["source"], "") + r["bits"]
+        assert got == want
+        assert kept() - before < 3 * (1 << 19)
+
+
 def test_peres_of_an_empty_stream(spark):
     assert extract.peres(frame(spark, [], "source string, off long, bytes binary")).count() == 0
 
